@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import flac, simhash
+from gleaner.llm import crf, ctw, flac, nbsvm, packing, simhash
 from gleaner.session import table
 
 
@@ -14,12 +14,27 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(flac.encode(table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.predict(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_flac": op2_flac,
-    "op6_simhash": op6_simhash,
+    f.__name__: f for f in (op2_flac, op3_packing, op5_nbsvm, op6_simhash, op9_ctw, op10_crf)
 }
 ORACLES: dict[str, str] = {}
