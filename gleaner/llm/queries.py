@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from gleaner.llm import crf, ctw, flac, nbsvm, packing, simhash
-from gleaner.session import table
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gleaner.llm import crf, ctw, flac, kdtree, nbsvm, packing, pieces, sharding, simhash, urls
+from gleaner.session import shared_dir, table
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+URL_RULES = [
+    urls.Rule("com/en/", "block"),
+    urls.Rule("example.com/en/7", "allow"),
+    urls.Rule("net/de/", "block"),
+    urls.Rule("example.net/de/8", "block"),
+    urls.Rule("org/es/", "block"),
+]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shard that holds it after arrivals and compaction, and the checksum of its text as stored."""
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    sharding.load_table(store, table(spark, sf_dir, "documents"))
+    version = store.compact()
+    return store.read().select(
+        "doc_id",
+        F.col("__shard").alias("shard"),
+        F.col("__shard_bytes").alias("shard_bytes"),
+        sharding.tier_of(F.col("__shard_bytes")).alias("tier"),
+        F.lit(version).cast("long").alias("version"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.crc32(F.encode("text", "utf-8")).alias("text_crc32"),
+    )
 
 
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +44,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.expr("id % 50 = 0"))
+
+
 def op5_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +56,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str, path: str = PIECE_MODEL) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), pieces.read_model(spark, path))
+
+
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -35,6 +73,21 @@ def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_flac, op3_packing, op5_nbsvm, op6_simhash, op9_ctw, op10_crf)
+    f.__name__: f for f in (op1_sharding, op2_flac, op3_packing, op4_kdtree, op5_nbsvm, op6_simhash, op7_urls, op8_pieces, op9_ctw, op10_crf)
+}
+ORACLES: dict[str, str] = {
+    "op4_kdtree": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5
+    """,
 }
-ORACLES: dict[str, str] = {}
