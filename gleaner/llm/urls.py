@@ -207,42 +207,35 @@ class Model(NamedTuple):
 def _train_batches(split: Segmenter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _slots(split)
-        found, rows = {"block": np.zeros(1 << TOKEN_BITS, np.int64), "allow": np.zeros(1 << TOKEN_BITS, np.int64)}, {"block": 0, "allow": 0}
+        found = {"block": np.zeros(1 << TOKEN_BITS, np.int64), "allow": np.zeros(1 << TOKEN_BITS, np.int64)}
         for batch in batches:
-            got = pd.DataFrame({"host": batch.column(0).to_pylist(), "path": batch.column(1).to_pylist(), "verdict": batch.column(2).to_pylist()})
-            for host, path, verdict in got.itertuples(index=False):
+            for host, path, verdict in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 np.add.at(found[verdict], slots(host, path), 1)
-                rows[verdict] += 1
         for verdict, n in found.items():
             at = np.flatnonzero(n)
-            if rows[verdict]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([verdict] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows[verdict]))], ["verdict", "slot", "n"]
-                )
+            yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["verdict", "slot", "n"])
 
     return run
 
 
-def fit(decided: DataFrame, split: Segmenter, seeds: dict[str, Sequence[str]] = SEEDS, seed_share: float = SEED_SHARE) -> Model:
+def fit(decided: DataFrame, split: Segmenter, seeds: dict[str, Sequence[str]] = SEEDS, seed_share: float = SEED_SHARE, prior: float = 0.0) -> Model:
     """Multinomial naive Bayes over all rows of ``host, path, verdict``. Counts are summed on executors; at most two tables of 2**18 numbers come back.
 
-    Without rows of one class only its seed words speak for it, and the classes count as equally likely.
+    Without rows of one class only its seed words speak for it. ``prior``: log odds of block; by default the classes are equally
+    likely, as the shares of rows that rules decide tell nothing about the others.
     """
     counts = decided.select("host", "path", "verdict").mapInArrow(_train_batches(split), "verdict string, slot long, n long")
     got = counts.groupBy("verdict", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    found, rows = {}, {}
+    found = {}
     for verdict in ("block", "allow"):
         own = got[got["verdict"] == verdict]
         n = np.zeros(1 << TOKEN_BITS)
-        seen = own[own["slot"] >= 0]
-        n[seen["slot"].to_numpy(np.int64)] = seen["n"]
-        rows[verdict] = float(own.loc[own["slot"] < 0, "n"].sum())
+        n[own["slot"].to_numpy(np.int64)] = own["n"]
         words = [_slot(w) for w in seeds.get(verdict, ())]
         np.add.at(n, words, max(n.sum() * seed_share, len(words)) / max(len(words), 1))
         found[verdict] = n
     seen = found["block"] + found["allow"] > 0  # a token that neither class has says nothing
     logs = {v: np.log(n + 0.5) - np.log(n.sum() + 0.5 * seen.sum()) for v, n in found.items()}
-    prior = math.log(rows["block"]) - math.log(rows["allow"]) if rows["block"] and rows["allow"] else 0.0
     return Model(np.where(seen, logs["block"] - logs["allow"], 0).astype(np.float32), prior)
 
 
