@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.llm.textvec import IS_LETTER, LOWER, crc32_text, prefix_hash, span_hash, spans, text_chunks
 
 MAX_TRAIN_DOCS = 3000  # documents that the model is fitted on, at most
-MAX_TRAIN_BYTES = 2_500_000  # and their text together (one longer document counts whole)
+MAX_TRAIN_BYTES = 1_500_000  # and their text together (one longer document counts whole)
 TABLE_BITS = 16
 LANE = 128
 PIECE = 32  # words of one document in a row in a training sequence
@@ -217,17 +217,17 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
     found = np.searchsorted(lexicon, w.word).clip(0, max(len(lexicon) - 1, 0)) if len(lexicon) else np.zeros(n, np.int64)
     hit = (lexicon[found] == w.word) if len(lexicon) else np.zeros(n, bool)
     lex = np.where(hit, (1 << TABLE_BITS) + lexicon_lang[found], (1 << TABLE_BITS) + k) if len(lexicon) else np.full(n, (1 << TABLE_BITS) + k)
-    ids, of = [*w.fixed, lex], [np.arange(n)] * (len(w.fixed) + 1)
-    for extra, g in enumerate(w.grams):
-        last = np.maximum(w.ends - extra, w.starts + 1)
-        count = last - w.starts
-        flat = np.repeat(w.starts - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        ids.append(g[flat])
-        of.append(np.repeat(np.arange(n), count))
-    ids, of = np.concatenate(ids), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    ids, edges = ids[order], np.searchsorted(of[order], np.arange(n))
-    lengths = np.diff(np.concatenate([edges, [len(ids)]]))
+    counts = [np.maximum(w.ends - extra, w.starts + 1) - w.starts for extra in range(len(w.grams))]
+    lengths = sum(counts) + len(w.fixed) + 1
+    edges = np.cumsum(lengths) - lengths
+    ids = np.empty(int(lengths.sum()), np.int32)
+    for i, own in enumerate([*w.fixed, lex]):
+        ids[edges + i] = own
+    at_gram = edges + len(w.fixed) + 1
+    for g, count in zip(w.grams, counts, strict=True):
+        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        ids[np.repeat(at_gram, count) + inside] = g[np.repeat(w.starts, count) + inside]
+        at_gram = at_gram + count
     rows = (1 << TABLE_BITS) + k + 1
     gold = np.zeros((n, k))
     gold[np.arange(n), label] = 1
@@ -238,12 +238,11 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
     m, v = np.zeros((rows, k)), np.zeros((rows, k))
     mt, vt = np.zeros((k, k)), np.zeros((k, k))
     for step in range(1, epochs + 1):
-        e = np.add.reduceat(weights[ids], edges, 0)
+        e = np.stack([np.add.reduceat(weights[:, j][ids], edges) for j in range(k)], 1)
         post, joint = _pairs(np.where(mask[:, :, None] > 0, e[at], 0), mask, trans)
         diff = gold.copy()
         diff[at[at >= 0]] -= post[at >= 0]
-        each = np.repeat(diff, lengths, 0)
-        grad = np.stack([np.bincount(ids, each[:, j], rows) for j in range(k)], 1) / n - 1e-6 * weights
+        grad = np.stack([np.bincount(ids, np.repeat(diff[:, j], lengths), rows) for j in range(k)], 1) / n - 1e-6 * weights
         grad[-1] = 0
         grad_t = (gold_t - joint) / n
         for g, p, m1, v1, rate in ((grad, weights, m, v, 0.1), (grad_t, trans, mt, vt, 0.2)):
