@@ -2,37 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gleaner.plans import dashboards, listing, near, retrieval  # noqa: F401  (each registers its queries)
+from gleaner.plans.listing import FLAGSHIP
+from gleaner.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from gleaner.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query under its own name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query(
-    "SELECT l_returnflag, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
-    "WHERE o_orderstatus = 'F' GROUP BY l_returnflag"
-)
-def inner_join_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return (
-        li.join(o, li.l_orderkey == o.o_orderkey).where("o_orderstatus = 'F'").groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    )
-
-
-FLAGSHIP = "inner_join_group_count"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
