@@ -48,7 +48,7 @@ def hamming_pairs(df: DataFrame, threshold: int, key: str = "id", hash_col: str
     plan = chunk_plan(threshold)
 
     def chunk(h: Column, at: int, size: int) -> Column:
-        return F.shiftrightunsigned(h, 4 * (NIBBLES - at - size)).bitwiseAND(F.lit((1 << 4 * size) - 1))
+        return F.shiftrightunsigned(h, 4 * (NIBBLES - at - size)).bitwiseAND(F.lit((1 << 4 * size) - 1 if size < NIBBLES else -1))
 
     keyed = nodes.select("h", "k", F.posexplode(F.array(*(chunk(F.col("h"), *p) for p in plan))).alias("no", "chunk"))
     a = keyed.select(F.col("h").alias("ha"), F.col("k").alias("ka"), "no", "chunk")

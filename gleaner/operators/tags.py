@@ -134,3 +134,42 @@ def names_of(links: DataFrame, most: int = 3) -> DataFrame:
     """``item, names``: up to ``most`` tag names of each item, in order, joined by commas."""
     few = first_per_key(links.select("item", "name").distinct(), ["item"], [F.asc("name")], most)
     return few.groupBy("item").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
+
+def items_of_tag(links: DataFrame, items: DataFrame, tag: str, limit: int = 3000) -> DataFrame:
+    """Live items of a tag by id; a listing shows at most ``limit``."""
+    hit = links.where(F.col("tag") == tag).select("item").distinct()
+    return items.where("deleted_at is null").join(hit, "item", "left_semi").orderBy("item").limit(limit)
+
+
+def name_group(links: DataFrame, over: DataFrame, members: DataFrame, targets: Sequence[str], most: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Links after a group's members got the target tags, and ``node, gained``: how many distinct items every tag's subtree won.
+
+    ``over``: the closure (``ancestor, node``). Links that exist stay as they are. At most ``most`` targets may be given.
+    """
+    if not 1 <= len(set(targets)) <= most:
+        raise ValueError(f"1 to {most} tags may be given at once")
+    named = members.select("item").distinct().withColumn("tag", F.explode(F.array(*(F.lit(t) for t in sorted(set(targets))))))
+    fresh = named.join(links.select("item", "tag"), ["item", "tag"], "left_anti")
+    before = links.join(members.select("item").distinct(), "item", "left_semi").join(over, F.col("tag") == F.col("node")).select("item", F.col("ancestor").alias("node")).distinct()
+    after = fresh.join(over, F.col("tag") == F.col("node")).select("item", F.col("ancestor").alias("node")).distinct()
+    gained = after.join(before, ["item", "node"], "left_anti").groupBy("node").agg(F.count("*").alias("gained"))
+    return links.select("item", "tag").unionByName(fresh), gained
+
+
+def members_with_persons(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``component, item, persons`` of groups, with the persons that an item's names tell (0 if none)."""
+    n = person_counts(links)
+    return groups.join(n, "item", "left").select("component", "item", F.coalesce("persons", F.lit(0)).alias("persons"))
+
+
+def proposals(found: DataFrame, seeds: DataFrame, links: DataFrame, tags_most: int = 300, items_most: int = 300) -> DataFrame:
+    """``item, tag, origin, confidence`` of suggestions to write: of the tags with most seeds, each with its best items, without links that exist.
+
+    ``found``: ``item, tag, similarity``; ``seeds``: ``tag, n``. The caps are what one run of suggestions offers.
+    """
+    best = seeds.orderBy(F.desc("n"), "tag").limit(tags_most).select("tag")
+    mean = found.join(F.broadcast(best), "tag", "left_semi").groupBy("item", "tag").agg(F.avg("similarity").alias("s"))
+    top = first_per_key(mean, ["tag"], [F.desc("s"), F.asc("item")], items_most)
+    fresh = top.join(links.select("item", "tag"), ["item", "tag"], "left_anti")
+    return fresh.select("item", "tag", F.lit("auto").alias("origin"), (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import dashboards, listing, near, retrieval  # noqa: F401  (each registers its queries)
+from gleaner.plans import dashboards, listing, near, retrieval, workflows  # noqa: F401  (each registers its queries)
 from gleaner.plans.listing import FLAGSHIP
 from gleaner.plans.registry import ORACLES, QUERIES
 
