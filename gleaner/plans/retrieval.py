@@ -12,11 +12,12 @@ from gleaner.session import table
 from gleaner.sources import files
 from gleaner.streaming import feeds
 
-# Evidence for fusion: three prompts rank parts by different numbers.
+# Evidence for fusion: three prompts rank parts by different numbers; a prompt's list is its first 400.
+LIST = 400
 EVIDENCE = """e AS (
-    SELECT p_partkey AS item, 0 AS prompt, 'whole-query' AS grp, 1.0 AS weight, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, floor(p_retailprice / 2 + 0.5) / 10000 AS similarity FROM part WHERE p_size < 20
-    UNION ALL SELECT p_partkey, 1, 'part', 0.7, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1, p_size / 400.0 FROM part WHERE p_type = 'SMALL'
-    UNION ALL SELECT p_partkey, 2, 'part', 0.5, row_number() OVER (ORDER BY p_partkey) - 1, (p_partkey % 100) / 800.0 FROM part WHERE p_partkey % 3 = 0),
+    SELECT * FROM (SELECT p_partkey AS item, 0 AS prompt, 'whole-query' AS grp, 1.0 AS weight, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, floor(p_retailprice / 2 + 0.5) / 10000 AS similarity FROM part WHERE p_size < 20) WHERE rank < 400
+    UNION ALL SELECT * FROM (SELECT p_partkey, 1, 'part', 0.7, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank, p_size / 400.0 FROM part WHERE p_type = 'SMALL') WHERE rank < 400
+    UNION ALL SELECT * FROM (SELECT p_partkey, 2, 'part', 0.5, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, (p_partkey % 100) / 800.0 FROM part WHERE p_partkey % 3 = 0) WHERE rank < 400),
     g AS (SELECT item, grp, max(weight / (60 + rank + 1)) AS score, max(similarity) AS similarity, max(CASE WHEN prompt = 0 THEN similarity END) AS own FROM e GROUP BY item, grp),
     fused AS (SELECT item, sum(score) AS rank_score, floor(max(similarity) * 10000 + 0.5) / 10000 AS similarity, floor(coalesce(max(own), max(similarity)) * 10000 + 0.5) / 10000 AS primary_similarity, count(*) AS n_groups, bool_or(grp = 'whole-query') AS has_whole FROM g GROUP BY item)"""
 
@@ -25,8 +26,8 @@ def _evidence(spark, sf_dir):
     p = table(spark, sf_dir, "part")
 
     def one(rows, prompt, grp, weight, order, similarity):
-        rank = F.row_number().over(W.orderBy(*order)) - 1  # one prompt's candidates, a ranked list of bounded length
-        return rows.select(F.col("p_partkey").alias("item"), F.lit(prompt).alias("prompt"), F.lit(grp).alias("grp"), F.lit(weight).alias("weight"), rank.alias("rank"), similarity.alias("similarity"))
+        rank = F.row_number().over(W.orderBy(*order)) - 1
+        return rows.orderBy(*order).limit(LIST).select(F.col("p_partkey").alias("item"), F.lit(prompt).alias("prompt"), F.lit(grp).alias("grp"), F.lit(weight).alias("weight"), rank.alias("rank"), similarity.alias("similarity"))
 
     a = one(p.where("p_size < 20"), 0, "whole-query", 1.0, [F.desc("p_retailprice"), F.asc("p_partkey")], F.floor(F.col("p_retailprice") / 2 + 0.5) / 10000)
     b = one(p.where("p_type = 'SMALL'"), 1, "part", 0.7, [F.desc("p_size"), F.asc("p_partkey")], F.col("p_size") / 400.0)
@@ -45,11 +46,11 @@ def rank_fusion(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EVIDENCE}, n AS (SELECT p_partkey AS item, max(1.0 / (61 + r)) AS ns, greatest(max(s), 0) AS nv FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS r, p_size / 100.0 AS s FROM part WHERE p_size > 10) GROUP BY 1)
+    f"""WITH {EVIDENCE}, n AS (SELECT p_partkey AS item, max(1.0 / (61 + r)) AS ns, greatest(max(s), 0) AS nv FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS r, p_size / 100.0 AS s FROM part WHERE p_size > 10) WHERE r < 400 GROUP BY 1)
     SELECT item, round(rank_score - 0.25 * coalesce(ns, 0), 9) AS rank_score, floor(greatest(0, similarity - 0.25 * coalesce(nv, 0)) * 10000 + 0.5) / 10000 AS similarity FROM fused LEFT JOIN n USING (item)"""
 )
 def negative_penalty(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size > 10")
+    p = table(spark, sf_dir, "part").where("p_size > 10").orderBy("p_brand", "p_partkey").limit(LIST)
     n = p.select(F.col("p_partkey").alias("item"), (F.row_number().over(W.orderBy("p_brand", "p_partkey")) - 1).alias("rank"), (F.col("p_size") / 100.0).alias("similarity"))
     return _shown(ranking.penalise(ranking.fuse(_evidence(spark, sf_dir)), n), "item", "rank_score", "similarity")
 
@@ -122,13 +123,13 @@ def gated_fusion(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EXACT}, s AS (SELECT p_partkey AS item, 1.0 / (60 + row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)) AS score, p_size / 100.0 AS similarity, false AS exact FROM part WHERE p_size < 20),
+    f"""WITH {EXACT}, s AS (SELECT item, 1.0 / (60 + r) AS score, similarity, false AS exact FROM (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, p_size / 100.0 AS similarity FROM part WHERE p_size < 20) WHERE r <= 400),
     u AS (SELECT item, sum(score) AS rank_score, bool_or(exact) AS exact, max(similarity) AS best FROM (SELECT * FROM s UNION ALL SELECT item, weight / 61, NULL, exact FROM (SELECT DISTINCT * FROM w)) GROUP BY item)
     SELECT item, round(rank_score, 9) AS rank_score, exact, floor(CASE WHEN coalesce(best, 0) <> 0 THEN best WHEN exact THEN 1 ELSE rank_score / (SELECT max(rank_score) FROM u) END * 10000 + 0.5) / 10000 AS similarity FROM u"""
 )
 def hybrid_fusion(spark, sf_dir):
     e, _ = _exact(spark, sf_dir)
-    p = table(spark, sf_dir, "part").where("p_size < 20")
+    p = table(spark, sf_dir, "part").where("p_size < 20").orderBy(F.desc("p_retailprice"), "p_partkey").limit(LIST)
     s = p.select(F.col("p_partkey").alias("item"), (F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1).alias("rank"), (F.col("p_size") / 100.0).alias("similarity"))
     return _shown(ranking.hybrid_fusion(s, e), "item", "rank_score", "exact", "similarity")
 
