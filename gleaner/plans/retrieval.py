@@ -185,6 +185,12 @@ def gap_runs(spark, sf_dir):
     return r.groupBy("user_id", "run").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {RUNS} SELECT event_id, run FROM runs")
+def gap_runs_of_hot_keys(spark, sf_dir):
+    f = feed(spark, sf_dir).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
+    return sequences.gap_runs_split(f, ["user_id"], "ms", ["event_id"], 7_200_000, 86_400_000).select("event_id", "run")
+
+
 @query(
     """WITH f AS (SELECT l_suppkey AS folder, l_returnflag AS camera, l_linestatus AS lens, l_orderkey * 10 + l_linenumber AS id, epoch_ms(l_shipdate) // 43200 + l_orderkey % 3 AS t, l_partkey % 64 AS hash, l_suppkey % 3 AS burst FROM lineitem WHERE l_partkey % 5 > 0),
     x AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 2000 OR bit_count(xor(hash, lag(hash) OVER w)) > 12 OR burst <> lag(burst) OVER w THEN 1 ELSE 0 END AS cut FROM f WHERE t > 0 WINDOW w AS (PARTITION BY folder, camera, lens ORDER BY t, id)),

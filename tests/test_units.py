@@ -183,6 +183,15 @@ def test_rhythm_allows_a_missing_frame(spark):
     assert run(1) == [(10_000, 70_000, 7)] and run(2) == [(10_000, 110_000, 9)]
 
 
+def test_runs_of_hot_keys_are_the_plain_ones(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(0, 3000), rng.randrange(3)) for i in range(800)]
+    df = spark.createDataFrame(data, "k string, id int, at long, x int")
+    plain = sequences.gap_runs(df, ["k"], F.col("at"), [F.col("at"), F.col("id")], 3, sequences.prev("x", ["k"], [F.col("at"), F.col("id")]) > F.col("x"))
+    split = sequences.gap_runs_split(df, ["k"], "at", ["id"], 3, 100, ["x"], lambda before: before("x") > F.col("x"))
+    assert rows(plain.select("k", "id", "run")) == rows(split.select("k", "id", "run"))
+
+
 def test_elo():
     assert rating.elo(1000, 1000, 1, 0, 0) == (1016, 984)
     a, b = rating.elo(1000, 1200, 1, 10, 10)
