@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.session import shared_dir
+from gleaner.session import materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,17 +13,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates the large-star and small-star steps until the edge set stays the
     same. Each round is two grouped minima (combined map-side) and two equi-joins;
     no neighbour list is ever gathered, so a hub is only a skewed join key, which
-    AQE splits. Rounds are cut with ``checkpoint()``.
+    AQE splits. Each round is written once in the shared folder, which cuts the lineage.
 
     Returns ``node, component``; nodes without an edge do not appear. Edges with a
     null end and self-loops are ignored, repeated edges count once.
     """
-    shared_dir(edges.sparkSession)
-    e = (
+    e = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .distinct()
-        .checkpoint()
+        .distinct(),
+        "components",
     )
     mark = _mark(e)
     for _ in range(max_rounds):
@@ -33,13 +32,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = (
+        e = materialise(
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
             .select("s.u", "s.v")
             .where("u <> v")
-            .distinct()
-            .checkpoint()
+            .distinct(),
+            "components",
         )
         before, mark = mark, _mark(e)
         if before == mark:

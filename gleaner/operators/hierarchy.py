@@ -4,25 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.session import shared_dir
+from gleaner.session import materialise
 
-MAX_DEPTH = 64
 
-
-def closure(tree: DataFrame, node: str = "id", parent: str = "parent_id", max_depth: int = MAX_DEPTH, parents_only: bool = False) -> DataFrame:
+def closure(tree: DataFrame, node: str = "id", parent: str = "parent_id", parents_only: bool = False) -> DataFrame:
     """``ancestor, node``: every node with itself and all nodes below it.
 
     Paths double in length each round, so a tree of depth d takes log2(d) joins. A pair is kept once: cycles
     end by themselves, and each node of a cycle is below all others. ``parents_only`` leaves out the pairs of
     nodes with nothing below them.
     """
-    shared_dir(tree.sparkSession)
     edges = tree.where(F.col(parent).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(node).alias("node")).distinct()
-    known, n = edges.checkpoint(), -1
+    known, n = materialise(edges, "closure"), -1
     while n != (m := known.count()):
         n = m
         longer = known.alias("a").join(known.alias("b"), F.col("a.node") == F.col("b.ancestor")).select("a.ancestor", "b.node")
-        known = known.union(longer).distinct().checkpoint()
+        known = materialise(known.union(longer).distinct(), "closure")
     own = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("node"))
     if parents_only:
         own = own.join(edges.select("ancestor"), "ancestor", "left_semi")

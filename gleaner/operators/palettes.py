@@ -11,23 +11,24 @@ MERGE = 625  # squared RGB distance below which two colours of a palette are one
 VIVID, MODERATE = 0.6, 0.25
 
 
-def merged_palette(colours: DataFrame, size: int = 25) -> DataFrame:
+def merged_palette(colours: DataFrame, size: int = 25, batch: int = 1000) -> DataFrame:
     """``r, g, b, n, weight``: the most frequent colours of which no two are near, with weights that sum to 1.
 
-    ``colours``: ``r, g, b`` with one row for each use. Each next colour is the most frequent one (ties: the smaller r, g, b) that is
-    not near a chosen one: one aggregate over the table of distinct colours for each, never a sort or a gathered group.
+    ``colours``: ``r, g, b`` with one row for each use. Colours are taken by frequency (ties: the smaller r, g, b) unless near a taken one. The driver
+    sees ``batch`` distinct colours at a time; if these do not fill the palette, the next are those of the rest that are not near a taken one.
     """
     counts = materialise(colours.groupBy("r", "g", "b").agg(F.count("*").alias("n")), "palette-counts")
     chosen: list = []
-    order = F.struct("n", (-F.col("r")).alias("x"), (-F.col("g")).alias("y"), (-F.col("b")).alias("z"))
-    while len(chosen) < size:
+    while True:
         far = F.lit(True)
         for c in chosen:
             far &= distance_squared(F.struct("r", "g", "b"), F.struct(*(F.lit(v).alias(k) for k, v in zip("rgb", c[:3], strict=True)))) >= MERGE
-        best = counts.where(far).agg(F.max_by(F.struct("r", "g", "b", "n"), order).alias("s")).first()["s"]
-        if best is None:
+        found = counts.where(far).orderBy(F.desc("n"), "r", "g", "b").limit(batch).collect()
+        for c in map(tuple, found):
+            if len(chosen) < size and all(sum((x - y) ** 2 for x, y in zip(c[:3], o[:3], strict=True)) >= MERGE for o in chosen):
+                chosen.append(c)
+        if len(chosen) >= size or len(found) < batch:
             break
-        chosen.append(tuple(best))
     total = sum(c[3] for c in chosen) or 1
     return colours.sparkSession.createDataFrame([(*c, c[3] / total) for c in chosen], "r int, g int, b int, n long, weight double")
 

@@ -291,6 +291,7 @@ def test_palette_has_no_near_colours(spark):
     df = spark.createDataFrame([(10, 10, 10)] * 5 + [(12, 10, 10)] * 4 + [(200, 0, 0)] * 3, "r int, g int, b int")
     assert [(r["r"], r["n"], round(r["weight"], 3)) for r in palettes.merged_palette(df).collect()] == [(10, 5, 0.625), (200, 3, 0.375)]
     assert palettes.merged_palette(df.limit(0)).count() == 0
+    assert rows(palettes.merged_palette(df, batch=1)) == rows(palettes.merged_palette(df))
 
 
 def test_stale_groups_are_not_touched(spark):
