@@ -90,3 +90,10 @@ def evaluate(items: DataFrame, links: DataFrame, tags: DataFrame, rules: str | d
             hit = hit.crossJoin(F.broadcast(need)).where("got >= need")
         out = out.join(hit.select("item"), "item", "left_anti" if r.get("operator") == "none" else "left_semi")
     return out
+
+
+def validate(items: DataFrame, links: DataFrame, tags: DataFrame, rules: str | dict, today: date) -> tuple[bool, int | None, list[str]]:
+    """Whether a rule document is sound, how many items it matches, and what is wrong with it."""
+    if found := problems(rules):
+        return False, None, found
+    return True, evaluate(items, links, tags, rules, today).count(), []

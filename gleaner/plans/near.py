@@ -223,3 +223,16 @@ def adopted_moves(spark, sf_dir):
 def relocated_folders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("folder"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_totalprice").alias("n_bytes"), "o_orderkey")
     return files.relocated(o.where("folder < 3 and o_orderkey % 40 = 0").drop("o_orderkey"), o.where("o_orderkey % 13 > 0").select((F.col("folder") + 100).alias("folder"), "name", "n_bytes"), sample=1000)
+
+
+@query(
+    f"""WITH {HASHES}, {DISTINCT}, x AS (SELECT id, hash, v, label AS digest FROM hashes WHERE id % 10 = 0),
+    stars AS (SELECT min(id) OVER (PARTITION BY digest) AS a, id AS b FROM x), nd AS (SELECT hash, min(id) AS id FROM x GROUP BY hash),
+    near AS (SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.hash, q.hash)) AS INTEGER) AS distance FROM nd p JOIN nd q ON p.hash < q.hash WHERE bit_count(xor(p.hash, q.hash)) <= 15)
+    SELECT a, b, 'exact' AS kind, 0 AS distance FROM stars WHERE a <> b
+    UNION ALL SELECT a, b, 'similar', distance FROM near JOIN hashes h ON h.id = a JOIN hashes k ON k.id = b WHERE list_cosine_similarity(h.v, k.v) >= 0.2"""
+)
+def duplicate_scan(spark, sf_dir):
+    h = hashes(spark, sf_dir).where("id % 10 = 0")
+    i = h.select("id", "hash", "v", F.lit(1).alias("n_bytes"), F.lit("s").alias("sample"), F.col("label").alias("digest"))
+    return duplicates.scan(i, 15, 0.2).select("a", "b", "kind", "distance")

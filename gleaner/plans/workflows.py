@@ -251,3 +251,10 @@ def split_clusters(spark, sf_dir):
     h = hashes(spark, sf_dir)
     edges = similarity.mutual(similarity.knn(h, h, 8, least=0.3))
     return similarity.split_large(edges, largest=20, start=0.3)
+
+
+@query(
+    f"""WITH {LINKS}, t AS (SELECT tag FROM links GROUP BY tag HAVING count(DISTINCT item) >= 4 ORDER BY md5('5:' || tag), tag LIMIT 1) SELECT DISTINCT item FROM links WHERE tag = (SELECT tag FROM t)"""
+)
+def theme_pick(spark, sf_dir):
+    return curation.by_theme(links(spark, sf_dir), 5)

@@ -43,6 +43,16 @@ def image_header(content: Column) -> Column:
     )
 
 
+def content_hash(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
+def sample_hash(content: Column, size: int = 4096) -> Column:
+    """SHA-256 of the first and the last bytes; of the whole content where these would meet."""
+    ends = F.concat(F.substring(content, 1, size), F.substring(content, -size, size))
+    return F.sha2(F.when(F.length(content) <= 2 * size, content).otherwise(ends), 256)
+
+
 def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Incoming rows whose key is not known; of repeated keys one row."""
     return incoming.dropDuplicates([key]).join(known.select(key), key, "left_anti")

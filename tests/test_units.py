@@ -75,6 +75,8 @@ def test_rules_all_hold(spark):
     assert run({"type": "tags", "values": ["b"], "operator": "none"}) == [1, 3] and run({"type": "dateRange", "from": "2024-01-06"}) == [2]
     with pytest.raises(ValueError):
         run({"type": "nope"})
+    assert rules.validate(items, links, tag, {"rules": [{"type": "raw"}]}, date(2024, 1, 6)) == (True, 2, [])
+    assert rules.validate(items, links, tag, "{}", date(2024, 1, 6)) == (False, None, ["no rules"])
 
 
 # --- trees and graphs -------------------------------------------------------------------------
@@ -255,6 +257,16 @@ def test_query_split():
     assert dates.split_query("cats", date(2024, 5, 15)) == ("cats", None)
 
 
+def test_query_plans():
+    from gleaner.functions.queryplan import parse
+
+    slots = {"red": "colour", "red car": "object", "beach": "scene", "car": "object", "海边": "scene"}
+    p = parse("red car on a beach without people", slots)
+    assert (p.text, p.negative, p.language, p.intent) == ("red car on a beach", "people", "en", "composed") and p.slots == [("red car", "object"), ("beach", "scene")]
+    assert parse("car", slots).intent == "object" and parse("海边", slots).language == "zh" and parse("xyz", slots).intent == "unknown" and parse("beach", slots).intent == "scene"
+    assert [g for _, g, _ in p.prompts()] == ["whole-query", "object", "scene"] and len(parse("red car", slots).prompts()) == 1
+
+
 def test_colours(spark):
     df = spark.createDataFrame([("#f00",), ("00FF00",), ("zz",), (None,)], "h string")
     got = [r[0] for r in df.select(colour.hex_to_rgb(F.col("h"))).collect()]
@@ -319,6 +331,16 @@ def test_scan_and_headers(spark, tmp_path):
     assert got == {"x.PNG": ("png", 640, 480), "y.gif": ("gif", 3, 5), "j.jpg": ("jpeg", None, None)}
 
 
+def test_content_hashes(spark):
+    import hashlib
+
+    raws = [b"", b"x" * 8192, bytes(range(256)) * 40]
+    df = spark.createDataFrame([(r,) for r in raws], "c binary")
+    got = [tuple(r) for r in df.select(files.content_hash(F.col("c")), files.sample_hash(F.col("c"))).collect()]
+    short = [r if len(r) <= 8192 else r[:4096] + r[-4096:] for r in raws]
+    assert got == [(hashlib.sha256(r).hexdigest(), hashlib.sha256(s).hexdigest()) for r, s in zip(raws, short, strict=True)]
+
+
 def test_insert_if_absent_twice(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id int, v string")
     path = str(tmp_path / "t")
