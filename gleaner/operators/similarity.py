@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gleaner.functions.vector import four_decimals
+from gleaner.functions.vector import dot, four_decimals, unit
 from gleaner.operators.graph import connected_components
 from gleaner.session import materialise
 
@@ -143,15 +143,19 @@ def centroids(df: DataFrame, group: str, vector: str = "v", least: int = 3) -> D
     return whole.select(F.col("grp").alias(group), "n", F.transform(values, lambda x: x / size).alias("centroid"))
 
 
-def medoids(pairs: DataFrame, groups: DataFrame, key: str = "node", group: str = "component") -> DataFrame:
-    """``group, medoid, mean_similarity``: the member of the highest mean similarity to the others (ties: smaller key), and the group's mean.
+def medoids(df: DataFrame, group: str, key: str = "id", vector: str = "v") -> DataFrame:
+    """``group, n, medoid, mean_similarity``: the member of the highest mean cosine to the others (ties: smaller key), and the mean over all pairs.
 
-    ``pairs``: ``a, b, similarity`` within groups.
+    Neither needs the pairs: a member's sum of cosines is the product of its unit vector with the sum of all, less one. Only component sums meet
+    by group. Rows without a vector or with a zero one are left out; one member alone has a null mean. Vectors of a group have one length.
     """
-    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
-    member = groups.select(F.col(key).alias("a"), F.col(group).alias("g"))
-    each = both.join(member, "a").groupBy("g", "a").agg(F.avg("similarity").alias("m"), F.sum("similarity").alias("s"), F.count("*").alias("n"))
-    return each.groupBy("g").agg(F.max_by("a", F.struct("m", (-F.col("a")).alias("k"))).alias("medoid"), four_decimals(F.sum("s") / F.sum("n")).alias("mean_similarity")).withColumnRenamed("g", group)
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), unit(F.col(vector)).alias("u")).where("u is not null")
+    parts = rows.select("g", F.posexplode("u").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+    total = parts.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("t"))
+    each = rows.join(total, "g").select("g", "k", (dot(F.col("u"), F.col("t")) - 1).alias("s"))
+    out = each.groupBy("g").agg(F.count("*").alias("n"), F.max_by("k", F.struct(F.round("s", 9).alias("r"), (-F.col("k")).alias("o"))).alias("medoid"), F.sum("s").alias("s"))
+    mean = F.when(F.col("n") > 1, four_decimals(F.col("s") / (F.col("n") * (F.col("n") - 1))))
+    return out.select(F.col("g").alias(group), "n", "medoid", mean.alias("mean_similarity"))
 
 
 def split_large(edges: DataFrame, largest: int = 60, step: float = 0.02, top: float = 0.995, start: float = 0.85, depth: int = 6) -> DataFrame:

@@ -98,14 +98,11 @@ def by_l2_distance(spark, sf_dir):
 
 
 @query(
-    f"""WITH {HASHES}, p AS (SELECT x.label, x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS s FROM hashes x JOIN hashes y ON x.label = y.label AND x.id <> y.id WHERE x.id % 4 = 0 AND y.id % 4 = 0),
-    e AS (SELECT label, a, avg(s) AS m FROM p GROUP BY label, a) SELECT label, arg_max(a, (floor(m * 10000000), -a)) AS medoid FROM e GROUP BY label"""
+    f"""WITH {HASHES}, p AS (SELECT x.label, x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS s FROM hashes x JOIN hashes y ON x.label = y.label AND x.id <> y.id),
+    e AS (SELECT label, a, sum(s) AS s FROM p GROUP BY label, a) SELECT label, count(*) AS n, arg_max(a, (round(s, 9), -a)) AS medoid, floor(sum(s) / (count(*) * (count(*) - 1)) * 10000 + 0.5) / 10000 AS mean_similarity FROM e GROUP BY label"""
 )
 def medoids(spark, sf_dir):
-    h = hashes(spark, sf_dir).where("id % 4 = 0")
-    a, b = h.select(F.col("id").alias("a"), "label", F.col("v").alias("va")), h.select(F.col("id").alias("b"), "label", F.col("v").alias("vb"))
-    pairs = a.join(b, "label").where("a < b").select("a", "b", (dot("va", "vb") / (norm(F.col("va")) * norm(F.col("vb")))).alias("similarity"))
-    return similarity.medoids(pairs, h.select(F.col("id").alias("node"), F.col("label").alias("component"))).select(F.col("component").alias("label"), "medoid")
+    return similarity.medoids(hashes(spark, sf_dir), "label")
 
 
 @query(
@@ -215,24 +212,23 @@ def adopted_moves(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT DISTINCT o_custkey % 50 AS folder, CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS n_bytes FROM orders WHERE o_custkey % 50 < 3 AND o_orderkey % 40 = 0),
+    """WITH o AS (SELECT DISTINCT o_custkey % 50 AS folder, CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS n_bytes FROM orders),
     n AS (SELECT o_custkey % 50 + 100 AS folder, CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS n_bytes FROM orders WHERE o_orderkey % 13 > 0),
     a AS (SELECT folder, count(*) AS asked FROM o GROUP BY 1), h AS (SELECT o.folder AS old_folder, n.folder AS new_folder, count(*) AS hits FROM o JOIN n USING (name, n_bytes) GROUP BY 1, 2)
     SELECT old_folder, new_folder, hits, asked FROM h JOIN a ON folder = old_folder WHERE hits >= CASE WHEN asked < 5 THEN asked ELSE ceil(asked * 0.8) END"""
 )
 def relocated_folders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("folder"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_totalprice").alias("n_bytes"), "o_orderkey")
-    return files.relocated(o.where("folder < 3 and o_orderkey % 40 = 0").drop("o_orderkey"), o.where("o_orderkey % 13 > 0").select((F.col("folder") + 100).alias("folder"), "name", "n_bytes"), sample=1000)
+    return files.relocated(o.drop("o_orderkey"), o.where("o_orderkey % 13 > 0").select((F.col("folder") + 100).alias("folder"), "name", "n_bytes"), sample=1_000_000)
 
 
 @query(
-    f"""WITH {HASHES}, {DISTINCT}, x AS (SELECT id, hash, v, label AS digest FROM hashes WHERE id % 10 = 0),
+    f"""WITH {HASHES}, {DISTINCT}, x AS (SELECT id, hash, v, label AS digest FROM hashes),
     stars AS (SELECT min(id) OVER (PARTITION BY digest) AS a, id AS b FROM x), nd AS (SELECT hash, min(id) AS id FROM x GROUP BY hash),
     near AS (SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, CAST(bit_count(xor(p.hash, q.hash)) AS INTEGER) AS distance FROM nd p JOIN nd q ON p.hash < q.hash WHERE bit_count(xor(p.hash, q.hash)) <= 15)
     SELECT a, b, 'exact' AS kind, 0 AS distance FROM stars WHERE a <> b
     UNION ALL SELECT a, b, 'similar', distance FROM near JOIN hashes h ON h.id = a JOIN hashes k ON k.id = b WHERE list_cosine_similarity(h.v, k.v) >= 0.2"""
 )
 def duplicate_scan(spark, sf_dir):
-    h = hashes(spark, sf_dir).where("id % 10 = 0")
-    i = h.select("id", "hash", "v", F.lit(1).alias("n_bytes"), F.lit("s").alias("sample"), F.col("label").alias("digest"))
+    i = hashes(spark, sf_dir).select("id", "hash", "v", F.lit(1).alias("n_bytes"), F.lit("s").alias("sample"), F.col("label").alias("digest"))
     return duplicates.scan(i, 15, 0.2).select("a", "b", "kind", "distance")

@@ -17,7 +17,7 @@ LIST = 400
 EVIDENCE = """e AS (
     SELECT * FROM (SELECT p_partkey AS item, 0 AS prompt, 'whole-query' AS grp, 1.0 AS weight, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, floor(p_retailprice / 2 + 0.5) / 10000 AS similarity FROM part WHERE p_size < 20) WHERE rank < 400
     UNION ALL SELECT * FROM (SELECT p_partkey, 1, 'part', 0.7, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank, p_size / 400.0 FROM part WHERE p_type = 'SMALL') WHERE rank < 400
-    UNION ALL SELECT * FROM (SELECT p_partkey, 2, 'part', 0.5, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, (p_partkey % 100) / 800.0 FROM part WHERE p_partkey % 3 = 0) WHERE rank < 400),
+    UNION ALL SELECT * FROM (SELECT p_partkey, 2, 'part', 0.5, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, (p_partkey % 100) / 800.0 FROM part WHERE p_type = 'LARGE') WHERE rank < 400),
     g AS (SELECT item, grp, max(weight / (60 + rank + 1)) AS score, max(similarity) AS similarity, max(CASE WHEN prompt = 0 THEN similarity END) AS own FROM e GROUP BY item, grp),
     fused AS (SELECT item, sum(score) AS rank_score, floor(max(similarity) * 10000 + 0.5) / 10000 AS similarity, floor(coalesce(max(own), max(similarity)) * 10000 + 0.5) / 10000 AS primary_similarity, count(*) AS n_groups, bool_or(grp = 'whole-query') AS has_whole FROM g GROUP BY item)"""
 
@@ -31,7 +31,7 @@ def _evidence(spark, sf_dir):
 
     a = one(p.where("p_size < 20"), 0, "whole-query", 1.0, [F.desc("p_retailprice"), F.asc("p_partkey")], F.floor(F.col("p_retailprice") / 2 + 0.5) / 10000)
     b = one(p.where("p_type = 'SMALL'"), 1, "part", 0.7, [F.desc("p_size"), F.asc("p_partkey")], F.col("p_size") / 400.0)
-    c = one(p.where("p_partkey % 3 = 0"), 2, "part", 0.5, [F.asc("p_partkey")], (F.col("p_partkey") % 100) / 800.0)
+    c = one(p.where("p_type = 'LARGE'"), 2, "part", 0.5, [F.asc("p_partkey")], (F.col("p_partkey") % 100) / 800.0)
     return a.union(b).union(c)
 
 
@@ -59,10 +59,10 @@ GAP = """t AS (SELECT s, row_number() OVER (ORDER BY s DESC) - 1 AS i, lead(s) O
     gap AS (SELECT CASE WHEN max(n) >= 6 AND max(s - nx) >= 0.006 AND max(s - nx) >= max(span) * 0.12 THEN arg_max((s + nx) / 2, (s - nx, -i)) END AS cutoff FROM t WHERE i >= 4 AND nx IS NOT NULL)"""
 
 
-@query(f"WITH scores AS (SELECT CASE WHEN o_orderkey < 9 THEN 0.9 - o_orderkey * 0.001 ELSE 0.6 - (o_orderkey % 50) * 0.0001 END AS s FROM orders WHERE o_orderkey < 200), {GAP} SELECT round(cutoff, 9) AS cutoff FROM gap")
+@query(f"WITH scores AS (SELECT CASE WHEN o_orderkey < 9 THEN 0.9 - o_orderkey * 0.001 ELSE 0.6 - (o_orderkey % 5000) * 0.0001 END AS s FROM orders), {GAP} SELECT round(cutoff, 9) AS cutoff FROM gap")
 def score_gap(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 200")
-    s = o.select(F.when(F.col("o_orderkey") < 9, 0.9 - F.col("o_orderkey") * 0.001).otherwise(0.6 - (F.col("o_orderkey") % 50) * 0.0001).alias("s"))
+    o = table(spark, sf_dir, "orders")
+    s = o.select(F.when(F.col("o_orderkey") < 9, 0.9 - F.col("o_orderkey") * 0.001).otherwise(0.6 - (F.col("o_orderkey") % 5000) * 0.0001).alias("s"))
     return ranking.gap_cutoff(s, "s").select(F.round("cutoff", 9).alias("cutoff"))
 
 
@@ -94,7 +94,7 @@ def relevance_by_consensus(spark, sf_dir):
 
 
 EXACT = """exact AS (SELECT p_partkey AS item, CASE WHEN p_size % 3 = 0 THEN 'tag' WHEN p_size % 3 = 1 THEN 'filename' ELSE 'autoTag' END AS source, p_partkey % 2 = 0 AS exact FROM part WHERE p_brand = 'Brand#7'),
-    tg AS (SELECT p_partkey AS item, p_size % 2 = 0 AS trusted, p_size / 50.0 AS confidence FROM part WHERE p_partkey % 5 < 2),
+    tg AS (SELECT p_partkey AS item, p_size % 2 = 0 AS trusted, p_size / 50.0 AS confidence FROM part WHERE p_type IN ('SMALL', 'ECONOMY')),
     w AS (SELECT *, CASE source WHEN 'tag' THEN CASE WHEN exact THEN 1.25 ELSE 1.0 END WHEN 'filename' THEN 0.8 ELSE 0.25 END AS weight FROM exact)"""
 
 
@@ -102,7 +102,7 @@ def _exact(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     size = F.col("p_size")
     e = p.where("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("item"), F.when(size % 3 == 0, "tag").when(size % 3 == 1, "filename").otherwise("autoTag").alias("source"), (F.col("p_partkey") % 2 == 0).alias("exact"))
-    t = p.where("p_partkey % 5 < 2").select(F.col("p_partkey").alias("item"), (size % 2 == 0).alias("trusted"), (size / 50.0).alias("confidence"))
+    t = p.where("p_type in ('SMALL', 'ECONOMY')").select(F.col("p_partkey").alias("item"), (size % 2 == 0).alias("trusted"), (size / 50.0).alias("confidence"))
     return e, t
 
 
@@ -167,12 +167,12 @@ def time_decay(spark, sf_dir):
 
 @query(
     """WITH t AS (SELECT l_orderkey AS item, p_name AS name, l_returnflag = 'R' AS trusted FROM lineitem JOIN part ON p_partkey = l_partkey), h AS (SELECT * FROM t WHERE contains(lower(name), 'red'))
-    SELECT item, 'tag' AS source, bool_or(lower(name) = 'red') AS exact FROM h WHERE trusted GROUP BY item UNION ALL SELECT DISTINCT item, 'autoTag', false FROM h WHERE NOT trusted AND item % 4 = 0"""
+    SELECT item, 'tag' AS source, bool_or(lower(name) = 'red') AS exact FROM h WHERE trusted GROUP BY item UNION ALL SELECT DISTINCT item, 'autoTag', false FROM h WHERE NOT trusted AND item IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 )
 def tag_evidence(spark, sf_dir):
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     t = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("item"), F.col("p_name").alias("name"), (F.col("l_returnflag") == "R").alias("trusted"))
-    return tagging.tag_evidence(t, "Red", items(spark, sf_dir).where("id % 4 = 0").select(F.col("id").alias("item")))
+    return tagging.tag_evidence(t, "Red", items(spark, sf_dir).where("favourite").select(F.col("id").alias("item")))
 
 
 RUNS = """x AS (SELECT user_id, event_id, ts, value, event_type, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 > 7200000 THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -192,19 +192,19 @@ def gap_runs_of_hot_keys(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT l_suppkey AS folder, l_returnflag AS camera, l_linestatus AS lens, l_orderkey * 10 + l_linenumber AS id, epoch_ms(l_shipdate) // 43200 + l_orderkey % 3 AS t, l_partkey % 64 AS hash, l_suppkey % 3 AS burst FROM lineitem WHERE l_partkey % 5 > 0),
+    """WITH f AS (SELECT l_suppkey AS folder, l_returnflag AS camera, l_linestatus AS lens, l_orderkey * 10 + l_linenumber AS id, epoch_ms(l_shipdate) // 43200 + l_orderkey % 3 AS t, l_partkey % 64 AS hash, l_suppkey % 3 AS burst FROM lineitem),
     x AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 2000 OR bit_count(xor(hash, lag(hash) OVER w)) > 12 OR burst <> lag(burst) OVER w THEN 1 ELSE 0 END AS cut FROM f WHERE t > 0 WINDOW w AS (PARTITION BY folder, camera, lens ORDER BY t, id)),
     r AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY folder, camera, lens ORDER BY t, id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM x)
     SELECT folder, camera, lens, run, min(t) AS started_at, max(t) AS ended_at, count(*) AS n_frames FROM r GROUP BY ALL HAVING count(*) >= 3"""
 )
 def bursts(spark, sf_dir):
-    return sequences.bursts(_frames(spark, sf_dir).where("l_partkey % 5 > 0"), ["folder", "camera", "lens"])
+    return sequences.bursts(_frames(spark, sf_dir), ["folder", "camera", "lens"])
 
 
 def _frames(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     at = F.expr("unix_millis(cast(l_shipdate as timestamp)) div 43200") + F.col("l_orderkey") % 3
-    return li.select(F.col("l_suppkey").alias("folder"), F.col("l_returnflag").alias("camera"), F.col("l_linestatus").alias("lens"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), at.alias("at"), (F.col("l_partkey") % 64).alias("hash"), (F.col("l_suppkey") % 3).alias("burst"), "l_partkey")
+    return li.select(F.col("l_suppkey").alias("folder"), F.col("l_returnflag").alias("camera"), F.col("l_linestatus").alias("lens"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), at.alias("at"), (F.col("l_partkey") % 64).alias("hash"), (F.col("l_suppkey") % 3).alias("burst"))
 
 
 @query()
@@ -261,12 +261,12 @@ def next_pairs(spark, sf_dir):
     return rating.next_pairs(rating.tournament(log), log.where("score in (0, 1)"), 2)
 
 
-@query(f"WITH {HASHES} SELECT id, CAST(bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 11))) AS INTEGER) AS distance FROM hashes WHERE id % 2 = 0 AND bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 11))) <= 22")
+@query(f"WITH {HASHES} SELECT id, CAST(bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 11))) AS INTEGER) AS distance FROM hashes WHERE label < 5 AND bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 11))) <= 22")
 def reject_similar(spark, sf_dir):
     from gleaner.operators.similarity import nearest_by_hash
 
     h = hashes(spark, sf_dir)
-    return nearest_by_hash(h.where("id % 2 = 0"), h.where("id = 11").first()["hash"], 22)
+    return nearest_by_hash(h.where("label < 5"), h.where("id = 11").first()["hash"], 22)
 
 
 @query()
