@@ -319,3 +319,14 @@ def added_once(spark, sf_dir):
 def suppressed_events(spark, sf_dir):
     f = feed(spark, sf_dir)
     return feeds.suppressed(f.where("event_type = 'click'"), f.where("event_type = 'view'"), "user_id", hold="6 hours").select("event_id")
+
+
+@query(
+    """WITH c AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT event_type, epoch_us(s) // 1000 AS start, n FROM c WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+)
+def streamed_windows(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = feeds.run_to_table(feeds.windowed_counts(s, "event_type"), "streamed-windows")
+    return out.withColumn("start", F.unix_millis("start"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.operators.rating import fold_log
+from gleaner.session import shared_dir
 
 LATE = "10 minutes"
 
@@ -42,6 +44,12 @@ def running_counts(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
 
 
+def windowed_counts(events: DataFrame, key: str, ts: str = "ts", span: str = "1 hour", late: str = LATE) -> DataFrame:
+    """``key, start, n`` over tumbling windows. A stream gives each window once, when no more late rows for it are taken."""
+    counts = _marked(events, ts, late).groupBy(F.window(ts, span).alias("w"), F.col(key).alias(key)).agg(F.count("*").alias("n"))
+    return counts.select(key, F.col("w.start").alias("start"), "n")
+
+
 def rates(events: DataFrame, ts: str = "ts", span: str = "4 seconds", slide: str = "1 second", late: str = LATE) -> DataFrame:
     """``start, n, per_second`` over sliding windows."""
     w = F.window(ts, span, slide)
@@ -90,6 +98,21 @@ def upsert(path: str, key: str, order: Column) -> Callable[[DataFrame, int], Non
     return write
 
 
+def run_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Run an appending stream over what there is into a Parquet table of the shared folder, and return that table.
+
+    Sources, offsets and output are all in shared places, so another driver can go on where this one ended.
+    """
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/rows")
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return spark.read.schema(df.schema).parquet(f"{home}/rows")
+
+
 def run_to_end(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what there is and return the rows of its in-memory sink (for tests and small reports)."""
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
