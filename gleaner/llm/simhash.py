@@ -87,14 +87,24 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= MAX_BITS) & first_shared).select("a", "b")
 
 
+def roots(prints: DataFrame) -> DataFrame:
+    """``fp, low, root``: each distinct fingerprint with its smallest id and the smallest fingerprint that it reaches, as a written table.
+
+    ``prints`` (``id, fp``) is read twice, so pass a written table. Rows are combined by fingerprint before any
+    join, so a group of copies of any size is one row.
+    """
+    found = connected_components(materialise(links(prints), "simhash-links"))
+    by_fp = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    labelled = by_fp.join(found, by_fp.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    return materialise(labelled, "simhash-roots")
+
+
 def components(prints: DataFrame) -> DataFrame:
     """Add ``component_id`` to ``id, fp`` rows: the smallest id reachable over links, its own included.
 
-    A component whose ids are all null has a null id. ``prints`` is read several times, so pass a written table.
+    A component whose ids are all null has a null id.
     """
-    roots = connected_components(materialise(links(prints), "simhash-links"))
-    by_fp = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    labelled = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    labelled = roots(prints)  # written, so that the join below can split a root with many fingerprints
     ids = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     of = labelled.join(ids, "root").select("fp", "root", "component_id")
     return prints.join(of, "fp").select("id", "fp", "root", "component_id")
@@ -116,19 +126,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Rows that repeat an id stand or fall by their text; of equal rows one stays.
     """
-    digest = F.md5(F.coalesce(df[text_col].cast("string"), F.lit("")))
-    keyed = df.withColumn("__digest", digest)
-    src = keyed.select(df[id_col].cast("long").alias("id"), F.col("__digest").alias("digest"), df[text_col].cast("string").alias("text"))
-
-    prints = materialise(src.mapInArrow(_keyed_batches, "id long, digest string, fp long"), "simhash-keyed")
-    of = components(prints.select("id", "fp")).select("fp", "root").distinct()
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("s")
-    chosen = prints.join(of, "fp").groupBy("root").agg(first).select("s.id", "s.digest")
-    same = keyed[id_col].cast("long").eqNullSafe(chosen["id"]) & (keyed["__digest"] == chosen["digest"])
-    return keyed.join(chosen, same, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    keyed = df.withColumn("__key", F.concat_ws(":", F.coalesce(df[id_col].cast("string"), F.lit("")), F.md5(text)))
+    src = keyed.select(keyed[id_col].cast("long").alias("id"), "__key", keyed[text_col].cast("string").alias("text"))
+    prints = materialise(src.mapInArrow(_keyed_batches, "id long, key string, fp long"), "simhash-keyed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    each = prints.groupBy("fp").agg(first.alias("s"))
+    chosen = each.join(roots(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.key").alias("__key"))
+    return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").select(*df.columns)  # one shuffle by the key does for both
 
 
 def _keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint((x.as_py() or "").encode()) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "digest", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "key", "fp"])
