@@ -23,7 +23,7 @@ URL_RULES = [
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the shard that holds it after arrivals and compaction, and the checksum of its text as stored."""
     store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    sharding.load_table(store, table(spark, sf_dir, "documents"))
+    sharding.load_table(store, f"{sf_dir}/documents.parquet")
     version = store.compact()
     return store.read().select(
         "doc_id",

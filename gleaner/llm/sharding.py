@@ -167,9 +167,12 @@ class ShardStore:
         return len(gone)
 
 
-def load_table(store: ShardStore, df: DataFrame, arrivals: int = 4) -> int:
+def load_table(store: ShardStore, path: str, arrivals: int = 4) -> int:
     """Append the files of a Parquet table in ``arrivals`` lots (fewer if it has fewer files), each file once; return the version."""
-    files = sorted(df.inputFiles())
+    spark = store.spark
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("path like '%.parquet'").select("path")
+    files = sorted(r["path"] for r in listed.collect())
+    schema = spark.read.parquet(path).schema
     for i in range(min(arrivals, len(files))):
-        store.append(store.spark.read.schema(df.schema).parquet(*files[i::arrivals]))
+        store.append(spark.read.schema(schema).parquet(*files[i::arrivals]))
     return (store.versions() or [0])[-1]
