@@ -20,7 +20,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 def hamming_text(a: Column, b: Column) -> Column:
     """Differing bits of two hex texts; 64 for different lengths. A character that is no digit counts as digit 0."""
-    digits = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.coalesce(F.expr("int(null)"), F.when(F.substring(x, i, F.lit(1)).rlike("[0-9a-fA-F]"), F.conv(F.substring(x, i, F.lit(1)), 16, 10).cast("int")).otherwise(0)))
+    def digits(x: Column) -> Column:
+        one = lambda i: F.substring(x, i, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(one(i).rlike("[0-9a-fA-F]"), F.conv(one(i), 16, 10).cast("int")).otherwise(0))
+
     apart = F.aggregate(F.zip_with(digits(a), digits(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     return F.when(F.length(a) != F.length(b), 64).when(F.length(a) == 0, 0).otherwise(apart)
 

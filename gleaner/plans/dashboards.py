@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from gleaner.operators import dashboard, ranking, similarity, tags as tagging
-from gleaner.plans.adapters import FEED, FRAMES, HASHES, ITEMS, feed, frames, hashes, items
+from gleaner.operators import dashboard, tags as tagging
+from gleaner.plans.adapters import FEED, FRAMES, ITEMS, feed, frames, items
 from gleaner.plans.registry import query
 from gleaner.session import table
 

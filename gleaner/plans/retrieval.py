@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from gleaner.functions.vector import four_decimals
 from gleaner.operators import ranking, rating, sequences, tags as tagging
 from gleaner.plans.adapters import FEED, HASHES, feed, hashes, items
 from gleaner.plans.registry import query
