@@ -7,7 +7,7 @@ allows, then visits the leaves best first; whatever cannot beat a query's kth re
 out. A query first meets its own shard, and the kth result found there goes with
 it to all other shards, which return improvements only.
 
-Scores are exact integers: blocks are multiplied in float32 or float64 only where every partial
+Scores are exact integers as long as they fit a long: blocks are multiplied in float32 or float64 only where every partial
 sum fits the mantissa, else in int64.
 """
 

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.textvec import prefix_hash, span_hash, text_chunks
 
@@ -327,7 +327,9 @@ def encode_chunk(buf: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.nda
     size = (ends - starts)[first]
     at = np.cumsum(size) - size
     own = buf[np.repeat(starts[first] - at, size) + np.arange(int(size.sum()))]
-    ids, count = solve(own, at, at + size, m)
+    cut = np.unique(np.append(np.searchsorted(at, np.arange(0, len(own), CHUNK_BYTES)), len(at)))  # a very long text is solved by stretches
+    solved = [solve(own[at[a] : at[b - 1] + size[b - 1]], at[a:b] - at[a], at[a:b] - at[a] + size[a:b], m) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    ids, count = (np.concatenate(x) for x in zip(*solved, strict=True))
     begin = np.cumsum(count) - count
     many = count[code]
     out = ids[np.repeat(begin[code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]

@@ -279,6 +279,14 @@ def test_pieces_as_the_public_library_encodes_them(piece_model):
     assert [t.decode() for t in pieces.decode_chunk(ids, bounds, m)] == [library.decode(x) for x in library.encode(texts)]
 
 
+def test_stretches_of_a_long_text_change_nothing(piece_model, monkeypatch):
+    texts = [" ".join(f"w{i * 7919 % 997}x{i}" for i in range(900)), "a" * 700, "", "b c"]
+    whole, bounds = pieces.encode_chunk(*chunk(texts), piece_model[1])
+    monkeypatch.setattr(pieces, "CHUNK_BYTES", 100)
+    again, other = pieces.encode_chunk(*chunk(texts), piece_model[1])
+    assert whole.tolist() == again.tolist() and bounds.tolist() == other.tolist()
+
+
 def test_pieces_round_trip(piece_model):
     texts = ["" if t is None else t for t in EDGE]
     ids, bounds = pieces.encode_chunk(*chunk(EDGE), piece_model[1])
