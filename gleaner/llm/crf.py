@@ -20,12 +20,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleaner.llm.textvec import IS_LETTER, LOWER, crc32_text, prefix_hash, span_hash, spans, text_chunks
+from gleaner.session import materialise
 
 MAX_TRAIN_DOCS = 3000  # documents that the model is fitted on, at most
-MAX_TRAIN_BYTES = 1_500_000  # and their text together (one longer document counts whole)
+MAX_TRAIN_BYTES = 1_000_000  # and their text together (one longer document counts whole)
 TABLE_BITS = 16
 LANE = 128
 PIECE = 32  # words of one document in a row in a training sequence
@@ -176,9 +177,9 @@ def _pairs(e: np.ndarray, mask: np.ndarray, t: np.ndarray) -> tuple[np.ndarray,
         beta[s] = b / b.sum(1, keepdims=True)
     post = alpha * beta
     post /= post.sum(2, keepdims=True)
-    joint = alpha[:-1, :, :, None] * et * (f[1:] * beta[1:])[:, :, None, :]
-    joint /= joint.sum((2, 3), keepdims=True)
-    return post, (joint * mask[1:][:, :, None, None]).sum((0, 1))
+    ahead = f[1:] * beta[1:]
+    total = np.einsum("sbj,sbj->sb", alpha[:-1] @ et, ahead)
+    return post, np.einsum("sbi,sbj->ij", alpha[:-1] * (mask[1:] / total)[:, :, None], ahead) * et
 
 
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
@@ -253,20 +254,26 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
 
 
 def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
-    """Fit on at most ``max_docs`` rows with ``max_bytes`` of text: those of ``train_col`` with a text and a language
-    whose text hashes lowest. Only hashes and lengths are ranked; the texts taken are then read whole."""
+    """Fit on at most ``max_docs`` rows of ``train_col`` with ``max_bytes`` of text, all languages alike: of each language the texts that
+    hash lowest, taken in turns. Only hashes and lengths are ranked; the texts taken are then read whole."""
     src = df.where(df[train_col] & df[text_col].isNotNull() & df[lang_col].isNotNull())
-    key = F.xxhash64(src[text_col], src[lang_col])
-    ranked = src.select(key.alias("key"), F.octet_length(src[text_col]).alias("size")).dropDuplicates(["key"]).orderBy("key").limit(max_docs).collect()
-    total, cut = 0, None
+    src = src.select(src[text_col].cast("string").alias("text"), src[lang_col].cast("string").alias("lang"))
+    key = F.xxhash64("text", "lang")
+    keys = materialise(src.select("lang", key.alias("key"), F.octet_length("text").alias("size")).dropDuplicates(["key"]), "crf-keys")
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_docs).collect()
+    each = max(1, max_docs // max(len(counts), 1))
+    below = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (1 << 65) * each // r["n"])) for r in counts]  # twice as many hashes as are needed
+    near = keys.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, top long")), "lang").where("key <= top")
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("key"))
+    ranked = near.withColumn("turn", turn).where(F.col("turn") <= each).orderBy("turn", "lang").limit(max_docs).collect()
+    total, taken = 0, []
     for r in ranked:
         total += r["size"]
-        if cut is not None and total > max_bytes:
+        if taken and total > max_bytes:
             break
-        cut = r["key"]
-    if cut is None:
-        return train([], [])
-    rows = src.where(key <= cut).select(src[text_col].alias("text"), src[lang_col].cast("string").alias("lang"), key.alias("key")).dropDuplicates(["key"]).orderBy("key").collect()
+        taken.append((r["key"],))
+    chosen = df.sparkSession.createDataFrame(taken, "key long")  # max_docs rows at most
+    rows = src.withColumn("key", key).join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"]).orderBy("key").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
