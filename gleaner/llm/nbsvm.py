@@ -120,7 +120,7 @@ def _unit(slots: list[np.ndarray], ratios: np.ndarray) -> list[np.ndarray]:
     out = []
     for s in slots:
         v = ratios[s]
-        out.append(v / (np.sqrt(v @ v) or 1.0))
+        out.append((v / (np.sqrt(v @ v) or 1.0)).astype(np.float32))
     return out
 
 
@@ -206,7 +206,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if cut is None:
         return train([], np.zeros(0))
     got = found.where(F.col("key") <= cut).orderBy("key", "slots").toArrow()
-    slots = [np.asarray(x, np.int64) for x in got.column("slots").combine_chunks().to_numpy(zero_copy_only=False)]
+    slots = [np.asarray(x, np.int32) for x in got.column("slots").combine_chunks().to_numpy(zero_copy_only=False)]
     return train(slots, got.column("label").to_numpy())
 
 
