@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import crf, ctw, flac, kdtree, nbsvm, packing, pieces, queries, sharding, simhash, urls
+from gleaner.llm import crf, ctw, flac, kdtree, nbsvm, packing, pieces, queries, sharding, shingles, simhash, urls
 from gleaner.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -293,6 +293,29 @@ def test_op6(spark, docs, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_near_copies_by_brute_force(spark, odd, none):
+    rng = np.random.default_rng(11)
+    texts = []
+    for size in (3, 12, 60, 150, 400):
+        for _ in range(6):
+            base = [f"w{i}" for i in rng.integers(0, 5000, size)]
+            texts.append(base)
+            for edits in (1, 2, 3, 6, 9):
+                texts.append([f"e{rng.integers(1 << 30)}" if i in rng.choice(size, min(edits, size), False) else w for i, w in enumerate(base)])
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len(near) > 50 and len(set(root)) < len(texts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in shingles.keep_one(df).collect()} == set(root)
+    assert len(simhash.keep_one(df).collect()) > len(set(root))
+    assert sorted(map(str, (r["doc_id"] for r in shingles.keep_one(odd).collect()))) == ["1", "2", "4", "5", "6", "7"]
+    assert shingles.keep_one(none).count() == 0
+
+
 # --- 7 ----------------------------------------------------------------------------------------
 
 
