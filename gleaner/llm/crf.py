@@ -26,7 +26,7 @@ from gleaner.llm.textvec import IS_LETTER, LOWER, crc32_text, prefix_hash, span_
 from gleaner.session import materialise
 
 MAX_TRAIN_DOCS = 3000  # documents that the model is fitted on, at most
-MAX_TRAIN_BYTES = 1_000_000  # and their text together (one longer document counts whole)
+MAX_TRAIN_BYTES = 1_000_000  # and their text together (besides the shortest of a language without one that fits)
 TABLE_BITS = 16
 LANE = 128
 PIECE = 32  # words of one document in a row in a training sequence
@@ -255,23 +255,28 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
 
 def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     """Fit on at most ``max_docs`` rows of ``train_col`` with ``max_bytes`` of text, all languages alike: of each language the texts that
-    hash lowest, taken in turns. Only hashes and lengths are ranked; the texts taken are then read whole."""
+    hash lowest, taken in turns. A text that does not fit is passed over; a language left without a text gets its shortest one with a letter,
+    whatever its length. Only hashes and lengths are ranked; the texts taken are then read whole."""
     src = df.where(df[train_col] & df[text_col].isNotNull() & df[lang_col].isNotNull())
     src = src.select(src[text_col].cast("string").alias("text"), src[lang_col].cast("string").alias("lang"))
     key = F.xxhash64("text", "lang")
-    keys = materialise(src.select("lang", key.alias("key"), F.octet_length("text").alias("size")).dropDuplicates(["key"]), "crf-keys")
-    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_docs).collect()
+    keys = materialise(src.select("lang", key.alias("key"), F.octet_length("text").alias("size"), F.col("text").rlike(r"\p{L}").alias("letter")).dropDuplicates(["key"]), "crf-keys")
+    least = F.min(F.when(F.col("letter"), F.struct("size", "key"))).alias("least")
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"), least).orderBy(F.desc("n"), "lang").limit(max_docs).collect()
     each = max(1, max_docs // max(len(counts), 1))
     below = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (1 << 65) * each // r["n"])) for r in counts]  # twice as many hashes as are needed
     near = keys.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, top long")), "lang").where("key <= top")
     turn = F.row_number().over(W.partitionBy("lang").orderBy("key"))
     ranked = near.withColumn("turn", turn).where(F.col("turn") <= each).orderBy("turn", "lang").limit(max_docs).collect()
-    total, taken = 0, []
+    total, taken, met = 0, [], set()
     for r in ranked:
+        if total + r["size"] > max_bytes:
+            continue
         total += r["size"]
-        if taken and total > max_bytes:
-            break
         taken.append((r["key"],))
+        if r["letter"]:
+            met.add(r["lang"])
+    taken += [(r["least"]["key"],) for r in counts if r["least"] is not None and r["lang"] not in met]
     chosen = df.sparkSession.createDataFrame(taken, "key long")  # max_docs rows at most
     rows = src.withColumn("key", key).join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"]).orderBy("key").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -293,6 +293,25 @@ def test_op6(spark, docs, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_crf_learns_all_languages_beside_very_long_texts(spark):
+    words = {"en": "the cat and dog of house with that", "fr": "le chat et chien dans la maison avec"}
+    rng = np.random.default_rng(3)
+    short = [(" ".join(rng.choice(w.split(), 9)), lang) for lang, w in words.items() for _ in range(20)]
+    asked = spark.createDataFrame([(f"{(w + ' ') * 9}x{i}", lang) for lang, w in words.items() for i in range(400)] + short, "text string, lang string")
+    ranked = asked.orderBy(F.xxhash64("text", "lang")).collect()
+    for firsts in (["en"], ["fr"], ["en", "fr"]):
+        long = [next((r["text"], r["lang"]) for r in ranked if len(r["text"]) > 200 and r["lang"] == lang) for lang in firsts]
+        lowest = {lang: next(r["text"] for r in ranked if r["lang"] == lang and (r["text"], lang) in long + short) for lang in firsts}
+        assert sorted(lowest.items()) == sorted((lang, t) for t, lang in long)
+        # the limit stands to these texts as 1 MB to texts of 2 MB
+        model = crf.fit(spark.createDataFrame(long + short, "text string, lang string").withColumn("learn", F.lit(True)), "learn", max_bytes=150)
+        found = crf.identify(spark.createDataFrame(short, "text string, lang string"), model)
+        assert model.langs == ["en", "fr"] and model.weights.any()
+        assert found.where("lang = lang_pred").count() > 36
+    alone = spark.createDataFrame([("the cat and the dog " * 20, "en"), ("le chat et le chien " * 20, "fr"), ("12", "fr")], "text string, lang string")
+    assert crf.fit(alone.withColumn("learn", F.lit(True)), "learn", max_bytes=150).langs == ["en", "fr"]
+
+
 def test_near_copies_by_brute_force(spark, odd, none):
     rng = np.random.default_rng(11)
     texts = []
