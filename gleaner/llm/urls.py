@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleaner.llm.textvec import LOWER, spans, text_chunks
 from gleaner.session import materialise
 
-MAX_WORDS = 20_000  # words of the segmenter, at most: the most frequent
+BLOCK = 5_000  # rows that are segmented with one set of word counts
 LONGEST_WORD = 20
 MAX_INLINE_RULES = 256  # beyond, rules are joined
 TOKEN_BITS = 18
@@ -37,8 +37,8 @@ NUMBER = "#"
 class Segmenter:
     """Unigram Viterbi over words with counts. An unknown stretch of ``n`` letters costs as a word of probability 10 / (total * 10**n)."""
 
-    def __init__(self, words: Sequence[str], counts: Sequence[int]):
-        total = max(sum(counts), 1)
+    def __init__(self, words: Sequence[str], counts: Sequence[int], total: int | None = None):
+        total = max(sum(counts) if total is None else total, 1)
         self.__setstate__((math.log10(total), {w: math.log10(c) - math.log10(total) for w, c in zip(words, counts, strict=True)}))
 
     def __getstate__(self) -> tuple:
@@ -64,23 +64,30 @@ class Segmenter:
 
     def tokens(self, text: str) -> list[str]:
         """The words of a host or path: letters are segmented, digits are one token, all else parts."""
-        out, kind, run = [], 0, []
-        for c in text.lower() + "/":
-            now = 1 if c.isalpha() else 2 if c.isdigit() else 0
-            if now != kind and run:
-                if kind == 2:
-                    out.append(NUMBER)
-                else:
-                    name = "".join(run)
-                    for i in range(0, len(name), 256):  # a longer run of letters is no name
-                        out += self.split(name[i : i + 256])
-                run = []
-            kind = now
-            if now:
-                run.append(c)
+        out = []
+        for name in names(text):
+            out += [NUMBER] if name == NUMBER else self.split(name)
         return out
 
 
+def names(text: str) -> list[str]:
+    """The runs of letters of a host or path, lower-cased, in pieces of 256 letters at most; a run of digits is ``NUMBER``."""
+    out, kind, run = [], 0, []
+    for c in text.lower() + "/":
+        now = 1 if c.isalpha() else 2 if c.isdigit() else 0
+        if now != kind and run:
+            if kind == 2:
+                out.append(NUMBER)
+            else:
+                name = "".join(run)
+                out += (name[i : i + 256] for i in range(0, len(name), 256))  # a longer run of letters is no name
+            run = []
+        kind = now
+        if now:
+            run.append(c)
+    return out
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = np.zeros(256, bool)
     letters[97:123] = True
@@ -120,10 +127,37 @@ def word_counts(df: DataFrame, text_col: str = "html") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def segmenter(counts: DataFrame, max_words: int = MAX_WORDS) -> Segmenter:
-    """A segmenter of the ``max_words`` most frequent words (ties by word)."""
-    rows = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
-    return Segmenter([r["word"] for r in rows], [r["n"] for r in rows])
+def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {(block, name) for block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for text in texts for name in names(text or "")}
+        parts = {(block, name[i:j]) for block, name in found for i in range(len(name)) for j in range(i + 2, min(i + LONGEST_WORD, len(name)) + 1)}
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.string())], ["block", "word"])
+
+
+def segmented(pages: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add ``words`` (the segmented host) and ``slots`` (the hashed tokens of host and path) to written rows with ``host`` and ``path``.
+
+    All words of ``counts`` (``word, n``, written) and their exact total count: rows are dealt to blocks, and each
+    block gets the counts of all words that are in its names.
+    """
+    columns = pages.columns
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-pages.count() // block))
+    dealt = pages.withColumn("__block", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("long"))
+    parts = dealt.select("__block", "host", "path").mapInArrow(_part_batches, "block long, word string").distinct()
+    known = parts.join(counts, "word").select(F.col("block").alias("__block"), "word", "n")
+    h, p = columns.index("host"), columns.index("path")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        split = Segmenter(right.column("word").to_pylist(), right.column("n").to_pylist(), total)
+        slots, named = _slots(split), lru_cache(1 << 16)(lambda host: " ".join(split.tokens(host)))
+        own = left.select(columns)
+        hosts, paths = own.column(h).to_pylist(), own.column(p).to_pylist()
+        lists = [slots(a or "", b or "") for a, b in zip(hosts, paths, strict=True)]
+        return own.append_column("words", pa.array([named(a or "") for a in hosts], pa.string())).append_column("slots", pa.array(lists, pa.list_(pa.int32())))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return materialise(dealt.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(run, f"{fields}, words string, slots array<int>"), "urls-segmented")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -218,13 +252,16 @@ def _train_batches(split: Segmenter):
     return run
 
 
-def fit(decided: DataFrame, split: Segmenter, seeds: dict[str, Sequence[str]] = SEEDS, seed_share: float = SEED_SHARE, prior: float = 0.0) -> Model:
-    """Multinomial naive Bayes over all rows of ``host, path, verdict``. Counts are summed on executors; at most two tables of 2**18 numbers come back.
+def fit(decided: DataFrame, split: Segmenter | None = None, seeds: dict[str, Sequence[str]] = SEEDS, seed_share: float = SEED_SHARE, prior: float = 0.0) -> Model:
+    """Multinomial naive Bayes over all rows of ``host, path, verdict``, or without ``split`` of ``slots, verdict`` (see ``segmented``). Counts are summed on executors; at most two tables of 2**18 numbers come back.
 
     Without rows of one class only its seed words speak for it. ``prior``: log odds of block; by default the classes are equally
     likely, as the shares of rows that rules decide tell nothing about the others.
     """
-    counts = decided.select("host", "path", "verdict").mapInArrow(_train_batches(split), "verdict string, slot long, n long")
+    if split is None:
+        counts = decided.select("verdict", F.explode("slots").alias("slot")).groupBy("verdict", "slot").agg(F.count("*").alias("n"))
+    else:
+        counts = decided.select("host", "path", "verdict").mapInArrow(_train_batches(split), "verdict string, slot long, n long")
     got = counts.groupBy("verdict", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     found = {}
     for verdict in ("block", "allow"):
@@ -239,26 +276,21 @@ def fit(decided: DataFrame, split: Segmenter, seeds: dict[str, Sequence[str]] =
     return Model(np.where(seen, logs["block"] - logs["allow"], 0).astype(np.float32), prior)
 
 
-def judge(pages: DataFrame, model: Model, split: Segmenter) -> DataFrame:
-    """Add ``words`` (the segmented host) and ``block_score`` (log odds of block) to rows with ``host`` and ``path``."""
-    held = pages.sparkSession.sparkContext.broadcast((model, split))
-    names = pages.columns
-    h, p = names.index("host"), names.index("path")
+def judge(pages: DataFrame, model: Model) -> DataFrame:
+    """Put ``block_score`` (log odds of block) in place of the ``slots`` of rows from ``segmented``."""
+    held = pages.sparkSession.sparkContext.broadcast(model)
+    kept = pages.drop("slots").columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value[1]
-        slots = _slots(own)
-        named = lru_cache(1 << 16)(lambda host: " ".join(own.tokens(host)))
         for batch in batches:
-            hosts, paths = batch.column(h).to_pylist(), batch.column(p).to_pylist()
-            lists = [slots(a or "", b or "") for a, b in zip(hosts, paths, strict=True)]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((s for x in lists for s in x), np.int64, int(sizes.sum()))
-            score = np.bincount(np.repeat(np.arange(len(lists)), sizes), held.value[0].weights[flat], minlength=len(lists)) + held.value[0].prior
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([named(a or "") for a in hosts]), pa.array(score)], [*batch.schema.names, "words", "block_score"])
+            lists = batch.column("slots")
+            sizes = np.diff(lists.offsets.to_numpy())
+            weights = held.value.weights[lists.flatten().to_numpy()]
+            score = np.bincount(np.repeat(np.arange(len(lists)), sizes), weights, minlength=len(lists)) + held.value.prior
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, "block_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{fields}, words string, block_score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.drop("slots").schema)
+    return pages.mapInArrow(run, f"{fields}, block_score double")
 
 
 def filter_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -269,8 +301,7 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str =
     """
     host, path = host_and_path(df[url_col].cast("string"))
     pages = match_rules(df.select(df[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path")), rules)
-    pages = materialise(pages, "urls-pages")
-    split = segmenter(word_counts(df, text_col))
-    model = fit(pages.where("verdict is not null"), split)
-    judged = judge(pages, model, split)
+    pages = segmented(materialise(pages, "urls-pages"), materialise(word_counts(df, text_col), "urls-words"))
+    model = fit(pages.where("verdict is not null"))
+    judged = judge(pages, model)
     return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") > 0, "block").otherwise("allow")))

@@ -395,6 +395,22 @@ def test_naive_bayes_by_hand(spark):
     assert w["good"] == pytest.approx(np.log(0.5 / 2) - np.log(3.5 / 4), rel=1e-5) and w["unseen"] == 0
 
 
+def test_rare_words_split_hosts_beside_many_frequent_ones(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [f"{a}{b}{c}{d}q" for a in letters for b in letters for c in letters for d in "xyz"]
+    text = " ".join(w for w in many for _ in range(2)) + " rare zebra"
+    data = [(1, "http://rarezebra.example.com/x", text), (2, "http://zebra.example.com/rare/rarezebra7", "zebra"), (3, None, None)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    assert len(many) > 50_000
+    found = {r["page_id"]: r for r in urls.filter_urls(df, queries.URL_RULES).collect()}
+    assert found[1]["words"].split()[:2] == ["rare", "zebra"] and found[3]["words"] == ""
+    counts = spark.createDataFrame([("rare", 1), ("zebra", 2), ("other", 10**6)], "word string, n long")
+    asked = spark.createDataFrame([(i, "rarezebra.com", "/x/zebra9") for i in range(40)], "page_id long, host string, path string")
+    split = urls.Segmenter(["rare", "zebra", "other"], [1, 2, 10**6])
+    for r in urls.segmented(asked, counts, block=7).collect():
+        assert r["words"].split() == split.tokens("rarezebra.com") and list(r["slots"]) == [urls._slot(t) for x in ("rarezebra.com", "x", "zebra9") for t in split.tokens(x)]
+
+
 # --- 8 ----------------------------------------------------------------------------------------
 
 
