@@ -112,6 +112,100 @@ def test_flac_damage_is_found_and_stays_in_its_row():
         assert got[1]["error"] is None
 
 
+def slow_crc(data, poly, bits):
+    c = 0
+    for b in data:
+        c ^= b << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> (bits - 1) else c << 1) & (1 << bits) - 1
+    return c
+
+
+def false_header(number, form=0):
+    """Bytes that read as the header of a frame of 192 samples: sync, a number of one byte and a right CRC-8."""
+    head = bytes([0xFF, 0xF8, *((0x10, 0x02), (0x1F & 0x10, 0x00), (0x61, 0x00))[form], number])
+    head += b"\xbf" if form == 2 else b""
+    return head + bytes([slow_crc(head, 0x07, 8)])
+
+
+def planted_frame(kind, number, rng):
+    """A frame of any subframe kind whose body holds false headers of its own and the next numbers, and its samples."""
+    body = bytearray(rng.integers(0, 256, 189).astype(np.uint8).tobytes())
+    for i, (n, form) in enumerate(itertools.product((number, number + 1, number + 2), range(3))):
+        fake = false_header(n, form)
+        body[4 + 20 * i : 4 + 20 * i + len(fake)] = fake
+    text = "".join(f"{b:08b}" for b in body)
+    if kind == "verbatim":
+        head, free = "00000010", text[: 192 * 8].ljust(192 * 8, "0")
+        values = free
+    elif kind == "fixed":  # order 0, one escaped partition of 8 raw bits, so that the residuals are any bytes
+        head, free = "00010000" + "00" + "0000" + "1111" + "01000", "0" + text  # one bit more, so that the false headers stand at whole bytes
+        free = values = free[: 192 * 8].ljust(192 * 8, "0")
+    else:  # LPC of order 1 with coefficient 0
+        head, free = "01000000" + "00000011" + "0000" + "00000" + "0" + "00" + "0000" + "1111" + "01000", "0" * 7 + text
+        free = free[: 191 * 8].ljust(191 * 8, "0")
+        values = "00000011" + free
+    samples = [int(values[i : i + 8], 2) for i in range(0, 192 * 8, 8)]
+    bits = head + free
+    bits += "0" * (-len(bits) % 8)
+    top = bytes([0xFF, 0xF8, 0x10, 0x02, number])
+    frame = top + bytes([slow_crc(top, 0x07, 8)]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    return frame + slow_crc(frame, 0x8005, 16).to_bytes(2, "big"), [v - 256 if v > 127 else v for v in samples]
+
+
+@pytest.mark.parametrize("kind", ["verbatim", "fixed", "lpc"])
+def test_flac_bytes_that_look_like_headers(kind):
+    rng = np.random.default_rng(5)
+    frames, samples = zip(*(planted_frame(kind, n, rng) for n in range(20)), strict=True)
+    assert all(f.count(b"\xff\xf8") >= 10 for f in frames)
+    for stated in (0, max(map(len, frames))):
+        for total in (0, 20 * 192):
+            info = ((192 << 16 | 192) << 48 | stated) << 64 | 8000 << 44 | 7 << 36 | total
+            stream = b"fLaC\x80\x00\x00\x22" + info.to_bytes(18, "big") + bytes(16) + b"".join(frames)
+            (got,) = flac.decode_streams(np.frombuffer(stream, np.uint8), np.array([0, len(stream)]))
+            assert got["error"] is None and got["pcm"].tolist() == sum(samples, [])
+            bad = bytearray(stream)
+            bad[-50] ^= 1
+            (got,) = flac.decode_streams(np.frombuffer(bytes(bad), np.uint8), np.array([0, len(bad)]))
+            assert got["error"] and got["pcm"] is None
+            (got,) = flac.decode_streams(np.frombuffer(stream[: -len(frames[-1])], np.uint8), np.array([0, len(stream) - len(frames[-1])]))
+            assert (got["error"] is None) == (total == 0)
+
+
+def test_flac_keeps_texts_that_hold_headers():
+    rng = np.random.default_rng(6)
+    texts = []
+    for number in range(1, 60):
+        head = next(h for rate in range(1, 12) for h in [bytes([0xFF, 0xF8, 0x60 | rate, 0x00, number, 0xBF])] if slow_crc(h, 0x07, 8) >= 0x80 and (h[2] ^ 0x80) >= 0xE0)
+        fake = bytes(b ^ 0x80 for b in head + bytes([slow_crc(head, 0x07, 8)]))
+        if number & 0xC0 or not 0x80 <= number ^ 0x80 < 0xC0:
+            continue
+        fake.decode()  # a valid text: U+007F, x, one character of three bytes, ?, and one ASCII character
+        noise = "".join(chr(int(c)) for c in rng.integers(32, 0x3000, 5000)).encode()
+        cut = noise.decode()[: 64 * number].encode()
+        at = (number - 1) * 192 + 90
+        texts += [(cut[: at + 8].decode("utf-8", "ignore")).encode() + fake * 9 + noise, fake * 300]
+    payloads = [t + b" " * (-len(t) % 192) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in payloads])])
+    streams = flac.encode_payloads(np.frombuffer(b"".join(payloads), np.uint8), offsets)
+    got = flac.decode_streams(np.frombuffer(b"".join(streams), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in streams])]))
+    assert len(texts) > 50 and all(g["error"] is None and (g["pcm"].view(np.uint8) ^ 128).tobytes() == p for g, p in zip(got, payloads, strict=True))
+
+
+def test_flac_in_stretches(monkeypatch):
+    rng = np.random.default_rng(7)
+    payload = np.concatenate([np.cumsum(rng.integers(-2, 3, 192 * 300)) % 256, rng.integers(0, 256, 192 * 40), np.full(192 * 20, 9)]).astype(np.uint8)
+    offsets = np.array([0, 192 * 7, len(payload)])
+    whole = flac.encode_payloads(payload, offsets)
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in whole])])
+    want = flac.decode_streams(np.frombuffer(b"".join(whole), np.uint8), ends)
+    monkeypatch.setattr(flac, "STRETCH", 11)
+    monkeypatch.setattr(flac, "SAMPLES", 192 * 13)
+    assert flac.encode_payloads(payload, offsets) == whole
+    got = flac.decode_streams(np.frombuffer(b"".join(whole), np.uint8), ends)
+    assert [(g["pcm"].tolist(), g["blocks"], g["error"]) for g in got] == [(g["pcm"].tolist(), g["blocks"], None) for g in want]
+
+
 # --- SimHash ----------------------------------------------------------------------------------
 
 
