@@ -104,7 +104,66 @@ def test_tier_column(spark):
 def test_op1(spark, docs):
     got = queries.op1_sharding(spark, SF)
     want = {(r["doc_id"], len(r["text"].encode()), zlib.crc32(r["text"].encode())) for r in docs.collect()}
-    assert {(r["doc_id"], r["n_bytes"], r["text_crc32"]) for r in got.collect()} == want
+    assert {(r["doc_id"], r["n_bytes"], r["text_crc32"]) for r in got.collect()} == want and got.count() == docs.count()
+
+
+def test_op1_merges_tiers_of_a_table_of_one_file(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/store-c")
+    assert sharding.load_table(store, table) == sharding.ARRIVALS
+    appended = store.manifest()
+    assert appended.count() >= sharding.ARRIVALS and store.tiers().where(f"shards >= {sharding.FANOUT}").count() >= 2
+    version = store.compact()
+    assert version >= sharding.ARRIVALS + 2 and store.manifest().count() < appended.count()
+    assert store.tiers().where(f"tier > 0 and shards >= {sharding.FANOUT}").count() == 0
+    assert sorted(rows(store.read().select(*table.columns))) == sorted(rows(table))
+    assert sorted(rows(store.read(sharding.ARRIVALS).select("doc_id"))) == sorted(rows(table.select("doc_id")))
+    got = queries.op1_sharding(spark, "/root/testdata/sf0.01")
+    assert got.first()["version"] > sharding.ARRIVALS and got.select("shard").distinct().count() < appended.count()
+
+
+def test_shards_that_are_nearly_full_are_merged_two_by_two(spark):
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/store-d")
+    one = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    for _ in range(4):
+        store.append(one.coalesce(1))
+    target = int(store.manifest().first()["n_bytes"] / 0.74)
+    store.compact(target, 2)
+    assert store.manifest().count() == 2 and store.read().count() == 16_000
+
+
+def test_odd_rows_through_shards(spark, odd, none):
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/store-e")
+    df = odd.withColumn("__shard", F.lit("x")).withColumn("n_bytes", F.lit(1)).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    version = sharding.load_table(store, df)
+    assert 1 <= version <= sharding.ARRIVALS
+    store.compact(fanout=2)
+    back = store.read()
+    key = lambda r: repr(tuple(r[:4]))
+    assert sorted(map(key, back.select("doc_id", "text", "lang", "n_bytes").collect())) == sorted(map(key, df.select("doc_id", "text", "lang", "n_bytes").collect()))
+    assert all("part-" in r["__shard"] for r in back.collect()) and back.select("m").first()["m"] == {"a": 1}
+    empty = sharding.ShardStore(spark, f"{shared_dir(spark)}/store-f")
+    assert empty.read().count() == 0 and sharding.load_table(empty, none) == 0 and empty.compact() == 0
+    assert empty.read().columns == [*none.columns, "__shard", "__shard_bytes"] and empty.read().count() == 0
+
+
+def test_op1_of_an_empty_table(spark, none):
+    where = f"{shared_dir(spark)}/empty-tables"
+    none.write.parquet(f"{where}/documents.parquet")
+    got = queries.op1_sharding(spark, where)
+    assert got.count() == 0 and got.columns[:3] == ["doc_id", "shard", "shard_bytes"]
+
+
+def test_expire_removes_what_failed_writers_left(spark, odd):
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/store-g")
+    store.append(odd)
+    store._write(odd, 7)  # a run that was never committed
+    odd.select("doc_id").write.parquet(f"{store.root}/manifests/_left")
+    names = lambda folder: [s.getPath().getName() for s in store._fs.listStatus(store._path(f"{store.root}/{folder}"))]
+    store.expire()
+    assert len(names("runs")) == 2 and "_left" in names("manifests")
+    store.expire(grace_seconds=-60)
+    assert len(names("runs")) == 1 and names("manifests") == ["v0000000001"] and store.read().count() == odd.count()
 
 
 # --- 2 ----------------------------------------------------------------------------------------
