@@ -64,6 +64,29 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         at = to
 
 
+def stretches(buf: np.ndarray, breaks: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of about ``limit`` bytes of a text, each but the last ended by a byte that ``breaks`` (256 booleans)
+    marks. A longer run without such a byte stays whole."""
+    limit = limit or CHUNK_BYTES
+    at, n = 0, len(buf)
+    while at < n:
+        to = at + limit
+        if to >= n:
+            to = n
+        else:
+            for a in range(to - 1, at, -4096):
+                found = np.flatnonzero(breaks[buf[max(a - 4095, at) : a + 1]])
+                if len(found):
+                    to = max(a - 4095, at) + int(found[-1]) + 1
+                    break
+            else:
+                while to < n and not breaks[buf[to - 1]]:
+                    found = np.flatnonzero(breaks[buf[to : to + limit]])
+                    to = to + int(found[0]) + 1 if len(found) else min(n, to + limit)
+        yield at, to
+        at = to
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the maximal runs of ``inside``, never across rows."""
     n = len(inside)

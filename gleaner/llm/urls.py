@@ -2,13 +2,15 @@
 
 Host labels and path parts are split into words: a unigram Viterbi over word counts of the
 pages' own text splits concatenated names, with a cost that grows with length for pieces that are no known word. Multinomial
-naive Bayes over those words, fitted on the URLs that the rules decide and on seed words,
-judges all other URLs. Digits are one token, whatever their number.
+naive Bayes over those words, fitted on the URLs that the rules decide, judges all other URLs. Each class's shares of
+tokens are drawn towards those of both together, so a class of few URLs says little and neither is preferred for its size. A number
+is a token of its first digit and its length.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -19,19 +21,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.llm.textvec import LOWER, spans, text_chunks
+from gleaner.llm.textvec import LOWER, spans, stretches, text_chunks
 from gleaner.session import materialise
 
 BLOCK = 5_000  # rows that are segmented with one set of word counts
-LONGEST_WORD = 20
+STEM = 20  # letters of a word that are looked up; longer words by their first ones, then compared whole
 MAX_INLINE_RULES = 256  # beyond, rules are joined
 TOKEN_BITS = 18
-SEED_SHARE = 0.05  # of a class's tokens that its seed words stand for together
-SEEDS = {  # plain words that mark a host before any URL is seen
-    "block": ("spam", "cheap", "pills", "casino", "poker", "porn", "xxx", "viagra", "loan", "lottery", "payday", "malware", "torrent", "hack"),
-    "allow": ("blog", "news", "docs", "wiki", "school", "library", "science", "museum", "university", "research"),
-}
+SHRINK = 100.0  # tokens that a class is thought to share with both together before any is seen
 NUMBER = "#"
+_RUNS = re.compile(r"([^\W\d_]+)|(\d+)")
+
+
+OUTSIDE = np.ones(256, bool)  # bytes that end a word
+OUTSIDE[65:91] = OUTSIDE[97:123] = False
 
 
 class Segmenter:
@@ -46,46 +49,50 @@ class Segmenter:
 
     def __setstate__(self, state: tuple) -> None:
         self.total, self.log = state
+        self.long: dict[str, list[str]] = {}
+        for word in sorted(w for w in self.log if len(w) > STEM):
+            self.long.setdefault(word[:STEM], []).append(word)
         self.split = lru_cache(1 << 16)(self._split)
 
     def _split(self, name: str) -> tuple[str, ...]:
-        best, came = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-        for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                word = name[start:end]
-                value = best[start] + self.log.get(word, 1 - self.total - (end - start))
+        """An unknown stretch is one piece at any length: what it costs is kept with the best place for it to begin."""
+        n = len(name)
+        best, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        opened, since = -math.inf, 0  # best of best[start] + start, and that start
+        for end in range(n + 1):
+            if end:
+                value = opened + 1 - self.total - end
                 if value > best[end]:
-                    best[end], came[end] = value, start
-        out, end = [], len(name)
+                    best[end], came[end] = value, since
+            here = best[end]
+            if here + end > opened:
+                opened, since = here + end, end
+            stem = name[end : end + STEM]
+            for size in range(1, len(stem) + 1):
+                log = self.log.get(stem[:size])
+                if log is not None and here + log > best[end + size]:
+                    best[end + size], came[end + size] = here + log, end
+            for word in self.long.get(stem, ()) if self.long else ():
+                if name.startswith(word, end) and here + self.log[word] > best[end + len(word)]:
+                    best[end + len(word)], came[end + len(word)] = here + self.log[word], end
+        out, end = [], n
         while end:
             out.append(name[came[end] : end])
             end = came[end]
         return tuple(reversed(out))
 
     def tokens(self, text: str) -> list[str]:
-        """The words of a host or path: letters are segmented, digits are one token, all else parts."""
+        """The words of a host or path: letters are segmented, numbers are a token each, all else parts."""
         out = []
         for name in names(text):
-            out += [NUMBER] if name == NUMBER else self.split(name)
+            out += [name] if name[0] == NUMBER else self.split(name)
         return out
 
 
 def names(text: str) -> list[str]:
-    """The runs of letters of a host or path, lower-cased, in pieces of 256 letters at most; a run of digits is ``NUMBER``."""
-    out, kind, run = [], 0, []
-    for c in text.lower() + "/":
-        now = 1 if c.isalpha() else 2 if c.isdigit() else 0
-        if now != kind and run:
-            if kind == 2:
-                out.append(NUMBER)
-            else:
-                name = "".join(run)
-                out += (name[i : i + 256] for i in range(0, len(name), 256))  # a longer run of letters is no name
-            run = []
-        kind = now
-        if now:
-            run.append(c)
-    return out
+    """The runs of letters of a host or path, lower-cased, and for a run of digits ``#``, its first digit and its length."""
+    runs = _RUNS.findall(text.lower())
+    return [f"{NUMBER}{digits[0]}{len(digits)}" if digits else letters for letters, digits in runs]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,54 +105,70 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(both["word"], pa.string()), pa.array(both["n"])], ["word", "n"])
 
     for batch in batches:
-        for _, _, buf, offsets in text_chunks(batch.column(0)):
-            inside, place = LOWER[buf], np.arange(len(buf))
-            mark = np.maximum.accumulate(np.where((buf == 60) | (buf == 62), place, -1))
-            shown = (mark < 0) | (buf[mark] == 62)  # the nearest bracket before is a closing one
-            starts, ends, _ = spans(letters[inside] & shown, offsets)
-            ok = (ends - starts >= 2) & (ends - starts <= LONGEST_WORD)
-            starts, ends = starts[ok], ends[ok]
-            if not len(starts):
-                continue
-            size = ends - starts
-            at = np.cumsum(size) - size
-            flat = inside[np.repeat(starts - at, size) + np.arange(int(size.sum()))]
-            words = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(at, size.sum()).astype(np.int32)), pa.py_buffer(flat))
-            got = pc.value_counts(words)
-            parts.append(pd.DataFrame({"word": got.field(0).to_pandas(), "n": got.field(1).to_numpy()}))
-            held += len(got)
-            if held > 500_000:
-                yield out(parts)
-                parts, held = [], 0
+        for _, _, whole, cuts in text_chunks(batch.column(0)):
+            shown_before = True  # at the cut of a long text: the nearest bracket before is none or a closing one
+            for first, last in stretches(whole, OUTSIDE) if len(cuts) == 2 else [(0, len(whole))]:
+                buf, offsets = whole[first:last], cuts if len(cuts) > 2 else np.array([0, last - first])
+                inside, place = LOWER[buf], np.arange(len(buf), dtype=np.int32)
+                mark = np.maximum.accumulate(np.where((buf == 60) | (buf == 62), place, -1))
+                shown = np.where(mark < 0, shown_before, buf[mark] == 62)
+                if len(cuts) > 2 and len(buf):
+                    begin = np.repeat(offsets[:-1], np.diff(offsets))
+                    shown |= mark < begin  # brackets of an earlier row say nothing
+                shown_before = bool(shown[-1]) if len(shown) else True
+                starts, ends, _ = spans(letters[inside] & shown, offsets)
+                ok = ends - starts >= 2
+                starts, ends = starts[ok], ends[ok]
+                if not len(starts):
+                    continue
+                size = ends - starts
+                at = np.cumsum(size) - size
+                flat = inside[np.repeat(starts - at, size) + np.arange(int(size.sum()))]
+                words = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(at, size.sum()).astype(np.int32)), pa.py_buffer(flat))
+                got = pc.value_counts(words)
+                parts.append(pd.DataFrame({"word": got.field(0).to_pandas(), "n": got.field(1).to_numpy()}))
+                held += len(got)
+                if held > 500_000:
+                    yield out(parts)
+                    parts, held = [], 0
     if parts:
         yield out(parts)
 
 
 def word_counts(df: DataFrame, text_col: str = "html") -> DataFrame:
-    """``word, n`` over all texts of a column: runs of 2 to 20 ASCII letters outside of tags, lower-cased."""
+    """``word, n`` over all texts of a column: runs of two or more ASCII letters outside of tags, lower-cased, of any length."""
     counted = df.select(df[text_col].cast("string").alias("text")).mapInArrow(_count_batches, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What words of each block's names may begin with: all stretches of 2 to ``STEM`` letters, and the longest name that holds each."""
     for batch in batches:
         found = {(block, name) for block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for text in texts for name in names(text or "")}
-        parts = {(block, name[i:j]) for block, name in found for i in range(len(name)) for j in range(i + 2, min(i + LONGEST_WORD, len(name)) + 1)}
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.string())], ["block", "word"])
+        parts: dict[tuple[int, str], int] = {}
+        for block, name in found:
+            n = len(name)
+            for i in range(n - 1):
+                for j in range(i + 2, min(i + STEM, n) + 1):
+                    key = (block, name[i:j])
+                    parts[key] = max(parts.get(key, 0), n - i)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.string()), pa.array(parts.values(), pa.int32())], ["block", "stem", "room"])
 
 
 def segmented(pages: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add ``words`` (the segmented host) and ``slots`` (the hashed tokens of host and path) to written rows with ``host`` and ``path``.
 
     All words of ``counts`` (``word, n``, written) and their exact total count: rows are dealt to blocks, and each
-    block gets the counts of all words that are in its names.
+    block gets the counts of all words that its names may hold.
     """
     columns = pages.columns
     total = counts.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-pages.count() // block))
-    dealt = pages.withColumn("__block", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("long"))
-    parts = dealt.select("__block", "host", "path").mapInArrow(_part_batches, "block long, word string").distinct()
-    known = parts.join(counts, "word").select(F.col("block").alias("__block"), "word", "n")
+    dealt = pages.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))  # equal rows are dealt too
+    parts = dealt.select("__block", "host", "path").mapInArrow(_part_batches, "block long, stem string, room int").groupBy("block", "stem").agg(F.max("room").alias("room"))
+    stems = counts.select("word", "n", F.substring("word", 1, STEM).alias("stem"))
+    known = parts.join(stems, "stem").where(F.length("word") <= F.col("room")).where((F.length("word") > STEM) | (F.col("word") == F.col("stem")))
+    known = known.select(F.col("block").alias("__block"), "word", "n")
     h, p = columns.index("host"), columns.index("path")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -252,10 +275,11 @@ def _train_batches(split: Segmenter):
     return run
 
 
-def fit(decided: DataFrame, split: Segmenter | None = None, seeds: dict[str, Sequence[str]] = SEEDS, seed_share: float = SEED_SHARE, prior: float = 0.0) -> Model:
+def fit(decided: DataFrame, split: Segmenter | None = None, shrink: float = SHRINK, prior: float = 0.0) -> Model:
     """Multinomial naive Bayes over all rows of ``host, path, verdict``, or without ``split`` of ``slots, verdict`` (see ``segmented``). Counts are summed on executors; at most two tables of 2**18 numbers come back.
 
-    Without rows of one class only its seed words speak for it. ``prior``: log odds of block; by default the classes are equally
+    A class's probability of a token is its own share, drawn towards the share in both classes together as if ``shrink`` more
+    tokens had been seen: a token that neither has, and every token while one class has no rows, says nothing. ``prior``: log odds of block; by default the classes are equally
     likely, as the shares of rows that rules decide tell nothing about the others.
     """
     if split is None:
@@ -263,17 +287,18 @@ def fit(decided: DataFrame, split: Segmenter | None = None, seeds: dict[str, Seq
     else:
         counts = decided.select("host", "path", "verdict").mapInArrow(_train_batches(split), "verdict string, slot long, n long")
     got = counts.groupBy("verdict", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    found = {}
-    for verdict in ("block", "allow"):
+    found = np.zeros((2, 1 << TOKEN_BITS))
+    for i, verdict in enumerate(("block", "allow")):
         own = got[got["verdict"] == verdict]
-        n = np.zeros(1 << TOKEN_BITS)
-        n[own["slot"].to_numpy(np.int64)] = own["n"]
-        words = [_slot(w) for w in seeds.get(verdict, ())]
-        np.add.at(n, words, max(n.sum() * seed_share, len(words)) / max(len(words), 1))
-        found[verdict] = n
-    seen = found["block"] + found["allow"] > 0  # a token that neither class has says nothing
-    logs = {v: np.log(n + 0.5) - np.log(n.sum() + 0.5 * seen.sum()) for v, n in found.items()}
-    return Model(np.where(seen, logs["block"] - logs["allow"], 0).astype(np.float32), prior)
+        found[i, own["slot"].to_numpy(np.int64)] = own["n"]
+    sizes, both = found.sum(1), found.sum(0)
+    if not sizes.all():
+        return Model(np.zeros(1 << TOKEN_BITS, np.float32), prior)
+    seen = np.flatnonzero(both)
+    shares = (found[:, seen] + shrink * both[seen] / both.sum()) / (sizes + shrink)[:, None]
+    weights = np.zeros(1 << TOKEN_BITS, np.float32)
+    weights[seen] = np.log(shares[0] / shares[1])
+    return Model(weights, prior)
 
 
 def judge(pages: DataFrame, model: Model) -> DataFrame:
@@ -293,15 +318,27 @@ def judge(pages: DataFrame, model: Model) -> DataFrame:
     return pages.mapInArrow(run, f"{fields}, block_score double")
 
 
+def _prepared(df: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    host, path = host_and_path(df[url_col].cast("string"))
+    pages = match_rules(df.select(df[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path")), rules)
+    return segmented(materialise(pages, "urls-pages"), materialise(word_counts(df, text_col), "urls-words"))
+
+
 def filter_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """``page_id, host, path, rule, verdict, words, block_score`` for every row.
 
     ``verdict`` is the rule's, or ``block`` where the log odds are above 0, else ``allow``. Null URLs and such without
-    ``://`` have an empty host and path, no rule and the verdict of the classes alone. Repeated rows stay repeated. An empty table gives an empty result.
+    ``://`` have an empty host and path, no rule and the verdict of the classes alone. Null ids and repeated rows stay; URLs and texts of any
+    length are read whole; other columns are not read. An empty table gives an empty result.
     """
-    host, path = host_and_path(df[url_col].cast("string"))
-    pages = match_rules(df.select(df[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path")), rules)
-    pages = segmented(materialise(pages, "urls-pages"), materialise(word_counts(df, text_col), "urls-words"))
-    model = fit(pages.where("verdict is not null"))
-    judged = judge(pages, model)
+    pages = _prepared(df, rules, id_col, url_col, text_col)
+    judged = judge(pages, fit(pages.where("verdict is not null")))
     return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") > 0, "block").otherwise("allow")))
+
+
+def accuracy(df: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", parts: int = 5) -> DataFrame:
+    """``verdict, n, right``: how the method, fitted on the other rows that rules decide, judges one of ``parts`` of them, by the rule's verdict."""
+    pages = _prepared(df, rules, id_col, url_col, text_col).where("verdict is not null")
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(parts)) == 0
+    judged = judge(pages.where(held), fit(pages.where(~held)))
+    return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if((F.col("block_score") > 0) == (F.col("verdict") == "block")).alias("right"))

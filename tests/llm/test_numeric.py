@@ -321,7 +321,15 @@ def test_segmentation_is_the_best_of_all_splits():
     for name in ("three", "theat", "threat", "zzthe", "q", "atheatre"):
         splits = [tuple(name[i:j] for i, j in zip((0, *cut), (*cut, len(name)), strict=True)) for n in range(len(name)) for cut in itertools.combinations(range(1, len(name)), n)]
         assert sum(map(cost, s.split(name))) == pytest.approx(max(sum(map(cost, x)) for x in splits))
-    assert s.tokens("theat-3three.99.x") == [*s.split("theat"), "#", *s.split("three"), "#", *s.split("x")]
+    assert s.tokens("theat-3three.99.x") == [*s.split("theat"), "#31", *s.split("three"), "#92", *s.split("x")]
+
+
+def test_segmentation_of_names_and_words_of_any_length():
+    long = "abcdefghij" * 30
+    s = urls.Segmenter([long, long[:21], "the"], [2, 3, 50])
+    assert s.split(f"the{long}the") == ("the", long, "the") and s.split(long[:21] + "the") == (long[:21], "the")
+    assert s.split("z" * 100_000) == ("z" * 100_000,)
+    assert s.tokens("the" * 1000) == ["the"] * 1000
 
 
 # --- SentencePiece ----------------------------------------------------------------------------

@@ -434,6 +434,7 @@ def test_op7(spark):
     decided = [r for r in got if r["rule"]]
     assert all(r["verdict"] == dict(map(tuple, queries.URL_RULES))[r["rule"]] for r in decided)
     assert all(r["verdict"] == ("block" if r["block_score"] > 0 else "allow") for r in got if not r["rule"])
+    assert {r["verdict"] for r in got if not r["rule"]} == {"block", "allow"}
     df = spark.createDataFrame([(i, u, h, "q") for i, (u, h) in enumerate(zip(URLS, [None, "", "<p>the", "a>b <i>the cat</i>"] * 4, strict=False))], "page_id long, url string, html string, words string")
     found = urls.filter_urls(df, queries.URL_RULES).collect()
     assert len(found) == len(URLS) and all(r["verdict"] in ("block", "allow") for r in found)
@@ -443,15 +444,58 @@ def test_op7(spark):
 def test_word_counts_leave_tags_out(spark):
     df = spark.createDataFrame([("<div class='big'>The cat</div> the CAT x <br>",), (None,), ("cat",)], "html string")
     assert dict(rows(urls.word_counts(df))) == {"the": 2, "cat": 3}
+    texts = ["<a " + "b " * 700_000 + "> the " + "cat " * 400_000 + "<b " + "c" * 1_500_000 + ">dog", "x" * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "html string")
+    assert dict(rows(urls.word_counts(df))) == {"the": 1, "cat": 400_000, "dog": 1, "x" * 30: 1}
 
 
 def test_naive_bayes_by_hand(spark):
     split = urls.Segmenter(["good", "bad"], [1, 1])
     df = spark.createDataFrame([("good", "/", "allow"), ("good", "/good", "allow"), ("bad", "/", "block")], "host string, path string, verdict string")
-    m = urls.fit(df, split, seeds={})
+    m = urls.fit(df, split)
     w = {t: m.weights[urls._slot(t)] for t in ("good", "bad", "unseen")}
-    assert w["bad"] == pytest.approx(np.log(1.5 / 2) - np.log(0.5 / 4), rel=1e-5)
-    assert w["good"] == pytest.approx(np.log(0.5 / 2) - np.log(3.5 / 4), rel=1e-5) and w["unseen"] == 0
+    k = urls.SHRINK
+    assert w["bad"] == pytest.approx(np.log((1 + k / 4) / (1 + k)) - np.log(k / 4 / (3 + k)), rel=1e-5)
+    assert w["good"] == pytest.approx(np.log(3 * k / 4 / (1 + k)) - np.log((3 + 3 * k / 4) / (3 + k)), rel=1e-5) and w["unseen"] == 0
+    assert not urls.fit(df.where("verdict = 'block'"), split).weights.any()
+
+
+def test_urls_by_brute_force(spark):
+    """Word counts, segmentation and naive Bayes of whole small tables, odd rows included."""
+    html = "<p>good news</p> bad spam <b>the</b> goods " * 3
+    urls_ = ["http://goodnews.com/en/7", "http://goodthe.example.com/en/71", "http://badspam.com/en/8", "http://spamgoods.net/de/9", "http://thebad.org/es/x", "http://badspam.info/fr/8", "http://goodnews.info/de/77?x"]
+    data = [(i % 5 or None, u, html) for i, u in enumerate(urls_ * 4)] + [(9, "http://" + "good" * 30_000 + ".org/x", "<i>" + "the " * 400_000), (9, None, None), (9, None, None)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    words = defaultdict(int)
+    for _, _, h in data:
+        for w in "".join(c if c.isalpha() else " " for c in __import__("re").sub("<[^>]*>", " ", h or "")).lower().split():
+            words[w] += len(w) > 1
+    words = {w: n for w, n in words.items() if n}
+    split = urls.Segmenter(list(words), list(words.values()))
+    tokens = {u: [t for part in (slow_url(u)[0], *slow_url(u)[1].split("/")) for t in split.tokens(part)] for _, u, _ in data}
+    seen = {"block": defaultdict(int), "allow": defaultdict(int)}
+    for _, u, _ in data:
+        if rule := slow_rule(*slow_url(u), queries.URL_RULES):
+            for t in tokens[u]:
+                seen[rule.verdict][t] += 1
+    size = {v: sum(n.values()) for v, n in seen.items()}
+    p = lambda t, v: (seen[v][t] + urls.SHRINK * (seen["block"][t] + seen["allow"][t]) / sum(size.values())) / (size[v] + urls.SHRINK)
+    score = {u: sum(np.log(p(t, "block") / p(t, "allow")) for t in tokens[u] if seen["block"][t] or seen["allow"][t]) for _, u, _ in data}
+    got = urls.filter_urls(df, queries.URL_RULES).collect()
+    assert sorted(repr((r["page_id"], r["host"], r["path"])) for r in got) == sorted(repr((i, *slow_url(u))) for i, u, _ in data)
+    of = {slow_url(u): u for _, u, _ in data}
+    for r in got:
+        u = of[r["host"], r["path"]]
+        rule = slow_rule(r["host"], r["path"], queries.URL_RULES)
+        assert r["block_score"] == pytest.approx(score[u], abs=1e-4 + 1e-6 * len(tokens[u]))
+        assert r["verdict"] == (rule.verdict if rule else "block" if r["block_score"] > 0 else "allow")
+    assert {r["verdict"] for r in got if not r["rule"] and r["host"].endswith("info")} == {"block", "allow"}
+
+
+def test_held_out_urls_are_judged_as_their_rules_say(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r["verdict"]: r["right"] / r["n"] for r in urls.accuracy(df, queries.URL_RULES).collect()}
+    assert got["block"] > 0.9 and got["allow"] > 0.9
 
 
 def test_rare_words_split_hosts_beside_many_frequent_ones(spark):
