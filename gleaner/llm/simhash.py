@@ -4,45 +4,65 @@ A fingerprint is cut into three segments, so two fingerprints that differ in at
 four bits have a segment that differs in at most one. Each segment is indexed once for
 each of its bits with that bit left out: 64 variants a fingerprint. Fingerprints
 that share a variant are equi-joined and verified.
+
+Two uses: ``near_duplicates`` links fingerprints (of four-word shingles) at four or fewer differing bits. ``keep_one`` links texts whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more. There a pair's fingerprints differ in about 15 % of their bits,
+so each text has several independent fingerprints, a shared variant of any of them makes a candidate, and each candidate is verified by exact similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.llm.textvec import CHUNK_BYTES, IS_SPACE, LOWER, _mix, prefix_hash, span_hash, spans, stretches, text_chunks
 from gleaner.operators.graph import connected_components
 from gleaner.session import materialise
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 MAX_BITS = 4
+WORDS, SIMILARITY = 5, 0.8
+PRINTS = 4  # fingerprints of a text in keep_one
+CHECK_BITS = 22  # of a candidate's other fingerprints that may differ: at similarity 0.8 more differ once in 100,000 pairs
+CROWD = 64  # nodes of a key that are compared with each other at once
+BLOCK = 500  # nodes of a crowded key that are compared in one task with as many others
+
+_PLACE = _mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text as an unsigned number; no words: 0."""
-    tokens = text.lower().split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    ends = np.concatenate([gaps, [len(joined)]])
-    k = min(words, len(tokens))
+def fingerprint(text: bytes | np.ndarray, words: int = 4, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text as an unsigned number; no words: 0. A long text is hashed a stretch at a time."""
+    buf = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], ">u8")
-    ones = np.zeros(64, np.int64)
-    for part in np.array_split(hashes, len(hashes) // 16384 + 1):
-        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    ones, count, tail = np.zeros(64, np.int64), 0, []
+
+    def add(joined: bytes, k: int) -> None:
+        nonlocal ones, count
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts = np.concatenate([[0], gaps + 1])
+        ends = np.concatenate([gaps, [len(joined)]])
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], ">u8")
+        for part in np.array_split(hashes, len(hashes) // 16384 + 1):
+            ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        count += len(hashes)
+
+    for a, b in stretches(buf, IS_SPACE):
+        tokens = tail + buf[a:b].tobytes().lower().split()
+        if len(tokens) >= words:
+            add(b" ".join(tokens), words)
+        tail = tokens[max(0, len(tokens) - words + 1) :]
+    if not count and tail:
+        add(b" ".join(tail), len(tail))
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint((x.as_py() or "").encode()) for x in batch.column(1)]
+        prints = [fingerprint(buf[i:j]) for _, _, buf, offsets in text_chunks(batch.column(1)) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "fp"])
 
 
@@ -73,6 +93,7 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     A pair is emitted at the first variant that it shares.
     """
     nodes = prints.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
+    nodes = nodes.repartition(prints.sparkSession.sparkContext.defaultParallelism, "fp")  # few bytes, but 64 times as many rows in the next step
     keyed = nodes.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     a, b = keyed.select(F.col("fp").alias("a"), "key"), keyed.select(F.col("fp").alias("b"), "key")
     diff = F.col("a").bitwiseXOR(F.col("b"))
@@ -121,22 +142,152 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with one row left of each component: the one of the smallest id (null ids last).
+def _whole_shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    low = LOWER[buf]
+    starts, ends, row = spans(~IS_SPACE[low], offsets)
+    word = span_hash(prefix_hash(low), starts, ends)
+    count = np.bincount(row, minlength=len(offsets) - 1)
+    sizes = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    last = np.repeat(np.cumsum(count), sizes)
+    at = np.repeat(np.cumsum(count) - count - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    total = np.zeros(len(at), np.uint64)
+    for j in range(words):
+        inside = at + j < last
+        total[inside] += word[at[inside] + j] * _PLACE[j]
+    return _mix(total), sizes
 
-    Rows that repeat an id stand or fall by their text; of equal rows one stays.
+
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every row's word shingles, in order and with repeats, and how many each row has.
+
+    Words are parted by ASCII white space, A-Z lowered. A row of fewer words than ``words`` is one shingle, one without words has none.
+    A long text alone is hashed a stretch at a time.
+    """
+    if len(offsets) > 2 or len(buf) <= CHUNK_BYTES:
+        return _whole_shingles(buf, offsets, words)
+    parts, begin = [], 0
+    for _, b in stretches(buf, IS_SPACE):
+        starts = spans(~IS_SPACE[buf[begin:b]], np.array([0, b - begin]))[0]
+        if len(starts) >= words or (b == len(buf) and not parts):
+            parts.append(_whole_shingles(buf[begin:b], np.array([0, b - begin]), words)[0])
+        if len(starts) >= words:
+            begin += int(starts[len(starts) - words + 1]) if words > 1 else b - begin
+    hashes = np.concatenate(parts)
+    return hashes, np.array([len(hashes)])
+
+
+def several_prints(hashes: np.ndarray, prints: int) -> np.ndarray:
+    """Independent fingerprints of a set of shingle hashes."""
+    ones = np.zeros(64 * prints, np.int64)
+    for part in np.array_split(hashes, len(hashes) // 16384 + 1):
+        mixed = _mix(part[:, None] * _PLACE[None, :prints])
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def _print_batches(words: int, prints: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offsets in text_chunks(batch.column(2)):
+                hashes, sizes = shingle_hashes(buf, offsets, words)
+                ends = np.cumsum(sizes)
+                node, fps = np.zeros(b - a, np.uint64), np.zeros((b - a, prints), np.uint64)
+                for i in np.flatnonzero(sizes):
+                    own = hashes[ends[i] - sizes[i] : ends[i]]
+                    node[i] = _mix(_mix(own ^ _PLACE[0]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+                    fps[i] = several_prints(np.unique(own), prints)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * prints), pa.array(fps.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), lists], ["id", "key", "node", "fps"])
+
+    return run
+
+
+def _similar_batches(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(column: pa.Array) -> Iterator[np.ndarray]:
+            for _, _, buf, offsets in text_chunks(column):
+                hashes, sizes = shingle_hashes(buf, offsets, words)
+                yield from (np.unique(x) for x in np.split(hashes, np.cumsum(sizes)[:-1]))
+
+        for batch in batches:
+            near = []
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """The written rows of ``a, b`` (written) whose texts have sets of shingles of at least the Jaccard similarity."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    of = materialise(texts(asked), "simhash-texts")
+    left, right = (of.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return materialise(met.mapInArrow(_similar_batches(words, similarity), "a long, b long"), "simhash-near")
+
+
+def similar_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """``node, component`` over the pairs of nodes (``node, fps``, each once, written) of at least the similarity; nodes that are alone do not appear.
+
+    ``texts`` gives ``node, text`` for a table of nodes. A key that up to ``crowd`` nodes share makes a candidate of each pair of them whose check fingerprints are near. Of a
+    crowded key all nodes first meet its smallest one; those which its verified links leave in another component are then compared with all
+    others of the key, in blocks, so a large group of near copies costs no pairs of its own.
+    """
+    size = F.size("fps")
+    checked = F.transform(
+        F.col("fps"),
+        lambda fp, i: F.struct(F.element_at("fps", (i + 1) % size + 1).alias("check"), F.transform(variants(fp), lambda key: F.shiftleft(i.cast("long"), 40).bitwiseOR(key)).alias("keys")),
+    )
+    each = nodes.where("node <> 0").select("node", F.explode(checked).alias("c")).select("node", "c.check", F.explode("c.keys").alias("key"))
+    shuffled = each.repartition("key")
+    shared = shuffled.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "check")).alias("rep")).where("n > 1")
+    held = materialise(shuffled.join(shared, "key").select("key", "node", "check", "n", F.col("rep.node").alias("rep"), F.col("rep.check").alias("rep_check")), "simhash-held")
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_BITS
+    few, many = held.where(F.col("n") <= crowd), held.where(F.col("n") > crowd)
+    left, right = (few.select("key", F.col("node").alias(n), F.col("check").alias(f"check_{n}")) for n in "ab")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & close("check_a", "check_b")).select("a", "b")
+    star = many.where((F.col("node") > F.col("rep")) & close("check", "rep_check")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = materialise(pairs.unionByName(star).distinct(), "simhash-candidates")
+    near = _verified(pairs, texts, words, similarity)
+    found = materialise(connected_components(near), "simhash-found")
+    if many.isEmpty():
+        return found
+
+    of = lambda df, node, name: df.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    placed = materialise(of(of(many.select("key", "node", "check", "rep"), "node", "own"), "rep", "main"), "simhash-placed")
+    crowds = placed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("main")).alias("open")).where("open").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    dealt = placed.join(materialise(crowds, "simhash-open"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.select("key", "node", "check", "own", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "check", "own", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    left, right = (dealt.select("key", "low", "high", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "check", "own", "part"))) for n in "ab")
+    met = left.join(right, ["key", "low", "high"]).where((F.col("node_a") < F.col("node_b")) & (F.col("own_a") != F.col("own_b")) & close("check_a", "check_b"))
+    met = met.where((F.col("low") == F.col("high")) | (F.col("part_a") != F.col("part_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    more = materialise(met.distinct().join(pairs, ["a", "b"], "left_anti"), "simhash-candidates")
+    return connected_components(near.unionByName(_verified(more, texts, words, similarity)))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """The rows of ``df`` with one row left of each group of near copies: the one of the smallest id (null ids last).
+
+    Texts are linked from the given Jaccard similarity of their sets of word shingles on; a group is all that links reach. Each link is
+    exact; with ``prints`` fingerprints a pair is found with probability 0.85 at similarity 0.8, 0.95 at 0.85 and 0.99 at 0.9, and always where the sets are equal.
+    Null texts, empty texts and texts of white space are one group. Rows that repeat an id stand or fall by their text; of equal rows one stays. Other
+    columns stay as they are. An empty table gives an empty result.
     """
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     keyed = df.withColumn("__key", F.concat_ws(":", F.coalesce(df[id_col].cast("string"), F.lit("")), F.md5(text)))
     src = keyed.select(keyed[id_col].cast("long").alias("id"), "__key", keyed[text_col].cast("string").alias("text"))
-    prints = materialise(src.mapInArrow(_keyed_batches, "id long, key string, fp long"), "simhash-keyed")
+    found = materialise(src.mapInArrow(_print_batches(words, prints), "id long, key string, node long, fps array<long>"), "simhash-keyed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    each = prints.groupBy("fp").agg(first.alias("s"))
-    chosen = each.join(roots(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.key").alias("__key"))
-    return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").select(*df.columns)  # one shuffle by the key does for both
+    each = materialise(found.groupBy("node").agg(first.alias("s"), F.first("fps").alias("fps")), "simhash-nodes")
 
+    def texts(asked: DataFrame) -> DataFrame:
+        wanted = materialise(each.join(asked, "node").select(F.col("s.key").alias("__key"), "node"), "simhash-asked")
+        return src.join(wanted, "__key").dropDuplicates(["node"]).select("node", "text")
 
-def _keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = [fingerprint((x.as_py() or "").encode()) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "key", "fp"])
+    linked = similar_links(each.select("node", "fps"), texts, words, similarity, crowd, block)
+    rooted = each.join(linked, "node", "left").select("s", F.coalesce("component", "node").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.key").alias("__key"))
+    return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").select(*df.columns)  # one shuffle by the key does for both

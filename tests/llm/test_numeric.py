@@ -209,6 +209,25 @@ def test_flac_in_stretches(monkeypatch):
 # --- SimHash ----------------------------------------------------------------------------------
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    """Fingerprints and shingles of a text do not depend on where it is cut."""
+    from gleaner.llm import textvec
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join("abcdefghij"[: int(n)] for n in rng.integers(1, 9, size)) + "\n" * (size % 3) for size in (0, 1, 2, 3, 4, 5, 6, 40, 500)]
+    texts += ["x" * 900 + " y z " + "w" * 700, "  " * 300, "a b c " + "q" * 500, "q" * 900 + " a"]
+    whole = [(simhash.fingerprint(t.encode()), simhash.shingle_hashes(*chunk([t]))) for t in texts]
+    monkeypatch.setattr(textvec, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", 64)
+    for t, (fp, (hashes, sizes)) in zip(texts, whole, strict=True):
+        buf = np.frombuffer(t.encode(), np.uint8)
+        cuts = list(textvec.stretches(buf, textvec.IS_SPACE))
+        assert [b for _, b in cuts[:-1]] == [a for a, _ in cuts[1:]] and all(textvec.IS_SPACE[buf[b - 1]] for _, b in cuts[:-1])
+        assert simhash.fingerprint(t.encode()) == fp
+        got, n = simhash.shingle_hashes(buf, np.array([0, len(buf)]))
+        assert got.tolist() == hashes.tolist() and n.tolist() == sizes.tolist()
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
