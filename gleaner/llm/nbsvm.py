@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.textvec import IS_SPACE, crc32_text, prefix_hash, span_hash, text_chunks
+from gleaner.llm.textvec import CHUNK_BYTES, IS_SPACE, crc32_text, prefix_hash, span_hash, stretches, text_chunks
 from gleaner.session import materialise
 
 TABLE_BITS = 18
@@ -28,6 +28,7 @@ SMOOTH = 1.0
 COST = 1.0
 EPOCHS = 8
 FOLDS = 4  # of the margins for the curve
+LAST = 4  # tokens before the last one that a feature may take in
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -51,24 +52,40 @@ class Model(NamedTuple):
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, table slot) of every distinct feature of each row, by row."""
+    """(row, table slot) of every distinct feature of each row, by row. A long text alone is read a stretch at a time, each with the last tokens
+    before it: features are indicators, so what two stretches share counts once."""
+    if len(offsets) > 2 or len(buf) <= CHUNK_BYTES:
+        return _features(buf, offsets)
+    held, begin = np.zeros(1 << TABLE_BITS, bool), 0
+    for _, b in stretches(buf, IS_SPACE):
+        held[_features(buf[begin:b], np.array([0, b - begin]))[1]] = True
+        starts = _tokens(buf[begin:b], np.array([0, b - begin]))[0]
+        begin += int(starts[-LAST]) if len(starts) >= LAST else 0
+    slot = np.flatnonzero(held)
+    return np.zeros(len(slot), np.int64), slot
+
+
+def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and kinds of the tokens."""
     kind = _KIND[buf]
-    n = len(buf)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
-    edge[1:n] |= kind[1:] != kind[:-1]
+    edge[1 : len(buf)] |= kind[1:] != kind[:-1]
     cuts = np.flatnonzero(edge)
-    starts, ends = cuts[:-1], cuts[1:]
-    on = kind[starts] > 0
-    starts, ends = starts[on], ends[on]
+    on = kind[cuts[:-1]] > 0
+    return cuts[:-1][on], cuts[1:][on], kind[cuts[:-1][on]]
+
+
+def _features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, ends, kind = _tokens(buf, offsets)
     row = np.searchsorted(offsets, starts, "right") - 1
     token = span_hash(prefix_hash(buf), starts, ends)
     capitals = np.concatenate([[0], np.cumsum(_UPPER[buf])])
     many = capitals[ends] - capitals[starts]
     length = ends - starts
-    shape = np.where(kind[starts] == 2, 4, np.where(_DIGIT[buf[starts]], 3, np.where((many == length) & (length > 1), 0, np.where(_UPPER[buf[starts]], 1, 2))))
+    shape = np.where(kind == 2, 4, np.where(_DIGIT[buf[starts]], 3, np.where((many == length) & (length > 1), 0, np.where(_UPPER[buf[starts]], 1, 2))))
     together = row[1:] == row[:-1]
     pair = (token[:-1] * _PAIR ^ token[1:])[together]
     shapes = ((shape[:-1] * 5 + shape[1:]).astype(np.uint64) + np.uint64(1))[together] * _SHAPE
@@ -190,22 +207,23 @@ def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS, max_features: int = MAX_TRAIN_FEATURES) -> Model:
-    """Fit on the rows of ``df`` that ``labels`` marks 0 or 1: those of at most ``max_rows`` labelled ids whose ids
-    hash lowest, cut where their features pass ``max_features``. An id with both labels counts as 0."""
+    """Fit on at most ``max_rows`` rows of ``df`` that ``labels`` marks 0 or 1, those whose ids hash lowest, up to ``max_features`` features. An id with
+    both labels counts as 0; rows of one id and the same features count once."""
     marked = labels.where(labels[label_col].isin(0, 1)).select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label"))
     chosen = marked.where("id is not null").groupBy("id").agg(F.min("label").alias("label")).withColumn("key", F.xxhash64("id")).orderBy("key", "id").limit(max_rows)
     texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
-    found = materialise(texts.join(F.broadcast(chosen), "id").select("key", "label", "text").mapInArrow(_slot_batches, "key long, label int, slots array<int>"), "nbsvm-rows")
-    size = found.groupBy("key").agg(F.sum(F.size("slots")).alias("size")).orderBy("key").collect()  # max_rows rows at most
+    found = texts.join(F.broadcast(chosen), "id").select("key", "label", "text").mapInArrow(_slot_batches, "key long, label int, slots array<int>")
+    found = materialise(found.withColumn("hash", F.xxhash64("slots")), "nbsvm-rows")
+    size = found.select("key", "hash", F.size("slots").alias("size")).dropDuplicates(["key", "hash"]).orderBy("key", "hash").limit(max_rows).collect()
     total, cut = 0, None
     for r in size:
         total += r["size"]
-        if cut is not None and total > max_features:
+        if cut is not None and total > max_features:  # a row alone has no more features than the table
             break
-        cut = r["key"]
+        cut = r
     if cut is None:
         return train([], np.zeros(0))
-    got = found.where(F.col("key") <= cut).orderBy("key", "slots").toArrow()
+    got = found.where((F.col("key") < cut["key"]) | ((F.col("key") == cut["key"]) & (F.col("hash") <= cut["hash"]))).dropDuplicates(["key", "hash"]).orderBy("key", "hash").toArrow()
     slots = [np.asarray(x, np.int32) for x in got.column("slots").combine_chunks().to_numpy(zero_copy_only=False)]
     return train(slots, got.column("label").to_numpy())
 
