@@ -73,6 +73,7 @@ class Model(NamedTuple):
     byte_ids: np.ndarray
     unknown_id: int
     unknown_score: float
+    has_user: bool
     dummy_prefix: bool
     squeeze: bool
 
@@ -150,7 +151,7 @@ def load(raw: bytes, scores: str = "auto") -> Model:
             flags |= {k: v for k, v in own.items() if isinstance(v, int)}
     kinds, score = np.array(kinds), np.array(values, np.float32)
     if scores == "zipf" or scores == "auto" and model_type != UNIGRAM:
-        ranked = np.flatnonzero((kinds == NORMAL) | (kinds == USER))
+        ranked = np.flatnonzero(kinds == NORMAL)
         ranked = ranked[np.argsort(-score[ranked], kind="stable")]
         rank = np.arange(1, len(ranked) + 1)
         score[ranked] = -np.log(rank) - np.log((1 / rank).sum())
@@ -175,6 +176,7 @@ def load(raw: bytes, scores: str = "auto") -> Model:
         byte_ids,
         int(np.flatnonzero(kinds == UNKNOWN)[0]) if (kinds == UNKNOWN).any() else 0,
         float(np.float32(normal.min() if len(normal) else 0) - np.float32(UNKNOWN_PENALTY)),
+        bool((kinds == USER).any()),
         bool(flags[3]),
         bool(flags[4]),
     )
@@ -204,6 +206,16 @@ def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tu
     part = np.repeat(np.arange(len(starts)), ends - starts)
     stop = ends[part]
     a, b, piece = _edges(buf, stop, m)
+    user = np.flatnonzero(m.kinds[piece] == USER) if m.has_user else np.zeros(0, np.int64)
+    if len(user):  # a user's piece is taken wherever it stands, the first and longest one first: no other edge overlaps it
+        cover, own, reach = np.zeros(n + 1, np.int64), np.zeros(len(a), bool), 0
+        for i in user[np.lexsort((-b[user], a[user]))].tolist():
+            if a[i] >= reach:
+                reach, own[i] = int(b[i]), True
+                cover[a[i] + 1 : reach + 1] = 1
+        cover = np.cumsum(cover)
+        ok = own | (cover[b] == cover[a])
+        a, b, piece = a[ok], b[ok], piece[ok]
     # an unknown character: one edge over its bytes where no piece is just that character
     lead = (buf & 0xC0) != 0x80
     lead[starts] = True
@@ -213,6 +225,8 @@ def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tu
     single[chars] = char_end
     known = np.zeros(n, bool)
     known[a[b == single[a]]] = True
+    if len(user):
+        known[:n] |= cover[1:] > cover[:-1]
     lone = ~known[chars]
     a = np.concatenate([a, chars[lone]])
     b = np.concatenate([b, char_end[lone]])
@@ -279,6 +293,13 @@ def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tu
     return ids, np.bincount(lane, minlength=len(starts))
 
 
+def _kept(keep: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Offsets after the bytes that are not to keep have gone."""
+    if len(offsets) == 2:
+        return np.array([0, int(np.count_nonzero(keep))])
+    return np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 def _normalised(buf: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """Texts with markers as single spaces and the dummy prefix; empty texts stay empty."""
     if len(buf) > 2:
@@ -288,19 +309,19 @@ def _normalised(buf: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndar
             keep[mark + 1] = keep[mark + 2] = False
             buf = buf.copy()
             buf[mark] = SPACE
-            offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+            offsets = _kept(keep, offsets)
             buf = buf[keep]
     if m.squeeze and len(buf):
         space = buf == SPACE
         before = np.concatenate([[True], space[:-1]])
         before[offsets[:-1][offsets[:-1] < len(buf)]] = True
         keep = ~(space & before)
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        offsets = _kept(keep, offsets)
         buf = buf[keep]
         last = offsets[1:][np.diff(offsets) > 0] - 1
         keep = np.ones(len(buf), bool)
         keep[last[buf[last] == SPACE]] = False
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        offsets = _kept(keep, offsets)
         buf = buf[keep]
     if m.dummy_prefix:
         full = np.diff(offsets) > 0
@@ -320,21 +341,42 @@ def encode_chunk(buf: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.nda
     edge[offsets] = True
     edge[1:n] |= space[1:] & ~space[:-1]
     cuts = np.flatnonzero(edge)
-    starts, ends = cuts[:-1], cuts[1:]
+    out, bounds = [], []
+    for a, b in _stretches(cuts):
+        ids, count = _encode_parts(buf[cuts[a] : cuts[b]], cuts[a:b] - cuts[a], cuts[a + 1 : b + 1] - cuts[a], m)
+        out.append(ids.astype(np.int32))
+        bounds.append(count)
+    ids, total = np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(bounds))])
+    bounds = total[np.searchsorted(cuts[:-1], offsets)]
+    if not (m.byte_ids >= 0).all():  # a run of unknown characters is one token
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == m.unknown_id) & (ids[:-1] == m.unknown_id)
+        again[bounds[bounds < len(ids)]] = False
+        ids, bounds = ids[~again], bounds - np.concatenate([[0], np.cumsum(again)])[bounds]
+    return ids, bounds
+
+
+def _stretches(cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of runs of parts of about a chunk's bytes."""
+    at = 0
+    while at < len(cuts) - 1:
+        to = min(max(at + 1, int(np.searchsorted(cuts, cuts[at] + CHUNK_BYTES, "right")) - 1), len(cuts) - 1)
+        yield at, to
+        at = to
+
+
+def _encode_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the parts one after the other, and how many each has; each distinct part is solved once."""
     code, unique = pd.factorize(span_hash(prefix_hash(buf), starts, ends))
     first = np.empty(len(unique), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
     size = (ends - starts)[first]
     at = np.cumsum(size) - size
     own = buf[np.repeat(starts[first] - at, size) + np.arange(int(size.sum()))]
-    cut = np.unique(np.append(np.searchsorted(at, np.arange(0, len(own), CHUNK_BYTES)), len(at)))  # a very long text is solved by stretches
-    solved = [solve(own[at[a] : at[b - 1] + size[b - 1]], at[a:b] - at[a], at[a:b] - at[a] + size[a:b], m) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    ids, count = (np.concatenate(x) for x in zip(*solved, strict=True))
+    ids, count = solve(own, at, at + size, m)
     begin = np.cumsum(count) - count
     many = count[code]
-    out = ids[np.repeat(begin[code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-    total = np.concatenate([[0], np.cumsum(many)])
-    return out, total[np.searchsorted(starts, offsets)]
+    return ids[np.repeat(begin[code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))], many
 
 
 def decode_chunk(ids: np.ndarray, bounds: np.ndarray, m: Model) -> list[bytes]:
@@ -343,19 +385,24 @@ def decode_chunk(ids: np.ndarray, bounds: np.ndarray, m: Model) -> list[bytes]:
         b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(_MARK, b" ")
         for p, k in zip(m.pieces, m.kinds.tolist(), strict=True)
     ]
-    size = np.array([len(x) for x in shown])
+    size = np.array([len(x) for x in shown], np.int32)
     start = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(shown), np.uint8)
-    width = size[ids]
-    end = np.concatenate([[0], np.cumsum(width)])
-    raw = flat[np.repeat(start[ids] - end[:-1], width) + np.arange(int(end[-1]))].tobytes()
-    byte_piece = np.concatenate([[0], np.cumsum(m.kinds[ids] == BYTE)])
+    parts = []
+    for a in range(0, len(ids), 1 << 18):
+        own = ids[a : a + (1 << 18)]
+        width = size[own]
+        before = np.cumsum(width) - width
+        parts.append(flat[np.repeat(start[own] - before, width) + np.arange(int(width.sum()))].tobytes())
+    raw = b"".join(parts)
+    end = np.concatenate([[0], np.cumsum(size[ids])])[bounds]
+    byte_piece = np.concatenate([[0], np.cumsum(m.kinds[ids] == BYTE)])[bounds]
     out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        text = raw[end[a] : end[b]]
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        text = raw[end[i] : end[i + 1]]
         if m.dummy_prefix and text[:1] == b" " and a < b and m.kinds[ids[a]] != BYTE:
             text = text[1:]
-        if byte_piece[b] > byte_piece[a]:
+        if byte_piece[i + 1] > byte_piece[i]:
             text = text.decode("utf-8", "replace").encode()
         out.append(text)
     return out
@@ -421,7 +468,7 @@ def digest(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for a, b, buf, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
                 ids, bounds = encode_chunk(buf, offsets, held.value)
                 texts = decode_chunk(ids, bounds, held.value)
-                raw = ids.astype("<i4").tobytes()
+                raw = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
                 by = np.concatenate([[0], np.cumsum(held.value.kinds[ids] == BYTE)]) if len(ids) else np.zeros(1, np.int64)
                 sums = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
