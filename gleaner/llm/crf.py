@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gleaner.llm.textvec import IS_LETTER, LOWER, crc32_text, prefix_hash, span_hash, spans, text_chunks
+from gleaner.llm.textvec import CHUNK_BYTES, IS_LETTER, IS_SPACE, LOWER, crc32_text, prefix_hash, span_hash, spans, stretches, text_chunks
 from gleaner.session import materialise
 
 MAX_TRAIN_DOCS = 3000  # documents that the model is fitted on, at most
 MAX_TRAIN_BYTES = 1_000_000  # and their text together (besides the shortest of a language without one that fits)
+MAX_LABELS = 128  # languages to learn; more are an error, as the tables grow with them
 TABLE_BITS = 16
 LANE = 128
 PIECE = 32  # words of one document in a row in a training sequence
@@ -107,54 +108,92 @@ def emissions(w: Words, model: Model) -> np.ndarray:
     return out
 
 
-def marginals(e: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+class _Lanes:
+    """A run of words cut into lanes of equal length: factors, where sequences begin, and the steps at which the last lane has no more words."""
+
+    def __init__(self, e: np.ndarray, first: np.ndarray, transitions: np.ndarray):
+        self.n, self.k = e.shape
+        self.lanes = -(-self.n // LANE)
+        self.rest = self.n - (self.lanes - 1) * LANE
+        f, begin = np.ones((self.lanes * LANE, self.k), np.float32), np.zeros(self.lanes * LANE, bool)
+        f[: self.n] = np.exp(e - e.max(1, keepdims=True))
+        begin[: self.n] = first
+        self.f, begin = (np.ascontiguousarray(x.reshape(self.lanes, LANE, *x.shape[1:]).swapaxes(0, 1)) for x in (f, begin))
+        self.t = np.exp(transitions - transitions.max()).astype(np.float32)
+        self.broken = [np.flatnonzero(x) for x in begin]
+
+    def step(self, s: int, m: np.ndarray, nxt: np.ndarray, fresh: np.ndarray | float) -> np.ndarray:
+        """``nxt`` with sequences that begin at step ``s`` set to ``fresh`` and, past the last word, the last lane as it was in ``m``."""
+        if len(self.broken[s]):
+            nxt[self.broken[s]] = fresh
+        if s >= self.rest:
+            nxt[-1] = m[-1]
+        return nxt
+
+    def products(self) -> np.ndarray:
+        """What each lane makes of a message, as a matrix for each lane."""
+        through = np.broadcast_to(np.eye(self.k, dtype=np.float32), (self.lanes, self.k, self.k)).copy()
+        for s in range(LANE):
+            nxt = through @ self.t
+            if len(self.broken[s]):
+                nxt[self.broken[s]] = through[self.broken[s]].sum(2, keepdims=True)
+            nxt *= self.f[s][:, None, :]
+            through = self.step(s, through, nxt, nxt[self.broken[s]])
+            through /= through.sum((1, 2), keepdims=True)
+        return through
+
+
+def carried(e: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """What a run of words makes of a message from before it, as one matrix (up to a factor)."""
+    out = np.eye(e.shape[1], dtype=np.float32)
+    if len(e):
+        for m in _Lanes(e, first, transitions).products():
+            out = out @ m
+            out /= out.sum()
+    return out
+
+
+def marginals(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
     """Posterior of each label at each word of a row of sequences, by forward-backward.
 
     ``e``: log scores (words, labels). ``first``: which words begin a sequence. The words are cut into
-    lanes of equal length; products of transfer matrices carry the messages over the cuts.
+    lanes of equal length; products of transfer matrices carry the messages over the cuts. ``enter`` and ``leave`` are the messages
+    from before and behind, where the words are a stretch of a longer run.
     """
     n, k = e.shape
     if not n:
         return e
-    lanes = -(-n // LANE)
-    f = np.ones((lanes * LANE, k), np.float32)
-    f[:n] = np.exp(e - e.max(1, keepdims=True))
-    begin = np.ones(lanes * LANE, bool)
-    begin[:n] = first
-    begin[0] = True
-    f, begin = (np.ascontiguousarray(x.reshape(lanes, LANE, *x.shape[1:]).swapaxes(0, 1)) for x in (f, begin))
-    t = np.exp(transitions - transitions.max()).astype(np.float32)
-    broken = [np.flatnonzero(b) for b in begin]
-
-    through = np.broadcast_to(np.eye(k, dtype=np.float32), (lanes, k, k)).copy()
-    for s in range(LANE):
-        nxt = through @ t
-        if len(broken[s]):
-            nxt[broken[s]] = through[broken[s]].sum(2, keepdims=True)
-        through = nxt * f[s][:, None, :]
-        through /= through.sum((1, 2), keepdims=True)
-    enter, leave = np.ones((lanes, k), np.float32), np.ones((lanes, k), np.float32)
+    if enter is None:
+        first = first.copy()
+        first[0] = True
+    run = _Lanes(e, first, transitions)
+    f, t, lanes = run.f, run.t, run.lanes
+    through = run.products()
+    ins, outs = np.ones((lanes, k), np.float32), np.ones((lanes, k), np.float32)
+    if enter is not None:
+        ins[0] = enter
+    if leave is not None:
+        outs[-1] = leave
     for i in range(1, lanes):
-        v = enter[i - 1] @ through[i - 1]
-        enter[i] = v / v.sum()
+        v = ins[i - 1] @ through[i - 1]
+        ins[i] = v / v.sum()
     for i in range(lanes - 2, -1, -1):
-        v = through[i + 1] @ leave[i + 1]
-        leave[i] = v / v.sum()
+        v = through[i + 1] @ outs[i + 1]
+        outs[i] = v / v.sum()
 
-    alpha, a = np.empty_like(f), enter
+    alpha, a = np.empty_like(f), ins
     for s in range(LANE):
         nxt = a @ t
-        if len(broken[s]):
-            nxt[broken[s]] = 1.0
-        a = nxt * f[s]
+        if len(run.broken[s]):
+            nxt[run.broken[s]] = 1.0
+        nxt *= f[s]
+        a = run.step(s, a, nxt, nxt[run.broken[s]])
         a /= a.sum(1, keepdims=True)
         alpha[s] = a
-    b = leave
+    b = outs
     for s in range(LANE - 1, -1, -1):
         alpha[s] *= b
-        b = (b * f[s]) @ t.T
-        if len(broken[s]):
-            b[broken[s]] = 1.0
+        b = run.step(s, b, (b * f[s]) @ t.T, 1.0)
         b /= b.sum(1, keepdims=True)
     alpha /= alpha.sum(2, keepdims=True)
     return alpha.swapaxes(0, 1).reshape(-1, k)[:n]
@@ -262,7 +301,9 @@ def fit(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "
     key = F.xxhash64("text", "lang")
     keys = materialise(src.select("lang", key.alias("key"), F.octet_length("text").alias("size"), F.col("text").rlike(r"\p{L}").alias("letter")).dropDuplicates(["key"]), "crf-keys")
     least = F.min(F.when(F.col("letter"), F.struct("size", "key"))).alias("least")
-    counts = keys.groupBy("lang").agg(F.count("*").alias("n"), least).orderBy(F.desc("n"), "lang").limit(max_docs).collect()
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"), least).orderBy(F.desc("n"), "lang").limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages to learn")
     each = max(1, max_docs // max(len(counts), 1))
     below = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (1 << 65) * each // r["n"])) for r in counts]  # twice as many hashes as are needed
     near = keys.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, top long")), "lang").where("key <= top")
@@ -306,6 +347,38 @@ def _shares(buf: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[Words,
     return w, post, shares, letter
 
 
+def _long_share(buf: np.ndarray, model: Model) -> tuple[np.ndarray, bool]:
+    """The share of every language in one long text, and whether it has a letter: a stretch at a time, first what each stretch makes of a
+    message, then its marginals between the messages from both sides. The same as in one piece."""
+    cuts = list(stretches(buf, IS_SPACE))
+
+    def scores(i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = cuts[i]
+        e = emissions(words_of(buf[a:b], np.array([0, b - a])), model)
+        return e, np.zeros(len(e), bool)
+
+    k, letter = len(model.langs), any(not _no_letter(buf[a:b].tobytes()) for a, b in cuts)
+    products = [carried(*scores(i), model.transitions) for i in range(len(cuts))]
+    leave = [np.ones(k, np.float32)]
+    for m in reversed(products[1:]):
+        v = m @ leave[-1]
+        leave.append(v / v.sum())
+    enter, total, count = None, np.zeros(k), 0
+    for i, back in enumerate(reversed(leave)):
+        e, first = scores(i)
+        if not len(e):
+            continue
+        post = marginals(e, first, model.transitions, enter, back)
+        total, count = total + post.sum(0, dtype=np.float64), count + len(e)
+        if enter is None:  # up to here the run begins with its first word
+            first[0] = True
+            enter = carried(e, first, model.transitions).sum(0)
+        else:
+            enter = enter @ products[i]
+        enter = enter / enter.sum()
+    return total / max(count, 1), letter
+
+
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``lang_score`` (the share of the words' probability that the language holds).
 
@@ -324,7 +397,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for a, b, buf, offsets in text_chunks(batch.column(at)):
                 pred, score = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
                 if held.value.langs:
-                    _, _, shares, letter = _shares(buf, offsets, held.value)
+                    if b - a == 1 and len(buf) > CHUNK_BYTES:
+                        share, has = _long_share(buf, held.value)
+                        shares, letter = share[None, :], np.array([has])
+                    else:
+                        _, _, shares, letter = _shares(buf, offsets, held.value)
                     pred[letter] = np.array(held.value.langs, object)[shares[letter].argmax(1)]
                     score[letter] = shares[letter].max(1).clip(0, 1)
                 yield pa.RecordBatch.from_arrays(
@@ -337,7 +414,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, end, lang, score``: the runs of words of one language in each text, as UTF-8 byte offsets, with
-    the mean marginal probability. Texts without words give no row."""
+    the mean marginal probability. Texts without words give no row. A text's words are held together, at about 70 bytes for each of its bytes."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
