@@ -7,9 +7,10 @@ of all depths are mixed with the weights of context-tree weighting, which follow
 the block probabilities of the training texts.
 
 Spark counts the 6-byte grams of all texts (training occurrences; grams of other texts with
-count 0), deals them by their two latest context bytes, and computes each gram's
-probability once, a bounded bucket at a time; depths 0 and 1 are joined on the driver from at most
-65 280 rows. Scoring sums gram probabilities: the most frequent grams and words come
+count 0) and deals them to buckets of bounded size. A bucket holds whole subtrees of contexts of 2 bytes; a context with
+too many grams is split by its third latest byte and then by its fourth, below which there are 65 536 grams at most. Each bucket
+sums up the nodes above its subtrees, these are joined level by level, and a second pass over the buckets, with the nodes above each beside it, gives
+each gram's probability; depths 0 and 1 are joined on the driver from at most 65 280 rows. Scoring sums gram probabilities: the most frequent grams and words come
 from broadcast tables of fixed size, all others are joined exactly.
 """
 
@@ -20,22 +21,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gleaner.llm.textvec import IS_SPACE, LOWER, crc32_text, prefix_hash, span_hash, spans, text_chunks
+from gleaner.llm.textvec import CHUNK_BYTES, IS_SPACE, LOWER, crc32_text, prefix_hash, span_hash, spans, stretches, text_chunks
 from gleaner.session import materialise
 
 DEPTH = 5
-TOP = 2
+SPLITS = (2, 3, 4)  # depths of the contexts whose subtrees a bucket holds whole
 END = 0xFF  # never part of UTF-8
 FREQUENT_GRAMS = 1 << 20  # rows of the broadcast tables, at most
 FREQUENT_WORDS = 1 << 18
-BUCKET_ROWS = 150_000
+BUCKET_ROWS = 150_000  # grams of a bucket, at most (65 536 if that is more)
 WORD = np.uint64(1 << 63)  # set in the keys of words, never in those of grams
 
 
-def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gram keys and their rows, word keys and their rows of a chunk of texts (an end closes each row)."""
+Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def symbols(buf: np.ndarray, offsets: np.ndarray) -> Iterator[Symbols]:
+    """Gram keys and their rows, word keys and their rows of a chunk of texts (an end closes each row); of a long text alone a stretch at a time."""
+    if len(offsets) > 2 or len(buf) <= CHUNK_BYTES:
+        yield _symbols(buf, offsets, None, True)[0]
+        return
+    size = len(buf)
+    while size and IS_SPACE[buf[size - 1]]:  # white space at the end is no gap between words
+        step = IS_SPACE[buf[max(0, size - 65536) : size]]
+        size -= len(step) if step.all() else int(np.argmin(step[::-1]))
+    before = None
+    for a, b in stretches(buf[:size], IS_SPACE) if size else [(0, 0)]:
+        if b < size and IS_SPACE[buf[a:b]].all():
+            continue
+        found, before = _symbols(buf[a:b], np.array([0, b - a]), before, b == size)
+        yield found
+
+
+def _symbols(buf: np.ndarray, offsets: np.ndarray, before: np.ndarray | None, last: bool) -> tuple[Symbols, np.ndarray]:
+    """The symbols of whole texts, or of a stretch of one text: ``before`` holds the bytes before it, and a space closes it unless it is the ``last``."""
     n = len(offsets) - 1
     low = LOWER[buf]
     starts, ends, row = spans(~IS_SPACE[buf], offsets)
@@ -52,9 +73,9 @@ def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[np.arange(word_bytes[-1]) + np.repeat(at - word_bytes[:-1], lengths)] = low[~IS_SPACE[buf]]
     real = np.ones(len(out), bool)
     for j in range(DEPTH):
-        out[row_end - size + j] = 0
+        out[row_end - size + j] = 0 if before is None else before[j]
         real[row_end - size + j] = False
-    out[row_end - 1] = END
+    out[row_end - 1] = END if last else 32
     wide = out.astype(np.uint64)
     key = wide.copy()
     for d in range(1, DEPTH + 1):
@@ -62,7 +83,8 @@ def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     tokens = np.full(len(starts) + n, WORD)
     token_at = np.arange(len(starts)) + row
     tokens[token_at] = span_hash(prefix_hash(low), starts, ends) | WORD
-    return key[real], np.repeat(np.arange(n), size - DEPTH), tokens, np.repeat(np.arange(n), words + 1)
+    token_rows = np.repeat(np.arange(n), words + 1)
+    return (key[real], np.repeat(np.arange(n), size - DEPTH), tokens if last else tokens[:-1], token_rows if last else token_rows[:-1]), out[-DEPTH:]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +98,17 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         train = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
         for a, b, buf, offsets in text_chunks(batch.column(1)):
-            keys, rows, tokens, token_rows = symbols(buf, offsets)
-            for k, r in ((keys, rows), (tokens, token_rows)):
-                codes, unique = pd.factorize(k)
-                parts.append((unique, np.bincount(codes, weights=train[a:b][r], minlength=len(unique))))
-                held += len(unique)
-            if held > 3_000_000:
-                parts = [_merge(parts)]
-                held = len(parts[0][0])
-                if held > 1_500_000:
-                    yield from _counted(parts.pop())
-                    held = 0
+            for keys, rows, tokens, token_rows in symbols(buf, offsets):
+                for k, r in ((keys, rows), (tokens, token_rows)):
+                    codes, unique = pd.factorize(k)
+                    parts.append((unique, np.bincount(codes, weights=train[a:b][r], minlength=len(unique))))
+                    held += len(unique)
+                if held > 3_000_000:
+                    parts = [_merge(parts)]
+                    held = len(parts[0][0])
+                    if held > 1_500_000:
+                        yield from _counted(parts.pop())
+                        held = 0
     if parts:
         yield from _counted(_merge(parts))
 
@@ -117,10 +139,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def tree(keys: np.ndarray, n: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Nodes of depth ``TOP`` and, for each gram and bit, the mixed probability of that bit below ``TOP``.
+def tree(keys: np.ndarray, n: np.ndarray, top: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Nodes of depth ``top`` and, for each gram and bit, the mixed probability of that bit from ``top`` on downwards.
 
-    ``keys`` are distinct grams that hold every gram of their two latest context bytes. Returns for each bit
+    ``keys`` are distinct grams that hold every gram of their ``top`` latest context bytes. Returns for each bit
     (context and prefix, zeros, ones, log weighted probability), then probabilities (8, grams) and bits (8, grams).
     """
     keys = keys.astype(np.int64)
@@ -130,7 +152,7 @@ def tree(keys: np.ndarray, n: np.ndarray) -> tuple[list[tuple], np.ndarray, np.n
     bits = (keys[None, :] >> (7 - np.arange(8))[:, None]) & 1
     mixed, below, inverse = np.zeros((8, len(keys))), [None] * 8, None
     levels = []
-    for d in range(DEPTH, TOP - 1, -1):
+    for d in range(DEPTH, top - 1, -1):
         if d < DEPTH:
             up, inverse = np.unique(here & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
             count = np.bincount(inverse, weights=count, minlength=len(up))
@@ -164,19 +186,43 @@ def tree(keys: np.ndarray, n: np.ndarray) -> tuple[list[tuple], np.ndarray, np.n
     return tops, mixed, bits
 
 
+NODES = "depth int, node long, zeros double, ones double, below double"  # node: context of that depth, then a bit prefix led by a 1, in 8 bits
+
+
 def _top_nodes(part: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for k, (node, zeros, ones, total) in enumerate(tree(part["key"].to_numpy(), part["n"].to_numpy())[0]):
-        c1 = node >> k & 255
-        out.append(pd.DataFrame({"node": c1 << 8 | 1 << k | node & ((1 << k) - 1), "zeros": zeros, "ones": ones, "total": total}))
-    return pd.concat(out).groupby("node", as_index=False).sum()
+    """What a bucket adds to the nodes above its subtrees: counts, and the log probabilities of the nodes below summed."""
+    out, top = [], int(part["part"].iloc[0]) >> 56
+    for k, (node, zeros, ones, total) in enumerate(tree(part["key"].to_numpy(), part["n"].to_numpy(), top)[0]):
+        above = (node >> k) & (1 << 8 * (top - 1)) - 1
+        out.append(pd.DataFrame({"depth": top - 1, "node": above << 8 | 1 << k | node & ((1 << k) - 1), "zeros": zeros, "ones": ones, "below": total}))
+    return pd.concat(out).groupby(["depth", "node"], as_index=False).sum()
+
+
+def _weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in batches:
+        own = log_kt(x["zeros"].to_numpy(), x["ones"].to_numpy())
+        yield x.assign(weight=_sigmoid(own - x["below"]), total=np.logaddexp(own, x["below"]) - np.log(2))
+
+
+def _upper_nodes(sums: DataFrame) -> tuple[DataFrame, list]:
+    """The written nodes of depth 2 and 3 of contexts that were split, with their weights, and the rows of depth 1 (65 280 at most)."""
+    weighed = []
+    for depth in (3, 2):
+        own = sums.where(F.col("depth") == depth).groupBy("depth", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+        own = materialise(own.mapInPandas(_weigh, f"{NODES}, weight double, total double"), "ctw-upper")
+        weighed.append(own)
+        shorter = F.shiftright("node", 8).bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
+        above = F.shiftleft(shorter, 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
+        sums = sums.unionByName(own.select((F.col("depth") - 1).alias("depth"), above.alias("node"), "zeros", "ones", F.col("total").alias("below")))
+    rows = sums.where("depth = 1").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()
+    return weighed[0].unionByName(weighed[1]), rows
 
 
 def _top_tables(rows: list) -> tuple[np.ndarray, ...]:
     """For depths 1 and 0: weights, zeros and ones by (latest byte, prefix) and by prefix."""
     zeros, ones, children = (np.zeros((256, 256)) for _ in range(3))
     for r in rows:
-        zeros[r.node >> 8, r.node & 255], ones[r.node >> 8, r.node & 255], children[r.node >> 8, r.node & 255] = r.zeros, r.ones, r.total
+        zeros[r.node >> 8, r.node & 255], ones[r.node >> 8, r.node & 255], children[r.node >> 8, r.node & 255] = r.zeros, r.ones, r.below
     own = log_kt(zeros, ones)
     w1, below = _sigmoid(own - children), (np.logaddexp(own, children) - np.log(2)).sum(0)
     z0, o0 = zeros.sum(0), ones.sum(0)
@@ -186,22 +232,57 @@ def _top_tables(rows: list) -> tuple[np.ndarray, ...]:
 def _scorer(tops: tuple[np.ndarray, ...]):
     w1, z1, o1, w0, z0, o0 = tops
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "log10p": np.zeros(0)})
+        top = int(part["part"].iloc[0]) >> 56
         keys = part["key"].to_numpy()
-        _, mixed, bits = tree(keys, part["n"].to_numpy())
+        _, mixed, bits = tree(keys, part["n"].to_numpy(), top)
+        mids = {}
+        for depth in range(top - 1, 1, -1):  # a bucket of split contexts is of one context at each depth above
+            own = above[above["depth"] == depth]
+            mids[depth] = tuple(np.zeros(256) for _ in range(3))
+            for table, c in zip(mids[depth], ("weight", "zeros", "ones"), strict=True):
+                table[own["node"].to_numpy() & 255] = own[c]
         total, c1 = np.zeros(len(keys)), keys >> 8 & 255
         for k in range(8):
             j = 1 << k | (keys & 255) >> (8 - k)
-            own = (np.where(bits[k] == 1, o1[c1, j], z1[c1, j]) + 0.5) / (z1[c1, j] + o1[c1, j] + 1)
-            p = w1[c1, j] * own + (1 - w1[c1, j]) * mixed[k]
-            own = (np.where(bits[k] == 1, o0[j], z0[j]) + 0.5) / (z0[j] + o0[j] + 1)
-            total += np.log10(w0[j] * own + (1 - w0[j]) * p)
+            p, one = mixed[k], bits[k] == 1
+            for w, z, o in (*(tuple(t[j] for t in mids[d]) for d in mids), (w1[c1, j], z1[c1, j], o1[c1, j]), (w0[j], z0[j], o0[j])):
+                p = w * (np.where(one, o, z) + 0.5) / (z + o + 1) + (1 - w) * p
+            total += np.log10(p)
         return pd.DataFrame({"key": keys, "n": part["n"], "log10p": total})
 
     return run
 
 
-def fit(df: DataFrame, train: str, text: str) -> tuple[DataFrame, dict]:
+def buckets(grams: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``part`` to written rows with ``key``: the depth of the whole subtrees in it, the context above, and a number, in one long.
+
+    Contexts of one parent are dealt side by side to buckets of up to ``bucket_rows``; one that holds more than half of that is split by its next byte.
+    """
+    context = lambda depth: F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
+    unit = max(1, bucket_rows // 2)
+    sizes = materialise(grams.groupBy(context(SPLITS[-1]).alias("key4")).agg(F.count("*").alias("n")), "ctw-contexts").withColumnRenamed("key4", "c")
+    part, split = F.lit(None).cast("long"), None
+    for depth in SPLITS:
+        above = (1 << 8 * (depth - 1)) - 1
+        own = sizes.withColumn("c", F.col("c").bitwiseAND(F.lit((1 << 8 * depth) - 1))).groupBy("c").agg(F.sum("n").alias("n"))
+        own = own.withColumn("up", F.col("c").bitwiseAND(F.lit(above)))
+        if split is not None:
+            own = own.join(split.select(F.col("c").alias("up")), "up", "left_semi")
+        own = materialise(own, "ctw-contexts")
+        whole = own if depth == SPLITS[-1] else own.where(F.col("n") <= unit)
+        before = F.sum("n").over(W.partitionBy("up").orderBy("c").rowsBetween(W.unboundedPreceding, -1))  # 256 contexts of one parent at most
+        number = F.floor(F.coalesce(before, F.lit(0)) / unit)
+        dealt = whole.select(F.col("c").alias(f"c{depth}"), F.lit(depth << 56).bitwiseOR(F.shiftleft("up", 24)).bitwiseOR(number.cast("long")).alias(f"p{depth}"))
+        grams = grams.withColumn(f"c{depth}", context(depth)).join(materialise(dealt, "ctw-dealt"), f"c{depth}", "left")
+        part = F.coalesce(part, f"p{depth}")
+        split = own.where(F.col("n") > unit)
+    return grams.withColumn("part", part).drop(*(f"{c}{depth}" for depth in SPLITS for c in "cp"))
+
+
+def fit(df: DataFrame, train: str, text: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, dict]:
     """The written table ``key, n, log10p`` of all grams and words of ``df``, and the counts N and V of its training tokens.
 
     ``train`` and ``text`` name columns: whether a row is learnt from, and its text.
@@ -211,14 +292,18 @@ def fit(df: DataFrame, train: str, text: str) -> tuple[DataFrame, dict]:
     totals = counts.agg(
         F.coalesce(F.sum(F.when(F.col("key") < 0, F.col("n"))), F.lit(0)).alias("N"),
         F.count_if((F.col("key") < 0) & (F.col("n") > 0)).alias("V"),
-        F.count_if(F.col("key") >= 0).alias("grams"),
     ).first()
-    buckets = max(8, -(-totals["grams"] // BUCKET_ROWS))
-    latest = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    grams = counts.where("key >= 0").withColumn("bucket", F.pmod(F.xxhash64(latest), F.lit(buckets)))
-    nodes = grams.groupBy("bucket").applyInPandas(_top_nodes, "node long, zeros double, ones double, total double")
-    rows = nodes.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("total")).collect()
-    scored = grams.groupBy("bucket").applyInPandas(_scorer(_top_tables(rows)), "key long, n long, log10p double")
+    grams = buckets(counts.where("key >= 0"), bucket_rows)
+    sums = materialise(grams.groupBy("part").applyInPandas(_top_nodes, NODES), "ctw-nodes")
+    upper, rows = _upper_nodes(sums)
+    # each bucket of split contexts gets the nodes of the contexts above it
+    up = F.shiftright("part", 24).bitwiseAND(F.lit((1 << 32) - 1))
+    asked = grams.select("part").where(F.shiftright("part", 56) > 2).distinct()
+    depth = F.explode(F.when(F.shiftright("part", 56) == 3, F.array(F.lit(2))).otherwise(F.array(F.lit(2), F.lit(3)))).alias("depth")
+    asked = asked.select("part", up.alias("up"), depth).withColumn("c", F.col("up").bitwiseAND(F.when(F.col("depth") == 2, F.lit(0xFFFF)).otherwise(F.lit(0xFFFFFF))))
+    nodes = upper.withColumn("c", F.shiftright("node", 8))
+    above = materialise(asked.join(nodes, ["depth", "c"]).select("part", "depth", "node", "weight", "zeros", "ones"), "ctw-above")
+    scored = grams.groupBy("part").cogroup(above.groupBy("part")).applyInPandas(_scorer(_top_tables(rows)), "key long, n long, log10p double")
     words = counts.where("key < 0").select("key", "n", F.log10((F.col("n") + 0.1) / (F.lit(totals["N"] + 0.1 * (totals["V"] + 1)))).alias("log10p"))
     return materialise(scored.unionByName(words), "ctw-model"), {"N": totals["N"], "V": totals["V"]}
 
@@ -270,15 +355,27 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for batch in batches:
             for a, b, buf, offsets in text_chunks(batch.column(4)):
                 n = b - a
-                keys, rows, tokens, token_rows = symbols(buf, offsets)
-                total_p, _, r1, k1, t1 = _look_up(keys, rows, n, grams.value)
-                base, known, r2, k2, t2 = _look_up(tokens, token_rows, n, words.value)
-                r, k, t = np.concatenate([r1, r2]), np.concatenate([k1, k2]), np.concatenate([t1, t2])
+                total_p, base, known, n_tokens, n_bytes = np.zeros(n), np.zeros(n), *(np.zeros(n, np.int64) for _ in range(3))
+                found = []
+                for keys, rows, tokens, token_rows in symbols(buf, offsets):
+                    p, _, *rare = _look_up(keys, rows, n, grams.value)
+                    found.append(rare)
+                    total_p += p
+                    if len(tokens):
+                        p, hits, *rare = _look_up(tokens, token_rows, n, words.value)
+                        found.append(rare)
+                        base, known = base + p, known + hits
+                    n_tokens += np.bincount(token_rows, minlength=n)
+                    n_bytes += np.bincount(rows, minlength=n)
+                r, k, t = (np.concatenate(x) for x in zip(*found, strict=True))
+                if n == 1:  # stretches of one text
+                    codes, k = pd.factorize(k)
+                    r, t = np.zeros(len(k), np.int64), np.bincount(codes, weights=t, minlength=len(k)).astype(np.int64)
                 order = np.argsort(r, kind="stable")
                 edges = pa.array(np.searchsorted(r[order], np.arange(n + 1)).astype(np.int32))
                 rare = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (k, t.astype(np.int32))]
                 fixed = [batch.column(i).slice(a, n) for i in range(4)]
-                own = [pa.array(np.bincount(token_rows, minlength=n)), pa.array(np.bincount(rows, minlength=n)), pa.array(known), pa.array(base), pa.array(total_p)]
+                own = [pa.array(n_tokens), pa.array(n_bytes), pa.array(known), pa.array(base), pa.array(total_p)]
                 yield pa.RecordBatch.from_arrays(
                     [*fixed, *own, *rare], ["doc_id", "held_out", "t1", "t2", "n_tokens", "n_bytes", "known", "base", "p", "keys", "times"]
                 )
