@@ -28,7 +28,9 @@ MAX_BITS = 4
 WORDS, SIMILARITY = 5, 0.8
 PRINTS = 4  # fingerprints of a text in keep_one
 CHECK_BITS = 22  # of a candidate's other fingerprints that may differ: at similarity 0.8 more differ once in 100,000 pairs
-CROWD = 64  # nodes of a key that are compared with each other at once
+CROWD = 64  # nodes of a key that are compared with each other at once, about
+SAMPLED = 16  # a key is crowded if the nodes whose hash is in one of so many parts of its range make up this part of a crowd
+LIKELY_BITS = 10  # of a check fingerprint that differ at similarity 0.8, on average
 BLOCK = 500  # nodes of a crowded key that are compared in one task with as many others
 
 _PLACE = _mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -228,47 +230,73 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words:
     return materialise(met.mapInArrow(_similar_batches(words, similarity), "a long, b long"), "simhash-near")
 
 
-def similar_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def _linked(pairs: DataFrame, known: DataFrame | None, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """The verified pairs of ``a, b, bits`` (written) that matter, with ``known`` ones: first one for each node, the likely one of the smallest other node, then one for each
+    that is left between two components, then all that are left. A pair within a component needs no look."""
+    near = known
+    for last in (False, False, True):
+        if near is not None:
+            found = materialise(connected_components(near), "simhash-found")
+            of = lambda df, node, name, found=found: df.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+            pairs = of(of(pairs, "a", "own"), "b", "other").where(F.col("own") != F.col("other")).select("a", "b", "bits")
+            pairs = materialise(pairs, "simhash-open")
+            if pairs.isEmpty():
+                break
+        asked = pairs.select("a", "b")
+        if not last:
+            asked = materialise(pairs.groupBy("b").agg(F.min_by("a", F.struct(F.col("bits") > LIKELY_BITS, "a")).alias("a")).select("a", "b"), "simhash-asked")
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        got = _verified(asked, texts, words, similarity)
+        near = got if near is None else near.unionByName(got)
+    return near
+
+
+def similar_links(
+    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD, sampled: int = SAMPLED, block: int = BLOCK
+) -> DataFrame:
     """``node, component`` over the pairs of nodes (``node, fps``, each once, written) of at least the similarity; nodes that are alone do not appear.
 
-    ``texts`` gives ``node, text`` for a table of nodes. A key that up to ``crowd`` nodes share makes a candidate of each pair of them whose check fingerprints are near. Of a
-    crowded key all nodes first meet its smallest one; those which its verified links leave in another component are then compared with all
-    others of the key, in blocks, so a large group of near copies costs no pairs of its own.
+    ``texts`` gives ``node, text`` for a table of nodes. Nodes that share a key are a candidate where their check fingerprints are near. Of a crowded
+    key (see ``SAMPLED``) all nodes first meet its smallest one; those which the verified links leave in another component are then compared with all
+    others of the key, in blocks, so a large group of near copies costs no pairs of its own. How a key is treated changes no result.
     """
     size = F.size("fps")
     checked = F.transform(
         F.col("fps"),
         lambda fp, i: F.struct(F.element_at("fps", (i + 1) % size + 1).alias("check"), F.transform(variants(fp), lambda key: F.shiftleft(i.cast("long"), 40).bitwiseOR(key)).alias("keys")),
     )
-    each = nodes.where("node <> 0").select("node", F.explode(checked).alias("c")).select("node", "c.check", F.explode("c.keys").alias("key"))
-    shuffled = each.repartition("key")
-    shared = shuffled.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "check")).alias("rep")).where("n > 1")
-    held = materialise(shuffled.join(shared, "key").select("key", "node", "check", "n", F.col("rep.node").alias("rep"), F.col("rep.check").alias("rep_check")), "simhash-held")
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_BITS
-    few, many = held.where(F.col("n") <= crowd), held.where(F.col("n") > crowd)
-    left, right = (few.select("key", F.col("node").alias(n), F.col("check").alias(f"check_{n}")) for n in "ab")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & close("check_a", "check_b")).select("a", "b")
-    star = many.where((F.col("node") > F.col("rep")) & close("check", "rep_check")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = materialise(pairs.unionByName(star).distinct(), "simhash-candidates")
-    near = _verified(pairs, texts, words, similarity)
-    found = materialise(connected_components(near), "simhash-found")
+    spread = nodes.where("node <> 0").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "node")
+    each = spread.select("node", F.explode(checked).alias("c")).select("node", "c.check", F.explode("c.keys").alias("key"))
+    part = each.where(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(sampled)) == 0)
+    hot = materialise(part.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * sampled >= crowd).select("key"), "simhash-crowded")
+    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    cold = each.join(hot, "key", "left_anti")
+    left, right = (cold.select("key", F.col("node").alias(n), F.col("check").alias(f"check_{n}")) for n in "ab")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (bits("check_a", "check_b") <= CHECK_BITS)).select("a", "b", bits("check_a", "check_b").alias("bits"))
+    many = materialise(each.join(hot, "key", "left_semi"), "simhash-crowds")
+    reps = many.groupBy("key").agg(F.min(F.struct("node", "check")).alias("rep")).select("key", F.col("rep.node").alias("a"), F.col("rep.check").alias("check_a"))
+    met = many.select("key", F.col("node").alias("b"), F.col("check").alias("check_b")).join(materialise(reps, "simhash-first"), "key")
+    star = met.where((F.col("a") < F.col("b")) & (bits("check_a", "check_b") <= CHECK_BITS)).select("a", "b", bits("check_a", "check_b").alias("bits"))
+    pairs = materialise(pairs.unionByName(star).groupBy("a", "b").agg(F.min("bits").alias("bits")), "simhash-candidates")
+    near = _linked(pairs, None, texts, words, similarity)
     if many.isEmpty():
-        return found
+        return connected_components(near)
 
-    of = lambda df, node, name: df.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    placed = materialise(of(of(many.select("key", "node", "check", "rep"), "node", "own"), "rep", "main"), "simhash-placed")
-    crowds = placed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("main")).alias("open")).where("open").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    found = materialise(connected_components(near), "simhash-found")
+    placed = many.join(found.select("node", F.col("component").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    placed = materialise(placed, "simhash-placed")
+    crowds = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("one"), F.max("own").alias("two")).where("one <> two").select("key", F.ceil(F.col("n") / block).alias("blocks"))
     dealt = placed.join(materialise(crowds, "simhash-open"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.select("key", "node", "check", "own", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "node", "check", "own", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     left, right = (dealt.select("key", "low", "high", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "check", "own", "part"))) for n in "ab")
-    met = left.join(right, ["key", "low", "high"]).where((F.col("node_a") < F.col("node_b")) & (F.col("own_a") != F.col("own_b")) & close("check_a", "check_b"))
-    met = met.where((F.col("low") == F.col("high")) | (F.col("part_a") != F.col("part_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    more = materialise(met.distinct().join(pairs, ["a", "b"], "left_anti"), "simhash-candidates")
-    return connected_components(near.unionByName(_verified(more, texts, words, similarity)))
+    met = left.join(right, ["key", "low", "high"]).where((F.col("node_a") < F.col("node_b")) & (F.col("own_a") != F.col("own_b")) & (bits("check_a", "check_b") <= CHECK_BITS))
+    met = met.where((F.col("low") == F.col("high")) | (F.col("part_a") != F.col("part_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), bits("check_a", "check_b").alias("bits"))
+    more = met.groupBy("a", "b").agg(F.min("bits").alias("bits")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return connected_components(_linked(materialise(more, "simhash-candidates"), near, texts, words, similarity))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, crowd: int = CROWD, sampled: int = SAMPLED, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` with one row left of each group of near copies: the one of the smallest id (null ids last).
 
     Texts are linked from the given Jaccard similarity of their sets of word shingles on; a group is all that links reach. Each link is
@@ -287,7 +315,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         wanted = materialise(each.join(asked, "node").select(F.col("s.key").alias("__key"), "node"), "simhash-asked")
         return src.join(wanted, "__key").dropDuplicates(["node"]).select("node", "text")
 
-    linked = similar_links(each.select("node", "fps"), texts, words, similarity, crowd, block)
+    linked = similar_links(each.select("node", "fps"), texts, words, similarity, crowd, sampled, block)
     rooted = each.join(linked, "node", "left").select("s", F.coalesce("component", "node").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.key").alias("__key"))
     return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").select(*df.columns)  # one shuffle by the key does for both

@@ -361,19 +361,22 @@ def number(n):
     return out + bytes([n])
 
 
-def unigram_file(raw, scores):
-    """The model file with its kind set to unigram and other scores."""
+def unigram_file(raw, scores, kinds=None):
+    """The model file with its kind set to unigram and other scores, and with other kinds of pieces and no byte pieces if ``kinds`` is given."""
     import struct
 
     out, i = b"", 0
     for field, value in pieces._fields(raw):
         if field == 1:
             own = dict(pieces._fields(value))
+            if kinds is not None:
+                own[3] = int(kinds[i])
             value = b"\x0a" + number(len(own[1])) + own[1] + b"\x15" + struct.pack("<f", scores[i]) + (b"\x18" + number(own[3]) if 3 in own else b"")
             i += 1
         elif field == 2:
             at = value.index(b"\x18\x02")
             value = value[:at] + b"\x18\x01" + value[at + 2 :]
+            value = value if kinds is None else value.replace(b"\x98\x02\x01", b"\x98\x02\x00")
         out += number(field << 3 | 2) + number(len(value)) + value
     return out
 
@@ -400,6 +403,30 @@ def test_pieces_as_the_public_library_encodes_them(piece_model):
     assert [t.decode() for t in pieces.decode_chunk(ids, bounds, m)] == [library.decode(x) for x in library.encode(texts)]
 
 
+def test_user_pieces_come_first_and_unknown_runs_are_one_token(piece_model):
+    import sentencepiece
+
+    raw, m = piece_model
+    kinds = np.where(m.kinds == pieces.BYTE, pieces.UNUSED, m.kinds)
+    for piece in ("日".encode(), b"#"):
+        found = [i for i, p in enumerate(m.pieces) if p == piece and m.kinds[i] == pieces.NORMAL]
+        kinds[found] = pieces.USER
+    assert (kinds == pieces.USER).any()
+    file = unigram_file(raw, m.scores, kinds)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=file), pieces.load(file)
+    rng = np.random.default_rng(3)
+    letters = np.array(list("aeiouthrnsdl  \U000118a0日\U0001f389"))
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(800)] + ["a#b 日"] + ["\U000118a0\U000118a1 \U000118a2\U000118a2", "", "\U000118a0"] * 2
+    ids, bounds = pieces.encode_chunk(*chunk(texts), own)
+    got, want = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], library.encode(texts)
+    hr = m.pieces.index(b"hr")
+    kinds[hr] = pieces.USER
+    other = pieces.load(unigram_file(raw, m.scores, kinds))
+    assert [m.pieces[i] for i in pieces.encode_chunk(*chunk(["shrr hrs"]), other)[0]] == ["▁s".encode(), b"hr", b"r", "▁".encode(), b"hr", b"s"]
+    # the library adds up a whole text, so its rounding may order pieces of equal sum otherwise
+    assert [sorted(x) for x in got] == [sorted(x) for x in want] and sum(a != b for a, b in zip(got, want, strict=True)) <= 8
+
+
 def test_stretches_of_a_long_text_change_nothing(piece_model, monkeypatch):
     texts = [" ".join(f"w{i * 7919 % 997}x{i}" for i in range(900)), "a" * 700, "", "b c"]
     whole, bounds = pieces.encode_chunk(*chunk(texts), piece_model[1])
@@ -480,19 +507,35 @@ def ctw_by_arrays(train, texts):
     keys, n = {}, 0
     every = []
     for t, learn in [(t, 1) for t in train] + [(t, 0) for t in texts]:
-        k, rows, _, _ = ctw.symbols(*chunk([t]))
+        k = np.concatenate([x[0] for x in ctw.symbols(*chunk([t]))])
         every.append(k.view(np.int64))
         for x in k.view(np.int64).tolist():
             keys[x] = keys.get(x, 0) + learn
     import pandas as pd
 
-    part = pd.DataFrame({"key": list(keys), "n": list(keys.values())})
-    nodes = ctw._top_nodes(part)
-    scored = ctw._scorer(ctw._top_tables(list(nodes.itertuples(index=False))))(part)
+    whole = pd.DataFrame({"key": list(keys), "n": list(keys.values())})
+    whole["part"] = (2 << 56) + ((whole["key"].to_numpy() >> 8 & 255) << 24)
+    parts = [p for _, p in whole.groupby("part")]
+    nodes = pd.concat([ctw._top_nodes(p) for p in parts]).groupby("node", as_index=False).sum()
+    score = ctw._scorer(ctw._top_tables(list(nodes.itertuples(index=False))))
+    scored = pd.concat([score(p, p[:0]) for p in parts])
     value = dict(zip(scored["key"], scored["log10p"], strict=True))
     return [sum(value[x] for x in every[len(train) + i].tolist()) for i in range(len(texts))]
 
 
+def test_symbols_in_stretches(monkeypatch):
+    from gleaner.llm import textvec
+
+    texts = ["", " ", "a", "the cat  sat on\tthe mat " * 20 + "   \n" * 40, "x" * 200 + " yz", " " * 300 + "a b", "one two " + "é" * 100]
+    whole = [next(iter(ctw.symbols(*chunk([t])))) for t in texts]
+    for module in (textvec, ctw):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 32)
+    for t, w in zip(texts, whole, strict=True):
+        got = list(ctw.symbols(*chunk([t])))
+        assert len(got) > 10 or "cat" not in t
+        assert [np.concatenate(x).tolist() for x in zip(*got, strict=True)] == [x.tolist() for x in w]
+
+
 def test_ctw_as_the_tree_says():
     train = ["the cat sat on the mat", "The dog sat", "été là", ""]
     texts = ["the cat", "xyz the", "", "été"]
@@ -532,3 +575,21 @@ def test_crf_labels_words_of_mixed_text():
     assert first.tolist() == [0] * 5 + [1] * 6
     assert letter.tolist() == [True, False, False, False, True]
     assert shares[4].argmax() == 1
+
+
+def test_crf_and_features_of_long_texts_in_stretches(monkeypatch):
+    from gleaner.llm import textvec
+
+    rng = np.random.default_rng(2)
+    en, fr = "the house and garden with this thing that other".split(), "une maison et le jardin avec cette chose".split()
+    m = crf.train([" ".join(rng.choice(w, 60)) for w in (en, fr) for _ in range(8)], ["en"] * 8 + ["fr"] * 8)
+    m = m._replace(weights=m.weights * 0.05)  # unsure words, so that messages matter over long stretches
+    texts = [" ".join(rng.choice([*en, *fr, "x1", "—", "!!", "New New New"], size)) for size in (1, 7, 40, 400)] + ["  " * 200 + "the maison", "12 34 " * 60]
+    whole = [(crf._shares(*chunk([t]), m), nbsvm.features(*chunk([t]))) for t in texts]
+    monkeypatch.setattr(crf, "LANE", 5)
+    for module in (textvec, crf, nbsvm):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 48)
+    for t, ((_, _, shares, letter), (_, slots)) in zip(texts, whole, strict=True):
+        share, has = crf._long_share(np.frombuffer(t.encode(), np.uint8), m)
+        assert has == letter[0] and share == pytest.approx(shares[0], abs=1e-5)
+        assert nbsvm.features(*chunk([t]))[1].tolist() == slots.tolist()

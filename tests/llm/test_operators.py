@@ -388,7 +388,7 @@ def test_near_copies_by_brute_force(spark, odd, none):
             root[i] = root[j] = min(root[i], root[j])
     assert len(near) > 50 and len(set(root)) < len(texts)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    kept = {how: {r["doc_id"] for r in simhash.keep_one(df, **how_).collect()} for how, how_ in (("plain", {}), ("crowded", {"crowd": 1, "block": 3}), ("sixteen", {"prints": 16}))}
+    kept = {how: {r["doc_id"] for r in simhash.keep_one(df, **how_).collect()} for how, how_ in (("plain", {}), ("crowded", {"crowd": 1, "sampled": 1, "block": 3}), ("sixteen", {"prints": 16}))}
     assert kept["sixteen"] == set(root)  # with many fingerprints no pair is missed
     gone = len(texts) - len(set(root))
     assert kept["plain"] == kept["crowded"] >= set(root) and len(texts) - len(kept["plain"]) >= 0.9 * gone
@@ -572,6 +572,22 @@ def test_ctw_scores_do_not_depend_on_what_is_broadcast(spark, docs, monkeypatch)
         assert r["n_known"] == a["n_known"] and r["score"] == pytest.approx(a["score"], rel=1e-9) and r["base_score"] == pytest.approx(a["base_score"], rel=1e-9)
 
 
+def test_ctw_splits_contexts_with_many_grams(spark, docs):
+    """One hot context in small buckets: none is larger than asked for, and every gram's probability stays the same."""
+    hot = spark.createDataFrame([(10_000 + i, " ".join(f"ab{a}{b}{c}" for a in "xyzuvw" for b in "mnopq" for c in "0123456789")[i : 2000 - i]) for i in range(3)], "doc_id long, text string")
+    src = docs.select("doc_id", "text").limit(40).unionByName(hot).withColumn("train", F.col("doc_id") % 3 > 0)
+    whole, total = ctw.fit(src, "train", "text")
+    small, same = ctw.fit(src, "train", "text", bucket_rows=60)
+    a, b = ({r["key"]: (r["n"], r["log10p"]) for r in x.collect()} for x in (whole, small))
+    assert total == same and a.keys() == b.keys()
+    assert all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], rel=1e-9) for k in a)
+    sizes = ctw.buckets(whole.where("key >= 0").select("key"), 60)
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 32) - 1))
+    sizes = sizes.withColumn("c", context).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("c").alias("contexts")).withColumn("depth", F.shiftright("part", 56)).collect()
+    assert {r["depth"] for r in sizes} == {2, 3, 4}
+    assert all(r["n"] <= 60 or (r["depth"] == 4 and r["contexts"] < 8) for r in sizes)  # below four bytes nothing is split
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
