@@ -30,10 +30,13 @@ def session(app: str = "gleaner", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is named, a local session gets one of its own; on a cluster, where
+    executors would not see it, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = getattr(shared_dir, "own", None)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if named is None:
             named = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
