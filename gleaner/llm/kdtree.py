@@ -70,19 +70,30 @@ def _exact(*parts: np.ndarray) -> type:
     return np.float32 if size < 1 << 24 else np.float64 if size < 1 << 53 else np.int64
 
 
-def search(tree: Tree, q: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(tree: Tree, q: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row id, score) of up to ``k`` rows for each query that beat (``kth``, ``kth_id``): a higher score, or the same and a smaller id.
 
-    Rows whose id is the query's ``own`` are no results.
+    Rows whose id is the query's ``own`` are no results. ``counts`` takes up how many boxes were evaluated, of all.
     """
     kind = _exact(q, tree.x)
     x, fq = tree.x.astype(kind), q.astype(kind)
     up, down = np.maximum(fq, 0), np.minimum(fq, 0)
     kth, kth_id = kth.copy(), kth_id.copy()
-    active = np.ones((len(q), 1), bool)
+    active, met = np.ones((len(q), 1), bool), 0
     for low, high, least, _, _, parent in tree.levels:
-        bound = (up @ high.astype(kind).T + down @ low.astype(kind).T).astype(np.int64)
-        active = active[:, parent] & ((bound > kth[:, None]) | ((bound == kth[:, None]) & (least[None, :] < kth_id[:, None])))
+        bound, now = np.full((len(q), len(parent)), LOWEST), np.zeros((len(q), len(parent)), bool)
+        low, high = low.astype(kind), high.astype(kind)
+        edges = np.searchsorted(parent, np.arange(active.shape[1] + 1))
+        for node in np.flatnonzero(active.any(0)):  # only the boxes below a node that a query still has to look into
+            rows, kids = np.flatnonzero(active[:, node]), slice(int(edges[node]), int(edges[node + 1]))
+            top = (up[rows] @ high[kids].T + down[rows] @ low[kids].T).astype(np.int64)
+            bound[rows, kids] = top
+            now[rows, kids] = (top > kth[rows, None]) | ((top == kth[rows, None]) & (least[None, kids] < kth_id[rows, None]))
+            met += top.size
+        active = now
+    if counts is not None:
+        counts["boxes"] = counts.get("boxes", 0) + met
+        counts["all boxes"] = counts.get("all boxes", 0) + len(q) * sum(len(level[-1]) for level in tree.levels)
     _, _, least, first, last, _ = tree.levels[-1]
     bound[~active] = LOWEST
     order = np.argsort(-bound, axis=1, kind="stable")

@@ -20,12 +20,17 @@ URL_RULES = [
 ]
 
 
-def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the shard that holds it after arrivals and compaction, and the checksum of its text as stored."""
+def _sharded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     sharding.load_table(store, table(spark, sf_dir, "documents"))
     version = store.compact()
-    return store.read().select(
+    return store.read(), version
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shard that holds it after arrivals and compaction, and the checksum of its text as stored."""
+    rows, version = _sharded(spark, sf_dir)
+    return rows.select(
         "doc_id",
         F.col("__shard").alias("shard"),
         F.col("__shard_bytes").alias("shard_bytes"),
@@ -72,10 +77,46 @@ def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of four of the operators: the same calls, fewer columns.
+
+
+def sharded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharded(spark, sf_dir)[0].select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
+def flac_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_urls(spark, sf_dir).where("rule is not null").select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_flac, op3_packing, op4_kdtree, op5_nbsvm, op6_simhash, op7_urls, op8_pieces, op9_ctw, op10_crf)
+    f.__name__: f
+    for f in (op1_sharding, op2_flac, op3_packing, op4_kdtree, op5_nbsvm, op6_simhash, op7_urls, op8_pieces, op9_ctw, op10_crf, sharded_rows, flac_payloads, packed_tokens, url_rules)
 }
 ORACLES: dict[str, str] = {
+    "sharded_rows": "SELECT doc_id, lang, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+    "flac_payloads": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT *, CAST(greatest(1, ceil(strlen(text) / 192.0)) * 192 AS BIGINT) AS size FROM d)
+        SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, size AS payload_bytes, sha256(text || repeat(' ', size - strlen(text))) AS payload_sha256 FROM p
+    """,
+    "packed_tokens": r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents",
+    "url_rules": """
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r AS (SELECT *, CASE WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/7') THEN 'example.com/en/7'
+            WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/de/8') THEN 'example.net/de/8'
+            WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/en/') THEN 'com/en/'
+            WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/de/') THEN 'net/de/'
+            WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/es/') THEN 'org/es/' END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE rule WHEN 'example.com/en/7' THEN 'allow' ELSE 'block' END AS verdict FROM r WHERE rule IS NOT NULL
+    """,
     "op4_kdtree": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e

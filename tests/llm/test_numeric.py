@@ -298,6 +298,19 @@ def test_kdtree_finds_the_exact_top(n, d, copies):
             assert score[i == a].tolist() == s[order].tolist()
 
 
+def test_kdtree_leaves_boxes_out():
+    """A query that knows a good kth score looks into few boxes."""
+    rng = np.random.default_rng(8)
+    x = (rng.integers(0, 30, (1, 5)) * 0 + np.repeat(rng.integers(-200, 200, (40, 5)), 50, 0)) + rng.integers(-3, 4, (2000, 5))
+    ids = np.arange(2000)
+    tree = kdtree.build(x, ids, 16)
+    q, own = x[::40], ids[::40]
+    best = np.sort(q @ x.T, 1)[:, -6]
+    counts = {}
+    kdtree.search(tree, q, own, 5, best, np.zeros(len(q), np.int64), counts)
+    assert 0 < counts["boxes"] < 0.3 * counts["all boxes"]
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 

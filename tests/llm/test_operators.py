@@ -263,6 +263,12 @@ def test_kdtree_over_shards(spark, shard_rows, block):
     assert kdtree.top_k(df.limit(0), F.expr("id % 50 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["sharded_rows", "flac_payloads", "packed_tokens", "url_rules"])
+def test_side_queries_as_their_sql(spark, oracle, name):
+    got, want = queries.QUERIES[name](spark, SF), oracle.sql(queries.ORACLES[name])
+    assert got.columns == want.columns and sorted(map(str, rows(got))) == sorted(map(str, want.fetchall()))
+
+
 # --- 5 and 10 ---------------------------------------------------------------------------------
 
 
