@@ -7,7 +7,7 @@ reader sees a whole version or none, and of two writers one loses and tries agai
 whose rename of a folder is atomic (HDFS and its like, local disks); on plain object stores it does not.
 
 Compaction sorts the live shards into tiers by size. A tier with enough shards is
-merged by one job that reads whole shards side by side, as many as make a target-sized
+merged by one job that reads shards side by side, as many as make a target-sized
 file, and writes each set as one file: no shuffle, and a row moves at most once for each tier.
 """
 
@@ -158,8 +158,7 @@ class ShardStore:
     def compact(self, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> int:
         """Merge tiers of ``fanout`` shards or more, smallest shards first, until there is none; return the latest version.
 
-        Merged files have up to one and a half times the target size (any two shards that are not full fit in one, so every
-        merge leaves fewer shards). Each merge is one version. Readers of older versions are not disturbed. ``MergedElsewhere`` if another compaction has
+        Merged files have one to two times the target size, or less if that is all there is; every merge leaves fewer shards. Each merge is one version. Readers of older versions are not disturbed. ``MergedElsewhere`` if another compaction has
         taken the same shards; shards that were appended meanwhile stay.
         """
         if fanout < 2:
@@ -172,11 +171,9 @@ class ShardStore:
 
     def _merge(self, tier: int, target_bytes: int, fanout: int) -> None:
         own = self.manifest().where(tier_of(F.col("n_bytes"), target_bytes, fanout) == tier)
-        shards = [r["shard"] for r in own.select("shard").collect()]  # file names, as a scan's own file index has them
-        reader = self.spark.newSession()  # own settings: whole shards side by side up to the limit
-        for key, value in (("maxPartitionBytes", int(2 * FULL * target_bytes)), ("openCostInBytes", 0), ("minPartitionNum", 1)):
-            reader.conf.set(f"spark.sql.files.{key}", str(value))
-        rows = reader.read.schema(self.schema()).parquet(*(f"{self.root}/runs/{s}" for s in shards))
+        shards, n_bytes = (list(x) for x in zip(*own.select("shard", "n_bytes").collect(), strict=True))  # file names, as a scan's own file index has them
+        # whole shards side by side, whatever a scan's own partitions are; fewer files than there were, as none of them is near the target
+        rows = self.spark.read.schema(self.schema()).parquet(*(f"{self.root}/runs/{s}" for s in shards)).coalesce(max(1, sum(n_bytes) // target_bytes))
         latest = (self.versions() or [0])[-1]
         merged = self.spark.createDataFrame(self._write(rows, latest + 1).collect(), MANIFEST)
         gone = self.spark.createDataFrame([(s,) for s in shards], "shard string")
