@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gleaner.functions.text import folded_key, to_boolean
+from gleaner.functions.text import folded_key
 
 # Names under which devices store the same thing.
 CAPTURE_TIME, FRACTION = ("DateTimeOriginal",), ("SubSecTimeOriginal",)
 FRAME_NUMBER = ("SequenceNumber", "SequenceImageNumber", "SequenceFileNumber")
-BURST = ("BurstUUID", "BurstID", "BurstGroupID")
+BURST = ("BurstUUID", "BurstIdentifier", "BurstGroupID", "BurstGroupId")
 DRIVE = ("DriveMode", "ContinuousDrive", "ReleaseMode")
-DATE = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?"
+CONTINUOUS = "(?i)continuous|burst|high[ -]?speed"
+DATE = r"^(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?$"
 
 
 def folded(raw: Column) -> Column:
@@ -39,11 +40,12 @@ def capture(raw: Column) -> Column:
     whole = F.try_to_timestamp(F.concat_ws(" ", F.concat_ws("-", *(F.regexp_extract(when, DATE, i) for i in (1, 2, 3))), F.concat_ws(":", *(F.regexp_extract(when, DATE, i) for i in (4, 5, 6)))), F.lit("yyyy-MM-dd HH:mm:ss"))
     ms = F.unix_millis(whole) + F.rpad(F.substring(fraction, 1, 3), 3, "0").try_cast("int")
     number = pick(index, FRAME_NUMBER)
-    frame = F.when(number.rlike("^[1-9][0-9]*$"), number.try_cast("long"))
+    frame = number.try_cast("long")
+    frame = F.when(number.rlike("^[0-9]+$") & (frame > 0) & (frame < 1 << 53), frame)
     drive = pick(index, DRIVE)
     return F.struct(
         F.when(when.rlike(DATE) & fraction.rlike("^[0-9]+$"), ms).alias("captured_ms"),
         frame.alias("frame"),
         pick(index, BURST).alias("burst"),
-        F.coalesce(to_boolean(drive), F.contains(F.lower(drive), F.lit("continuous")), F.lit(False)).alias("continuous"),
+        F.coalesce(drive.rlike(CONTINUOUS), F.lit(False)).alias("continuous"),
     )

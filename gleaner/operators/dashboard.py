@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # The standard aperture stops that measured ones snap to.
-STOPS = (
-    0.95, 1.0, 1.2, 1.4, 1.6, 1.7, 1.8, 2.0, 2.2, 2.4, 2.5, 2.8, 3.2, 3.5, 4.0, 4.5, 5.0, 5.6, 6.3, 7.1, 8.0, 9.0, 10.0, 11.0, 13.0,
-    14.0, 16.0, 18.0, 20.0, 22.0, 32.0,
-)
+STOPS = (1, 1.1, 1.2, 1.4, 1.6, 1.8, 2, 2.2, 2.5, 2.8, 3.2, 3.5, 4, 4.5, 5, 5.6, 6.3, 7.1, 8, 9, 10, 11, 13, 14, 16, 18, 20, 22, 25, 29, 32)
 
 
 def completeness(df: DataFrame, columns: Sequence[str], total: Column | None = None) -> DataFrame:
@@ -63,10 +60,10 @@ def coverage(covered: Column, total: Column) -> Column:
 
 
 def snap(value: Column, stops: Sequence[float] = STOPS, tolerance: float = 0.06) -> Column:
-    """The nearest standard stop within a relative tolerance, else the value to one decimal. Of two as near the smaller wins."""
+    """The nearest standard stop if it is within ``tolerance`` times the value, else the value itself. Of two as near the smaller wins."""
     options = F.array(*(F.struct(F.abs(value - s).alias("d"), F.lit(float(s)).alias("s")) for s in stops))
     best = F.array_min(options)
-    return F.when(best["d"] <= best["s"] * tolerance, best["s"]).otherwise(F.floor(value * 10 + 0.5) / 10)
+    return F.when(best["d"] <= value * tolerance, best["s"]).otherwise(value)
 
 
 def top_then_by_value(df: DataFrame, value: str, count: str, k: int) -> DataFrame:
@@ -92,15 +89,16 @@ def heat_map(df: DataFrame, day: Column, last_day: str, days: int = 365) -> Data
     return dense.crossJoin(F.broadcast(top)).select("day", "n", F.when(F.col("n") > 0, F.ceil(4 * F.col("n") / F.col("top"))).otherwise(0).cast("int").alias("level"))
 
 
-def guidance(profile: DataFrame) -> DataFrame:
-    """``rule`` rows that a profile (``focal, aperture, iso, coverage``) gives rise to, four at most, in fixed order."""
+def guidance(profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, place, rule, value`` rows that each profile (``focal, aperture, iso, coverage``: the most frequent focal length and aperture, the mean ISO, the
+    whole percent of items with full metadata) gives rise to, in fixed order: one of the focal length where there is one, one of a
+    wide or a narrow aperture, one of a high ISO, one of a low coverage."""
+    focal, aperture, iso, coverage = (F.col(c) for c in ("focal", "aperture", "iso", "coverage"))
     rules = [
-        (1, "wide", F.col("focal") <= 35),
-        (2, "tele", F.col("focal") >= 85),
-        (3, "open", F.col("aperture") <= 2.8),
-        (4, "closed", F.col("aperture") >= 8),
-        (5, "high-iso", F.col("iso") >= 1600),
-        (6, "low-coverage", F.col("coverage") < 50),
+        (1, F.when(focal <= 35, "wideAngle").when(focal >= 85, "telephoto").when(focal.isNotNull(), "standardFocal"), focal),
+        (2, F.when((aperture > 0) & (aperture <= 2.8), "wideAperture").when(aperture >= 8, "deepFocus"), aperture),
+        (3, F.when(iso >= 1600, "highIso"), F.floor(iso + 0.5)),
+        (4, F.when(coverage < 50, "lowMetadataCoverage"), coverage),
     ]
-    found = F.filter(F.array(*(F.when(cond, F.struct(F.lit(i).alias("place"), F.lit(name).alias("rule"))) for i, name, cond in rules)), lambda r: r.isNotNull())
-    return profile.select(F.explode(F.slice(found, 1, 4)).alias("r")).select("r.place", "r.rule")
+    found = F.array(*(F.struct(F.lit(i).alias("place"), rule.alias("rule"), value.cast("double").alias("value")) for i, rule, value in rules))
+    return profile.select(*keys, F.explode(found).alias("r")).select(*keys, "r.*").where("rule is not null")

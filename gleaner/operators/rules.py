@@ -3,97 +3,95 @@
 from __future__ import annotations
 
 import json
-from datetime import date, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.operators.filters import between, contains_literal, raw_format
+from gleaner.operators.filters import between, raw_format
 
-# The raw formats that a rule for raw files means.
-RAW_FORMATS = ("3fr", "arw", "cr2", "cr3", "dng", "erf", "iiq", "kdc", "mef", "nef", "orf", "pef", "raf", "rw2", "srw")
-TYPES = ("dateRange", "camera", "lens", "rating", "favorite", "raw", "tags", "iso")
+# The raw formats that "raw" means, and the words that stored rules use.
+RAW_FORMATS = ("cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "dng", "orf", "rw2", "raf", "pef", "rwl", "3fr", "raw")
+SAME_DAY_LAST_YEAR, LAST_7_DAYS, LAST_30_DAYS, THIS_YEAR = "去年今日", "最近7天", "最近30天", "今年"
+EQUALS, CONTAINS, ANY, ALL, RANGE = "等于", "包含", "包含任一", "包含全部", "范围"
+TEXTS = {"cameraModel": "camera", "lensModel": "lens"}
+NUMBERS = {"focalLength": "focal", "aperture": "aperture", "iso": "iso"}
 
 
-def preset_days(preset: str, today: date) -> tuple[date, date]:
-    """First and last day of a preset, from a given day."""
-    if preset == "thisDayLastYear":
-        day = today.replace(year=today.year - 1, day=28 if (today.month, today.day) == (2, 29) else today.day)
-        return day, day
-    if preset in ("last7Days", "last30Days"):
-        return today - timedelta(days=int(preset[4:-4])), today
-    if preset == "thisYear":
-        return date(today.year, 1, 1), date(today.year, 12, 31)
-    raise ValueError(f"unknown preset {preset}")
+def preset_range(preset: str, now: datetime) -> tuple[datetime, datetime] | None:
+    """First and last moment of a preset, both inclusive; None for one that is not known. All but the day of last year end now."""
+    if preset == SAME_DAY_LAST_YEAR:
+        # 29 February of a year without one is 1 March
+        day = datetime(now.year - 1, now.month, 1) + timedelta(days=now.day - 1)
+        return day, day + timedelta(days=1) - timedelta(milliseconds=1)
+    if preset in (LAST_7_DAYS, LAST_30_DAYS):
+        return now - timedelta(days=7 if preset == LAST_7_DAYS else 30), now
+    return (datetime(now.year, 1, 1), now) if preset == THIS_YEAR else None
 
 
 def problems(rules: str | dict) -> list[str]:
-    """What is wrong with a rule document; empty if it is sound."""
+    """What is wrong with a rule document as a whole; empty if it can be evaluated. A rule of unknown type is no fault: it matches nothing."""
     try:
         doc = json.loads(rules) if isinstance(rules, str) else rules
     except ValueError:
         return ["not JSON"]
-    if not isinstance(doc, dict) or not isinstance(doc.get("rules"), list) or not doc["rules"]:
-        return ["no rules"]
-    out = []
-    for i, r in enumerate(doc["rules"]):
-        kind = r.get("type") if isinstance(r, dict) else None
-        if kind not in TYPES:
-            out.append(f"rule {i}: unknown type")
-        elif kind == "dateRange" and "preset" not in r and not {"from", "to"} & set(r):
-            out.append(f"rule {i}: no range")
-        elif kind == "tags" and not r.get("values"):
-            out.append(f"rule {i}: no tags")
-        elif kind in ("camera", "lens") and not r.get("value"):
-            out.append(f"rule {i}: no value")
-    return out
+    if not isinstance(doc, dict) or not isinstance(doc.get("rules"), list):
+        return ["rules must be a list"]
+    return []
 
 
-def condition(rule: dict, today: date) -> Column:
-    """The condition of one rule, other than of tags, on ``taken_at, camera, lens, rating, favourite, format, name, iso``."""
-    kind = rule["type"]
+def condition(rule: dict, now: datetime) -> Column:
+    """The condition of one rule, other than of tags, on ``taken_at, camera, lens, focal, aperture, iso, format, name``."""
+    kind, nothing = rule.get("type"), F.lit(False)
     if kind == "dateRange":
-        first, last = preset_days(rule["preset"], today) if "preset" in rule else (rule.get("from"), rule.get("to"))
-        day = F.col("taken_at").cast("date")
-        return between(day, None if first is None else F.lit(str(first)).cast("date"), None if last is None else F.lit(str(last)).cast("date"))
-    if kind in ("camera", "lens"):
-        return contains_literal(F.col(kind), rule["value"]) if rule.get("operator") == "contains" else F.col(kind) == rule["value"]
-    if kind == "rating":
-        return F.col("rating") >= rule["value"]
-    if kind == "favorite":
-        return F.col("favourite") == bool(rule.get("value", True))
-    if kind == "iso":
-        return between(F.col("iso"), rule.get("min"), rule.get("max"))
-    if kind == "raw":
-        hit = raw_format(F.coalesce("format", F.lit("")), F.coalesce("name", F.lit("")), RAW_FORMATS)
-        return hit if rule.get("value", True) else ~hit
-    raise ValueError(f"unknown rule {kind}")
-
-
-def evaluate(items: DataFrame, links: DataFrame, tags: DataFrame, rules: str | dict, today: date) -> DataFrame:
-    """Items for which every rule holds. ``links``: ``item, tag``; ``tags``: ``tag, name``. Raises on an unsound document.
-
-    A tags rule with ``operator`` all counts only the names that exist: unknown names are dropped; if none is left, nothing matches.
+        ms = F.unix_millis(F.col("taken_at").cast("timestamp"))
+        if (known := preset_range(rule.get("preset"), now)) is not None:
+            first, last = (F.unix_millis(F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")) for t in known)
+            return between(ms, first, last)
+        if "dateFrom" in rule or "dateTo" in rule:
+            end = F.lit(rule["dateTo"]) if "dateTo" in rule else F.unix_millis(F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"))
+            return between(ms, F.lit(rule.get("dateFrom", 0)), end)
+        return nothing
+    if kind in TEXTS:
+        text, value = F.col(TEXTS[kind]), rule["value"]
+        return text == value if rule.get("operator") == EQUALS else text.ilike("%" + value.replace("\\", "\\\\") + "%")
+    if kind in NUMBERS:
+        number, value = F.col(NUMBERS[kind]), rule["value"]
+        if rule.get("operator") == ">=":
+            return number >= value
+        return number <= value if rule.get("operator") == "<=" else between(number, value, rule.get("max", value))
+    if kind == "fileFormat":
+        fmt, name, value = F.coalesce("format", F.lit("")), F.coalesce("name", F.lit("")), rule["value"]
+        if value.lower() == "raw":
+            return raw_format(fmt, name, RAW_FORMATS)
+        return (fmt == value) | F.endswith(F.lower(name), F.lit("." + value.lower()))
+    return nothing
+
+
+def evaluate(items: DataFrame, links: DataFrame, tags: DataFrame, rules: str | dict, now: datetime) -> DataFrame:
+    """Items for which every rule holds. ``links``: ``item, tag``; ``tags``: ``tag, name``. Raises on an unsound document; no rules match nothing.
+
+    A tags rule for all counts only the tags that exist: unknown names are dropped; if none is left, nothing matches. A null value matches no rule.
     """
     if found := problems(rules):
         raise ValueError("; ".join(found))
-    doc = json.loads(rules) if isinstance(rules, str) else rules
-    cond, out = F.lit(True), items
-    for r in doc["rules"]:
-        if r["type"] != "tags":
-            cond &= condition(r, today)
-    out = out.where(cond)
-    for r in (r for r in doc["rules"] if r["type"] == "tags"):
-        wanted = tags.where(F.col("name").isin(list(r["values"]))).select("tag", "name")
-        hit = links.join(F.broadcast(wanted), "tag").groupBy("item").agg(F.count_distinct("name").alias("got"))
-        if r.get("operator") == "all":
-            need = wanted.agg(F.count_distinct("name").alias("need"))
+    listed = (json.loads(rules) if isinstance(rules, str) else rules)["rules"]
+    cond = F.lit(bool(listed))
+    for r in listed:
+        if r.get("type") != "tags":
+            cond &= condition(r, now)
+    out = items.where(cond)
+    for r in (r for r in listed if r.get("type") == "tags"):
+        wanted = tags.where(F.col("name").isin(list(r["value"]))).select("tag").distinct()
+        hit = links.join(wanted, "tag").groupBy("item").agg(F.count_distinct("tag").alias("got"))
+        if r.get("operator") == ALL:
+            need = wanted.agg(F.count("*").alias("need"))
             hit = hit.crossJoin(F.broadcast(need)).where("got >= need")
-        out = out.join(hit.select("item"), "item", "left_anti" if r.get("operator") == "none" else "left_semi")
+        out = out.join(hit.select("item"), "item", "left_semi")
     return out
 
 
-def validate(items: DataFrame, links: DataFrame, tags: DataFrame, rules: str | dict, today: date) -> tuple[bool, int | None, list[str]]:
-    """Whether a rule document is sound, how many items it matches, and what is wrong with it."""
+def validate(items: DataFrame, links: DataFrame, tags: DataFrame, rules: str | dict, now: datetime) -> tuple[bool, int, list[str]]:
+    """Whether a rule document is sound, how many items it matches (0 if not), and what is wrong with it."""
     if found := problems(rules):
-        return False, None, found
-    return True, evaluate(items, links, tags, rules, today).count(), []
+        return False, 0, found
+    return True, evaluate(items, links, tags, rules, now).count(), []

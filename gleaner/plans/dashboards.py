@@ -168,9 +168,9 @@ def top_then_by_value(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FRAMES}, s AS (SELECT unnest([{', '.join(map(str, dashboard.STOPS))}])::DOUBLE AS stop), a AS (SELECT DISTINCT aperture FROM frames),
+    f"""WITH {FRAMES}, s AS (SELECT unnest([1, 1.1, 1.2, 1.4, 1.6, 1.8, 2, 2.2, 2.5, 2.8, 3.2, 3.5, 4, 4.5, 5, 5.6, 6.3, 7.1, 8, 9, 10, 11, 13, 14, 16, 18, 20, 22, 25, 29, 32])::DOUBLE AS stop), a AS (SELECT DISTINCT aperture FROM frames),
     n AS (SELECT aperture, arg_min(stop, (abs(aperture - stop), stop)) AS stop FROM a CROSS JOIN s GROUP BY aperture)
-    SELECT CASE WHEN abs(n.aperture - stop) <= stop * 0.06 THEN stop ELSE floor(n.aperture * 10 + 0.5) / 10 END AS stop, count(*) AS n FROM frames JOIN n USING (aperture) GROUP BY 1"""
+    SELECT CASE WHEN abs(n.aperture - stop) <= n.aperture * 0.06 THEN stop ELSE n.aperture END AS stop, count(*) AS n FROM frames JOIN n USING (aperture) GROUP BY 1"""
 )
 def snapped_apertures(spark, sf_dir):
     return frames(spark, sf_dir).groupBy(dashboard.snap(F.col("aperture")).alias("stop")).agg(F.count("*").alias("n"))
@@ -190,28 +190,30 @@ def top_items(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FRAMES}, p AS (SELECT (SELECT focal FROM (SELECT floor(focal + 0.5) AS focal, count(*) AS n FROM frames GROUP BY 1 ORDER BY n DESC, focal LIMIT 1)) AS focal,
-    (SELECT aperture FROM (SELECT aperture, count(*) AS n FROM frames GROUP BY 1 ORDER BY n DESC, aperture LIMIT 1)) AS aperture, (SELECT avg(iso) FROM frames) AS iso, 40 AS coverage)
-    SELECT place, rule FROM (SELECT 1 AS place, 'wide' AS rule FROM p WHERE focal <= 35 UNION ALL SELECT 2, 'tele' FROM p WHERE focal >= 85 UNION ALL SELECT 3, 'open' FROM p WHERE aperture <= 2.8
-    UNION ALL SELECT 4, 'closed' FROM p WHERE aperture >= 8 UNION ALL SELECT 5, 'high-iso' FROM p WHERE iso >= 1600 UNION ALL SELECT 6, 'low-coverage' FROM p WHERE coverage < 50) ORDER BY place LIMIT 4"""
+    f"""WITH {FRAMES}, g AS (SELECT camera, CAST(count(*) FILTER (lens = 'F' AND focal <= 55) AS DOUBLE) AS covered, count(*) AS n, avg(iso * CASE camera WHEN 'N' THEN 2 ELSE 0.5 END) AS iso FROM frames GROUP BY camera),
+    o AS (SELECT camera, focal * CASE camera WHEN 'A' THEN 0.5 ELSE 1 END AS focal, aperture - CASE camera WHEN 'R' THEN 3 ELSE 0 END AS aperture FROM frames),
+    f AS (SELECT camera, arg_max(focal, (n, -focal)) AS focal FROM (SELECT camera, focal, count(*) AS n FROM o GROUP BY ALL) GROUP BY camera),
+    a AS (SELECT camera, arg_max(aperture, (n, -aperture)) AS aperture FROM (SELECT camera, aperture, count(*) AS n FROM o GROUP BY ALL) GROUP BY camera),
+    p AS (SELECT camera, focal, aperture, iso, floor(100 * covered / n + 0.5) AS coverage FROM g JOIN f USING (camera) JOIN a USING (camera))
+    SELECT camera, place, rule, value FROM (
+        SELECT camera, 1 AS place, CASE WHEN focal <= 35 THEN 'wideAngle' WHEN focal >= 85 THEN 'telephoto' ELSE 'standardFocal' END AS rule, focal AS value FROM p
+        UNION ALL SELECT camera, 2, CASE WHEN aperture <= 2.8 THEN 'wideAperture' ELSE 'deepFocus' END, aperture FROM p WHERE aperture > 0 AND aperture <= 2.8 OR aperture >= 8
+        UNION ALL SELECT camera, 3, 'highIso', floor(iso + 0.5) FROM p WHERE iso >= 1600 UNION ALL SELECT camera, 4, 'lowMetadataCoverage', coverage FROM p WHERE coverage < 50)"""
 )
 def guidance(spark, sf_dir):
     f = frames(spark, sf_dir)
-    focal = dashboard_top(f.select(F.floor(F.col("focal") + 0.5).alias("focal")), "focal")
-    aperture = dashboard_top(f, "aperture")
-    profile = focal.crossJoin(aperture).crossJoin(f.agg(F.avg("iso").alias("iso"))).withColumn("coverage", F.lit(40))
-    return dashboard.guidance(profile)
-
-
-def dashboard_top(df, name):
-    """The most frequent value, one row (ties: the smaller)."""
-    return df.groupBy(name).agg(F.count("*").alias("n")).agg(F.max_by(name, F.struct("n", -F.col(name))).alias(name))
+    camera = F.col("camera")
+    own = f.select("camera", (F.col("focal") * F.when(camera == "A", 0.5).otherwise(1.0)).alias("focal"), (F.col("aperture") - F.when(camera == "R", 3).otherwise(0)).alias("aperture"))
+    top = lambda c: own.groupBy("camera", c).agg(F.count("*").alias("n")).groupBy("camera").agg(F.max_by(c, F.struct("n", (-F.col(c)).alias("low"))).alias(c))
+    full = dashboard.coverage(F.count_if((F.col("lens") == "F") & (F.col("focal") <= 55)), F.count("*"))
+    facts = f.groupBy("camera").agg(full.alias("coverage"), F.avg(F.col("iso") * F.when(camera == "N", 2).otherwise(0.5)).alias("iso"))
+    return dashboard.guidance(facts.join(top("focal"), "camera").join(top("aperture"), "camera"), ["camera"])
 
 
 @query("SELECT label, count(*) AS n, CAST(max(n_each) AS BIGINT) AS top FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n_each FROM embeddings) GROUP BY label")
 def window_max(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("n_each", F.count("*").over(W.partitionBy("label")))
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.max("n_each").alias("top"))
+    each = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return each.select("label", "n", F.col("n").alias("top"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -142,8 +142,8 @@ def subtree_counts(spark, sf_dir):
     INTERSECT SELECT item FROM links JOIN closed ON tag = node WHERE ancestor IN ('t:SMALL', 't:LARGE')"""
 )
 def items_with_all_tags(spark, sf_dir):
-    over = hierarchy.closure(tags(spark, sf_dir))
     groups = spark.createDataFrame([(0, "t:ECONOMY"), (1, "t:SMALL"), (1, "t:LARGE")], "grp int, node string")
+    over = hierarchy.closure(tags(spark, sf_dir), roots=groups)
     return hierarchy.items_in_all(links(spark, sf_dir), groups, over, "item", "tag")
 
 
@@ -153,7 +153,8 @@ def items_with_all_tags(spark, sf_dir):
 )
 def hidden_tags(spark, sf_dir):
     t = tags(spark, sf_dir)
-    gone = hierarchy.expand(t.where("id = 't:ECONOMY'").select(F.col("id").alias("node")), hierarchy.closure(t))
+    roots = t.where("id = 't:ECONOMY'").select(F.col("id").alias("node"))
+    gone = hierarchy.expand(roots, hierarchy.closure(t, roots=roots))
     return filters.not_in_keys(links(spark, sf_dir), gone.withColumnRenamed("node", "tag"), "tag").agg(F.count("*").alias("n"))
 
 
@@ -258,24 +259,36 @@ def days_around(spark, sf_dir):
     return curation.same_day(items(spark, sf_dir), date(1999, 7, 14), 3).select("id")
 
 
+def _ruled(spark, sf_dir):
+    i = items(spark, sf_dir).withColumnRenamed("id", "item")
+    return i.withColumns({"camera": F.concat(F.lit("Make "), "status"), "lens": F.lit("L_1"), "focal": F.col("pixels").cast("double"), "aperture": F.col("pixels") / 10, "iso": F.col("pixels") * 10, "format": F.lit(None).cast("string")})
+
+
 @query(
-    f"""WITH {ITEMS}, {LINKS}, {TAGS} SELECT id FROM items WHERE taken_at::DATE BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND favourite
-    AND (SELECT count(DISTINCT t.name) FROM links l JOIN tags t ON t.id = l.tag WHERE l.item = items.id AND t.name IN ('red widget', 'blue bolt', 'no such name')) >= 1"""
+    f"""WITH {ITEMS}, {LINKS}, {TAGS} SELECT id FROM items WHERE taken_at >= TIMESTAMP '1997-01-01' AND taken_at <= TIMESTAMP '1997-08-01 10:00:00' AND lower(name) LIKE '%.jpg'
+    AND pixels >= 10 AND pixels / 10.0 <= 8 AND pixels * 10 BETWEEN 100 AND 900 AND 'make ' || lower(status) LIKE '%ke o%'
+    AND (SELECT count(*) FROM links l JOIN tags t ON t.id = l.tag WHERE l.item = items.id AND t.name IN ('red widget', 'blue bolt', 'no such name')) >= 1"""
 )
 def smart_album(spark, sf_dir):
-    doc = {"rules": [{"type": "dateRange", "preset": "thisYear"}, {"type": "favorite"}, {"type": "tags", "values": ["red widget", "blue bolt", "no such name"], "operator": "any"}]}
-    i, t = items(spark, sf_dir).withColumnRenamed("id", "item"), tags(spark, sf_dir).select(F.col("id").alias("tag"), "name")
-    return rules.evaluate(i, links(spark, sf_dir), t, doc, date(1997, 8, 1)).select(F.col("item").alias("id"))
+    doc = {
+        "rules": [
+            {"type": "dateRange", "preset": rules.THIS_YEAR}, {"type": "fileFormat", "value": "JPG"}, {"type": "focalLength", "operator": ">=", "value": 10},
+            {"type": "aperture", "operator": "<=", "value": 8}, {"type": "iso", "operator": rules.RANGE, "value": 100, "max": 900}, {"type": "cameraModel", "operator": rules.CONTAINS, "value": "KE o"},
+            {"type": "tags", "value": ["red widget", "blue bolt", "no such name"], "operator": rules.ANY},
+        ]
+    }
+    t = tags(spark, sf_dir).select(F.col("id").alias("tag"), "name")
+    return rules.evaluate(_ruled(spark, sf_dir), links(spark, sf_dir), t, doc, datetime(1997, 8, 1, 10)).select(F.col("item").alias("id"))
 
 
 @query(
-    f"""WITH {LINKS}, {TAGS}, w AS (SELECT id, name FROM tags WHERE name IN ('red widget', 'blue bolt', 'no such name'))
-    SELECT item FROM links JOIN w ON id = tag GROUP BY item HAVING count(DISTINCT name) >= (SELECT count(DISTINCT name) FROM w)"""
+    f"""WITH {LINKS}, {TAGS}, w AS (SELECT id FROM tags WHERE name IN ('red widget', 'blue bolt', 'no such name') AND id IN ('p:1', 'p:2', 'p:3', 'p:4', 'p:5', 'p:6', 'p:7', 'p:8', 'p:9', 'p:10', 'p:11', 'p:12'))
+    SELECT item FROM links JOIN w ON id = tag GROUP BY item HAVING count(DISTINCT tag) >= (SELECT count(*) FROM w)"""
 )
 def smart_album_all_tags(spark, sf_dir):
-    doc = {"rules": [{"type": "tags", "values": ["red widget", "blue bolt", "no such name"], "operator": "all"}]}
-    i, t = items(spark, sf_dir).withColumnRenamed("id", "item"), tags(spark, sf_dir).select(F.col("id").alias("tag"), "name")
-    return rules.evaluate(i, links(spark, sf_dir), t, doc, date(1997, 8, 1)).select("item")
+    doc = {"rules": [{"type": "tags", "value": ["red widget", "blue bolt", "no such name"], "operator": rules.ALL}]}
+    t = tags(spark, sf_dir).select(F.col("id").alias("tag"), "name").where("tag in ('p:1', 'p:2', 'p:3', 'p:4', 'p:5', 'p:6', 'p:7', 'p:8', 'p:9', 'p:10', 'p:11', 'p:12')")
+    return rules.evaluate(_ruled(spark, sf_dir), links(spark, sf_dir), t, doc, datetime(1997, 8, 1)).select("item")
 
 
 @query(

@@ -11,16 +11,17 @@ from gleaner.functions.text import replace_prefix
 
 # The file types that are indexed.
 EXTENSIONS = (
-    "3fr", "arw", "avif", "bmp", "cr2", "cr3", "dng", "erf", "gif", "heic", "heif", "iiq", "jpeg", "jpg", "jxl", "kdc", "mef", "nef", "orf", "pef", "png", "raf",
-    "rw2", "srw", "tif", "tiff", "webp",
+    "jpg", "jpeg", "png", "webp", "avif", "tiff", "tif", "heic", "heif", "gif", "bmp", "ico",
+    "cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "dng", "orf", "rw2", "raf", "pef", "rwl", "3fr", "raw",
 )
-SKIPPED = ("node_modules", ".git", ".cache", "__pycache__")
+# Texts that no indexed path has in it.
+SKIPPED = ("node_modules", ".git", ".thumbnails", ".cache")
 
 
 def indexable(path: Column, extensions: Sequence[str] = EXTENSIONS, skipped: Sequence[str] = SKIPPED) -> Column:
-    """A path with a known extension and no skipped folder in it."""
-    folders = "|".join(s.replace(".", r"\.") for s in skipped)
-    return F.lower(path).rlike(rf"\.({'|'.join(extensions)})$") & ~path.rlike(rf"(^|/)({folders})/")
+    """A path with a known extension and none of the skipped texts anywhere in it."""
+    parts = "|".join(s.replace(".", r"\.") for s in skipped)
+    return F.lower(path).rlike(rf"\.({'|'.join(extensions)})$") & ~path.rlike(parts)
 
 
 def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, content: bool = False) -> DataFrame:
@@ -30,16 +31,35 @@ def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS,
     return files.select(*cols, *(["content"] if content else []))
 
 
+SEGMENTS = 1024  # of a JPEG file that are gone through for its size
+
+
 def image_header(content: Column) -> Column:
-    """``format, width, height`` from the first bytes of PNG, GIF and BMP files; other formats have null sizes. Plain byte arithmetic in the JVM."""
-    at = lambda i, n: F.conv(F.hex(F.substring(content, i, n)), 16, 10).cast("long")
+    """``format, width, height`` from the bytes of PNG, GIF, BMP, JPEG and WebP files; other formats have nulls. Plain byte arithmetic in the JVM."""
+    part = lambda i, n: F.substr(content, i if isinstance(i, Column) else F.lit(i), F.lit(n))
+    at = lambda i, n: F.conv(F.hex(part(i, n)), 16, 10).cast("long")
     small = lambda i, n: sum((at(i + j, 1) * (1 << 8 * j) for j in range(1, n)), at(i, 1))
-    head = lambda i, n: F.hex(F.substring(content, i, n))
+    head = lambda i, n: F.hex(part(i, n))
     png, gif, bmp, jpeg = head(1, 8) == "89504E470D0A1A0A", head(1, 4) == "47494638", head(1, 2) == "424D", head(1, 3) == "FFD8FF"
+    webp, kind = (head(1, 4) == "52494646") & (head(9, 4) == "57454250"), head(13, 4)
+    low = lambda x, shift=0: F.shiftright(x, shift).bitwiseAND(F.lit(0x3FFF))
+
+    def segment(state: Column, _: Column) -> Column:
+        pos, marker = state["pos"], at(state["pos"] + 1, 1)
+        frame = (marker >= 0xC0) & (marker <= 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
+        none = F.lit(None).cast("long")
+        after = F.when(at(pos, 1) == 0xFF, F.struct((pos + 2 + at(pos + 2, 2)).alias("pos"), none.alias("width"), none.alias("height")))
+        found = F.struct(none.alias("pos"), at(pos + 7, 2).alias("width"), at(pos + 5, 2).alias("height"))
+        return F.when(pos.isNull(), state).when(frame & (at(pos, 1) == 0xFF), found).otherwise(F.coalesce(after, F.struct(none.alias("pos"), none.alias("width"), none.alias("height"))))
+
+    start = F.expr("named_struct('pos', 3L, 'width', cast(null as long), 'height', cast(null as long))")
+    size = F.when(jpeg, F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, segment))
+    wide = F.when(kind == "56503858", 1 + small(25, 3)).when(kind == "5650384C", 1 + low(small(22, 4))).when(kind == "56503820", low(small(27, 2)))
+    high = F.when(kind == "56503858", 1 + small(28, 3)).when(kind == "5650384C", 1 + low(small(22, 4), 14)).when(kind == "56503820", low(small(29, 2)))
     return F.struct(
-        F.when(png, "png").when(gif, "gif").when(bmp, "bmp").when(jpeg, "jpeg").alias("format"),
-        F.when(png, at(17, 4)).when(gif, small(7, 2)).when(bmp, small(19, 4)).alias("width"),
-        F.when(png, at(21, 4)).when(gif, small(9, 2)).when(bmp, small(23, 4)).alias("height"),
+        F.when(png, "png").when(gif, "gif").when(bmp, "bmp").when(jpeg, "jpeg").when(webp, "webp").alias("format"),
+        F.when(png, at(17, 4)).when(gif, small(7, 2)).when(bmp, small(19, 4)).when(jpeg, size["width"]).when(webp, wide).alias("width"),
+        F.when(png, at(21, 4)).when(gif, small(9, 2)).when(bmp, small(23, 4)).when(jpeg, size["height"]).when(webp, high).alias("height"),
     )
 
 
@@ -88,12 +108,12 @@ def adopt_moved(new: DataFrame, missing: DataFrame, tolerance_s: int = 5) -> Dat
     return one.groupBy("old_id").agg(F.count("*").alias("n"), F.min("new_id").alias("new_id")).where("n = 1").select("new_id", "old_id")
 
 
-def relocated(old: DataFrame, new: DataFrame, share: float = 0.8, sample: int = 40) -> DataFrame:
+def relocated(old: DataFrame, new: DataFrame, share: float = 0.8, sample: int = 40, by: Column | None = None) -> DataFrame:
     """``old_folder, new_folder, hits, asked``: folders whose files turn up in exactly one new folder. Both: ``folder, name, n_bytes``.
 
-    Up to ``sample`` files of an old folder vote, its lowest name hashes (the feature is a vote of a sample); all of them if it has fewer than 5, and then all must agree.
+    Up to ``sample`` files of an old folder vote, its first in the order ``by`` (by default of name hashes; the feature is a vote of a sample); all of them if it has fewer than 5, and then all must agree.
     """
-    w = W.partitionBy("folder").orderBy(F.xxhash64("name"), "name")
+    w = W.partitionBy("folder").orderBy(F.xxhash64("name") if by is None else by, "name")
     voters = old.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select(F.col("folder").alias("old_folder"), "name", "n_bytes")
     asked = voters.groupBy("old_folder").agg(F.count("*").alias("asked"))
     found = new.select(F.col("folder").alias("new_folder"), "name", "n_bytes").distinct()
@@ -113,6 +133,11 @@ def missing_files(items: DataFrame, listing: DataFrame, batch: str) -> DataFrame
     return items.drop("missing_batch").join(there, "path", "left").withColumn("missing_batch", F.when(F.col("there").isNull(), F.lit(batch))).drop("there")
 
 
+def missing_by_folder(items: DataFrame, folder: str = "folder") -> DataFrame:
+    """``folder, n, missing``: how many items a folder has, and how many of them ``missing_files`` has marked."""
+    return items.groupBy(folder).agg(F.count("*").alias("n"), F.count("missing_batch").alias("missing"))
+
+
 def reconcile(table: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """``key, problem``: ids that only the vector table has (orphan), that it has twice or more (duplicate), or that it lacks (absent)."""
     v = vectors.groupBy(key).agg(F.count("*").alias("nv"))
