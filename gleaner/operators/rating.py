@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gleaner.session import materialise
+
 START = 1000
 
 
@@ -16,9 +20,12 @@ def elo(rating_a: int, rating_b: int, score_a: float, n_a: int, n_b: int) -> tup
     return up(rating_a + k * (score_a - expected)), up(rating_b + k * ((1 - score_a) - (1 - expected)))
 
 
-def fold_log(state: dict, actions) -> dict:
-    """Apply ``(a, b, score)`` actions in order to ``{item: [rating, comparisons, wins, losses]}``; ``score`` is None for undo of the last action."""
-    history = []
+def fold_log(state: dict, actions: Iterable, history: list | None = None) -> dict:
+    """Apply ``(a, b, score)`` actions in order to ``{item: [rating, comparisons, wins, losses]}``; ``score`` is None for undo of the last action.
+
+    ``history`` holds what each action that can still be undone has replaced, and is kept up.
+    """
+    history = [] if history is None else history
     for a, b, score in actions:
         if score is None or score != score:
             if history:
@@ -33,34 +40,62 @@ def fold_log(state: dict, actions) -> dict:
     return state
 
 
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold the sorted sessions of a partition one after the other; only one session's state is held."""
+    kinds = ["session", "item", "rating", "comparisons", "wins", "losses"]
+    nothing = object()
+    current, state, history, out = nothing, {}, [], []
+
+    def table() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], kinds)
+
+    for batch in batches:
+        for session, a, b, score in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if session != current:
+                out += [(current, item, *values) for item, values in sorted(state.items())]
+                current, state, history = session, {}, []
+            fold_log(state, [(a, b, score)], history)
+        if len(out) > 10_000:
+            yield table()
+            out = []
+    out += [(current, item, *values) for item, values in sorted(state.items())]
+    if out:
+        yield table()
+
+
 def tournament(log: DataFrame) -> DataFrame:
     """``session, item, rating, comparisons, wins, losses`` from ``session, seq, a, b, score`` (1, 0.5, 0 for a; null: undo).
 
-    Ratings depend on order, so each session's log is folded in one group: a session is one person's choices. Actions of equal ``seq`` go by ``a, b``.
+    Ratings depend on order, so each session's log is one sorted run within a partition: rows are dealt by session and folded as they
+    come. Actions of equal ``seq`` go by ``a, b``.
     """
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["seq", "a", "b"], kind="stable")
-        state = fold_log({}, zip(part["a"].tolist(), part["b"].tolist(), part["score"].tolist(), strict=True))
-        rows = [(part["session"].iloc[0], item, *values) for item, values in sorted(state.items())]
-        return pd.DataFrame(rows, columns=["session", "item", "rating", "comparisons", "wins", "losses"])
-
-    schema = "session long, item long, rating long, comparisons long, wins long, losses long"
-    return log.select("session", "seq", "a", "b", F.col("score").cast("double").alias("score")).groupBy("session").applyInPandas(fold, schema)
+    rows = log.select("session", "seq", "a", "b", F.col("score").cast("double").alias("score"))
+    dealt = rows.repartition("session").sortWithinPartitions("session", "seq", "a", "b").select("session", "a", "b", "score")
+    return dealt.mapInArrow(_fold_batches, "session long, item long, rating long, comparisons long, wins long, losses long")
 
 
 def next_pairs(ratings: DataFrame, compared: DataFrame, k: int = 1) -> DataFrame:
-    """``session, a, b``: for each session the ``k`` best pairs of rating neighbours that have not met, the least compared first.
+    """``session, a, b``: for each session the ``k`` best pairs that have not met: of neighbours by rating the least compared first, then of items further apart.
 
-    Only neighbours by rating are paired (a lead in a window), never all items of a session. ``ratings``: ``session, item, rating, comparisons``;
+    Items are numbered by rating. Pairs 1 to 3 places apart come first; sessions that lack pairs then go on with 4 to 7 places, 8 to 15 and so on up
+    to their size, so an unmet pair is found wherever there is one, and no session's pairs are all made while nearer ones do. ``ratings``: ``session, item, rating, comparisons``;
     ``compared``: ``session, a, b``.
     """
-    w = W.partitionBy("session").orderBy(F.desc("rating"), "item")
-    options = None
-    for step in (1, 2, 3):
-        near = ratings.select("session", F.col("item").alias("x"), F.lead("item", step).over(w).alias("y"), (F.col("comparisons") + F.lead("comparisons", step).over(w)).alias("n"), F.lit(step).alias("step")).where("y is not null")
-        options = near if options is None else options.union(near)
-    pairs = options.select("session", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "step")
-    met = compared.select("session", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = pairs.join(met, ["session", "a", "b"], "left_anti")
-    place = F.row_number().over(W.partitionBy("session").orderBy("n", "step", "a", "b"))
-    return fresh.withColumn("p", place).where(F.col("p") <= k).select("session", "a", "b")
+    place = F.row_number().over(W.partitionBy("session").orderBy(F.desc("rating"), "item"))
+    items = materialise(ratings.select("session", "item", "comparisons", place.alias("place")), "pairs-items")
+    met = materialise(compared.select("session", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-met")
+    lacking = items.groupBy("session").agg(F.max("place").alias("size")).where("size > 1").withColumn("need", F.lit(k))
+    lacking, found, low, high = materialise(lacking, "pairs-lacking"), None, 1, 3
+    while not lacking.isEmpty():
+        x = items.join(lacking, "session").withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high)))).where(F.col("place") + F.col("step") <= F.col("size"))
+        x = x.select("session", F.col("item").alias("x"), F.col("comparisons").alias("nx"), (F.col("place") + F.col("step")).alias("place"), "step", "need")
+        y = items.select("session", F.col("item").alias("y"), F.col("comparisons").alias("ny"), "place")
+        pairs = x.join(y, ["session", "place"]).select("session", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("n"), "step", "need")
+        fresh = pairs.join(met, ["session", "a", "b"], "left_anti")
+        best = F.row_number().over(W.partitionBy("session").orderBy("n", "step", "a", "b"))
+        taken = materialise(fresh.withColumn("p", best).where(F.col("p") <= F.col("need")).select("session", "a", "b"), "pairs-taken")
+        found = taken if found is None else found.unionByName(taken)
+        got = taken.groupBy("session").agg(F.count("*").alias("got"))
+        left = lacking.join(got, "session", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).where((F.col("need") > 0) & (F.col("size") > high + 1))
+        lacking, low, high = materialise(left.drop("got"), "pairs-lacking"), high + 1, 2 * high + 1
+    return items.select("session", F.col("item").alias("a"), F.col("item").alias("b")).limit(0) if found is None else found

@@ -51,11 +51,11 @@ def windowed_counts(events: DataFrame, key: str, ts: str = "ts", span: str = "1
 
 
 def rates(events: DataFrame, ts: str = "ts", span: str = "4 seconds", slide: str = "1 second", late: str = LATE) -> DataFrame:
-    """``start, n, per_second`` over sliding windows."""
+    """``start, n, per_second`` over sliding windows: what a window holds over the time from its first event to its end, 0 below one second."""
     w = F.window(ts, span, slide)
-    counts = _marked(events, ts, late).groupBy(w.alias("w")).agg(F.count("*").alias("n"))
-    seconds = F.unix_timestamp(F.col("w.end")) - F.unix_timestamp(F.col("w.start"))
-    return counts.select(F.col("w.start").alias("start"), "n", (F.col("n") / seconds).alias("per_second"))
+    counts = _marked(events, ts, late).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.min(F.unix_millis(F.col(ts).cast("timestamp"))).alias("first"))
+    seconds = (F.unix_millis(F.col("w.end").cast("timestamp")) - F.col("first")) / 1000
+    return counts.select(F.col("w.start").alias("start"), "n", F.when(seconds >= 1, F.col("n") / seconds).otherwise(0.0).alias("per_second"))
 
 
 def suppressed(events: DataFrame, marks: DataFrame, path: str = "path", ts: str = "ts", hold: str = "15 seconds", late: str = LATE) -> DataFrame:
@@ -69,20 +69,23 @@ def suppressed(events: DataFrame, marks: DataFrame, path: str = "path", ts: str
 def tournament_state(log: DataFrame) -> DataFrame:
     """``session, item, rating, comparisons, wins, losses`` after each micro-batch of ``session, seq, a, b, score``; write with output mode ``update``.
 
-    The state of a session is its items' ratings, as packed lists; within a micro-batch the actions go by ``seq``. An undo reaches
-    back within its micro-batch; earlier actions stay.
+    The state of a session is its items' ratings and what each action that can still be undone has replaced, as packed lists; within a
+    micro-batch the actions go by ``seq``. The result does not depend on how a log is cut into micro-batches, as long as these come in its order.
     """
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, ratings, counts, wins, losses = state.get if state.exists else ([], [], [], [], [])
+        items, ratings, counts, wins, losses, replaced = state.get if state.exists else ([], [], [], [], [], [])
         held = {i: [r, c, w, x] for i, r, c, w, x in zip(items, ratings, counts, wins, losses, strict=True)}
         new = pd.concat(list(parts)).sort_values(["seq", "a", "b"], kind="stable")
-        held = fold_log(held, zip(new["a"].tolist(), new["b"].tolist(), new["score"].tolist(), strict=True))
+        five = [list(map(int, replaced[i : i + 5])) for i in range(0, len(replaced), 5)]
+        history = [{x[0]: x[1:], y[0]: y[1:]} for x, y in zip(five[::2], five[1::2], strict=True)]
+        held = fold_log(held, zip(new["a"].tolist(), new["b"].tolist(), new["score"].tolist(), strict=True), history)
         rows = sorted(held.items())
-        state.update(tuple([[int(i) for i, _ in rows], *([int(v[j]) for _, v in rows] for j in range(4))]))
+        packed = [int(v) for action in history for i, old in (list(action.items()) * 2)[:2] for v in (i, *old)]
+        state.update(tuple([[int(i) for i, _ in rows], *([int(v[j]) for _, v in rows] for j in range(4)), packed]))
         yield pd.DataFrame([(key[0], i, *v) for i, v in rows], columns=["session", "item", "rating", "comparisons", "wins", "losses"])
 
     out = "session long, item long, rating long, comparisons long, wins long, losses long"
-    held = "items array<long>, ratings array<long>, counts array<long>, wins array<long>, losses array<long>"
+    held = "items array<long>, ratings array<long>, counts array<long>, wins array<long>, losses array<long>, replaced array<long>"
     return log.groupBy("session").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.NoTimeout)
 
 
