@@ -10,8 +10,6 @@ from gleaner.functions.vector import dot, four_decimals, unit
 from gleaner.operators.graph import connected_components
 from gleaner.session import materialise
 
-NIBBLES = 16
-
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two hashes of 16 hex digits held as longs."""
@@ -28,39 +26,32 @@ def hamming_text(a: Column, b: Column) -> Column:
     return F.when(F.length(a) != F.length(b), 64).when(F.length(a) == 0, 0).otherwise(apart)
 
 
-def chunk_plan(threshold: int, nibbles: int = NIBBLES) -> list[tuple[int, int]]:
-    """(first nibble, nibbles) of threshold + 1 chunks, the longer ones last; never more than there are nibbles.
-
-    Hashes within ``threshold`` bits share a whole chunk as long as threshold + 1 chunks fit.
-    """
-    n = min(threshold + 1, nibbles)
-    base, extra = divmod(nibbles, n)
-    sizes = [base] * (n - extra) + [base + 1] * extra
+def segment_plan(threshold: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments of a 64-bit hash: so few that of any two hashes within ``threshold`` bits one segment differs in one bit at most."""
+    n = min((threshold + 2) // 2, 64)
+    base, extra = divmod(64, n)
+    sizes = [base + 1] * extra + [base] * (n - extra)
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
 def hamming_pairs(df: DataFrame, threshold: int, key: str = "id", hash_col: str = "hash") -> DataFrame:
-    """``a, b, distance`` for every pair of different hashes within ``threshold`` bits, with the smallest key of each hash.
+    """``a, b, distance`` for every pair of different hashes within ``threshold`` bits (0 to 64), with the smallest key of each hash.
 
-    Equal hashes are one node (see ``copies``), so a group of copies costs one row. A pair is emitted at the first
-    chunk that it shares. Thresholds from 16 on cannot be blocked by nibbles without loss and are refused.
+    Equal hashes are one node (see ``copies``), so a group of copies costs one row. Hashes are cut into segments; each segment of one side, as it
+    is and with each of its bits turned, meets the segments of the other as they are. A pair is emitted at the first segment that is near.
     """
-    if threshold >= NIBBLES:
-        raise ValueError("chunks find every pair only below 16 bits")
     nodes = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(key).alias("k"))
-    plan = chunk_plan(threshold)
-
-    def chunk(h: Column, at: int, size: int) -> Column:
-        return F.shiftrightunsigned(h, 4 * (NIBBLES - at - size)).bitwiseAND(F.lit((1 << 4 * size) - 1 if size < NIBBLES else -1))
-
-    keyed = nodes.select("h", "k", F.posexplode(F.array(*(chunk(F.col("h"), *p) for p in plan))).alias("no", "chunk"))
-    a = keyed.select(F.col("h").alias("ha"), F.col("k").alias("ka"), "no", "chunk")
-    b = keyed.select(F.col("h").alias("hb"), F.col("k").alias("kb"), "no", "chunk")
+    plan = segment_plan(threshold)
+    mask = lambda bits: F.lit((1 << bits) - 1 if bits < 64 else -1)
+    part = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(mask(bits))
+    plain = nodes.select(F.col("h").alias("ha"), F.col("k").alias("ka"), F.posexplode(F.array(*(part(F.col("h"), *p) for p in plan))).alias("no", "key"))
+    flips = F.array(*(F.array(part(F.col("h"), at, bits), *(part(F.col("h").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), at + i)), at, bits) for i in range(bits))) for at, bits in plan))
+    turned = nodes.select(F.col("h").alias("hb"), F.col("k").alias("kb"), F.posexplode(flips).alias("no", "keys")).select("hb", "kb", "no", F.explode("keys").alias("key"))
     diff = F.col("ha").bitwiseXOR(F.col("hb"))
     earlier = F.lit(False)
     for no, p in enumerate(plan):
-        earlier |= (F.lit(no) < F.col("no")) & (chunk(diff, *p) == 0)
-    met = a.join(b, ["no", "chunk"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(diff) <= threshold) & ~earlier)
+        earlier |= (F.lit(no) < F.col("no")) & (F.bit_count(part(diff, *p)) <= 1)
+    met = plain.join(turned, ["no", "key"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(diff) <= threshold) & ~earlier)
     return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.bit_count(diff).alias("distance"))
 
 
