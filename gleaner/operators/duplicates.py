@@ -15,6 +15,13 @@ def keeper_order() -> list[Column]:
     return [F.desc("pixels"), F.desc("n_bytes"), F.asc_nulls_last("taken_at"), F.asc("id")]
 
 
+def keeper_rank() -> Column:
+    """``keeper_order`` as one value, smallest first: a group's best member by a minimum that is combined map-side."""
+    down = lambda c: (F.col(c).isNull(), -F.col(c))
+    parts = [*down("pixels"), *down("n_bytes"), F.col("taken_at").isNull(), F.col("taken_at"), F.col("id")]
+    return F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts)))
+
+
 def group_pairs(pairs: DataFrame) -> DataFrame:
     """``id, component`` over ``a, b`` pairs."""
     return connected_components(materialise(pairs.select("a", "b"), "duplicate-pairs")).withColumnRenamed("node", "id")
@@ -30,14 +37,10 @@ def summarise(pairs: DataFrame, groups: DataFrame, items: DataFrame) -> DataFram
         F.when(F.bool_and(F.col("status") == "dismissed"), "dismissed").otherwise("open").alias("status"),
         F.count("*").alias("n_pairs"),
     )
-    ranked = groups.join(items, "id").withColumn("place", F.row_number().over(W.partitionBy("component").orderBy(*keeper_order())))
-    members = ranked.groupBy("component").agg(
-        F.count("*").alias("n_members"),
-        F.max(F.when(F.col("place") == 1, F.col("id"))).alias("keeper"),
-        F.coalesce(F.sum(F.when(F.col("place") > 1, F.col("n_bytes"))), F.lit(0)).alias("reclaim"),
-        group_version("id").alias("version"),
-    )
-    return of.join(members, "component")
+    kept = F.min_by(F.struct("id", "n_bytes"), keeper_rank())
+    members = groups.join(items, "id").groupBy("component").agg(F.count("*").alias("n_members"), kept.alias("kept"), F.sum("n_bytes").alias("n_bytes"), group_version("id").alias("version"))
+    reclaim = F.coalesce(F.col("n_bytes"), F.lit(0)) - F.coalesce("kept.n_bytes", F.lit(0))
+    return of.join(members.select("component", "n_members", F.col("kept.id").alias("keeper"), reclaim.alias("reclaim"), "version"), "component")
 
 
 def group_version(key: str) -> Column:

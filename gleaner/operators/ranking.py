@@ -218,3 +218,9 @@ def prefix_search(items: DataFrame, terms: Sequence[str], key: str, columns: Seq
     for term in terms:
         cond &= begun(term)
     return items.where(cond).select(key)
+
+
+def relative_to_top(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Add ``relative``: a value over the largest one of its group. Only the groups' maxima meet; rows stay where they are where Spark can broadcast these."""
+    top = df.groupBy(F.col(group).alias("__g")).agg(F.max(value).alias("__top"))
+    return df.join(top, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("relative", F.col(value) / F.col("__top")).drop("__g", "__top")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.operators.ranking import first_per_key
+from gleaner.session import materialise
 
 # How a tag name tells a number of persons.
 PERSONS = r"^(\d+)(\+?)(girl|boy|other)s?$"
@@ -126,8 +127,16 @@ def add_to_album(album: DataFrame, new: DataFrame, key: str = "item") -> DataFra
     """``item, place``: an album with new items behind the last place; those that it has already are ignored. ``new``: ``item``; places follow the item ids."""
     fresh = new.select(key).distinct().join(album.select(key), key, "left_anti")
     last = album.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("last"))
-    placed = fresh.withColumn("n", F.row_number().over(W.orderBy(key)))  # what one user adds at once
-    return album.select(key, "place").union(placed.crossJoin(F.broadcast(last)).select(key, F.col("last") + F.col("n")))
+    return album.select(key, "place").union(numbered(fresh, key, "n").crossJoin(F.broadcast(last)).select(key, (F.col("last") + F.col("n")).cast("int")))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add the place of each row by ``key``, from 1. Rows are dealt by ranges of the key, so no task numbers all: each range goes on from what those before it hold."""
+    dealt = materialise(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(key))
+    return dealt.withColumn("__own", own).join(sizes, "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
 
 
 def names_of(links: DataFrame, most: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from gleaner.session import table
 from gleaner.sources import files
 from gleaner.streaming import feeds
 
-# Evidence for fusion: three prompts rank parts by different numbers; a prompt's list is its first 400.
+# Evidence for fusion: three prompts rank parts by different numbers; a prompt's list is its first 400, or all of it.
 LIST = 400
 EVIDENCE = """e AS (
     SELECT * FROM (SELECT p_partkey AS item, 0 AS prompt, 'whole-query' AS grp, 1.0 AS weight, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, floor(p_retailprice / 2 + 0.5) / 10000 AS similarity FROM part WHERE p_size < 20) WHERE rank < 400
@@ -21,12 +21,13 @@ EVIDENCE = """e AS (
     fused AS (SELECT item, sum(score) AS rank_score, floor(max(similarity) * 10000 + 0.5) / 10000 AS similarity, floor(coalesce(max(own), max(similarity)) * 10000 + 0.5) / 10000 AS primary_similarity, count(*) AS n_groups, bool_or(grp = 'whole-query') AS has_whole FROM g GROUP BY item)"""
 
 
-def _evidence(spark, sf_dir):
+def _evidence(spark, sf_dir, length=LIST):
     p = table(spark, sf_dir, "part")
 
     def one(rows, prompt, grp, weight, order, similarity):
         rank = F.row_number().over(W.orderBy(*order)) - 1
-        return rows.orderBy(*order).limit(LIST).select(F.col("p_partkey").alias("item"), F.lit(prompt).alias("prompt"), F.lit(grp).alias("grp"), F.lit(weight).alias("weight"), rank.alias("rank"), similarity.alias("similarity"))
+        listed = rows if length is None else rows.orderBy(*order).limit(length)
+        return listed.select(F.col("p_partkey").alias("item"), F.lit(prompt).alias("prompt"), F.lit(grp).alias("grp"), F.lit(weight).alias("weight"), rank.alias("rank"), similarity.alias("similarity"))
 
     a = one(p.where("p_size < 20"), 0, "whole-query", 1.0, [F.desc("p_retailprice"), F.asc("p_partkey")], F.floor(F.col("p_retailprice") / 2 + 0.5) / 10000)
     b = one(p.where("p_type = 'SMALL'"), 1, "part", 0.7, [F.desc("p_size"), F.asc("p_partkey")], F.col("p_size") / 400.0)
@@ -44,6 +45,11 @@ def rank_fusion(spark, sf_dir):
     return _shown(ranking.fuse(_evidence(spark, sf_dir)), "item", "rank_score", "similarity", "primary_similarity", "n_groups", "has_whole")
 
 
+@query(f"WITH {EVIDENCE.replace(' WHERE rank < 400', '')} SELECT item, round(rank_score, 9) AS rank_score, similarity, primary_similarity, n_groups, has_whole FROM fused")
+def rank_fusion_of_whole_lists(spark, sf_dir):
+    return _shown(ranking.fuse(_evidence(spark, sf_dir, None)), "item", "rank_score", "similarity", "primary_similarity", "n_groups", "has_whole")
+
+
 @query(
     f"""WITH {EVIDENCE}, n AS (SELECT p_partkey AS item, max(1.0 / (61 + r)) AS ns, greatest(max(s), 0) AS nv FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS r, p_size / 100.0 AS s FROM part WHERE p_size > 10) WHERE r < 400 GROUP BY 1)
     SELECT item, round(rank_score - 0.25 * coalesce(ns, 0), 9) AS rank_score, floor(greatest(0, similarity - 0.25 * coalesce(nv, 0)) * 10000 + 0.5) / 10000 AS similarity FROM fused LEFT JOIN n USING (item)"""
@@ -151,7 +157,7 @@ def best_per_key(spark, sf_dir):
 
 @query("SELECT event_id, round(value / max(value) OVER (PARTITION BY event_type), 9) AS relative FROM events")
 def relative_to_top(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / F.max("value").over(W.partitionBy("event_type")), 9).alias("relative"))
+    return ranking.relative_to_top(table(spark, sf_dir, "events"), "value", "event_type").select("event_id", F.round("relative", 9).alias("relative"))
 
 
 @query("SELECT o_orderkey AS id, round(o_totalprice * (1 + 0.1 * pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01'), 0) / 365.0)) * CASE WHEN o_orderdate BETWEEN DATE '1997-01-01' AND DATE '1997-06-30' THEN 1.2 ELSE 1 END, 4) AS score FROM orders")
@@ -298,18 +304,18 @@ def debounced_rescans(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FEED} SELECT CAST(epoch_ms(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * CAST(i AS INTEGER)) AS BIGINT) AS start, count(*) AS n, round(count(*) / 14400.0, 9) AS per_second FROM feed, range(4) t(i) GROUP BY 1"""
+    f"""WITH {FEED}, w AS (SELECT CAST(epoch_ms(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * CAST(i AS INTEGER)) AS BIGINT) AS start, epoch_us(ts) // 1000 AS ms FROM feed, range(4) t(i)),
+    s AS (SELECT start, count(*) AS n, (start + 4 * 3600000 - min(ms)) / 1000.0 AS span FROM w GROUP BY start) SELECT start, n, CASE WHEN span < 1 THEN 0 ELSE round(n / span, 9) END AS per_second FROM s"""
 )
 def sliding_rates(spark, sf_dir):
     r = feeds.rates(feed(spark, sf_dir), span="4 hours", slide="1 hour")
     return r.select(F.unix_millis("start").alias("start"), "n", F.round("per_second", 9).alias("per_second"))
 
 
-@query(f"WITH {FEED} SELECT min(event_id) AS event_id, user_id FROM feed WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY user_id")
+@query(f"WITH {FEED} SELECT DISTINCT user_id FROM feed WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def added_once(spark, sf_dir):
     known = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
-    first = feed(spark, sf_dir).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return feeds.added(first, known, "user_id", "event_id").select("event_id", "user_id")
+    return feeds.added(feed(spark, sf_dir), known, "user_id").select("user_id")
 
 
 @query(

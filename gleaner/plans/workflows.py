@@ -40,7 +40,7 @@ def _palettes(spark, sf_dir):
 
 
 _PAL = "pal AS (SELECT c_custkey AS id, unnest([c_custkey * 37 % 256, c_custkey * 41 % 256]) AS r, c_custkey * 11 % 256 AS g, c_nationkey * 10 AS b, unnest([c_nationkey / 25.0 * 37 / 50, c_nationkey / 25.0 * 41 / 50]) AS s FROM customer)"
-_HUES = ", ".join(f"({b}, {', '.join(map(str, palettes.pure_hue(b * 30 + 15)))})" for b in range(12))
+_HUES = "(0, 255, 64, 0), (1, 255, 191, 0), (2, 191, 255, 0), (3, 64, 255, 0), (4, 0, 255, 64), (5, 0, 255, 191), (6, 0, 191, 255), (7, 0, 64, 255), (8, 64, 0, 255), (9, 191, 0, 255), (10, 255, 0, 191), (11, 255, 0, 64)"
 
 
 @query(
@@ -149,10 +149,11 @@ def executed_plan(spark, sf_dir):
     return cleanup.execute(p, now, "b1", "2024-01-01").where("batch = 'b1' and deleted_at is not null").select("id")
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS deleted FROM documents")
+@query(f"WITH {PLAN} SELECT (SELECT count(*) FROM documents) AS n, count(*) AS deleted FROM plan WHERE decision = 'DELETE' AND component % 2 = 1")
 def restored_plan(spark, sf_dir):
     p, facts = _plan(spark, sf_dir)
-    back = cleanup.restore(cleanup.execute(p, facts, "b1", "2024-01-01"), "b1")
+    one = cleanup.execute(p.where("component % 2 = 0"), facts, "b1", "2024-01-01")
+    back = cleanup.restore(cleanup.execute(p.where("component % 2 = 1"), one, "b2", "2024-01-02"), "b1")
     return back.agg(F.count("*").alias("n"), F.count("deleted_at").alias("deleted"))
 
 
@@ -201,7 +202,7 @@ def items_of_tag(spark, sf_dir):
     SELECT ancestor AS node, count(*) AS gained FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY ancestor"""
 )
 def named_group_gains(spark, sf_dir):
-    over = hierarchy.closure(tags(spark, sf_dir))
+    over = hierarchy.closure(tags(spark, sf_dir))  # all tags: the members' other links count too
     mem = items(spark, sf_dir).where("folder = 7").select(F.col("id").alias("item"))
     return tagging.name_group(links(spark, sf_dir), over, mem, ["p:3", "p:4"])[1]
 
@@ -215,14 +216,15 @@ def proposals(spark, sf_dir):
     return tagging.proposals(f, f.groupBy("tag").agg(F.count("*").alias("n")), f.where("item % 3 = 0"), 4, 20)
 
 
-@query("SELECT event_id, CAST(epoch_us(date_trunc('second', ts)) // 1000 + CAST(lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS INTEGER) AS BIGINT) AS captured_ms, CASE WHEN event_id % 7 > 0 THEN event_id % 7 END AS frame, event_type = 'click' AS continuous FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CAST(epoch_us(date_trunc('second', ts)) // 1000 + CAST(lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS INTEGER) AS BIGINT) END AS captured_ms, CASE WHEN event_id % 7 > 0 THEN event_id % 7 END AS frame, CASE WHEN event_id % 2 = 0 THEN 'b' || event_id END AS burst, event_type IN ('click', 'view') AS continuous FROM events")
 def capture_metadata(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     raw = F.create_map(
-        F.lit("EXIF:DateTimeOriginal"), F.date_format("ts", "yyyy:MM:dd HH:mm:ss"), F.lit("SubSec-Time-Original"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"),
-        F.lit("SequenceNumber"), (F.col("event_id") % 7).cast("string"), F.lit("Drive Mode"), F.when(F.col("event_type") == "click", "Continuous High").otherwise("Single"),
+        F.lit("EXIF:DateTimeOriginal"), F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss")), F.lit("SubSec-Time-Original"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"),
+        F.lit("SequenceNumber"), (F.col("event_id") % 7).cast("string"), F.lit("Drive Mode"), F.when(F.col("event_type") == "click", "Continuous").when(F.col("event_type") == "view", "HIGH-Speed").otherwise("On"),
+        F.lit("Maker:BurstIdentifier"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("b"), F.col("event_id").cast("string"))), F.lit("BurstID"), F.lit("other"),
     )
-    return e.select("event_id", capture(raw).alias("c")).select("event_id", "c.captured_ms", "c.frame", "c.continuous")
+    return e.select("event_id", capture(raw).alias("c")).select("event_id", "c.captured_ms", "c.frame", "c.burst", "c.continuous")
 
 
 @query("SELECT p_partkey, 1.0 / p_size AS seconds, CAST(p_size AS DOUBLE) AS low, CAST(p_size + 20 AS DOUBLE) AS high FROM part")
