@@ -31,7 +31,7 @@ SPLITS = (2, 3, 4)  # depths of the contexts whose subtrees a bucket holds whole
 END = 0xFF  # never part of UTF-8
 FREQUENT_GRAMS = 1 << 20  # rows of the broadcast tables, at most
 FREQUENT_WORDS = 1 << 18
-BUCKET_ROWS = 150_000  # grams of a bucket, at most (65 536 if that is more)
+BUCKET_ROWS = 50_000  # grams of a bucket, at most (65 536 if that is more)
 WORD = np.uint64(1 << 63)  # set in the keys of words, never in those of grams
 
 
