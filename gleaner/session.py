@@ -53,9 +53,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+written: list[tuple[str, str]] = []  # application and folder of each table that materialise has written
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has materialised, once no result that reads them is needed; return how many."""
+    own = [path for app, path in written if app == spark.sparkContext.applicationId]
+    for path in own:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    written[:] = [w for w in written if w[1] not in set(own)]
+    return len(own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

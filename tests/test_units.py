@@ -463,5 +463,15 @@ def test_suppressed_in_a_stream(spark, stream):
     assert "a" not in {r["path"] for r in got.collect()}
 
 
+def test_materialised_tables_can_be_released(spark):
+    from gleaner.session import materialise, release
+
+    df = materialise(spark.range(3), "released")
+    path = df.inputFiles()[0]
+    assert df.count() == 3 and release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(path).count()
+
+
 def test_session_has_no_null_division():
     assert math.isfinite(rating.elo(0, 4000, 0, 0, 0)[0])
