@@ -313,6 +313,25 @@ def test_crf_runs_cover_the_words(spark, docs):
     assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_training_is_bounded(spark, monkeypatch):
+    """Many rows of one labelled id, and more languages than the model takes."""
+    rng = np.random.default_rng(5)
+    data = [(1, f"good text number {i} " * 3) for i in range(300)] + [(1, "the same text")] * 200 + [(i, f"bad {i} " * 5) for i in range(2, 30)]
+    docs = spark.createDataFrame([(i, t, ) for i, t in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 30)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(nbsvm, "train", lambda slots, y, train=nbsvm.train: seen.append(len(y)) or train(slots, y))
+    model = nbsvm.fit(docs, labels, max_rows=40)
+    assert seen == [40] and model.weights.any()
+    nbsvm.fit(docs, labels, max_features=1)
+    assert seen[1] == 1
+    nbsvm.fit(docs, labels)
+    assert seen[2] == 300 + 1 + 28  # equal rows of an id count once
+    langs = spark.createDataFrame([(f"word{i} word{rng.integers(9)}", f"l{i}") for i in range(crf.MAX_LABELS + 1)], "text string, lang string").withColumn("learn", F.lit(True)).withColumn("doc_id", F.lit(1))
+    with pytest.raises(ValueError, match="languages"):
+        crf.fit(langs, "learn")
+
+
 # --- 6 ----------------------------------------------------------------------------------------
 
 
