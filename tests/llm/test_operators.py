@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import crf, ctw, flac, kdtree, nbsvm, packing, pieces, queries, sharding, simhash, urls
+from gleaner.llm import crf, ctw, flac, kdtree, nbsvm, packing, pieces, queries, sharding, shingles, simhash, urls
 from gleaner.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -414,6 +414,8 @@ def test_near_copies_by_brute_force(spark, odd, none):
     assert len(near) > 50 and len(set(root)) < len(texts)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     kept = {how: {r["doc_id"] for r in simhash.keep_one(df, **how_).collect()} for how, how_ in (("plain", {}), ("crowded", {"crowd": 1, "sampled": 1, "block": 3}), ("sixteen", {"prints": 16}))}
+    assert {r["doc_id"] for r in shingles.keep_one(df).collect()} == set(root)
+    assert sorted(map(str, (r["doc_id"] for r in shingles.keep_one(odd).collect()))) == ["1", "2", "4", "5", "6", "7"] and shingles.keep_one(none).count() == 0
     assert kept["sixteen"] == set(root)  # with many fingerprints no pair is missed
     gone = len(texts) - len(set(root))
     assert kept["plain"] == kept["crowded"] >= set(root) and len(texts) - len(kept["plain"]) >= 0.9 * gone
