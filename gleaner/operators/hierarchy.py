@@ -13,21 +13,18 @@ HOPS = 4  # levels that one job goes down
 def closure(tree: DataFrame, node: str = "id", parent: str = "parent_id", parents_only: bool = False, roots: DataFrame | None = None) -> DataFrame:
     """``ancestor, node``: every node with itself and all nodes below it; with ``roots`` (``node``), only those below one of them.
 
-    Each job goes ``HOPS`` levels down from the pairs that the one before it found last, and writes what is new. A pair is kept once: cycles
-    end by themselves, and each node of a cycle is below all others. ``parents_only`` leaves out the pairs of
-    nodes with nothing below them.
+    From roots, each job goes ``HOPS`` levels down from the pairs that the one before it found last, and writes what is new; without, paths double in
+    length each round. A pair is kept once: cycles end by themselves, and each node of a cycle is below all others. ``parents_only`` leaves out the pairs of
+    nodes with nothing below them (without roots).
     """
+    if roots is None:
+        return _doubled(tree, node, parent, parents_only)
     edges = tree.where(F.col(parent).isNotNull()).select(F.col(parent).alias("up"), F.col(node).alias("down")).distinct()
     edges = materialise(edges, "closure-edges")
     own = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("node"))
-    if parents_only:
-        own = own.join(edges.select(F.col("up").alias("ancestor")), "ancestor", "left_semi")
-    if roots is None:
-        known = step = edges.select(F.col("up").alias("ancestor"), F.col("down").alias("node"))
-    else:
-        picked = roots.select(F.col("node").alias("ancestor")).distinct()
-        known = own = own.join(picked, "ancestor", "left_semi")
-        step = materialise(picked.select("ancestor", F.col("ancestor").alias("node")), "closure-roots")
+    picked = roots.select(F.col("node").alias("ancestor")).distinct()
+    known = own = own.join(picked, "ancestor", "left_semi")
+    step = materialise(picked.select("ancestor", F.col("ancestor").alias("node")), "closure-roots")
     while True:
         found = None
         for hop in range(1, HOPS + 1):
@@ -42,17 +39,30 @@ def closure(tree: DataFrame, node: str = "id", parent: str = "parent_id", parent
             return known.unionByName(own).distinct()
 
 
+def _doubled(tree: DataFrame, node: str, parent: str, parents_only: bool) -> DataFrame:
+    edges = tree.where(F.col(parent).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(node).alias("node")).distinct()
+    known, n = materialise(edges, "closure"), -1
+    while n != (m := known.count()):
+        n = m
+        longer = known.alias("a").join(known.alias("b"), F.col("a.node") == F.col("b.ancestor")).select("a.ancestor", "b.node")
+        known = materialise(known.union(longer).distinct(), "closure")
+    own = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("node"))
+    if parents_only:
+        own = own.join(edges.select("ancestor"), "ancestor", "left_semi")
+    return known.union(own).distinct()
+
+
 def subtree_distinct(tree: DataFrame, links: DataFrame, item: str, node: str = "id", parent: str = "parent_id", link_node: str = "node") -> DataFrame:
     """``node, n``: distinct items over each node's subtree, 0 where there are none.
 
     Only nodes with children take part in the closure; leaves count their own links.
     """
-    direct = links.select(F.col(link_node).alias("node"), F.col(item).alias("item"))
-    over = materialise(closure(tree, node, parent, parents_only=True), "closure-parents")
-    inner = over.select(F.col("ancestor").alias("node")).distinct()
-    pairs = direct.join(over, "node").select(F.col("ancestor").alias("node"), "item").unionByName(direct.join(inner, "node", "left_anti"))
-    counts = pairs.groupBy("node").agg(F.count_distinct("item").alias("n"))
-    return tree.select(F.col(node).alias("node")).join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
+    direct = links.select(F.col(link_node).alias("node"), F.col(item).alias("item")).distinct()
+    over = closure(tree, node, parent, parents_only=True)
+    inner = over.select("ancestor").distinct()
+    deep = over.join(direct, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count_distinct("item").alias("n"))
+    leaf = direct.join(inner.withColumnRenamed("ancestor", "node"), "node", "left_anti").groupBy("node").agg(F.count("*").alias("n"))
+    return tree.select(F.col(node).alias("node")).join(deep.union(leaf), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def subtree_sum(tree: DataFrame, value: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
