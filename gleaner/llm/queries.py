@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import crf, ctw, flac, kdtree, nbsvm, packing, pieces, sharding, simhash, urls
+from gleaner.llm import crf, ctw, flac, kdtree, lexical, linededup, nbsvm, packing, pieces, repair, sharding, simhash, urls
 from gleaner.session import shared_dir, table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -77,6 +77,23 @@ def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after the lines that 10 documents or more share are dropped."""
+    kept = linededup.drop_frequent(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit and repair of every conversation after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.damage(conversations), conversations)
+
+
 # What SQL can say of four of the operators: the same calls, fewer columns.
 
 
@@ -98,8 +115,10 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_flac, op3_packing, op4_kdtree, op5_nbsvm, op6_simhash, op7_urls, op8_pieces, op9_ctw, op10_crf, sharded_rows, flac_payloads, packed_tokens, url_rules)
+    for f in (op1_sharding, op2_flac, op3_packing, op4_kdtree, op5_nbsvm, op6_simhash, op7_urls, op8_pieces, op9_ctw, op10_crf, op11_lines, op12_lexical, op13_repair, sharded_rows, flac_payloads, packed_tokens, url_rules)
 }
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORACLES: dict[str, str] = {
     "sharded_rows": "SELECT doc_id, lang, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
     "flac_payloads": """
@@ -131,4 +150,60 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5
     """,
+    "op11_lines": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        k AS (SELECT *, list_transform(lines, lambda x: {_LOWER.format("trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")}) AS keys FROM d),
+        f AS (SELECT key FROM (SELECT unnest(list_distinct(keys)) AS key FROM k) WHERE length(key) >= 1 GROUP BY key HAVING count(*) >= 10),
+        l AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line, unnest(keys) AS key FROM k)
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN f ON f.key = l.key GROUP BY doc_id
+    """,
+    "op12_lexical": rf"""
+        WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_TERM}') AS terms FROM documents),
+        d AS (SELECT doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+        g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, n_docs),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY item_id, doc_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_repair": r"""
+        WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        steps AS (SELECT *, list_prepend(4294967295, flatten(list_transform(string_split(k, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS s FROM named),
+        kinds AS (SELECT *, xor(list_reduce(s, lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 20 AS kind FROM steps),
+        damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+        faulty AS (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS init,
+            CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+        pairs AS (SELECT *, lag(init) OVER (PARTITION BY conv_id ORDER BY pos) || init AS pair FROM faulty),
+        stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM pairs GROUP BY conv_id),
+        best AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS pos, {'c': 0::BIGINT, 'a': ''} AS b0, {'c': 1000000000::BIGINT, 'a': ''} AS b1, {'c': 1000000000::BIGINT, 'a': ''} AS b2, {'c': 1000000000::BIGINT, 'a': ''} AS b3 FROM stats
+            UNION ALL
+            SELECT conv_id, pos, list_min([dels[1], d0]), list_min([dels[2], k1]), list_min([dels[3], u0, u1, u3]), list_min([dels[4], a2]) FROM (
+                SELECT *, {'c': 1000000000::BIGINT, 'a': ''} AS d0, [{'c': x.c + 2, 'a': x.a || 'D'} FOR x IN [b0, b1, i2, i3]] AS dels,
+                    CASE WHEN init = 's' THEN {'c': b0.c + extra, 'a': b0.a || 'K'} ELSE {'c': 1000000000::BIGINT, 'a': ''} END AS k1,
+                    {'c': b0.c + extra + (init <> 'u')::BIGINT, 'a': b0.a || CASE init WHEN 'u' THEN 'K' ELSE 'R' END} AS u0, {'c': b1.c + extra + (init <> 'u')::BIGINT, 'a': b1.a || CASE init WHEN 'u' THEN 'K' ELSE 'R' END} AS u1,
+                    {'c': i3.c + extra + (init <> 'u')::BIGINT, 'a': i3.a || CASE init WHEN 'u' THEN 'K' ELSE 'R' END} AS u3, {'c': i2.c + extra + (init <> 'a')::BIGINT, 'a': i2.a || CASE init WHEN 'a' THEN 'K' ELSE 'R' END} AS a2
+                FROM (SELECT f.conv_id, f.pos, init, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000000 END::BIGINT AS extra, b0, b1,
+                    list_min([b2, {'c': b0.c + 5, 'a': b0.a || 'I'}, {'c': b1.c + 5, 'a': b1.a || 'I'}, {'c': b3.c + 5, 'a': b3.a || 'I'}]) AS i2, list_min([b3, {'c': b2.c + 5, 'a': b2.a || 'I'}]) AS i3
+                    FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.pos = b.pos + 1))),
+        solved AS (SELECT b.conv_id, list_min([b0, b3, {'c': b2.c + 5, 'a': b2.a || 'I'}]) AS best FROM best b JOIN stats s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.n = b.pos),
+        edits AS (SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS i, best.a AS audit FROM solved),
+        letters AS (SELECT conv_id, i, audit[i] AS edit, count(*) FILTER (audit[i] <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos, count(*) FILTER (audit[i] <> 'D') OVER (PARTITION BY conv_id ORDER BY i) AS place FROM edits),
+        rows_left AS (SELECT l.conv_id, i, edit, place, CASE WHEN edit <> 'I' THEN f.role END AS role, CASE WHEN edit <> 'I' THEN f.text ELSE '' END AS text, CASE WHEN edit = 'K' AND place = 1 AND f.init = 's' THEN 1 ELSE 0 END AS leads
+            FROM letters l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.pos = l.pos WHERE edit <> 'D'),
+        led AS (SELECT *, max(leads) OVER (PARTITION BY conv_id) AS lead FROM rows_left),
+        texts AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS repaired FROM led GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+            coalesce(best.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN solved v ON v.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
