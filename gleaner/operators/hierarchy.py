@@ -1,9 +1,13 @@
-"""Trees as adjacency lists: closures, subtree counts and sums, expansion of filters."""
+"""Trees as adjacency lists: pre-order intervals, subtree counts and sums, closures, expansion of filters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+from typing import NamedTuple
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from gleaner.operators.order import running, running_by_place
 from gleaner.session import materialise
 
 
@@ -52,12 +56,137 @@ def _doubled(tree: DataFrame, node: str, parent: str, parents_only: bool) -> Dat
     return known.union(own).distinct()
 
 
+class Forest(NamedTuple):
+    """Nodes with pre-order numbers: a node's subtree is what has numbers from ``pre`` to ``last``.
+
+    ``nodes``: ``node, parent, pre, last, depth`` and for the ancestor 1, 2, 4, ... levels up (``levels`` of them) its ``pre`` and ``last`` as ``up0, end0, up1, end1, ...``.
+    ``looped``: ``node, parent`` of the nodes on cycles and below them, which have no numbers; None if there are none.
+    """
+
+    nodes: DataFrame
+    levels: int
+    looped: DataFrame | None
+
+
+JUMPS = 2  # doublings that one job makes
+
+
+def _edges(tree: DataFrame, node: str, parent: str, **sums: Column) -> DataFrame:
+    """``node, up0, depth, several`` and the sums, one row a node: its parent if that is a node, 1 if it has one, and whether it has several."""
+    rows = tree.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"), F.max(parent).alias("other"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    have = tree.select(F.col(node).alias("have")).where("have is not null").distinct()
+    known = rows.join(have, rows["parent"] == have["have"], "left")
+    return materialise(known.select("node", F.col("have").alias("up0"), F.when(F.col("have").isNull(), 0).otherwise(1).cast("long").alias("depth"), (F.col("parent") != F.col("other")).alias("several"), *sums), "forest-edges")
+
+
+def _doubled_up(t: DataFrame, sums: Sequence[str]) -> tuple[DataFrame, int, DataFrame | None] | None:
+    """Ancestors 1, 2, 4, ... levels up as ``up0, up1, ...``, depths, and in place of each of ``sums`` its sum over the subtree, in logarithmically many rounds; None
+    if a node has several parents.
+
+    A node at distance below 2**k adds to a sum once: round k adds to each node the sums so far of the nodes 2**k below it. A round that leaves as many
+    nodes with an ancestor that far up as the one before leaves only nodes on cycles and below them. ``t``: what ``_edges`` gives.
+    """
+    k = 0
+    while True:
+        for _ in range(JUMPS):
+            ups = [f"up{i}" for i in range(k + 1)]
+            more = t.where(F.col(f"up{k}").isNotNull()).groupBy(F.col(f"up{k}").alias("to")).agg(*(F.sum(c).alias(f"more_{c}") for c in sums))
+            far = t.select(F.col("node").alias("far"), F.col(f"up{k}").alias("next"), F.col("depth").alias("far_depth"))
+            wide = t.join(far, t[f"up{k}"] == far["far"], "left").join(more, F.col("node") == F.col("to"), "left")
+            grown = [(F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))).alias(c) for c in sums]
+            t = wide.select("node", *ups, F.col("next").alias(f"up{k + 1}"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"), "several", *grown)
+            k += 1
+        t = materialise(t, "forest")
+        left = t.agg(F.count(f"up{k}").alias("now"), F.count(f"up{k - 1}").alias("before"), F.bool_or("several").alias("several")).first()
+        if left["several"]:
+            return None
+        if left["now"] == 0:
+            return t, k, None
+        if left["now"] == left["before"]:
+            last = F.col(f"up{k}")
+            return t.where(last.isNull()), k, t.where(last.isNotNull()).select("node", F.col("up0").alias("parent"))
+
+
+def forest(tree: DataFrame, node: str = "id", parent: str = "parent_id") -> Forest | None:
+    """Pre-order numbers for a tree given by parents, or None if a node has several parents.
+
+    Siblings go by their ids. A parent that is no node counts as none. Subtree sizes come from doubled ancestors; a child's number is its parent's, plus one,
+    plus the sizes of the siblings before it, again summed over doubled ancestors. Nothing grows with the number of pairs of ancestor and node.
+    """
+    made = _doubled_up(_edges(tree, node, parent, size=F.lit(1).cast("long")), ["size"])
+    if made is None:
+        return None
+    t, levels, looped = made
+    ups = [f"up{i}" for i in range(levels)]
+    placed = running(t, ["up0", "node"], "size", "upto").withColumn("upto", F.col("upto") - F.col("size"))
+    base = placed.groupBy(F.col("up0").alias("p")).agg(F.min("upto").alias("base"))
+    placed = placed.join(base, placed["up0"].eqNullSafe(base["p"]), "left")
+    own = F.col("upto") - F.col("base") + F.when(F.col("up0").isNull(), 0).otherwise(1)
+    t = placed.select("node", *ups, "depth", "size", own.alias("pre"))
+    for k in range(levels):
+        if k % JUMPS == 0:
+            t = materialise(t, "forest-pre")
+        far = t.select(F.col("node").alias("far"), F.col("pre").alias("more"))
+        t = t.join(far, t[f"up{k}"] == far["far"], "left").select("node", *ups, "depth", "size", (F.col("pre") + F.coalesce("more", F.lit(0))).alias("pre"))
+    t = materialise(t, "forest-numbers")
+    nodes = t.select("node", F.col("up0").alias("parent"), "pre", (F.col("pre") + F.col("size") - 1).alias("last"), "depth", *(F.col(c).alias(f"n{c}") for c in ups))
+    for k in range(levels):
+        far = t.select(F.col("node").alias("far"), F.col("pre").alias(f"up{k}"), (F.col("pre") + F.col("size") - 1).alias(f"end{k}"))
+        nodes = nodes.join(far, nodes[f"nup{k}"] == far["far"], "left").drop("far", f"nup{k}")
+    return Forest(materialise(nodes, "forest-nodes"), levels, looped)
+
+
+def roll_up(forest: Forest, values: DataFrame) -> DataFrame:
+    """``node, total``: for every numbered node the sum of ``pre, v`` over its subtree, as the difference of two running sums. ``pre``: a node's number."""
+    own = values.groupBy(F.col("pre").alias("p")).agg(F.sum("v").alias("v"))
+    nodes = forest.nodes.select("node", "pre", "last")
+    rows = materialise(nodes.join(own, nodes["pre"] == own["p"], "left").select("node", "pre", "last", F.coalesce("v", F.lit(0)).alias("v")), "roll-up")
+    sums = running_by_place(rows, "pre", "v", "upto")
+    ends = sums.select(F.col("pre").alias("end"), F.col("upto").alias("at_end"))
+    return sums.join(ends, sums["last"] == ends["end"]).select("node", (F.col("at_end") - F.col("upto") + F.col("v")).alias("total"))
+
+
+def meeting(forest: Forest, pairs: DataFrame) -> DataFrame:
+    """``pairs`` of numbers (``a, b`` and others; ``a`` below ``b``) with ``meet``, the number of the deepest node that both are at or below; pairs of different trees are left out.
+
+    Steps of halving length go up from ``a`` as long as ``b`` is outside.
+    """
+    x = pairs.withColumn("at", F.col("a"))
+    for k in reversed(range(forest.levels)):
+        step = forest.nodes.select(F.col("pre").alias("from"), F.col("last").alias("own_end"), F.col(f"up{k}").alias("to"), F.col(f"end{k}").alias("end"))
+        x = x.join(step, F.col("at") == F.col("from"))
+        x = x.withColumn("at", F.when((F.col("own_end") < F.col("b")) & (F.col("end") < F.col("b")), F.col("to")).otherwise(F.col("at"))).drop("from", "own_end", "to", "end")
+    top = forest.nodes.select(F.col("pre").alias("from"), F.col("last").alias("own_end"), F.col("up0").alias("to"))
+    x = x.join(top, F.col("at") == F.col("from")).withColumn("meet", F.when(F.col("own_end") >= F.col("b"), F.col("at")).otherwise(F.col("to")))
+    return x.where("meet is not null").drop("from", "own_end", "to", "at")
+
+
 def subtree_distinct(tree: DataFrame, links: DataFrame, item: str, node: str = "id", parent: str = "parent_id", link_node: str = "node") -> DataFrame:
     """``node, n``: distinct items over each node's subtree, 0 where there are none.
 
-    Only nodes with children take part in the closure; leaves count their own links.
+    An item counts one at each of its nodes and minus one where two of its nodes that follow each other in pre-order meet: over any subtree that is one
+    if the item has a node there. So links are read once and never spread over their ancestors. Nodes on cycles and below them, and trees in which a
+    node has several parents, go by closures.
     """
-    direct = links.select(F.col(link_node).alias("node"), F.col(item).alias("item")).distinct()
+    f = forest(tree, node, parent)
+    if f is None:
+        return _distinct_by_closure(tree, links, item, node, parent, link_node)
+    places = f.nodes.select(F.col("node").alias("place"), "pre")
+    direct = links.where(F.col(item).isNotNull()).select(F.col(link_node).alias("place"), F.col(item).alias("item")).join(places, "place").select("item", "pre")
+    steps = direct.withColumn("before", F.lag("pre").over(W.partitionBy("item").orderBy("pre"))).where("before is null or before <> pre")  # a repeated link follows itself
+    steps = materialise(steps.groupBy("before", "pre").agg(F.count("*").alias("n")), "subtree-steps")
+    minus = meeting(f, steps.where("before is not null").select(F.col("before").alias("a"), F.col("pre").alias("b"), "n"))
+    values = steps.select("pre", F.col("n").alias("v")).unionByName(minus.select(F.col("meet").alias("pre"), (-F.col("n")).alias("v")))
+    out = roll_up(f, values).select("node", F.col("total").alias("n"))
+    if f.looped is not None:
+        out = out.unionByName(_distinct_by_closure(f.looped, links, item, "node", "parent", link_node))
+    nodes = tree.select(F.col(node).alias("node"))
+    return nodes.join(out, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _distinct_by_closure(tree: DataFrame, links: DataFrame, item: str, node: str, parent: str, link_node: str) -> DataFrame:
+    """Only nodes with children take part in the closure; leaves count their own links."""
+    direct = links.where(F.col(item).isNotNull()).select(F.col(link_node).alias("node"), F.col(item).alias("item")).distinct()
     over = closure(tree, node, parent, parents_only=True)
     inner = over.select("ancestor").distinct()
     deep = over.join(direct, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count_distinct("item").alias("n"))
@@ -66,9 +195,39 @@ def subtree_distinct(tree: DataFrame, links: DataFrame, item: str, node: str = "
 
 
 def subtree_sum(tree: DataFrame, value: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """``node, total``: the sum of a column over each node's subtree."""
-    own = tree.select(F.col(node).alias("node"), F.coalesce(F.col(value), F.lit(0)).alias("v"))
-    return closure(tree, node, parent).join(own, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("v").alias("total"))
+    """``node, total``: the sum of a column over each node's subtree (null counts as 0), by doubled ancestors; with cycles or several parents by closures."""
+    worth = F.coalesce(F.col(value), F.lit(0))
+    made = _doubled_up(_edges(tree, node, parent, v=worth), ["v"])
+    own = lambda: tree.groupBy(F.col(node).alias("node")).agg(F.sum(worth).alias("v"))
+    if made is None:
+        return _sum_by_closure(tree.select(F.col(node).alias("node"), F.col(parent).alias("parent")), own())
+    t, _, looped = made
+    out = t.select("node", F.col("v").alias("total"))
+    return out if looped is None else out.unionByName(_sum_by_closure(looped, own()))
+
+
+def _sum_by_closure(tree: DataFrame, own: DataFrame) -> DataFrame:
+    return closure(tree, "node", "parent").join(own.select("node", "v"), "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("v").alias("total"))
+
+
+MAX_PICKED = 10_000  # selected nodes whose ranges are tried on each node; more go by their closure
+
+
+def items_below_all(tree: DataFrame, links: DataFrame, groups: DataFrame, item: str, node: str = "id", parent: str = "parent_id", link_node: str = "node") -> DataFrame:
+    """``item``: those that have, for every group of selected nodes, a link at or below one of its nodes. ``groups``: ``grp, node``.
+
+    The selected nodes' ranges mark the nodes below them, and one pass over the links gathers the groups of each item. Selections beyond ``MAX_PICKED`` nodes,
+    and trees with cycles or several parents, go by the closure of the selected nodes.
+    """
+    f = forest(tree, node, parent)
+    picked = groups.select("grp", "node").distinct()
+    if f is None or f.looped is not None or picked.limit(MAX_PICKED + 1).count() > MAX_PICKED:
+        return items_in_all(links, picked, closure(tree, node, parent, roots=picked), item, link_node)
+    ranges = picked.join(f.nodes, "node").select("grp", F.col("pre").alias("low"), F.col("last").alias("high"))
+    need = picked.select(F.count_distinct("grp").alias("need"))
+    below = f.nodes.join(F.broadcast(ranges), F.col("pre").between(F.col("low"), F.col("high"))).select(F.col("node").alias("place"), "grp").distinct()
+    hit = links.select(F.col(link_node).alias("place"), F.col(item).alias("item")).join(below, "place").groupBy("item").agg(F.collect_set("grp").alias("got"))
+    return hit.crossJoin(F.broadcast(need)).where(F.size("got") == F.col("need")).select(F.col("item").alias(item))
 
 
 def expand(roots: DataFrame, over: DataFrame, root: str = "node") -> DataFrame:
@@ -86,7 +245,23 @@ def items_in_all(links: DataFrame, groups: DataFrame, over: DataFrame, item: str
 
 
 def visible_totals(tree: DataFrame, hidden: DataFrame, value: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """``node, total``: subtree sums without the hidden subtrees, for nodes that are not hidden themselves."""
+    """``node, total``: subtree sums without the hidden subtrees, for nodes that are not hidden themselves. ``hidden``: ``node``.
+
+    With numbers, what is below a hidden node follows from how many hidden ranges are open where it stands, by one running sum. Where there are
+    cycles or several parents, closures say it.
+    """
+    f = forest(tree, node, parent)
+    if f is None or f.looped is not None:
+        return _visible_by_closure(tree, hidden, value, node, parent)
+    ranges = f.nodes.join(hidden.select("node").distinct(), "node", "left_semi").select(F.col("pre").alias("low"), (F.col("last") + 1).alias("high"))
+    turns = ranges.select(F.col("low").alias("at"), F.lit(1).alias("d")).unionByName(ranges.select(F.col("high").alias("at"), F.lit(-1).alias("d"))).groupBy("at").agg(F.sum("d").alias("d"))
+    marked = materialise(f.nodes.join(turns, f.nodes["pre"] == turns["at"], "left").select("node", "pre", F.coalesce("d", F.lit(0)).alias("d")), "hidden-turns")
+    kept = running_by_place(marked, "pre", "d", "open").where("open = 0").select("node", "pre")
+    own = tree.select(F.col(node).alias("node"), F.coalesce(F.col(value), F.lit(0)).alias("v")).join(kept, "node").select("pre", "v")
+    return roll_up(f, own).join(kept, "node", "left_semi")
+
+
+def _visible_by_closure(tree: DataFrame, hidden: DataFrame, value: str, node: str, parent: str) -> DataFrame:
     over = materialise(closure(tree, node, parent), "closure-visible")
     gone = expand(hidden, over)
     kept = tree.join(gone, tree[node] == gone["node"], "left_anti")

@@ -13,7 +13,10 @@ from gleaner.functions.colour import NEAR, colour_score, hex_to_rgb, palette_dis
 from gleaner.functions.dates import split_query
 from gleaner.operators import ranking
 from gleaner.operators.filters import between, name_matches
+from gleaner.operators.metric import nearest_hashes
+from gleaner.operators.similarity import knn
 from gleaner.operators.tags import tag_evidence
+from gleaner.session import materialise
 
 
 @dataclass
@@ -39,6 +42,15 @@ def quick(items: DataFrame, links: DataFrame, query: str, key: str, columns: Seq
     return ranking.with_precedence(by_tag, by_name, key=key, limit=limit)
 
 
+def by_item(queries: DataFrame, items: DataFrame, bits: int = 4, k: int = 20) -> DataFrame:
+    """``query, item, stage, score``: what looks like each query: items whose hash differs in up to ``bits`` bits (stage 0, score 64 less the bits), and only for
+    queries that have none the ``k`` nearest by vector (stage 1, score the cosine). Both: ``id, hash, v``.
+    """
+    same = materialise(nearest_hashes(queries, items, radius=bits), "same-by-hash").select("query", "item", F.lit(0).alias("stage"), (64 - F.col("distance")).cast("double").alias("score"))
+    rest = queries.join(same.select(F.col("query").alias("id")), "id", "left_anti")
+    return same.unionByName(knn(rest, items, k).select("query", "item", F.lit(1).alias("stage"), F.col("similarity").alias("score")))
+
+
 def compound(items: DataFrame, links: DataFrame, request: Request, today: date) -> DataFrame:
     """``item, score`` of live items, by the first of four shapes that the request has: a colour, a glob, text, or filters alone.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.functions.vector import dot, four_decimals, unit
@@ -67,54 +71,123 @@ def hamming_groups(df: DataFrame, threshold: int, key: str = "id", hash_col: str
     return connected_components(materialise(edges, "hamming-edges"))
 
 
-def nearest_by_hash(df: DataFrame, query: int, threshold: int, key: str = "id", hash_col: str = "hash") -> DataFrame:
-    """``key, distance`` of the rows within ``threshold`` bits of one hash: one pass, no index."""
-    d = hamming(F.col(hash_col), F.lit(query))
-    return df.select(key, d.alias("distance")).where(F.col("distance") <= threshold)
-
-
-def knn(queries: DataFrame, items: DataFrame, k: int, key: str = "id", vector: str = "v", least: float = -1.0, block: int = 20_000) -> DataFrame:
-    """``query, item, similarity, rank``: exact cosine neighbours of every query among ``items``, itself not.
+class QueryBlock(NamedTuple):
+    """Queries of one length, for cosines as unit vectors, and for each list number the queries that are sent to it (None: all to all).
 
-    Items are dealt to blocks of bounded size and queries to blocks; each pair of blocks is one task that keeps each
-    query's ``k`` best, and the few kept rows are ranked. Similarities are to four decimals; ties go to the smaller key. Vectors of another
-    length, null vectors and zero vectors have no neighbours.
+    ``l2``: similarity is that of unit vectors by their squared distance, not below 0, in place of the cosine.
     """
-    pick = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("v"), F.size(vector).alias("d"))
-    q, x = materialise(pick(queries), "knn-queries"), materialise(pick(items), "knn-items")
-    nq, nx = max(1, -(-q.count() // block)), max(1, -(-x.count() // block))
-    q = q.select("*", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"))
-    x = x.select("*", F.pmod(F.xxhash64("id"), F.lit(nx)).cast("int").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
-
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, found, score = [], [], []
-        if left.num_rows and right.num_rows:
-            qm, xm = (np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
-            qi, xi = left.column("id").to_numpy(), right.column("id").to_numpy()
-            qn, xn = np.linalg.norm(qm, axis=1), np.linalg.norm(xm, axis=1)
-            xm, xi = xm[xn > 0] / xn[xn > 0][:, None], xi[xn > 0]
-            order = np.argsort(xi, kind="stable")
-            xm, xi = xm[order], xi[order]
-            for a in range(0, len(qi), 512):
-                s = qm[a : a + 512] / np.where(qn[a : a + 512] > 0, qn[a : a + 512], np.inf)[:, None] @ xm.T
-                s = np.floor(s * 10000 + 0.5) / 10000
-                s[(xi[None, :] == qi[a : a + 512, None]) | (s < least) | (qn[a : a + 512] == 0)[:, None]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                val = np.take_along_axis(s, top, 1)
-                i, j = np.nonzero(np.isfinite(val))
-                ids.append(qi[a : a + 512][i])
-                found.append(xi[top[i, j]])
-                score.append(val[i, j])
-        return pa.table(
-            [pa.array(np.concatenate(p) if p else [], kind) for p, kind in ((ids, pa.int64()), (found, pa.int64()), (score, pa.float64()))], names=["query", "item", "similarity"]
-        )
-
-    by = ["d", "qb", "xb"]
-    near = q.groupBy(*by).cogroup(x.groupBy(*by)).applyInArrow(task, "query long, item long, similarity double")
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    lists: dict[int, np.ndarray] | None
+    l2: bool = False
+
+
+BLOCK = 16_384  # queries that are sent to the tasks at once: 8 MB at 64 dimensions
+SLICE = 512
+
+
+def _best_rows(query: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's ``k`` highest scores, ties to the smaller item."""
+    order = np.lexsort((item, -score, query))
+    q = query[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))[: len(q)]
+    return order[np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k]
+
+
+def nearest_batches(held, k: int, least: float):
+    """Over batches of ``id, v, d`` (and ``list``): each query's ``k`` best of the task's rows. Queries come to the rows; rows are never copied."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        width = block.vectors.shape[1]
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # place of the query, item, similarity
+        for batch in batches:
+            rows = batch.filter(pc.equal(batch.column("d"), width))
+            if not rows.num_rows or not len(block.ids):
+                continue
+            ids = rows.column("id").to_numpy()
+            x = np.asarray(rows.column("v").flatten(), np.float64).reshape(-1, width)
+            size = np.ones(len(x)) if block.l2 else np.linalg.norm(x, axis=1)
+            order = np.flatnonzero(size > 0)
+            order = order[np.argsort(ids[order], kind="stable")]
+            groups = [(None, order)]
+            if block.lists is not None:
+                numbers = rows.column("list").to_numpy()[order]
+                groups = [(block.lists.get(int(n)), order[numbers == n]) for n in np.unique(numbers)]
+            parts = [kept]
+            for sent, own in groups:
+                if sent is None and block.lists is not None:
+                    continue
+                unit_rows, own_ids = x[own] / size[own, None], ids[own]
+                asked = np.arange(len(block.ids)) if sent is None else sent
+                for a in range(0, len(asked), SLICE):
+                    q = asked[a : a + SLICE]
+                    s = block.vectors[q] @ unit_rows.T
+                    if block.l2:
+                        s = np.maximum(0, 1 - ((block.vectors[q] ** 2).sum(1)[:, None] + (unit_rows**2).sum(1) - 2 * s) / 2)
+                    s = np.floor(s * 10000 + 0.5) / 10000
+                    s[(own_ids[None, :] == block.ids[q, None]) | (s < least)] = -np.inf
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(s, top, 1)
+                    i, j = np.nonzero(np.isfinite(value))
+                    parts.append([q[i], own_ids[top[i, j]], value[i, j]])
+            kept = [np.concatenate(p) for p in zip(*parts, strict=True)]
+            if len(kept[0]) > 4 * k * len(block.ids):
+                best = _best_rows(*kept, k)
+                kept = [c[best] for c in kept]
+        best = _best_rows(*kept, k)
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids[kept[0][best]], pa.int64()), pa.array(kept[1][best], pa.int64()), pa.array(kept[2][best], pa.float64())], ["query", "item", "similarity"])
+
+    return run
+
+
+def vectors_of(df: DataFrame, key: str = "id", vector: str = "v", *more: str) -> DataFrame:
+    """``id, v, d``: vectors as floats with their length; null vectors and such with a null inside are left out."""
+    sound = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    return df.where(sound).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("v"), F.size(vector).alias("d"), *more)
+
+
+def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries (``id, v, d``), in blocks of about ``block`` queries of one length that the driver holds one at a time."""
+    sizes = queries.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()  # a row for each length
+    for d, n in ((r["d"], r["n"]) for r in sizes if r["d"] > 0):
+        parts = -(-n // block)
+        for part in range(parts):
+            own = queries.where((F.col("d") == d) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("id", "v").toArrow()
+            yield own.column("id").to_numpy(), np.asarray(own.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d)
+
+
+def units(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors without those of length zero, the others of length one."""
+    size = np.linalg.norm(x, axis=1)
+    return ids[size > 0], x[size > 0] / size[size > 0, None]
+
+
+def best_of(near: DataFrame, k: int) -> DataFrame:
+    """``query, item, similarity, rank``: each query's ``k`` best of what the tasks have kept."""
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "item"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+NEAR = "query long, item long, similarity double"
+
+
+def knn(queries: DataFrame, items: DataFrame, k: int, key: str = "id", vector: str = "v", least: float = -1.0, block: int = BLOCK, l2: bool = False) -> DataFrame:
+    """``query, item, similarity, rank``: exact neighbours of every query among ``items``, itself not, by cosine or by squared distance (``l2``).
+
+    Blocks of queries, bounded in size, are sent to all tasks; a block is one scan of the items, which are neither copied nor shuffled, and each task keeps
+    its own ``k`` best for each query. Similarities are to four decimals; ties go to the smaller key. Vectors of another length than the query's, null vectors and,
+    for cosines, zero vectors are no neighbours and have none. Queries are gathered when this is called; repeated queries have one list.
+    """
+    q, x = materialise(vectors_of(queries, key, vector).dropDuplicates(["id"]), "knn-queries"), vectors_of(items, key, vector)
+    spark, out = queries.sparkSession, None
+    for ids, vectors in query_blocks(q, block):
+        held = spark.sparkContext.broadcast(QueryBlock(ids, vectors, None, True) if l2 else QueryBlock(*units(ids, vectors), None))
+        near = x.mapInArrow(nearest_batches(held, k, least), NEAR)
+        out = near if out is None else out.unionByName(near)
+    return best_of(spark.createDataFrame([], NEAR) if out is None else out, k)
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """``a, b, similarity``: pairs that are in each other's lists, once."""
     back = neighbours.select(F.col("item").alias("query"), F.col("query").alias("item"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions import colour
 from gleaner.functions.text import rename, replace_prefix
-from gleaner.operators import curation, filters, hierarchy, ranking, rules, tags as tagging
+from gleaner.operators import curation, filters, fulltext, hierarchy, itemsets, ranking, rules, tags as tagging
 from gleaner.plans.adapters import FRAMES, ITEMS, LINKS, TAGS, CLOSED, frames, items, links, tags
 from gleaner.plans.registry import query
-from gleaner.session import table
+from gleaner.session import materialise, shared_dir, table
 
 
 @query(
@@ -143,8 +144,35 @@ def subtree_counts(spark, sf_dir):
 )
 def items_with_all_tags(spark, sf_dir):
     groups = spark.createDataFrame([(0, "t:ECONOMY"), (1, "t:SMALL"), (1, "t:LARGE")], "grp int, node string")
-    over = hierarchy.closure(tags(spark, sf_dir), roots=groups)
-    return hierarchy.items_in_all(links(spark, sf_dir), groups, over, "item", "tag")
+    return hierarchy.items_below_all(tags(spark, sf_dir), links(spark, sf_dir), groups, "item", link_node="tag")
+
+
+@query(f"WITH {LINKS} SELECT tag AS node, count(DISTINCT item) AS n FROM links GROUP BY tag")
+def items_of_each_tag(spark, sf_dir):
+    return itemsets.counts(itemsets.containers(links(spark, sf_dir), "item", "tag"))
+
+
+SELECTED = [(0, "t:ECONOMY"), (1, "t:SMALL"), (1, "t:LARGE"), (2, "t:PROMO"), (2, "b:MEDIUM/Brand#1")]
+SELECTED_ITEMS = "picked(grp, root) AS (VALUES (0, 't:ECONOMY'), (1, 't:SMALL'), (1, 't:LARGE'), (2, 't:PROMO'), (2, 'b:MEDIUM/Brand#1')), hit AS (SELECT DISTINCT grp, item FROM links JOIN closed ON tag = node JOIN picked ON root = ancestor)"
+
+
+def _bitmaps(spark, sf_dir):
+    f = hierarchy.forest(tags(spark, sf_dir))
+    index = itemsets.indexed(itemsets.containers(links(spark, sf_dir), "item", "tag"), f)
+    return itemsets.below(index, f, spark.createDataFrame(SELECTED, "grp int, node string"))
+
+
+@query(f"WITH RECURSIVE {TAGS}, {CLOSED}, {LINKS}, {SELECTED_ITEMS} SELECT grp, count(*) AS n FROM hit GROUP BY grp UNION ALL SELECT -1, count(*) FROM (SELECT item FROM hit GROUP BY item HAVING count(*) = 3)")
+def bitmap_counts(spark, sf_dir):
+    """Items below each selection of tags, and (-1) below all of them."""
+    groups = materialise(_bitmaps(spark, sf_dir), "selected-bitmaps")
+    each = itemsets.size(groups, "grp")
+    return each.unionByName(itemsets.size(itemsets.in_all(groups, 3)).select(F.lit(-1).alias("grp"), F.coalesce("n", F.lit(0)).alias("n")))
+
+
+@query(f"WITH RECURSIVE {TAGS}, {CLOSED}, {LINKS}, {SELECTED_ITEMS} SELECT item FROM hit GROUP BY item HAVING count(*) = 3")
+def bitmap_members(spark, sf_dir):
+    return itemsets.members(itemsets.in_all(_bitmaps(spark, sf_dir), 3))
 
 
 @query(
@@ -305,6 +333,25 @@ def prefix_search(spark, sf_dir):
     return ranking.prefix_search(table(spark, sf_dir, "part"), ["RED", "wid"], "p_partkey", ["p_name"])
 
 
+def _words(spark, sf_dir, name, key, columns):
+    """An index of a table's tokens, taken in by two additions, the second of which has the rows of the first again."""
+    rows = table(spark, sf_dir, name)
+    index = fulltext.TokenIndex(spark, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", key, columns)
+    index.add(rows.where(F.pmod(F.xxhash64(key), F.lit(3)) > 0))
+    index.add(rows)
+    return index
+
+
+@query("SELECT p_partkey FROM part WHERE (p_name LIKE 'red%' OR p_name LIKE '% red%') AND (p_name LIKE 'wid%' OR p_name LIKE '% wid%')")
+def indexed_prefixes(spark, sf_dir):
+    return _words(spark, sf_dir, "part", "p_partkey", ["p_name"]).search(["RED", "wid"])
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])than') AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}])onhe') AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}])t')")
+def indexed_texts(spark, sf_dir):
+    return _words(spark, sf_dir, "documents", "doc_id", ["text"]).search(["t", "than", "ONHE"])
+
+
 @query(
     "SELECT name FROM (SELECT DISTINCT p_name AS name FROM part) WHERE contains(lower(name), 're') ORDER BY CASE WHEN starts_with(lower(name), 're') THEN 0 ELSE 1 END, length(name), name LIMIT 10"
 )

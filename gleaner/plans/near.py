@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.vector import four_decimals, dot, l2_squared, norm, unit_similarity
-from gleaner.operators import duplicates, ranking, similarity
+from gleaner.functions.vector import dot, four_decimals, norm
+from gleaner.operators import duplicates, metric, ranking, search, similarity, vectors
 from gleaner.operators.graph import connected_components
 from gleaner.plans.adapters import HASHES, ITEMS, hashes, items
 from gleaner.plans.registry import query
@@ -42,10 +42,22 @@ def hash_groups(spark, sf_dir):
     return similarity.hamming_groups(hashes(spark, sf_dir), NEAR)
 
 
-@query(f"WITH {HASHES} SELECT id, CAST(bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 3))) AS INTEGER) AS distance FROM hashes WHERE bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 3))) <= 20")
+APART = "CAST(bit_count(xor(h.hash, q.hash)) AS INTEGER)"
+
+
+@query(f"WITH {HASHES} SELECT q.id AS query, h.id AS item, {APART} AS distance FROM hashes q JOIN hashes h ON h.id <> q.id WHERE q.id % 20 = 0 AND bit_count(xor(h.hash, q.hash)) <= 20")
 def nearest_by_hash(spark, sf_dir):
     h = hashes(spark, sf_dir)
-    return similarity.nearest_by_hash(h, h.where("id = 3").first()["hash"], 20)
+    return metric.nearest_hashes(h.where("id % 20 = 0"), h, radius=20).select("query", "item", "distance")
+
+
+@query(
+    f"""WITH {HASHES}, d AS (SELECT q.id AS query, h.id AS item, {APART} AS distance FROM hashes q JOIN hashes h ON h.id <> q.id WHERE q.id % 20 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, item) AS INTEGER) AS rank FROM d) SELECT * FROM r WHERE rank <= 5"""
+)
+def hash_neighbours(spark, sf_dir):
+    h = hashes(spark, sf_dir)
+    return metric.nearest_hashes(h.where("id % 20 = 0"), h, k=5)
 
 
 KNN = """near AS (SELECT x.id AS query, y.id AS item, floor(list_cosine_similarity(x.v, y.v) * 10000 + 0.5) / 10000 AS similarity FROM hashes x JOIN hashes y ON x.id <> y.id),
@@ -97,14 +109,29 @@ def centroid_suggestions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {HASHES}, q AS (SELECT v FROM hashes WHERE id = 5) SELECT id, floor(greatest(0, 1 - d / 2) * 10000 + 0.5) / 10000 AS similarity
-    FROM (SELECT id, list_sum(list_transform(range(1, 65), lambda i: (h.v[i] - q.v[i]) * (h.v[i] - q.v[i]))) AS d FROM hashes h, q) ORDER BY similarity DESC, id LIMIT 12"""
+    f"""WITH {HASHES}, d AS (SELECT q.id AS query, h.id AS item, list_sum(list_transform(range(1, 65), lambda i: (h.v[i] - q.v[i]) * (h.v[i] - q.v[i]))) AS d FROM hashes q JOIN hashes h ON h.id <> q.id WHERE q.id % 20 = 0),
+    s AS (SELECT query, item, floor(greatest(0, 1 - d / 2) * 10000 + 0.5) / 10000 AS similarity FROM d),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 12"""
 )
 def by_l2_distance(spark, sf_dir):
     h = hashes(spark, sf_dir)
-    q = h.where("id = 5").select(F.col("v").alias("q"))
-    s = h.crossJoin(F.broadcast(q)).select("id", four_decimals(unit_similarity(l2_squared("v", "q"))).alias("similarity"))
-    return s.orderBy(F.desc("similarity"), "id").limit(12)
+    return similarity.knn(h.where("id % 20 = 0"), h, 12, l2=True)
+
+
+@query("SELECT CAST(8 * count(*) AS BIGINT) AS n, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def list_recall(spark, sf_dir):
+    """Neighbours found in the nearest lists against all neighbours: whether nine of ten are found."""
+    h = hashes(spark, sf_dir)
+    q = h.where("id % 20 = 0")
+    found = vectors.InvertedFile.build(h).search(q, 8)
+    return vectors.recall(found, similarity.knn(q, h, 8)).select("n", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(f"WITH {HASHES}, {KNN} SELECT query, item, similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 8 AND query % 20 = 0")
+def nearest_in_all_lists(spark, sf_dir):
+    h = hashes(spark, sf_dir)
+    index = vectors.InvertedFile.build(h)
+    return index.search(h.where("id % 20 = 0"), 8, probes=len(index.centres))
 
 
 @query(
@@ -116,18 +143,12 @@ def medoids(spark, sf_dir):
 
 
 @query(
-    f"""WITH {HASHES}, q AS (SELECT hash, v FROM hashes WHERE id = 7), h AS (SELECT id, 0 AS stage, CAST(64 - bit_count(xor(hashes.hash, q.hash)) AS DOUBLE) AS score FROM hashes, q WHERE bit_count(xor(hashes.hash, q.hash)) <= 4 AND id <> 7),
-    s AS (SELECT id, 1 AS stage, floor(list_cosine_similarity(hashes.v, q.v) * 10000 + 0.5) / 10000 AS score FROM hashes, q WHERE id <> 7 ORDER BY score DESC, id LIMIT 10)
-    SELECT * FROM h UNION ALL SELECT * FROM s WHERE (SELECT count(*) FROM h) = 0"""
+    f"""WITH {HASHES}, {KNN}, same AS (SELECT q.id AS query, h.id AS item, 0 AS stage, CAST(64 - bit_count(xor(h.hash, q.hash)) AS DOUBLE) AS score FROM hashes q JOIN hashes h ON h.id <> q.id WHERE q.id % 20 = 0 AND bit_count(xor(h.hash, q.hash)) <= 12)
+    SELECT * FROM same UNION ALL SELECT query, item, 1, similarity FROM ranked WHERE rank <= 10 AND query % 20 = 0 AND query NOT IN (SELECT query FROM same)"""
 )
 def search_by_item(spark, sf_dir):
     h = hashes(spark, sf_dir)
-    q = h.where("id = 7").first()
-    same = similarity.nearest_by_hash(h.where("id <> 7"), q["hash"], 4).select("id", F.lit(0).alias("stage"), (64 - F.col("distance")).cast("double").alias("score"))
-    if same.head(1):
-        return same
-    n = similarity.knn(h.where("id = 7"), h, 10)
-    return n.select(F.col("item").alias("id"), F.lit(1).alias("stage"), F.col("similarity").alias("score"))
+    return search.by_item(h.where("id % 20 = 0"), h, bits=12, k=10).select("query", "item", "stage", "score")
 
 
 TEXT = "texts AS (SELECT doc_id AS id, strlen(text) AS n_bytes, md5(text[:256]) AS sample, md5(text) AS digest FROM documents)"

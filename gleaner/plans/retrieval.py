@@ -2,37 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
-from gleaner.operators import ranking, rating, sequences, tags as tagging
+from gleaner.operators import order, ranking, rating, sequences, tags as tagging
 from gleaner.plans.adapters import FEED, HASHES, feed, hashes, items
 from gleaner.plans.registry import query
 from gleaner.session import table
 from gleaner.sources import files
 from gleaner.streaming import feeds
 
-# Evidence for fusion: three prompts rank parts by different numbers; a prompt's list is its first 400, or all of it.
-LIST = 400
+# Evidence for fusion: three prompts rank parts by different numbers.
 EVIDENCE = """e AS (
-    SELECT * FROM (SELECT p_partkey AS item, 0 AS prompt, 'whole-query' AS grp, 1.0 AS weight, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, floor(p_retailprice / 2 + 0.5) / 10000 AS similarity FROM part WHERE p_size < 20) WHERE rank < 400
-    UNION ALL SELECT * FROM (SELECT p_partkey, 1, 'part', 0.7, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank, p_size / 400.0 FROM part WHERE p_type = 'SMALL') WHERE rank < 400
-    UNION ALL SELECT * FROM (SELECT p_partkey, 2, 'part', 0.5, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, (p_partkey % 100) / 800.0 FROM part WHERE p_type = 'LARGE') WHERE rank < 400),
+    SELECT * FROM (SELECT p_partkey AS item, 0 AS prompt, 'whole-query' AS grp, 1.0 AS weight, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, floor(p_retailprice / 2 + 0.5) / 10000 AS similarity FROM part WHERE p_size < 20)
+    UNION ALL SELECT * FROM (SELECT p_partkey, 1, 'part', 0.7, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank, p_size / 400.0 FROM part WHERE p_type = 'SMALL')
+    UNION ALL SELECT * FROM (SELECT p_partkey, 2, 'part', 0.5, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, (p_partkey % 100) / 800.0 FROM part WHERE p_type = 'LARGE')),
     g AS (SELECT item, grp, max(weight / (60 + rank + 1)) AS score, max(similarity) AS similarity, max(CASE WHEN prompt = 0 THEN similarity END) AS own FROM e GROUP BY item, grp),
     fused AS (SELECT item, sum(score) AS rank_score, floor(max(similarity) * 10000 + 0.5) / 10000 AS similarity, floor(coalesce(max(own), max(similarity)) * 10000 + 0.5) / 10000 AS primary_similarity, count(*) AS n_groups, bool_or(grp = 'whole-query') AS has_whole FROM g GROUP BY item)"""
 
 
-def _evidence(spark, sf_dir, length=LIST):
+def _evidence(spark, sf_dir):
     p = table(spark, sf_dir, "part")
 
-    def one(rows, prompt, grp, weight, order, similarity):
-        rank = F.row_number().over(W.orderBy(*order)) - 1
-        listed = rows if length is None else rows.orderBy(*order).limit(length)
-        return listed.select(F.col("p_partkey").alias("item"), F.lit(prompt).alias("prompt"), F.lit(grp).alias("grp"), F.lit(weight).alias("weight"), rank.alias("rank"), similarity.alias("similarity"))
+    def one(rows, prompt, grp, weight, by, similarity):
+        return rows.select(F.col("p_partkey").alias("item"), F.lit(prompt).alias("prompt"), F.lit(grp).alias("grp"), F.lit(weight).alias("weight"), by.cast("double").alias("by"), similarity.alias("similarity"))
 
-    a = one(p.where("p_size < 20"), 0, "whole-query", 1.0, [F.desc("p_retailprice"), F.asc("p_partkey")], F.floor(F.col("p_retailprice") / 2 + 0.5) / 10000)
-    b = one(p.where("p_type = 'SMALL'"), 1, "part", 0.7, [F.desc("p_size"), F.asc("p_partkey")], F.col("p_size") / 400.0)
-    c = one(p.where("p_type = 'LARGE'"), 2, "part", 0.5, [F.asc("p_partkey")], (F.col("p_partkey") % 100) / 800.0)
-    return a.union(b).union(c)
+    a = one(p.where("p_size < 20"), 0, "whole-query", 1.0, -F.col("p_retailprice"), F.floor(F.col("p_retailprice") / 2 + 0.5) / 10000)
+    b = one(p.where("p_type = 'SMALL'"), 1, "part", 0.7, -F.col("p_size"), F.col("p_size") / 400.0)
+    c = one(p.where("p_type = 'LARGE'"), 2, "part", 0.5, F.lit(0), (F.col("p_partkey") % 100) / 800.0)
+    return order.placed(a.union(b).union(c), "prompt", ["by", "item"])
 
 
 def _shown(df, *columns):
@@ -45,18 +42,18 @@ def rank_fusion(spark, sf_dir):
     return _shown(ranking.fuse(_evidence(spark, sf_dir)), "item", "rank_score", "similarity", "primary_similarity", "n_groups", "has_whole")
 
 
-@query(f"WITH {EVIDENCE.replace(' WHERE rank < 400', '')} SELECT item, round(rank_score, 9) AS rank_score, similarity, primary_similarity, n_groups, has_whole FROM fused")
+@query(f"WITH {EVIDENCE} SELECT item, round(rank_score, 9) AS rank_score, similarity, primary_similarity, n_groups, has_whole FROM fused")
 def rank_fusion_of_whole_lists(spark, sf_dir):
-    return _shown(ranking.fuse(_evidence(spark, sf_dir, None)), "item", "rank_score", "similarity", "primary_similarity", "n_groups", "has_whole")
+    return _shown(ranking.fuse(_evidence(spark, sf_dir)), "item", "rank_score", "similarity", "primary_similarity", "n_groups", "has_whole")
 
 
 @query(
-    f"""WITH {EVIDENCE}, n AS (SELECT p_partkey AS item, max(1.0 / (61 + r)) AS ns, greatest(max(s), 0) AS nv FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS r, p_size / 100.0 AS s FROM part WHERE p_size > 10) WHERE r < 400 GROUP BY 1)
+    f"""WITH {EVIDENCE}, n AS (SELECT p_partkey AS item, max(1.0 / (61 + r)) AS ns, greatest(max(s), 0) AS nv FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS r, p_size / 100.0 AS s FROM part WHERE p_size > 10) GROUP BY 1)
     SELECT item, round(rank_score - 0.25 * coalesce(ns, 0), 9) AS rank_score, floor(greatest(0, similarity - 0.25 * coalesce(nv, 0)) * 10000 + 0.5) / 10000 AS similarity FROM fused LEFT JOIN n USING (item)"""
 )
 def negative_penalty(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size > 10").orderBy("p_brand", "p_partkey").limit(LIST)
-    n = p.select(F.col("p_partkey").alias("item"), (F.row_number().over(W.orderBy("p_brand", "p_partkey")) - 1).alias("rank"), (F.col("p_size") / 100.0).alias("similarity"))
+    p = table(spark, sf_dir, "part").where("p_size > 10").withColumn("list", F.lit(0))
+    n = order.placed(p, "list", ["p_brand", "p_partkey"]).select(F.col("p_partkey").alias("item"), "rank", (F.col("p_size") / 100.0).alias("similarity"))
     return _shown(ranking.penalise(ranking.fuse(_evidence(spark, sf_dir)), n), "item", "rank_score", "similarity")
 
 
@@ -128,14 +125,14 @@ def gated_fusion(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EXACT}, s AS (SELECT item, 1.0 / (60 + r) AS score, similarity, false AS exact FROM (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, p_size / 100.0 AS similarity FROM part WHERE p_size < 20) WHERE r <= 400),
+    f"""WITH {EXACT}, s AS (SELECT item, 1.0 / (60 + r) AS score, similarity, false AS exact FROM (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, p_size / 100.0 AS similarity FROM part WHERE p_size < 20)),
     u AS (SELECT item, sum(score) AS rank_score, bool_or(exact) AS exact, max(similarity) AS best FROM (SELECT * FROM s UNION ALL SELECT item, weight / 61, NULL, exact FROM (SELECT DISTINCT * FROM w)) GROUP BY item)
     SELECT item, round(rank_score, 9) AS rank_score, exact, floor(CASE WHEN coalesce(best, 0) <> 0 THEN best WHEN exact THEN 1 ELSE rank_score / (SELECT max(rank_score) FROM u) END * 10000 + 0.5) / 10000 AS similarity FROM u"""
 )
 def hybrid_fusion(spark, sf_dir):
     e, _ = _exact(spark, sf_dir)
-    p = table(spark, sf_dir, "part").where("p_size < 20").orderBy(F.desc("p_retailprice"), "p_partkey").limit(LIST)
-    s = p.select(F.col("p_partkey").alias("item"), (F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1).alias("rank"), (F.col("p_size") / 100.0).alias("similarity"))
+    p = table(spark, sf_dir, "part").where("p_size < 20").select("p_partkey", "p_size", F.lit(0).alias("list"), (-F.col("p_retailprice")).alias("by"))
+    s = order.placed(p, "list", ["by", "p_partkey"]).select(F.col("p_partkey").alias("item"), "rank", (F.col("p_size") / 100.0).alias("similarity"))
     return _shown(ranking.hybrid_fusion(s, e), "item", "rank_score", "exact", "similarity")
 
 
@@ -266,12 +263,10 @@ def next_pairs(spark, sf_dir):
     return rating.next_pairs(rating.tournament(log), log.where("score in (0, 1)"), 2)
 
 
-@query(f"WITH {HASHES} SELECT id, CAST(bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 11))) AS INTEGER) AS distance FROM hashes WHERE label < 5 AND bit_count(xor(hash, (SELECT hash FROM hashes WHERE id = 11))) <= 22")
+@query(f"WITH {HASHES} SELECT q.id AS query, h.id AS item, CAST(bit_count(xor(h.hash, q.hash)) AS INTEGER) AS distance FROM hashes q JOIN hashes h ON h.id <> q.id AND h.label = q.label WHERE q.id % 20 = 0 AND bit_count(xor(h.hash, q.hash)) <= 22")
 def reject_similar(spark, sf_dir):
-    from gleaner.operators.similarity import nearest_by_hash
-
-    h = hashes(spark, sf_dir)
-    return nearest_by_hash(h.where("label < 5"), h.where("id = 11").first()["hash"], 22)
+    h = hashes(spark, sf_dir).withColumnRenamed("label", "session")
+    return sequences.similar_in_session(h.where("id % 20 = 0"), h, 22)
 
 
 @query()
