@@ -8,13 +8,14 @@ Texts are normalised as the file says (dummy prefix, white space as the marker)
 before every marker that follows another character. No piece of the file may cross such
 a cut (checked on loading), so the best path of a text is that of its parts. Each distinct part of a chunk is solved once, all
 parts in lockstep: all trie matches at all positions, then the best score at each
-position in turn. Ties go to the longer last piece. A character without a path becomes its
+position in turn; a part beyond ``LONG`` bytes (text without white space) goes by itself, in windows. Ties go to the longer last piece. A character without a path becomes its
 byte pieces.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,6 +34,8 @@ CHUNK_BYTES = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the format
 UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
+LONG = 2048  # bytes of a part that is solved by itself, position after position, in place of side by side with others
+WINDOW = 1 << 16  # positions of it whose edges are held at once
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -76,6 +79,7 @@ class Model(NamedTuple):
     has_user: bool
     dummy_prefix: bool
     squeeze: bool
+    sizes: np.ndarray  # of the pieces in bytes, a marker as one
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,6 +183,7 @@ def load(raw: bytes, scores: str = "auto") -> Model:
         bool((kinds == USER).any()),
         bool(flags[3]),
         bool(flags[4]),
+        np.array([len(p.replace(_MARK, b" ")) for p in pieces], np.int64),
     )
 
 
@@ -200,19 +205,23 @@ def _edges(buf: np.ndarray, stop: np.ndarray, m: Model) -> tuple[np.ndarray, np.
     return start, start + length, piece
 
 
-def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of the parts one after the other, and how many each has; the parts follow each other in ``buf``."""
+def _lattice(buf: np.ndarray, starts: np.ndarray, stop: np.ndarray, m: Model, reach: int = 0, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(start, end, piece) of the edges that a path may take, -1 for an unknown character, and where the last user's piece that begins before ``upto`` ends.
+
+    ``starts``: of the parts; ``reach``: what a user's piece from before covers.
+    """
     n = len(buf)
-    part = np.repeat(np.arange(len(starts)), ends - starts)
-    stop = ends[part]
     a, b, piece = _edges(buf, stop, m)
     user = np.flatnonzero(m.kinds[piece] == USER) if m.has_user else np.zeros(0, np.int64)
-    if len(user):  # a user's piece is taken wherever it stands, the first and longest one first: no other edge overlaps it
-        cover, own, reach = np.zeros(n + 1, np.int64), np.zeros(len(a), bool), 0
+    covered, after = reach > 0, reach
+    if len(user) or covered:  # a user's piece is taken wherever it stands, the first and longest one first: no other edge overlaps it
+        cover, own = np.zeros(n + 1, np.int64), np.zeros(len(a), bool)
+        cover[1 : reach + 1] = 1
         for i in user[np.lexsort((-b[user], a[user]))].tolist():
             if a[i] >= reach:
                 reach, own[i] = int(b[i]), True
                 cover[a[i] + 1 : reach + 1] = 1
+                after = reach if upto is None or a[i] < upto else after
         cover = np.cumsum(cover)
         ok = own | (cover[b] == cover[a])
         a, b, piece = a[ok], b[ok], piece[ok]
@@ -225,14 +234,95 @@ def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tu
     single[chars] = char_end
     known = np.zeros(n, bool)
     known[a[b == single[a]]] = True
-    if len(user):
+    if len(user) or covered:
         known[:n] |= cover[1:] > cover[:-1]
     lone = ~known[chars]
     a = np.concatenate([a, chars[lone]])
     b = np.concatenate([b, char_end[lone]])
     piece = np.concatenate([piece, np.full(int(lone.sum()), -1)])
     usable = lead[a]
-    a, b, piece = a[usable], b[usable], piece[usable]
+    return a[usable], b[usable], piece[usable], after
+
+
+def _ids(piece: np.ndarray, width: np.ndarray, raw: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of a path, and how many each of its pieces has: -1 becomes its byte pieces, or the unknown piece where the model has none. ``raw``: the bytes of the unknown characters."""
+    if not (piece < 0).any():
+        return piece, np.ones(len(piece), np.int64)
+    if not (m.byte_ids >= 0).all():
+        return np.where(piece < 0, m.unknown_id, piece), np.ones(len(piece), np.int64)
+    many = np.where(piece < 0, width, 1)
+    flat = np.repeat(piece, many)
+    flat[flat < 0] = m.byte_ids[raw]
+    return flat, many
+
+
+def solve_long(buf: np.ndarray, m: Model) -> np.ndarray:
+    """Token ids of one long part: the same search, position after position, a window at a time.
+
+    Held for the whole part are its bytes and one number for each of them; scores are 32-bit as in ``solve``.
+    """
+    n, longest = len(buf), int(m.sizes.max(initial=1))
+    longest = max(longest, 4)
+    came = array("i", bytes(4 * (n + 1)))
+    low = float("-inf")
+    best = array("f", [0.0])  # from the window's first position on
+    reach = 0
+    held = array("f", [0.0])
+    for at in range(0, n, WINDOW):
+        end = min(n, at + WINDOW + longest)
+        part = buf[at:end]
+        a, b, piece, after = _lattice(part, np.zeros(1 if at == 0 else 0, np.int64), np.full(len(part), len(part)), m, max(0, reach - at), WINDOW)
+        reach = at + after
+        own = a < WINDOW
+        a, b, piece = a[own], b[own], piece[own]
+        order = np.lexsort((a, b))
+        a, b, piece = a[order], b[order], piece[order]
+        score = np.where(piece >= 0, m.scores[piece], np.float32(m.unknown_score)).astype(np.float32)
+        best.extend([low] * (end - at + 1 - len(best)))
+        for x, y, more, p in zip(a.tolist(), b.tolist(), score.tolist(), piece.tolist(), strict=True):
+            held[0] = best[x] + more
+            if held[0] > best[y]:
+                best[y] = held[0]
+                came[at + y] = p
+        best = best[WINDOW:]
+    path, place = array("i"), n
+    wide = m.sizes.tolist()
+    raw = buf.tobytes()
+    while place > 0:
+        p = came[place]
+        path.append(p)
+        if p >= 0:
+            place -= wide[p]
+        else:
+            place -= 1
+            while place > 0 and raw[place] & 0xC0 == 0x80:
+                place -= 1
+    piece = np.frombuffer(path, np.int32)[::-1]
+    if not (piece < 0).any():
+        return piece
+    ends = np.flatnonzero(piece < 0)
+    width = m.sizes[np.maximum(piece, 0)]
+    width[ends] = 0  # of the unknown characters: from the lead bytes
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    first, size = np.empty(len(ends), np.int64), np.empty(len(ends), np.int64)
+    shift = 0
+    known = np.cumsum(width)
+    for i, e in enumerate(ends.tolist()):
+        first[i] = int(known[e]) + shift
+        j = int(np.searchsorted(lead, first[i], "right"))
+        size[i] = (int(lead[j]) if j < len(lead) else n) - first[i]
+        shift += int(size[i])
+    width[ends] = size
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return _ids(piece.astype(np.int64), width, buf[np.repeat(first, size) + inside], m)[0]
+
+
+def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the parts one after the other, and how many each has; the parts follow each other in ``buf``."""
+    n = len(buf)
+    part = np.repeat(np.arange(len(starts)), ends - starts)
+    stop = ends[part]
+    a, b, piece, _ = _lattice(buf, starts, stop, m)
     score = np.where(piece >= 0, m.scores[piece], np.float32(m.unknown_score)).astype(np.float32)
 
     # best score at each position, the parts in lockstep: edges by their end within the part, then part, then start
@@ -278,19 +368,12 @@ def solve(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model) -> tu
     lane, edge, step = np.concatenate(out_lane), np.concatenate(out_edge), np.concatenate(step)
     order = np.lexsort((-step, lane))
     lane, edge = lane[order], edge[order]
-    ids = piece[edge].astype(np.int64)
-    width = np.where(ids < 0, b[edge] - a[edge] if (m.byte_ids >= 0).all() else 1, 1)
-    if (ids < 0).any():
-        flat = np.repeat(ids, width)
-        inside = np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)
-        missing = flat < 0
-        raw = buf[np.repeat(a[edge], width) + inside]
-        if (m.byte_ids >= 0).all():
-            flat = np.where(missing, m.byte_ids[raw], flat)
-        else:
-            flat = np.where(missing, m.unknown_id, flat)
-        lane, ids = np.repeat(lane, width), flat
-    return ids, np.bincount(lane, minlength=len(starts))
+    ids, width = piece[edge].astype(np.int64), b[edge] - a[edge]
+    lost = ids < 0
+    size = width[lost]
+    raw = buf[np.repeat(a[edge][lost] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    ids, many = _ids(ids, width, raw, m)
+    return ids, np.bincount(np.repeat(lane, many), minlength=len(starts))
 
 
 def _kept(keep: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -343,9 +426,15 @@ def encode_chunk(buf: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.nda
     cuts = np.flatnonzero(edge)
     out, bounds = [], []
     for a, b in _stretches(cuts):
-        ids, count = _encode_parts(buf[cuts[a] : cuts[b]], cuts[a:b] - cuts[a], cuts[a + 1 : b + 1] - cuts[a], m)
-        out.append(ids.astype(np.int32))
-        bounds.append(count)
+        for i in [*(np.flatnonzero(np.diff(cuts[a : b + 1]) > LONG) + a).tolist(), b]:
+            if a < i:
+                ids, count = _encode_parts(buf[cuts[a] : cuts[i]], cuts[a:i] - cuts[a], cuts[a + 1 : i + 1] - cuts[a], m)
+                out.append(ids.astype(np.int32))
+                bounds.append(count)
+            if i < b:
+                out.append(solve_long(buf[cuts[i] : cuts[i + 1]], m).astype(np.int32))
+                bounds.append(np.array([len(out[-1])]))
+            a = i + 1
     ids, total = np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(bounds))])
     bounds = total[np.searchsorted(cuts[:-1], offsets)]
     if not (m.byte_ids >= 0).all():  # a run of unknown characters is one token
