@@ -379,8 +379,8 @@ def _long_share(buf: np.ndarray, model: Model) -> tuple[np.ndarray, bool]:
     return total / max(count, 1), letter
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score`` (the share of the words' probability that the language holds).
+def identify(df: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """Add ``pred_col`` and ``score_col`` (the share of the words' probability that the language holds).
 
     ``und`` with score 0 for a null text, a text without a letter, and under a model that knows no language. Texts are read
     whole at any length; equal texts, equal results; repeated rows stay repeated; earlier columns of these
@@ -388,7 +388,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(model)
-    kept = df.drop("lang_pred", "lang_score")
+    kept = df.drop(pred_col, score_col)
     names = kept.columns
     at = names.index(text_col)
 
@@ -405,11 +405,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     pred[letter] = np.array(held.value.langs, object)[shares[letter].argmax(1)]
                     score[letter] = shares[letter].max(1).clip(0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in batch.columns), pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"]
+                    [*(c.slice(a, b - a) for c in batch.columns), pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, pred_col, score_col]
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return kept.mapInArrow(run, f"{fields}, `{pred_col}` string, `{score_col}` double")
 
 
 def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -228,25 +228,25 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return train(slots, got.column("label").to_numpy())
 
 
-def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``quality_score`` (0 to 1, higher: label 1 likelier) and ``quality_pred`` (1 from ``threshold`` on).
+def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "quality_score", pred_col: str = "quality_pred") -> DataFrame:
+    """Add ``score_col`` (0 to 1, higher: label 1 likelier) and ``pred_col`` (1 from ``threshold`` on).
 
     Null and empty texts have the score that a text without features has. Texts are read whole; equal texts, equal scores;
     repeated rows stay; earlier columns of these names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.drop("quality_score", "quality_pred")
+    kept = df.drop(score_col, pred_col)
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in text_chunks(batch.column(at)):
                 score = probabilities(*features(buf, offsets), b - a, held.value)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(score)], [*batch.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(score)], [*batch.schema.names, score_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    scored = kept.mapInArrow(run, f"{fields}, quality_score double")
-    return scored.withColumn("quality_pred", (F.col("quality_score") >= threshold).cast("int"))
+    scored = kept.mapInArrow(run, f"{fields}, `{score_col}` double")
+    return scored.withColumn(pred_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

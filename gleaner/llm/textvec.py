@@ -7,7 +7,7 @@ per byte is a handful of array passes, and memory is bounded by the chunk size
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +121,11 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def crc32_text(column: str) -> str:
     """SQL for crc32 of an id written as text (null: of the empty string)."""
     return f"crc32(cast(coalesce(cast({column} as string), '') as binary))"
+
+
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of the columns (without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

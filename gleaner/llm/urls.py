@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -29,6 +30,8 @@ STEM = 20  # letters of a word that are looked up; longer words by their first o
 MAX_INLINE_RULES = 256  # beyond, rules are joined
 TOKEN_BITS = 18
 SHRINK = 100.0  # tokens that a class is thought to share with both together before any is seen
+KEPT = 256  # letters of a name, bytes of a path part, whose result is kept for the next one
+HELD_PARTS = 200_000  # stretches of names that a task holds before it passes them on
 NUMBER = "#"
 _RUNS = re.compile(r"([^\W\d_]+)|(\d+)")
 
@@ -52,12 +55,17 @@ class Segmenter:
         self.long: dict[str, list[str]] = {}
         for word in sorted(w for w in self.log if len(w) > STEM):
             self.long.setdefault(word[:STEM], []).append(word)
-        self.split = lru_cache(1 << 16)(self._split)
+        self._short = lru_cache(1 << 16)(self._split)
+
+    def split(self, name: str) -> tuple[str, ...]:
+        """The words of a run of letters; those of short ones are kept."""
+        return self._short(name) if len(name) <= KEPT else self._split(name)
 
     def _split(self, name: str) -> tuple[str, ...]:
-        """An unknown stretch is one piece at any length: what it costs is kept with the best place for it to begin."""
+        """An unknown stretch is one piece at any length: what it costs is kept with the best place for it to begin. 12 bytes for each letter."""
         n = len(name)
-        best, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        best, came = array("d", [-math.inf]) * (n + 1), array("i", bytes(4 * (n + 1)))
+        best[0] = 0.0
         opened, since = -math.inf, 0  # best of best[start] + start, and that start
         for end in range(n + 1):
             if end:
@@ -142,17 +150,30 @@ def word_counts(df: DataFrame, text_col: str = "html") -> DataFrame:
 
 
 def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What words of each block's names may begin with: all stretches of 2 to ``STEM`` letters, and the longest name that holds each."""
+    """What words of each block's names may begin with: all stretches of 2 to ``STEM`` letters, and the longest name that holds each. The same stretch may come again."""
+    parts: dict[tuple[int, str], int] = {}
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.string()), pa.array(parts.values(), pa.int32())], ["block", "stem", "room"])
+        parts.clear()
+        return out
+
     for batch in batches:
-        found = {(block, name) for block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for text in texts for name in names(text or "")}
-        parts: dict[tuple[int, str], int] = {}
-        for block, name in found:
-            n = len(name)
-            for i in range(n - 1):
-                for j in range(i + 2, min(i + STEM, n) + 1):
-                    key = (block, name[i:j])
-                    parts[key] = max(parts.get(key, 0), n - i)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.string()), pa.array(parts.values(), pa.int32())], ["block", "stem", "room"])
+        seen: set[tuple[int, str]] = set()
+        for block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name in (name for text in texts for name in names(text or "")):
+                if len(name) <= KEPT:
+                    if (block, name) in seen:
+                        continue
+                    seen.add((block, name))
+                n = len(name)
+                for i in range(n - 1):
+                    for j in range(i + 2, min(i + STEM, n) + 1):
+                        key = (block, name[i:j])
+                        parts[key] = max(parts.get(key, 0), n - i)
+                    if len(parts) > HELD_PARTS:
+                        yield flush()
+    yield flush()
 
 
 def segmented(pages: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -173,7 +194,7 @@ def segmented(pages: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFr
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         split = Segmenter(right.column("word").to_pylist(), right.column("n").to_pylist(), total)
-        slots, named = _slots(split), lru_cache(1 << 16)(lambda host: " ".join(split.tokens(host)))
+        slots, named = _slots(split), lambda host: " ".join(split.tokens(host))
         own = left.select(columns)
         hosts, paths = own.column(h).to_pylist(), own.column(p).to_pylist()
         lists = [slots(a or "", b or "") for a, b in zip(hosts, paths, strict=True)]
@@ -238,18 +259,14 @@ def _slot(token: str) -> int:
 
 
 def _slots(split: Segmenter):
-    slot = lru_cache(1 << 17)(_slot)
-
-    @lru_cache(1 << 16)
-    def of_host(host: str) -> tuple[int, ...]:
-        return tuple(slot(t) for t in split.tokens(host))
-
-    @lru_cache(1 << 16)
-    def of_part(part: str) -> tuple[int, ...]:
-        return tuple(slot(t) for t in split.tokens(part))
+    kept = lru_cache(1 << 17)(_slot)
+    slot = lambda token: kept(token) if len(token) <= KEPT else _slot(token)
+    whole = lambda text: tuple(slot(t) for t in split.tokens(text))
+    short = lru_cache(1 << 16)(whole)
+    of = lambda text: short(text) if len(text) <= KEPT else whole(text)
 
     def run(host: str, path: str) -> list[int]:
-        return [*of_host(host), *(s for part in path.split("/") for s in of_part(part))]
+        return [*of(host), *(s for part in path.split("/") for s in of(part))]
 
     return run
 

@@ -1,19 +1,23 @@
 """Line dedup, ranked lexical search and conversation repair: whole queries against brute force, odd rows, long texts."""
 
+import base64
 import hashlib
 import heapq
 import math
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import lexical, linededup, queries, repair
+from gleaner.llm import lexical, linededup, pieces, queries, repair, urls
 from gleaner.session import shared_dir
 from gleaner.sources.versions import Conflict
 
@@ -314,3 +318,86 @@ def _codes(rows):
         at = 0 if kind == 4 else (role == "assistant")
         if kind:
             yield {1: "23", 2: "UA"}.get(kind, "ua")[at] + ("23"[at] if kind == 3 else "")
+
+
+# --- long texts and clashing columns of earlier operators ----------------------------------------
+
+
+def test_stages_leave_columns_of_their_own_names(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("lang_pred", "LANG_SCORE", "lang_score_", "quality_score", "quality_pred", "__key", "learn", "__learn")
+    left = docs.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in names))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, left, SF)
+        assert out.schema == left.schema
+        left = spark.createDataFrame(out.collect(), out.schema)
+        assert left.count() and all(r[c] == f"{c}-{r['doc_id']}" for r in left.collect() for c in names)
+    plain = docs
+    for _, stage in p.STAGES[:-1]:
+        plain = spark.createDataFrame(stage(spark, plain, SF).collect(), docs.schema)
+    assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in plain.collect()}
+
+
+def test_pieces_of_text_without_white_space(monkeypatch):
+    rng = random.Random(9)
+    m = pieces.load(open(queries.PIECE_MODEL, "rb").read())
+    texts = [
+        "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(900)),
+        base64.b64encode(rng.randbytes(3000)).decode(),
+        "a" * 3000,
+        "".join(rng.choice("abcé日🎉thing") for _ in range(3000)) + " and the " + "end" * 900,
+        "plain words here",
+        "",
+    ]
+    raw = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(raw), np.uint8).copy(), np.cumsum([0, *map(len, raw)])
+    monkeypatch.setattr(pieces, "LONG", 1 << 40)
+    want = pieces.encode_chunk(buf, offsets, m)
+    monkeypatch.setattr(pieces, "LONG", 500)
+    for window in (1 << 16, 60):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        got = pieces.encode_chunk(buf, offsets, m)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert pieces.decode_chunk(*got, m) == raw
+
+
+def test_a_long_part_is_done_in_time():
+    m = pieces.load(open(queries.PIECE_MODEL, "rb").read())
+    for text in ("日本語処理" * 40_000, base64.b64encode(random.Random(1).randbytes(400_000)).decode(), "a" * 600_000):
+        raw, began = text.encode(), time.process_time()
+        ids, bounds = pieces.encode_chunk(np.frombuffer(raw, np.uint8).copy(), np.array([0, len(raw)]), m)
+        assert time.process_time() - began < 20 and pieces.decode_chunk(ids, bounds, m) == [raw]
+
+
+def test_user_pieces_in_long_parts(monkeypatch):
+    field = lambda number, raw: bytes([number << 3 | 2]) + bytes([len(raw)]) + raw
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
+    vocabulary = [("<unk>", 0, pieces.UNKNOWN), ("▁", -3, 1), ("a", -3, 1), ("b", -3.5, 1), ("ab", -4, 1), ("aab", -4.2, 1), ("bba", 0, pieces.USER), ("abab", 0, pieces.USER)]
+    m = pieces.load(b"".join(piece(*p) for p in vocabulary))
+    rng = random.Random(3)
+    for _ in range(20):
+        raw = "".join(rng.choice(["a", "b", "ab", "é", "bb"]) for _ in range(60)).encode()
+        buf, offsets = np.frombuffer(raw, np.uint8).copy(), np.array([0, len(raw)])
+        monkeypatch.setattr(pieces, "LONG", 1 << 40)
+        want = pieces.encode_chunk(buf, offsets, m)
+        monkeypatch.setattr(pieces, "LONG", 1)
+        for window in (1 << 16, 7):
+            monkeypatch.setattr(pieces, "WINDOW", window)
+            assert np.array_equal(pieces.encode_chunk(buf, offsets, m)[0], want[0])
+
+
+def test_long_urls(spark, monkeypatch):
+    rng = random.Random(2)
+    words = spark.createDataFrame([("news", 50), ("paper", 20), ("a" * 25, 3)], "word string, n long")
+    long = "".join(rng.choice("abcdefghij") for _ in range(3000))
+    rows = [("newspaper.com", "/x"), (f"{long}news.org", f"/{long}/paper{'a' * 25}"), (None, None)]
+    pages = spark.createDataFrame(rows, "host string, path string")
+    whole = sorted((tuple(r) for r in urls.segmented(pages, words).collect()), key=str)
+    monkeypatch.setattr(urls, "HELD_PARTS", 100)
+    monkeypatch.setattr(urls, "KEPT", 5)
+    assert sorted((tuple(r) for r in urls.segmented(pages, words).collect()), key=str) == whole
+    assert {r[2] for r in whole} >= {"news paper com", ""}
+    block = pa.RecordBatch.from_pydict({"b": [1], "h": [long * 20], "p": [""]})
+    assert max(b.num_rows for b in urls._part_batches(iter([block]))) <= 100 + urls.STEM
