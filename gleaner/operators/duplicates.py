@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gleaner.functions.vector import cosine
 from gleaner.operators.graph import connected_components
 from gleaner.operators.similarity import copies, hamming_pairs
 from gleaner.session import materialise
+from gleaner.sources.deltas import KeyedTable
 
 
 def keeper_order() -> list[Column]:
@@ -96,16 +97,120 @@ def invalid_selections(groups: DataFrame, decisions: DataFrame) -> DataFrame:
     return facts.select("component", problem.alias("problem")).where("problem is not null")
 
 
-def still_current(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``component, current``: whether the components of the pairs that touch the members are still those groups. ``members``: ``component, id``."""
+def still_current(pairs: DataFrame, members: DataFrame, live: DataFrame | None = None, sequenced: DataFrame | None = None) -> DataFrame:
+    """``component, current``: whether the components of the pairs that touch the members are still those groups. ``members``: ``component, id``.
+
+    With ``live`` (``id``), pairs to items that are not among them do not count; with ``sequenced`` (``id``), a group that has one of these items is
+    not current, as sequences manage them.
+    """
     ends = pairs.select("a", "b")
+    if live is not None:
+        ids = live.select("id").distinct()
+        ends = ends.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     by_a = ends.join(members.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
     by_b = ends.join(members.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     touching = by_a.union(by_b).distinct()
     now = group_pairs(touching)
     was = members.groupBy("component").agg(group_version("id").alias("version"), F.min("id").alias("low"))
     is_ = now.groupBy(F.col("component").alias("low")).agg(group_version("id").alias("now"))
-    return was.join(is_, "low", "left").select("component", F.coalesce(F.col("version") == F.col("now"), F.lit(False)).alias("current"))
+    same = was.join(is_, "low", "left").select("component", F.coalesce(F.col("version") == F.col("now"), F.lit(False)).alias("current"))
+    if sequenced is None:
+        return same
+    held = members.join(sequenced.select("id"), "id", "left_semi").select("component", F.lit(True).alias("held")).distinct()
+    return same.join(held, "component", "left").select("component", (F.col("current") & F.col("held").isNull()).alias("current"))
+
+
+def keep_counts(groups: DataFrame, members: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``component, problem`` for every request (null: carried out), and ``component, id, decision, version, revision`` of the groups that are decided: the best ``count`` members
+    are kept, the others deleted, at the next revision.
+
+    ``groups``: ``component, version, revision, ignored``; ``members``: ``component, id``; ``items``: ``id, pixels, n_bytes, taken_at, deleted_at``; ``requests``: ``component, version,
+    revision, count``. A request must name the version and revision that the group has. Only the best members of a group meet in one place: as many
+    as the largest count that is asked for.
+    """
+    asked = requests.select("component", F.col("version").alias("asked_version"), F.col("revision").alias("asked_revision"), "count")
+    live = items.where("deleted_at is null").select("id", F.lit(1).alias("live"))
+    sizes = members.join(requests.select("component"), "component", "left_semi").join(live, "id", "left").groupBy("component").agg(F.count("*").alias("size"), F.count("live").alias("alive"))
+    facts = asked.join(groups, "component", "left").join(sizes, "component", "left")
+    problem = (
+        F.when(F.col("version").isNull(), "missing")
+        .when(F.col("version") != F.col("asked_version"), "stale group")
+        .when(F.col("revision") != F.col("asked_revision"), "stale review")
+        .when(F.col("ignored"), "ignored")
+        .when((F.col("count") < 1) | (F.col("count") > F.coalesce("size", F.lit(0))), "bad count")
+        .when(F.col("alive") < F.col("size"), "changed")
+    )
+    checked = materialise(facts.select("component", problem.alias("problem"), "version", "revision", "count"), "keep-checked")
+    sound = checked.where("problem is null").select("component", "version", (F.col("revision") + 1).alias("revision"), "count")
+    most = sound.agg(F.max("count")).first()[0] or 0
+    own = members.join(sound, "component")
+    place = F.row_number().over(W.partitionBy("component").orderBy(*keeper_order()))
+    best = own.join(items, "id").withColumn("place", place).where(F.col("place") <= most).where("place <= count").select("component", "id", F.lit("KEEP").alias("kept"))
+    decided = own.join(best, ["component", "id"], "left").select("component", "id", F.coalesce("kept", F.lit("DELETE")).alias("decision"), "version", "revision")
+    return checked.select("component", "problem"), decided
+
+
+def keep_requests(groups: DataFrame, members: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Requests to keep ``count`` members of all groups that are not ignored, and ``component, problem`` of those that are passed over: groups of one member or of no
+    more than ``count``."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    active = groups.where(~F.col("ignored")).join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    small = (F.col("size") < 2) | (F.col("size") <= count)
+    requests = active.where(~small).select("component", "version", "revision", F.lit(count).alias("count"))
+    return requests, active.where(small).select("component", F.when(F.col("size") < 2, "alone").otherwise("nothing to delete").alias("problem"))
+
+
+class Reviews:
+    """Review states of duplicate groups: groups, decisions and events in one keyed table, so that a change of all three is one version or none.
+
+    A change is made from the version that was read; if another writer has changed the table since, ``Conflict`` is raised and nothing is written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.table = KeyedTable(spark, root, "key", "at")
+
+    def _rows(self, kind: str, df: DataFrame, *name: Column) -> DataFrame:
+        columns = ("component", "id", "version", "revision", "ignored", "decision")
+        kinds = {"component": "long", "id": "long", "version": "string", "revision": "long", "ignored": "boolean", "decision": "string"}
+        own = [(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns]
+        return df.select(F.concat_ws("/", F.lit(kind), *(x.cast("string") for x in name)).alias("key"), F.lit(kind).alias("kind"), *own, F.coalesce("revision", F.lit(0)).cast("long").alias("at") if "revision" in df.columns else F.lit(0).cast("long").alias("at"))
+
+    def _of(self, kind: str, version: int | None = None) -> DataFrame:
+        return self.table.read(version).where(F.col("kind") == kind)
+
+    def start(self, groups: DataFrame, members: DataFrame) -> int:
+        """Put groups (``component, version, revision, ignored``) and their members (``component, id``) in place, undecided."""
+        rows = self._rows("group", groups, F.col("component")).unionByName(self._rows("member", members, F.col("component"), F.col("id")))
+        return self.table.apply(rows, self.table.version())
+
+    def groups(self, version: int | None = None) -> DataFrame:
+        return self._of("group", version).select("component", "version", "revision", "ignored")
+
+    def members(self, version: int | None = None) -> DataFrame:
+        return self._of("member", version).select("component", "id", "decision")
+
+    def events(self, version: int | None = None) -> DataFrame:
+        """``component, id, version, revision, decision``: every decision that was ever taken."""
+        return self._of("event", version).select("component", "id", "version", "revision", "decision")
+
+    def keep(self, requests: DataFrame, items: DataFrame, expected: int | None = None) -> DataFrame:
+        """Carry out requests (see ``keep_counts``) as one version and return ``component, problem``; of requests for one group one is taken."""
+        version = self.table.version() if expected is None else expected
+        groups, members = self.groups(version), self.members(version).select("component", "id")
+        outcome, decided = keep_counts(groups, members, items, requests.dropDuplicates(["component"]))
+        decided = materialise(decided, "keep-decided")
+        if not decided.head(1):
+            return outcome
+        moved = groups.drop("version", "revision").join(decided.select("component", "version", "revision").distinct(), "component")
+        rows = self._rows("group", moved, F.col("component")).unionByName(self._rows("member", decided, F.col("component"), F.col("id")))
+        self.table.apply(rows.unionByName(self._rows("event", decided, F.col("component"), F.col("id"), F.col("revision"))), version)
+        return outcome
+
+    def keep_all(self, count: int, items: DataFrame) -> DataFrame:
+        """``component, problem`` of all groups that are not ignored, after the best ``count`` members of each were kept (null) or the group was passed over."""
+        version = self.table.version()
+        requests, passed = keep_requests(self.groups(version), self.members(version), count)
+        return self.keep(requests, items, version).unionByName(passed)
 
 
 def dismiss(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions.vector import dot, four_decimals, norm
@@ -9,7 +11,7 @@ from gleaner.operators import duplicates, metric, ranking, search, similarity, v
 from gleaner.operators.graph import connected_components
 from gleaner.plans.adapters import HASHES, ITEMS, hashes, items
 from gleaner.plans.registry import query
-from gleaner.session import materialise, table
+from gleaner.session import materialise, shared_dir, table
 from gleaner.sources import files
 
 NEAR = 15
@@ -218,6 +220,34 @@ def groups_still_current(spark, sf_dir):
     return duplicates.still_current(pairs.where("b % 7 <> 0"), groups)  # some members have left since
 
 
+@query(
+    f"""WITH {TEXT}, {STARS}, {MEMBERS} SELECT component, count(*) FILTER (id % 7 = 0 AND id <> component) = 0 AND count(*) FILTER (id % 13 = 0) = 0 AS current FROM members GROUP BY component"""
+)
+def groups_apart_from_sequences(spark, sf_dir):
+    """Groups none of whose members has been deleted or put into a sequence."""
+    pairs, groups, facts = _groups(spark, sf_dir)
+    live = facts.join(groups.where("id % 7 = 0 and id <> component"), "id", "left_anti")
+    return duplicates.still_current(pairs, groups, live.select("id"), facts.where("id % 13 = 0").select("id"))
+
+
+@query(
+    f"""WITH {TEXT}, {STARS}, {MEMBERS}, g AS (SELECT component, component % 3 = 1 AS ignored, count(*) AS size, count(*) FILTER (id % 11 = 0) AS gone FROM members GROUP BY component),
+    o AS (SELECT component, CASE WHEN size <= 2 THEN 'nothing to delete' WHEN gone > 0 THEN 'changed' END AS problem FROM g WHERE NOT ignored)
+    SELECT o.component, problem, id, CASE WHEN problem IS NULL THEN CASE WHEN place <= 2 THEN 'KEEP' ELSE 'DELETE' END END AS decision, CASE WHEN problem IS NULL THEN 5 ELSE 4 END AS revision
+    FROM o JOIN placed p ON p.component = o.component"""
+)
+def kept_counts(spark, sf_dir):
+    """Two members kept of every group that is not ignored, one version of the review table; some groups have deleted members."""
+    _, groups, facts = _groups(spark, sf_dir)
+    reviews = duplicates.Reviews(spark, f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}")
+    states = groups.groupBy("component").agg(duplicates.group_version("id").alias("version")).select("component", "version", F.lit(4).alias("revision"), (F.col("component") % 3 == 1).alias("ignored"))
+    reviews.start(states, groups)
+    items = facts.withColumn("deleted_at", F.when(F.col("id") % 11 == 0, F.lit("1999-01-01").cast("timestamp")))
+    outcome = reviews.keep_all(2, items)
+    own = reviews.members().join(reviews.groups().select("component", "revision"), "component")
+    return outcome.join(own, "component").select("component", "problem", "id", "decision", F.col("revision").cast("int").alias("revision"))
+
+
 @query(f"WITH {TEXT}, {STARS} SELECT a, b, CASE WHEN a % 2 = 0 AND b % 2 = 0 THEN 'dismissed' ELSE 'open' END AS status FROM stars")
 def dismissed_pairs(spark, sf_dir):
     pairs, _, facts = _groups(spark, sf_dir)

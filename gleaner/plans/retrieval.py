@@ -330,3 +330,20 @@ def streamed_windows(spark, sf_dir):
     s = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = feeds.run_to_table(feeds.windowed_counts(s, "event_type"), "streamed-windows")
     return out.withColumn("start", F.unix_millis("start"))
+
+
+def _stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS directory, CAST(event_id % 500 AS VARCHAR) AS path, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 3600000000 AS span FROM events),
+    q AS (SELECT directory, span FROM x GROUP BY directory, span HAVING count(*) < 2), e AS (SELECT max(ms) - 600000 AS done FROM x)
+    SELECT directory, path, max(ms) AS ms FROM x JOIN q USING (directory, span), e WHERE (span + 1) * 3600000 <= done AND path NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 100) GROUP BY directory, span, path"""
+)
+def missing_after_bursts(spark, sf_dir):
+    s = _stream(spark, sf_dir).withColumns({"directory": F.col("user_id").cast("string"), "path": (F.col("event_id") % 500).cast("string")})
+    there = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.col("c_custkey").cast("string").alias("path"))
+    with feeds.keyed_state(spark):
+        return feeds.run_to_table(feeds.removals(s, there, span_ms=3_600_000, least=2), "missing")

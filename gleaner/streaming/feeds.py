@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.operators.rating import fold_log
 from gleaner.session import shared_dir
+from gleaner.sources.deltas import KeyedTable
 
 LATE = "10 minutes"
 
@@ -58,6 +61,132 @@ def rates(events: DataFrame, ts: str = "ts", span: str = "4 seconds", slide: str
     return counts.select(F.col("w.start").alias("start"), "n", F.when(seconds >= 1, F.col("n") / seconds).otherwise(0.0).alias("per_second"))
 
 
+class _Waiting(StatefulProcessor):
+    """The removals of one directory and one span: counted, and held (fewer than ``least`` of them) until a timer at the span's end."""
+
+    def __init__(self, span_ms: int, least: int):
+        self.span_ms, self.least = span_ms, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "n long, paths array<string>, at array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, paths, at = self.held.get() if self.held.exists() else (0, [], [])
+        latest = dict(zip(paths, at, strict=True))
+        for part in rows:
+            n += len(part)
+            if n >= self.least:  # a burst: only its count matters from here on
+                latest = {}
+                continue
+            for path, ms in zip(part["path"].tolist(), part["ms"].tolist(), strict=True):
+                latest[path] = max(ms, latest.get(path, ms))
+        self.held.update((n, list(latest), list(latest.values())))
+        self.handle.registerTimer((int(key[1]) + 1) * self.span_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, paths, at = self.held.get()
+        self.held.clear()
+        if n < self.least:
+            yield pd.DataFrame({"directory": [key[0]] * len(paths), "path": paths, "ms": at})
+
+    def close(self) -> None:
+        pass
+
+
+def removals(events: DataFrame, present: DataFrame | None = None, directory: str = "directory", path: str = "path", ts: str = "ts", span_ms: int = 2000, least: int = 30, late: str = LATE) -> DataFrame:
+    """``directory, path, ms``: removals to be marked as missing: of paths that are not ``present``, and not part of a burst (``least`` removals or more of one directory within a span).
+
+    A removal waits for the end of its span, at which its directory's count is known; a path that is removed again within it leaves once, with its last time. State is
+    one row for each directory and open span, with fewer than ``least`` paths; the watermark's timer ends it. Rows behind the watermark are dropped. Run streams of it under ``keyed_state``.
+    Over a finished feed the same spans are counted at once.
+    """
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    own = events.select(F.col(directory).cast("string").alias("directory"), F.col(path).cast("string").alias("path"), at.alias("ms"), F.floor(at / span_ms).alias("span"), F.col(ts))
+    if events.isStreaming:
+        dealt = own.withWatermark(ts, late).groupBy("directory", "span")
+        lone = dealt.transformWithStateInPandas(_Waiting(span_ms, least), "directory string, path string, ms long", "Append", "EventTime")
+    else:
+        quiet = own.groupBy("directory", "span").agg(F.count("*").alias("n")).where(F.col("n") < least).select("directory", "span")
+        lone = own.join(quiet, ["directory", "span"], "left_semi").groupBy("directory", "span", "path").agg(F.max("ms").alias("ms")).select("directory", "path", "ms")
+    return lone if present is None else lone.join(present.select(F.col(path).cast("string").alias("path")), "path", "left_anti").select("directory", "path", "ms")
+
+
+class _Marked(StatefulProcessor):
+    """The marked paths of one root with the time until which they hold; a timer each minute of event time removes what holds no longer."""
+
+    def __init__(self, hold_ms: int, columns: list[str]):
+        self.hold_ms, self.columns = hold_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getMapState("until", "path string", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(["marked_ms", "marked_kind", "marked_path"], kind="stable")
+        free = []
+        for kind, path, ms in zip(new["marked_kind"].tolist(), new["marked_path"].tolist(), new["marked_ms"].tolist(), strict=True):
+            if kind == 0:
+                held = self.until.getValue((path,))[0] if self.until.containsKey((path,)) else ms
+                until = max(held, ms + self.hold_ms)
+                self.until.updateValue((path,), (until,))
+                self.handle.registerTimer((until // MINUTE + 1) * MINUTE)
+            free.append(kind == 1 and not any(self._holds(p, ms) for p in _above(path)))
+        yield new.loc[free, self.columns]
+
+    def _holds(self, path: str, ms: int) -> bool:
+        return self.until.containsKey((path,)) and ms <= self.until.getValue((path,))[0]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for path in [path for path, until in self.until.iterator() if until[0] < now]:
+            self.until.removeKey(path)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+MINUTE = 60_000
+
+
+def _above(path: str) -> Iterator[str]:
+    """A path and the folders that it is in."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
+def unsuppressed(events: DataFrame, marks: DataFrame, root: str = "root", path: str = "path", ts: str = "ts", hold_ms: int = 15_000, late: str = LATE) -> DataFrame:
+    """Events whose path is not marked, nor a folder that it is in, at their time: a mark holds for ``hold_ms``.
+
+    Events leave at once, with the marks known by then, and do not wait for the watermark; those of one micro-batch go by time, marks first. ``marks``: ``root, path, ts``; both are
+    streams. State is one row for each marked path of a root; timers end it. Rows behind the watermark are dropped. Run it under ``keyed_state``.
+    """
+    ms = F.unix_millis(F.col(ts).cast("timestamp")).alias("marked_ms")
+    mine = events.select("*", F.lit(1).alias("marked_kind"), F.col(path).cast("string").alias("marked_path"), ms)
+    none = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in (root, ts) else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    held = marks.select(*none, F.lit(0).alias("marked_kind"), F.col(path).cast("string").alias("marked_path"), ms)
+    both = mine.unionByName(held).withWatermark(ts, late)
+    return both.groupBy(root).transformWithStateInPandas(_Marked(hold_ms, events.columns), events.schema, "Append", "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Start streams with timers or a time to live inside: their state needs a store on disk, which is chosen when a stream starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def suppressed(events: DataFrame, marks: DataFrame, path: str = "path", ts: str = "ts", hold: str = "15 seconds", late: str = LATE) -> DataFrame:
     """Events whose path was not marked within ``hold`` before them: a left outer stream-stream join with a time range, so state ends with the watermark."""
     e = _marked(events, ts, late).alias("e")
@@ -89,14 +218,13 @@ def tournament_state(log: DataFrame) -> DataFrame:
     return log.groupBy("session").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert(path: str, key: str, order: Column) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer that keeps the latest row of each key: every batch is a new version of the table in its own folder, so a repeated batch changes nothing."""
+def upsert(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer that keeps the latest row of each key by ``order``: a batch is a file of changes, merged into the whole table at times.
+
+    A batch that comes again, after a restart, changes nothing. Read the table with ``KeyedTable(spark, path, key, order).read()``.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number > 0:
-            batch = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("s")).select(key, "s.*")
-        latest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        KeyedTable(batch.sparkSession, path, key, order).apply(batch, batch=number)
 
     return write
 
