@@ -209,7 +209,19 @@ def _frames(spark, sf_dir):
     return li.select(F.col("l_suppkey").alias("folder"), F.col("l_returnflag").alias("camera"), F.col("l_linestatus").alias("lens"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), at.alias("at"), (F.col("l_partkey") % 64).alias("hash"), (F.col("l_suppkey") % 3).alias("burst"))
 
 
-@query()
+FITS = "{m} > 0 AND floor({g} / {m} + 0.5) BETWEEN 1 AND 2 AND abs({g} - {m} * floor({g} / {m} + 0.5)) <= greatest(1000, {m} * 0.5)"
+
+
+@query(
+    f"""WITH RECURSIVE x AS (SELECT user_id % 20 AS folder, event_type AS camera, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events WHERE event_type IS NOT NULL),
+    r AS (SELECT folder, camera, i, ms, i AS first, CAST([] AS BIGINT[]) AS gaps FROM x WHERE i = 1
+        UNION ALL SELECT folder, camera, i, ms, CASE WHEN ok THEN first ELSE i END, CASE WHEN ok THEN list_append(gaps, gap) ELSE CAST([] AS BIGINT[]) END
+        FROM (SELECT *, gap BETWEEN 60000 AND 43200000 AND {FITS.format(g="gap", m="m")} AS ok
+            FROM (SELECT x.folder, x.camera, x.i, x.ms, r.first, r.gaps, x.ms - r.ms AS gap, CASE WHEN len(r.gaps) = 0 THEN x.ms - r.ms ELSE list_median(r.gaps) END::DOUBLE AS m FROM r JOIN x ON x.folder = r.folder AND x.camera = r.camera AND x.i = r.i + 1))),
+    g AS (SELECT folder, camera, min(ms) AS started_at, max(ms) AS ended_at, count(*) AS n_frames, arg_max(gaps, i) AS gaps FROM r GROUP BY folder, camera, first HAVING count(*) >= 3),
+    m AS (SELECT *, CAST(list_median(gaps) AS DOUBLE) AS interval FROM g)
+    SELECT folder, camera, 'x' AS lens, started_at, ended_at, n_frames, interval FROM m WHERE interval BETWEEN 60000 AND 43200000 AND len(list_filter(gaps, lambda v: NOT ({FITS.format(g="v", m="interval")}))) = 0"""
+)
 def rhythm_runs(spark, sf_dir):
     f = feed(spark, sf_dir).select((F.col("user_id") % 20).alias("folder"), F.col("event_type").alias("camera"), F.lit("x").alias("lens"), F.col("event_id").alias("id"), F.unix_millis("ts").alias("at"))
     return sequences.rhythm_runs(f, ["folder", "camera", "lens"], least=3, low_ms=60_000, high_ms=43_200_000, tolerance=0.5)

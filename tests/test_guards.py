@@ -1,12 +1,12 @@
 """Changes guarded by versions, reviews of duplicate groups, streams with timers."""
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
-from gleaner.operators import duplicates
+from gleaner.operators import duplicates, sequences
 from gleaner.session import shared_dir
 from gleaner.sources.deltas import KeyedTable
 from gleaner.sources.versions import Conflict
@@ -167,3 +167,43 @@ def test_marks_suppress_what_is_below_them_for_a_time(spark, stream):
         s = feeds.unsuppressed(stream(*events, schema=schema), stream(*marks, schema=schema).drop("n"), ts="ts")
         got = feeds.run_to_table(s, "marks-test")
     assert sorted(r["n"] for r in got.collect()) == [2, 3, 5, 6]
+
+
+# --- rhythm -----------------------------------------------------------------------------------
+
+
+def test_medians_one_by_one():
+    rng = random.Random(3)
+    for spread in (2, 10, 10_000):
+        m, seen = sequences.GapMedian(), []
+        for _ in range(400):
+            x = rng.randrange(spread)
+            m.add(x)
+            seen.append(x)
+            assert m.value() == statistics.median(seen)
+
+
+@pytest.mark.parametrize("span_ms", [700_000, 3_000_000, 10**12])
+def test_rhythm_runs_are_alike_under_any_span(spark, span_ms):
+    rng, data = random.Random(4), []
+    for folder in range(4):
+        now = 1_000_000
+        for i in range(250):
+            now += rng.choice([60_000, 60_000, 60_000, 61_500, 120_000, 58_000, 3_000, 900_000])
+            data.append((folder, "c", "l", folder * 1000 + i, now))
+    df = spark.createDataFrame(data + [(None, "c", "l", 1, 5), (1, " ", "l", 1, 5), (1, "c", "l", 1, 0)], "folder int, camera string, lens string, id long, at long").repartition(5)
+    got = sequences.rhythm_runs(df, ["folder", "camera", "lens"], least=3, low_ms=2000, high_ms=600_000, span_ms=span_ms)
+    want = []
+    for folder in range(4):
+        at = [r[4] for r in data if r[0] == folder]
+        fits = sequences.RhythmFold(3, 2000, 600_000, 1, 0.2).fits
+        start, gaps = 0, []
+        for i in range(1, len(at) + 1):
+            gap = at[i] - at[i - 1] if i < len(at) else None
+            if gap is not None and 2000 <= gap <= 600_000 and fits(gap, statistics.median(gaps) if gaps else gap):
+                gaps.append(gap)
+                continue
+            if i - start >= 3 and gaps and 2000 <= statistics.median(gaps) <= 600_000 and all(fits(g, statistics.median(gaps)) for g in gaps):
+                want.append((folder, at[start], at[i - 1], i - start, float(statistics.median(gaps))))
+            start, gaps = i, []
+    assert len(want) > 10 and rows(got.select("folder", "started_at", "ended_at", "n_frames", "interval")) == sorted(want, key=str)
