@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -38,25 +38,26 @@ def segment_plan(threshold: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
-def hamming_pairs(df: DataFrame, threshold: int, key: str = "id", hash_col: str = "hash") -> DataFrame:
-    """``a, b, distance`` for every pair of different hashes within ``threshold`` bits (0 to 64), with the smallest key of each hash.
+def hamming_pairs(df: DataFrame, threshold: int, key: str = "id", hash_col: str = "hash", within: Sequence[str] = ()) -> DataFrame:
+    """``a, b, distance`` for every pair of different hashes within ``threshold`` bits (0 to 64), with the smallest key of each hash; with ``within`` only pairs
+    that agree in these columns, which then come first.
 
     Equal hashes are one node (see ``copies``), so a group of copies costs one row. Hashes are cut into segments; each segment of one side, as it
     is and with each of its bits turned, meets the segments of the other as they are. A pair is emitted at the first segment that is near.
     """
-    nodes = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(key).alias("k"))
+    nodes = df.where(F.col(hash_col).isNotNull()).groupBy(*within, F.col(hash_col).alias("h")).agg(F.min(key).alias("k"))
     plan = segment_plan(threshold)
     mask = lambda bits: F.lit((1 << bits) - 1 if bits < 64 else -1)
     part = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(mask(bits))
-    plain = nodes.select(F.col("h").alias("ha"), F.col("k").alias("ka"), F.posexplode(F.array(*(part(F.col("h"), *p) for p in plan))).alias("no", "key"))
+    plain = nodes.select(*within, F.col("h").alias("ha"), F.col("k").alias("ka"), F.posexplode(F.array(*(part(F.col("h"), *p) for p in plan))).alias("no", "key"))
     flips = F.array(*(F.array(part(F.col("h"), at, bits), *(part(F.col("h").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), at + i)), at, bits) for i in range(bits))) for at, bits in plan))
-    turned = nodes.select(F.col("h").alias("hb"), F.col("k").alias("kb"), F.posexplode(flips).alias("no", "keys")).select("hb", "kb", "no", F.explode("keys").alias("key"))
+    turned = nodes.select(*within, F.col("h").alias("hb"), F.col("k").alias("kb"), F.posexplode(flips).alias("no", "keys")).select(*within, "hb", "kb", "no", F.explode("keys").alias("key"))
     diff = F.col("ha").bitwiseXOR(F.col("hb"))
     earlier = F.lit(False)
     for no, p in enumerate(plan):
         earlier |= (F.lit(no) < F.col("no")) & (F.bit_count(part(diff, *p)) <= 1)
-    met = plain.join(turned, ["no", "key"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(diff) <= threshold) & ~earlier)
-    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.bit_count(diff).alias("distance"))
+    met = plain.join(turned, [*within, "no", "key"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(diff) <= threshold) & ~earlier)
+    return met.select(*within, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.bit_count(diff).alias("distance"))
 
 
 def copies(df: DataFrame, key: str = "id", hash_col: str = "hash") -> DataFrame:

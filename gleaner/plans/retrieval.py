@@ -281,7 +281,13 @@ def reject_similar(spark, sf_dir):
     return sequences.similar_in_session(h.where("id % 20 = 0"), h, 22)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {HASHES}, x AS (SELECT id % 10 AS session, id, hash, row_number() OVER (PARTITION BY id % 10 ORDER BY id) AS i FROM hashes),
+    r AS (SELECT session, id, i, CAST(0 AS BIGINT) AS grp, [hash] AS seeds FROM x WHERE i = 1
+        UNION ALL SELECT session, id, i, CASE WHEN near IS NULL THEN len(seeds) ELSE near - 1 END, CASE WHEN near IS NULL THEN list_append(seeds, hash) ELSE seeds END
+        FROM (SELECT x.session, x.id, x.i, x.hash, r.seeds, list_filter(range(1, len(r.seeds) + 1), lambda j: bit_count(xor(r.seeds[j], x.hash)) <= 20)[1] AS near FROM r JOIN x ON x.session = r.session AND x.i = r.i + 1))
+    SELECT session, id, grp, row_number() OVER (PARTITION BY session ORDER BY grp, i) - 1 AS place FROM r"""
+)
 def similar_first(spark, sf_dir):
     h = hashes(spark, sf_dir).select((F.col("id") % 10).alias("session"), "id", "hash", F.col("id").alias("at"))
     return sequences.similar_first(h, "session", "id", "hash", "at", 20)

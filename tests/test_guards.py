@@ -207,3 +207,37 @@ def test_rhythm_runs_are_alike_under_any_span(spark, span_ms):
                 want.append((folder, at[start], at[i - 1], i - start, float(statistics.median(gaps))))
             start, gaps = i, []
     assert len(want) > 10 and rows(got.select("folder", "started_at", "ended_at", "n_frames", "interval")) == sorted(want, key=str)
+
+
+# --- greedy groups ----------------------------------------------------------------------------
+
+
+def slow_first(items, threshold):
+    """Fold of one session: (time, key, hash) to (key, group, place)."""
+    items, seeds, groups = sorted(items), [], {}
+    for t, k, h in items:
+        near = next((i for i, s in enumerate(seeds) if h is not None and h >= 0 and s is not None and (s ^ h).bit_count() <= threshold), None)
+        if near is None:
+            seeds.append(h if h is not None and h >= 0 else None)
+        groups[k] = len(seeds) - 1 if near is None else near
+    order = sorted(items, key=lambda r: groups[r[1]])
+    return sorted((k, groups[k], i) for i, (_, k, _) in enumerate(order))
+
+
+def test_similar_first_against_the_fold(spark):
+    rng = random.Random(8)
+    data, key = [], 0
+    for session, n, chain in (("a", 60, False), ("b", 25, True), ("c", 3, False)):
+        centres = [rng.getrandbits(63) for _ in range(8)]
+        h = rng.getrandbits(63)
+        for _ in range(n):
+            h = h ^ (7 << rng.randrange(50)) if chain else rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5)))
+            data.append((session, key, None if rng.random() < 0.05 else h, rng.randrange(20)))
+            key += 1
+    data += [("a", key, -5, 3), ("a", key + 1, -5, 3), ("a", key + 2, data[0][2], 19)]
+    df = spark.createDataFrame(data, "session string, id long, hash long, at int").repartition(3)
+    got = sequences.similar_first(df, "session", "id", "hash", "at", 6).collect()
+    for session in "abc":
+        want = slow_first([(t, k, h) for s, k, h, t in data if s == session], 6)
+        assert sorted((r["id"], r["grp"], r["place"]) for r in got if r["session"] == session) == want
+    assert sequences.similar_first(df.limit(0), "session", "id", "hash", "at").count() == 0
