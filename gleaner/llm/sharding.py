@@ -75,6 +75,9 @@ class ShardStore:
         """Put ``manifest`` in place as ``version`` atomically; ``Conflict`` if that exists."""
         aside = f"{self.root}/manifests/_{uuid.uuid4().hex}"
         manifest.select("shard", "run", "n_rows", "n_bytes", "since").write.parquet(aside)
+        return self._place(aside, version)
+
+    def _place(self, aside: str, version: int) -> int:
         options = self.spark.sparkContext._gateway.new_array(getattr(self.spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
             self._files.rename(self._path(aside), self._path(f"{self.root}/manifests/v{version:010d}"), options)
@@ -144,10 +147,23 @@ class ShardStore:
         number = F.regexp_extract("run", "=([0-9]+)$", 1).cast("int")
         self._write(df, since, lot).withColumn("lot", number).write.parquet(aside)
         found = self.spark.read.schema(f"{MANIFEST}, lot int").parquet(aside)
-        for i in sorted(r["lot"] for r in found.select("lot").distinct().collect()):
-            own = found.where(F.col("lot") == i).drop("lot")
-            self._put(lambda live, own=own: live.unionByName(own))
-        self._fs.delete(self._path(aside), True)
+        present = sorted(r["lot"] for r in found.select("lot").distinct().collect())
+        latest, base = (self.versions() or [0])[-1], self.manifest()
+        # each version holds what was live before and the lots up to its own; one job writes them all, then each is put in place
+        upto = lambda first: F.explode(F.sequence(first, F.lit(len(present) - 1))).alias("upto")
+        own = found.select("shard", "run", "n_rows", "n_bytes", "since", upto((F.array_position(F.array(*map(F.lit, present)), F.col("lot")) - 1).cast("int")))
+        several = f"{self.root}/manifests/_{uuid.uuid4().hex}"
+        if present:
+            base.select("shard", "run", "n_rows", "n_bytes", "since", upto(F.lit(0))).unionByName(own).coalesce(1 + latest // 1000).write.partitionBy("upto").parquet(several)
+        for i, lot in enumerate(present):
+            try:
+                self._place(f"{several}/upto={i}", latest + 1 + i)
+            except Conflict:  # another writer has come between: the rest goes over its versions
+                for late in present[i:]:
+                    self._put(lambda live, late=late: live.unionByName(found.where(F.col("lot") == late).drop("lot")))
+                break
+        for path in (several, aside):
+            self._fs.delete(self._path(path), True)
         return (self.versions() or [0])[-1]
 
     def tiers(self, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
