@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleaner.functions.vector import dot, four_decimals, norm
-from gleaner.operators import duplicates, metric, ranking, search, similarity, vectors
+from gleaner.operators import duplicates, metric, ranking, search, similarity, suggest, vectors
 from gleaner.operators.graph import connected_components
 from gleaner.plans.adapters import HASHES, ITEMS, hashes, items
 from gleaner.plans.registry import query
@@ -105,11 +105,25 @@ def centroids(spark, sf_dir):
 )
 def centroid_suggestions(spark, sf_dir):
     h = hashes(spark, sf_dir)
-    c = similarity.centroids(h.where("id % 3 = 0"), "label").select(F.col("label").alias("tag"), "centroid")  # a row for each tag
+    c = similarity.centroids(h.where("id % 3 = 0"), "label").orderBy(F.desc("n"), "label").limit(suggest.TAGS).select(F.col("label").alias("tag"), "centroid")  # so many rows at most
     s = h.where("id % 3 > 0").join(F.broadcast(c)).select(F.col("id").alias("item"), "tag", four_decimals(dot("v", "centroid") / norm(F.col("v"))).alias("score"))
     return ranking.best_with_margin(s, "item", "tag", "score")
 
 
+@query(
+    f"""WITH {HASHES}, u AS (SELECT label, unnest(range(1, 65)) AS i, v FROM hashes WHERE id % 3 = 0), m AS (SELECT label, i, avg(v[i]) AS x FROM u GROUP BY label, i), z AS (SELECT label, sqrt(sum(x * x)) AS size FROM m GROUP BY label),
+    c AS (SELECT label, list(CAST(CAST(x / size AS FLOAT) AS DOUBLE) ORDER BY i) AS c FROM m JOIN z USING (label) GROUP BY label),
+    s AS (SELECT id AS item, c.label AS tag, floor(list_cosine_similarity(v, c) * 10000 + 0.5) / 10000 AS score FROM hashes CROSS JOIN c),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY score DESC, item) AS n FROM s WHERE score >= 0.1) WHERE n <= 300),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, tag) AS place, lead(score) OVER (PARTITION BY item ORDER BY score DESC, tag) AS second FROM k)
+    SELECT item, tag, 'auto' AS origin, score AS confidence FROM r WHERE place = 1 AND (second IS NULL OR score - second >= 0.01) AND NOT EXISTS (SELECT 1 FROM hashes h WHERE h.id = item AND h.id % 3 = 0 AND h.label = tag)"""
+)
+def suggested_tags(spark, sf_dir):
+    """A whole run of suggestions: a third of the items are seeds of their labels."""
+    h = hashes(spark, sf_dir)
+    return suggest.suggest(h, h.where("id % 3 = 0").select(F.col("id").alias("item"), F.col("label").alias("tag")), least=0.1)
+
+
 @query(
     f"""WITH {HASHES}, d AS (SELECT q.id AS query, h.id AS item, list_sum(list_transform(range(1, 65), lambda i: (h.v[i] - q.v[i]) * (h.v[i] - q.v[i]))) AS d FROM hashes q JOIN hashes h ON h.id <> q.id WHERE q.id % 20 = 0),
     s AS (SELECT query, item, floor(greatest(0, 1 - d / 2) * 10000 + 0.5) / 10000 AS similarity FROM d),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import fulltext, hierarchy, itemsets, metric, order, search, sequences, similarity, vectors
+from gleaner.operators import fulltext, hierarchy, itemsets, metric, order, search, sequences, similarity, suggest, vectors
 from gleaner.session import shared_dir
 from gleaner.sources.versions import Conflict, Versions
 
@@ -243,3 +243,16 @@ def test_search_by_item_and_by_session(spark):
     same = sequences.similar_in_session(df.where("id % 5 = 0"), df, 9)
     session = {r[0]: r[3] for r in data}
     assert rows(same) == sorted([(i, j, d) for i, j, d, _ in slow_near([r[:2] for r in data], [r[:2] for r in data if r[0] % 5 == 0], None, 9) if session[i] == session[j]], key=str)
+
+
+def test_a_run_of_suggestions(spark):
+    """Centres of the tags with most seeds only, clear winners only, nothing that is linked already."""
+    east, north, up = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    data = [(i, east) for i in range(4)] + [(i, north) for i in range(10, 13)] + [(i, up) for i in range(20, 23)] + [(30, [9.0, 1.0, 0.0]), (31, [1.0, 1.0, 0.0]), (32, [1.0, 9.0, 0.0]), (33, [0.0, 1.0, 9.0]), (34, None), (35, [-1.0, -1.0, -1.0])]
+    items = spark.createDataFrame(data, "id long, v array<float>")
+    seeds = [(i, "e") for i in range(3)] + [(i, "n") for i in range(10, 13)] + [(3, "e")] + [(20, "few"), (21, "few")] + [(i, "z") for i in range(20, 23)]
+    links = spark.createDataFrame(seeds, "item long, tag string")
+    got = suggest.suggest(items, links, least=0.5)
+    assert {(r["item"], r["tag"]) for r in got.collect()} == {(30, "e"), (32, "n"), (33, "z")} and got.where("origin <> 'auto' or confidence < 0.9").count() == 0
+    assert {(r["item"], r["tag"]) for r in suggest.suggest(items, links, least=0.5, tags_most=1).collect()} == {(30, "e"), (31, "e")}
+    assert suggest.suggest(items, links.limit(0)).count() == 0
