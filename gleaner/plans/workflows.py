@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.metadata import capture
 from gleaner.functions.text import focal_range, shutter_seconds
 from gleaner.operators import cleanup, curation, hierarchy, palettes, search, sequences, similarity, tags as tagging
-from gleaner.plans.adapters import CLOSED, HASHES, ITEMS, LINKS, TAGS, hashes, items, links, tags
+from gleaner.plans.adapters import CLOSED, FRAMES, HASHES, ITEMS, LINKS, TAGS, frames, hashes, items, links, tags
 from gleaner.plans.near import STARS, TEXT, MEMBERS, _groups
 from gleaner.plans.registry import query
 from gleaner.plans.retrieval import CUT, EVIDENCE, _evidence
@@ -235,6 +235,19 @@ def camera_texts(spark, sf_dir):
     return p.select("p_partkey", shutter_seconds(F.concat(F.lit("1/"), size, F.lit("s"))).alias("seconds"), focal["low"].alias("low"), focal["high"].alias("high"))
 
 
+@query(
+    f"""WITH {ITEMS}, {FRAMES}, {LINKS}, {TAGS}, asked AS (SELECT id FROM items WHERE favourite UNION SELECT item FROM frames WHERE iso > 3000),
+    d AS (SELECT item AS id, min(camera) AS camera, max(iso) AS iso FROM frames GROUP BY item), n AS (SELECT item AS id, string_agg(DISTINCT name, ',' ORDER BY name) AS tags FROM links JOIN tags ON tags.id = tag WHERE origin = 'manual' GROUP BY item)
+    SELECT i.id, n_bytes, camera, iso, coalesce(tags, '') AS tags FROM items i JOIN asked USING (id) LEFT JOIN d USING (id) LEFT JOIN n USING (id)"""
+)
+def exported_items(spark, sf_dir):
+    i, f = items(spark, sf_dir), frames(spark, sf_dir)
+    asked = i.where("favourite").select("id").unionByName(f.where("iso > 3000").select(F.col("item").alias("id")))  # with repeats
+    details = f.groupBy(F.col("item").alias("id")).agg(F.min("camera").alias("camera"), F.max("iso").alias("iso"))
+    named = links(spark, sf_dir).where("origin = 'manual'").join(tags(spark, sf_dir).select(F.col("id").alias("tag"), "name"), "tag").select(F.col("item").alias("id"), "name")
+    return files.export_rows(asked, i.select("id", "n_bytes"), details, named).withColumn("tags", F.array_join("tags", ","))
+
+
 @query(f"WITH {ITEMS} SELECT id, CASE WHEN folder % 10 = 3 THEN 'b7' END AS missing_batch FROM items")
 def missing_files(spark, sf_dir):
     i = items(spark, sf_dir).select("id", "folder", F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.lit("b1").alias("missing_batch"))

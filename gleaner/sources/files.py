@@ -165,6 +165,18 @@ def fingerprint(*tables: DataFrame) -> str:
     return "_".join(parts)
 
 
+def export_rows(ids: DataFrame, items: DataFrame, details: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of an export: each asked item that exists once, with its details and its tag names in order (an empty list without tags).
+
+    ``ids``: ``id``, repeats and nulls allowed; ``items``: ``id`` and what is shown; ``details``: one row an ``id`` or none; ``links``: ``id, name``. Only the asked items' details and
+    tags are read on.
+    """
+    asked = ids.where("id is not null").select("id").distinct()
+    names = links.join(asked, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
+    shown = items.join(asked, "id", "left_semi").dropDuplicates(["id"])
+    return shown.join(details.dropDuplicates(["id"]), "id", "left").join(names, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
 def export(items: DataFrame, path: str, fmt: str = "json", partition_by: Sequence[str] = ()) -> None:
     """Write items (one row a key) in any format that Spark writes."""
     writer = items.write.mode("overwrite").format(fmt)

@@ -481,3 +481,12 @@ def test_materialised_tables_can_be_released(spark):
 
 def test_session_has_no_null_division():
     assert math.isfinite(rating.elo(0, 4000, 0, 0, 0)[0])
+
+
+def test_export_rows(spark):
+    ids = spark.createDataFrame([(1,), (1,), (2,), (None,), (9,)], "id int")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    details = spark.createDataFrame([(1, "cam")], "id int, camera string")
+    links = spark.createDataFrame([(1, "y"), (1, "x"), (1, "x"), (3, "z")], "id int, name string")
+    got = files.export_rows(ids, items, details, links)
+    assert rows(got.select("id", "name", "camera", F.array_join("tags", ","))) == [(1, "a", "cam", "x,y"), (2, "b", None, "")]
