@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import lexical, linededup, pieces, queries, repair, urls
+from gleaner.llm import lexical, linededup, pieces, queries, repair, sharding, urls
 from gleaner.session import shared_dir
 from gleaner.sources.versions import Conflict
 
@@ -401,3 +401,20 @@ def test_long_urls(spark, monkeypatch):
     assert {r[2] for r in whole} >= {"news paper com", ""}
     block = pa.RecordBatch.from_pydict({"b": [1], "h": [long * 20], "p": [""]})
     assert max(b.num_rows for b in urls._part_batches(iter([block]))) <= 100 + urls.STEM
+
+
+def test_lots_go_on_after_another_writer(spark, monkeypatch):
+    root = f"{shared_dir(spark)}/store-lots"
+    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    df = spark.range(60).withColumn("text", F.md5(F.col("id").cast("string")))
+    place, met = a._place, []
+
+    def late(aside, version):
+        if version == 2 and not met:
+            met.append(b.append(df.where("id < 5")))
+        return place(aside, version)
+
+    monkeypatch.setattr(a, "_place", late)
+    assert a.append_lots(df, F.col("id") % 4, 4) == 5 and met == [2]
+    assert [a.read(v).count() for v in range(1, 6)] == [15, 20, 35, 50, 65]
+    assert a.append_lots(df.limit(0), F.lit(0), 1) == 5
