@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleaner.operators.order import running, running_by_place
@@ -71,12 +74,67 @@ class Forest(NamedTuple):
 JUMPS = 2  # doublings that one job makes
 
 
-def _edges(tree: DataFrame, node: str, parent: str, **sums: Column) -> DataFrame:
-    """``node, up0, depth, several`` and the sums, one row a node: its parent if that is a node, 1 if it has one, and whether it has several."""
+SMALL = 1 << 18  # nodes of a tree that one task numbers (some 50 MB there); larger ones are numbered by joins
+
+
+def _rows(tree: DataFrame, node: str, parent: str, **sums: Column) -> DataFrame:
+    """``node, parent, several`` and the sums, one row a node, written: its smallest parent, and whether it has another."""
     rows = tree.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"), F.max(parent).alias("other"), *(F.sum(c).alias(n) for n, c in sums.items()))
-    have = tree.select(F.col(node).alias("have")).where("have is not null").distinct()
-    known = rows.join(have, rows["parent"] == have["have"], "left")
-    return materialise(known.select("node", F.col("have").alias("up0"), F.when(F.col("have").isNull(), 0).otherwise(1).cast("long").alias("depth"), (F.col("parent") != F.col("other")).alias("several"), *sums), "forest-edges")
+    return materialise(rows.select("node", "parent", (F.col("parent") != F.col("other")).alias("several"), *sums), "tree")
+
+
+def _edges(rows: DataFrame, *sums: str) -> DataFrame:
+    """``node, up0, depth, several`` and the sums: the parent if that is a node, and 1 if there is one."""
+    known = rows.join(rows.select(F.col("node").alias("have")), F.col("parent") == F.col("have"), "left")
+    return materialise(known.select("node", F.col("have").alias("up0"), F.when(F.col("have").isNull(), 0).otherwise(1).cast("long").alias("depth"), "several", *sums), "forest-edges")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number a whole small tree: ``node, parent`` rows to numbers, ancestors by doubling levels, -1 as the number of what is on cycles and below them."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    table = table.take(pc.sort_indices(table.column("node")))
+    nodes = table.column("node").combine_chunks()
+    up = pc.fill_null(pc.index_in(table.column("parent").combine_chunks(), nodes, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, ups, depth = len(up), [up], (up >= 0).astype(np.int64)
+    while (ups[-1] >= 0).any() and 1 << len(ups) <= 2 * n:
+        last = ups[-1]
+        depth = depth + np.where(last >= 0, depth[last], 0)
+        ups.append(np.where(last >= 0, last[last], -1))
+    looped = ups[-1] >= 0
+    size, offset, pre = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+    by_depth = np.argsort(np.where(looped, -1, depth), kind="stable")
+    by_depth = by_depth[int(looped.sum()) :]
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1) if len(by_depth) else []
+    for own in reversed(levels[1:]):
+        np.add.at(size, up[own], size[own])
+    free = np.flatnonzero(~looped)
+    order = free[np.argsort(up[free], kind="stable")]
+    before = np.cumsum(size[order]) - size[order]
+    first = np.concatenate([[True], np.diff(up[order]) != 0]) if len(order) else np.zeros(0, bool)
+    base = before[first][np.cumsum(first) - 1] if len(order) else before
+    offset[order] = before - base + (up[order] >= 0)
+    for i, own in enumerate(levels):
+        pre[own] = offset[own] + (pre[up[own]] if i else 0)
+    last = pre + size - 1
+    pick = lambda values, at: pa.array(np.where(at >= 0, values[at], 0), mask=at < 0)
+    kept = ups[: max(1, len(ups) - 1)] if not looped.any() else ups
+    stacked = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(kept) + 1, len(kept), dtype=np.int32)), pick(values, np.stack(kept, 1).ravel()))
+    columns = [nodes, nodes.take(pa.array(up, mask=up < 0)), pa.array(np.where(looped, -1, pre)), pa.array(last), pa.array(depth), stacked(pre), stacked(last)]
+    yield pa.RecordBatch.from_arrays(columns, ["node", "parent", "pre", "last", "depth", "ups", "ends"])
+
+
+def _small_forest(rows: DataFrame) -> Forest:
+    kind = rows.schema["node"].dataType.simpleString()
+    found = rows.select("node", F.col("parent").cast(kind).alias("parent")).coalesce(1).mapInArrow(_numbered, f"node {kind}, parent {kind}, pre long, last long, depth long, ups array<long>, ends array<long>")
+    found = materialise(found, "forest-nodes")
+    seen = found.agg(F.max(F.size("ups")).alias("levels"), F.min("pre").alias("low")).first()
+    levels = seen["levels"] or 1
+    ups = [F.get(c, F.lit(k)).alias(f"{n}{k}") for k in range(levels) for c, n in (("ups", "up"), ("ends", "end"))]
+    nodes = found.where("pre >= 0").select("node", "parent", "pre", "last", "depth", *ups)
+    return Forest(nodes, levels, found.where("pre < 0").select("node", "parent") if seen["low"] == -1 else None)
 
 
 def _doubled_up(t: DataFrame, sums: Sequence[str]) -> tuple[DataFrame, int, DataFrame | None] | None:
@@ -111,12 +169,16 @@ def forest(tree: DataFrame, node: str = "id", parent: str = "parent_id") -> Fore
     """Pre-order numbers for a tree given by parents, or None if a node has several parents.
 
     Siblings go by their ids. A parent that is no node counts as none. Subtree sizes come from doubled ancestors; a child's number is its parent's, plus one,
-    plus the sizes of the siblings before it, again summed over doubled ancestors. Nothing grows with the number of pairs of ancestor and node.
+    plus the sizes of the siblings before it, again summed over doubled ancestors. Nothing grows with the number of pairs of ancestor and node. A tree of up to ``SMALL`` nodes
+    is numbered in the same way by one task, without joins.
     """
-    made = _doubled_up(_edges(tree, node, parent, size=F.lit(1).cast("long")), ["size"])
-    if made is None:
+    rows = _rows(tree, node, parent)
+    checked = rows.agg(F.count("*").alias("n"), F.bool_or("several").alias("several")).first()
+    if checked["several"]:
         return None
-    t, levels, looped = made
+    if checked["n"] <= SMALL:
+        return _small_forest(rows)
+    t, levels, looped = _doubled_up(_edges(rows.withColumn("size", F.lit(1).cast("long")), "size"), ["size"])
     ups = [f"up{i}" for i in range(levels)]
     placed = running(t, ["up0", "node"], "size", "upto").withColumn("upto", F.col("upto") - F.col("size"))
     base = placed.groupBy(F.col("up0").alias("p")).agg(F.min("upto").alias("base"))
@@ -197,7 +259,7 @@ def _distinct_by_closure(tree: DataFrame, links: DataFrame, item: str, node: str
 def subtree_sum(tree: DataFrame, value: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """``node, total``: the sum of a column over each node's subtree (null counts as 0), by doubled ancestors; with cycles or several parents by closures."""
     worth = F.coalesce(F.col(value), F.lit(0))
-    made = _doubled_up(_edges(tree, node, parent, v=worth), ["v"])
+    made = _doubled_up(_edges(_rows(tree, node, parent, v=worth), "v"), ["v"])
     own = lambda: tree.groupBy(F.col(node).alias("node")).agg(F.sum(worth).alias("v"))
     if made is None:
         return _sum_by_closure(tree.select(F.col(node).alias("node"), F.col(parent).alias("parent")), own())
