@@ -490,3 +490,13 @@ def test_export_rows(spark):
     links = spark.createDataFrame([(1, "y"), (1, "x"), (1, "x"), (3, "z")], "id int, name string")
     got = files.export_rows(ids, items, details, links)
     assert rows(got.select("id", "name", "camera", F.array_join("tags", ","))) == [(1, "a", "cam", "x,y"), (2, "b", None, "")]
+
+
+def test_seasons_without_a_year_and_months():
+    now = date(2024, 4, 20)
+    r = lambda p: dates.day_range(p, now)
+    assert r("spring") == (date(2024, 3, 1), date(2024, 5, 31)) and r("summer") == (date(2023, 6, 1), date(2023, 8, 31))
+    assert r("winter") == (date(2023, 12, 1), date(2024, 1, 31)) and r("next winter") == (date(2025, 12, 1), date(2026, 1, 31))
+    assert r("last summer") == (date(2023, 6, 1), date(2023, 8, 31)) and r("this autumn") == (date(2024, 9, 1), date(2024, 11, 30))
+    assert r("March 2023") == (date(2023, 3, 1), date(2023, 3, 31)) and r("february 29, 2024") == (date(2024, 2, 29),) * 2 and r("february 30 2024") is None
+    assert r("may") is None and r("blue") is None and dates.split_query("cats last summer blue", now) == ("cats blue", (date(2023, 6, 1), date(2023, 8, 31)))
