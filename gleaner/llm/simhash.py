@@ -181,9 +181,9 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, words: int = WORDS) ->
 def several_prints(hashes: np.ndarray, prints: int) -> np.ndarray:
     """Independent fingerprints of a set of shingle hashes."""
     ones = np.zeros(64 * prints, np.int64)
-    for part in np.array_split(hashes, len(hashes) // 16384 + 1):
-        mixed = _mix(part[:, None] * _PLACE[None, :prints])
-        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    for at in range(0, len(hashes), 255):  # counts that fit a byte
+        mixed = _mix(hashes[at : at + 255, None] * _PLACE[None, :prints])
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
     return np.packbits(2 * ones > len(hashes)).view(np.uint64)
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,45 @@ def test_near_copies_by_brute_force(spark, odd, none):
     assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(none).count() == 0
 
 
+def test_near_copies_of_the_pipeline_share_simhash_keys():
+    """Keys are bits of a SimHash: two sets agree in a key as often as in so many bits, and every pair at 0.8 in one at least."""
+    rng = np.random.default_rng(5)
+    agree = []
+    for same, own in ((4, 1), (40, 5), (356, 44)):
+        for _ in range(40):
+            h = rng.integers(0, 1 << 63, same + 2 * own).astype(np.uint64)
+            sets = [h[: same + own], np.concatenate([h[:same], h[same + own :]])] if same > 4 else [h[:5], h[:4]]
+            _, n, fps = shingles.signatures(np.concatenate(sets), np.array([len(x) for x in sets]))
+            assert n.tolist() == [len(x) for x in sets] and (fps == [simhash.several_prints(x, shingles.PRINTS + 1) for x in sets]).all()
+            keys = shingles.band_keys(fps, np.arange(shingles.BANDS if same > 4 else shingles.SHORT_BANDS))
+            assert (keys[0] == keys[1]).any()
+            agree += [(keys[0] == keys[1]).mean()] * (same > 4)
+    assert 0.015 < np.mean(agree) < 0.045  # 0.85 ** 22 = 0.028
+
+
+def test_buckets_of_near_copies_by_brute_force():
+    rng = np.random.default_rng(6)
+    band = np.sort(np.concatenate([rng.integers(0, 60, 150), np.full(40, 7)])).astype(np.int32)
+    seeds = rng.integers(-(1 << 63), 1 << 63, 3)
+    check = seeds[rng.integers(0, 3, len(band))] ^ (1 << rng.integers(0, 62, len(band)))
+    node = np.arange(len(band))
+    want = set()
+    for k in set(band.tolist()):
+        left = [i for i in node.tolist() if band[i] == k]
+        while left:
+            bucket = [left.pop(0)]
+            for i in bucket:
+                near = [j for j in left if ((int(check[i]) ^ int(check[j])) % (1 << 64)).bit_count() <= simhash.CHECK_BITS]
+                left = [j for j in left if j not in near]
+                bucket += near
+            want |= {(k, bucket[0], i) for i in bucket if len(bucket) > 1}
+    for size in (1, 7, 500):
+        whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (band, node, check)], ["band", "node", "check"])
+        got = [r for b in shingles._bucket_batches(whole.slice(i, size) for i in range(0, len(band), size)) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert len(got) == len(want) and set(got) == want
+    assert not list(shingles._bucket_batches(iter([])))
+
+
 # --- 7 ----------------------------------------------------------------------------------------
 
 
