@@ -463,6 +463,32 @@ def test_buckets_of_near_copies_by_brute_force():
     assert not list(shingles._bucket_batches(iter([])))
 
 
+def test_rough_buckets_are_parted_by_the_whole_simhash():
+    """Texts whose one word happens to be near are no candidates; sets at 0.8 stay, also the shortest."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for same, own in ((4, 0), (40, 5), (356, 44)):
+        for _ in range(20):
+            h = rng.integers(0, 1 << 63, same + 2 * own + 1).astype(np.uint64)
+            sets += [h[: same + own], np.concatenate([h[:same], h[same + own : -1]])] if own else [h[:same], h]
+    sets += [np.concatenate([sets[-1][:200], rng.integers(0, 1 << 63, 200).astype(np.uint64)])]  # a third of the words alike
+    _, n, fps = shingles.signatures(np.concatenate(sets), np.array([len(x) for x in sets]))
+    size, node = len(sets), np.arange(len(sets))
+    fps = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * fps.shape[1]), pa.array(fps.view(np.int64).ravel()))
+    whole = pa.RecordBatch.from_arrays([pa.array(np.full(size, 3, np.int32)), pa.array(np.zeros(size, np.int64)), pa.array(node), pa.array(n), fps], ["band", "rep", "node", "n", "fps"])
+    for step in (1, 7, 500):
+        got = [r for b in shingles._near_batches(whole.slice(i, step) for i in range(0, size, step)) for r in zip(*b.select(["rep", "node"]).to_pydict().values(), strict=True)]
+        assert sorted(got) == sorted([(i - i % 2, i) for i in range(size - 1)])
+
+
+def test_links_of_a_block_are_one_row_a_node():
+    """A block whose texts are all alike gives a row for each, not one for each pair."""
+    size = 60
+    part = pa.table({"node": np.arange(size), "own": np.arange(size), "block": np.zeros(size, int), "low": np.zeros(size, int), "high": np.zeros(size, int), "shingles": [[1, 2, 3]] * (size - 1) + [[9]]})
+    got = shingles._compared(0.8)(part)
+    assert got.column("a").to_pylist() == [0] * (size - 2) and got.column("b").to_pylist() == list(range(1, size - 1))
+
+
 # --- 7 ----------------------------------------------------------------------------------------
 
 
