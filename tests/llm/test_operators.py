@@ -489,6 +489,41 @@ def test_links_of_a_block_are_one_row_a_node():
     assert got.column("a").to_pylist() == [0] * (size - 2) and got.column("b").to_pylist() == list(range(1, size - 1))
 
 
+def test_settled_nodes_stay_only_beside_others():
+    """In small and in large keys; nodes without a label are settled with none."""
+    for size in (6, 60):
+        for label, want in (([5] * size, []), ([5] * (size - 1) + [0], range(size)), ([5] * (size - 1) + [9], range(size)), ([0] * size, range(size))):
+            batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(size, 3, np.int32), np.arange(size), np.zeros(size, int), np.array(label))], ["band", "node", "check", "label"])
+            assert [x for b in shingles._bucket_batches(iter([batch])) for x in sorted(b.column("node").to_pylist())] == list(want)
+    far = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(50, 3, np.int32), np.arange(50), np.array([0] * 25 + [(1 << 20) - 1] * 24 + [(1 << 40) - 1]), np.array([5] * 49 + [0]))], ["band", "node", "check", "label"])
+    assert [sorted(b.column("node").to_pylist()) for b in shingles._bucket_batches(iter([far]))] == [[*range(25, 50)]]  # the first 25 are near to their own only
+
+
+def test_a_large_group_of_near_copies_does_not_come_again_in_every_key(spark, monkeypatch):
+    """Half-alike texts of one base: the same ids as by brute force, and few rows a text where keys meet its SimHash."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(90)]
+    texts = [[f"e{rng.integers(1 << 30)}" if i in rng.choice(90, k, False) else w for i, w in enumerate(base)] for k in rng.integers(1, 4, 150).tolist()]
+    sets = [{tuple(t[i : i + 5]) for i in range(86)} for t in texts]
+    root = list(range(len(texts)))
+    near = [(i, j) for i in root for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 1 < len(set(root)) < len(texts)
+    rows, write = {}, shingles.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shingles, "materialise", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in shingles.keep_one(df).collect()} == set(root)
+    assert rows["shingles-buckets"] <= 40 * len(texts) and rows["shingles-dealt"] <= 2 * len(texts)
+
+
 # --- 7 ----------------------------------------------------------------------------------------
 
 
