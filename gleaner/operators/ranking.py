@@ -164,13 +164,15 @@ def hybrid_fusion(semantic: DataFrame, exact: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(top)).select("item", "rank_score", "exact", four_decimals(shown).alias("similarity"))
 
 
-def best_with_margin(df: DataFrame, item: str, tag: str, score: str, margin: float = 0.01, per_tag: int = 500) -> DataFrame:
-    """``item, tag, score``: each item's best tag unless the second is within ``margin``; then each tag's ``per_tag`` best items."""
+def best_with_margin(df: DataFrame, item: str, tag: str, score: str, margin: float = 0.01, per_tag: int | None = 500, alone: bool = True) -> DataFrame:
+    """``item, tag, score``: each item's best tag unless the second is within ``margin``; then each tag's ``per_tag`` best items (None: all). An item's only tag counts if ``alone``."""
     s, t = F.col(score), F.col(tag)
     top = df.groupBy(F.col(item).alias("item"), t.alias("tag")).agg(F.max(s).alias("score"))
     w = W.partitionBy("item").orderBy(F.desc("score"), "tag")
     two = top.select("*", F.row_number().over(w).alias("n"), F.lead("score").over(w).alias("second")).where("n = 1")
-    clear = two.where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin)).select("item", "tag", "score")
+    clear = two.where((F.lit(alone) & F.col("second").isNull()) | (F.col("score") - F.col("second") >= margin)).select("item", "tag", "score")
+    if per_tag is None:
+        return clear
     place = F.row_number().over(W.partitionBy("tag").orderBy(F.desc("score"), "item"))
     return clear.withColumn("n", place).where(F.col("n") <= per_tag).drop("n")
 

@@ -21,3 +21,30 @@ def test_query(spark, oracle, name):
     at = [rel.columns.index(c) for c in columns]
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(rows, key=key) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=key)
+
+
+@pytest.fixture(scope="module")
+def other_embeddings(tmp_path_factory):
+    """2,400 vectors of two labels, some of the hash of another one, and two of a third label."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(4)
+    label = np.arange(2400) // 3 % 2
+    v = rng.normal(size=(2400, 64)) + np.where(label[:, None] == np.arange(64) % 2, 0.2, 0)
+    v[1::7] = v[: len(v[1::7])] * 2
+    label[[600, 603]] = 2
+    where = tmp_path_factory.mktemp("other")
+    pq.write_table(pa.table({"vec_id": np.arange(2400), "embedding": pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())), "label": label.astype(np.int32)}), where / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{where}/embeddings.parquet'")
+    return str(where), c
+
+
+def test_all_items_of_a_tag_are_suggested(spark, other_embeddings):
+    folder, oracle = other_embeddings
+    want = oracle.sql(ORACLES["centroid_suggestions"]).fetchall()
+    assert max(sum(r[1] == tag for r in want) for tag in (0, 1)) > 500 and any(r[1] == 2 for r in want)
+    assert sorted(map(tuple, QUERIES["centroid_suggestions"](spark, folder).select("item", "tag", "score").collect())) == sorted(want)
