@@ -221,16 +221,17 @@ def dismiss(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when(F.col("in_a") & F.col("in_b"), "dismissed").otherwise(F.col("status"))).drop("in_a", "in_b")
 
 
-def scan(items: DataFrame, bits: int = 8, least: float = 0.9) -> DataFrame:
+def scan(items: DataFrame, bits: int = 8, least: float = 0.9, same_hash: bool = True) -> DataFrame:
     """``a, b, kind, distance, similarity``: candidate pairs by stages: equal content as stars, then near hashes that their vectors confirm.
 
     ``items``: ``id, n_bytes, sample, digest, hash, v``. Near pairs are between the smallest ids of their hashes; a pair without two vectors
-    is kept unconfirmed (null similarity). Equal contents are not paired again.
+    is kept unconfirmed (null similarity). Equal contents are not paired again. Other items of equal hash are paired with the smallest id of it where ``same_hash``.
     """
     exact = staged_exact(items).select("a", "b", F.lit("exact").alias("kind"), F.lit(0).alias("distance"), F.lit(None).cast("double").alias("similarity"))
     near = hamming_pairs(items, bits)
-    same_hash = copies(items, "id", "hash").join(exact.select("a", "b"), ["a", "b"], "left_anti").withColumn("distance", F.lit(0))
+    if same_hash:
+        near = near.unionByName(copies(items, "id", "hash").join(exact.select("a", "b"), ["a", "b"], "left_anti").withColumn("distance", F.lit(0)))
     sides = [items.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in ("a", "b")]
-    pairs = near.unionByName(same_hash).join(sides[0], "a").join(sides[1], "b").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
+    pairs = near.join(sides[0], "a").join(sides[1], "b").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
     confirmed = pairs.where(F.col("similarity").isNull() | (F.col("similarity") >= least))
     return exact.unionByName(confirmed.select("a", "b", F.lit("similar").alias("kind"), F.col("distance").cast("int").alias("distance"), "similarity"))

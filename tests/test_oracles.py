@@ -2,6 +2,7 @@
 
 import pytest
 
+from gleaner.plans.adapters import HASHES
 from gleaner.plans.queries import ORACLES, QUERIES
 
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
@@ -48,3 +49,10 @@ def test_all_items_of_a_tag_are_suggested(spark, other_embeddings):
     want = oracle.sql(ORACLES["centroid_suggestions"]).fetchall()
     assert max(sum(r[1] == tag for r in want) for tag in (0, 1)) > 500 and any(r[1] == 2 for r in want)
     assert sorted(map(tuple, QUERIES["centroid_suggestions"](spark, folder).select("item", "tag", "score").collect())) == sorted(want)
+
+
+def test_scan_pairs_different_hashes_only(spark, other_embeddings):
+    folder, oracle = other_embeddings
+    want = oracle.sql(ORACLES["duplicate_scan"]).fetchall()
+    assert oracle.sql(f"WITH {HASHES} SELECT count(*) - count(DISTINCT hash) FROM hashes").fetchall()[0][0] > 200
+    assert sorted(map(tuple, QUERIES["duplicate_scan"](spark, folder).select("a", "b", "kind", "distance").collect())) == sorted(want)
