@@ -92,7 +92,8 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     """``a, b`` (a < b): every pair of different fingerprints at most four bits apart, once.
 
     Equal fingerprints are one node, so a group of copies costs one row whatever its size.
-    A pair is emitted at the first variant that it shares.
+    A pair is emitted at the first variant that it shares. The variants meet by a merge: Spark sizes them as the nodes before they are exploded, so it would
+    broadcast 64 times as much as it means to.
     """
     nodes = prints.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
     nodes = nodes.repartition(prints.sparkSession.sparkContext.defaultParallelism, "fp")  # few bytes, but 64 times as many rows in the next step
@@ -107,7 +108,7 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
         low = SEGMENTS[i][0]
         bit = F.when(part[i] == 0, F.lit(low)).otherwise(F.lit(low) + F.bit_count(part[i] - F.lit(1)))
         first_shared = F.when(near[i], slot == bit).otherwise(first_shared)
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= MAX_BITS) & first_shared).select("a", "b")
+    return a.hint("merge").join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= MAX_BITS) & first_shared).select("a", "b")
 
 
 def roots(prints: DataFrame) -> DataFrame:

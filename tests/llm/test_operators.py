@@ -364,6 +364,15 @@ def test_simhash_links_and_components_by_brute_force(spark):
     assert {r["id"]: r["component_id"] for r in simhash.components(df).collect() if r["id"] is not None} == root
 
 
+def test_exploded_variants_are_not_broadcast(spark):
+    """Spark takes a few fingerprints for a small side, but 64 rows of each meet."""
+    df = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    assert "SortMergeJoin" in simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+    found = simhash.links(df)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op6(spark, docs, odd, none):
     got = queries.op6_simhash(spark, SF).collect()
     assert len(got) == docs.count()
