@@ -508,6 +508,27 @@ def test_settled_nodes_stay_only_beside_others():
     assert [sorted(b.column("node").to_pylist()) for b in shingles._bucket_batches(iter([far]))] == [[*range(25, 50)]]  # the first 25 are near to their own only
 
 
+def test_near_copies_that_simhash_misses_are_found(spark):
+    """Sets of 5 and 4 shingles, 4 in common, whose SimHash differs in more bits than keys allow; one more text apart."""
+    texts = [" ".join(f"w{c}x{i}" for i in range(size)) for c in (375, 2764, 2790) for size in (9, 8)] + ["w375x0 w375x1 other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in shingles.keep_one(df).collect()} == {0, 2, 4, 6}
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Under any order, whichever shingles are common."""
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        size = int(rng.integers(1, 60))
+        every = np.unique(rng.integers(0, 1 << 62, 2 * size).astype(np.uint64))[:size]
+        gone, more = rng.integers(0, size // 5 + 1), np.unique(rng.integers(0, 1 << 62, size // 5).astype(np.uint64))
+        x, y = every, np.union1d(rng.permutation(every)[gone:], more[: rng.integers(0, len(more) + 1)])
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            for common in (np.zeros(0, np.uint64), np.sort(rng.permutation(every)[: size // 2]), every):
+                assert len(np.intersect1d(shingles.prefix(x, 0.8, common), shingles.prefix(y, 0.8, common)))
+    assert len(shingles.prefix(every[:0], 0.8, every)) == 0 and len(shingles.prefix(every[:5], 0.8, every)) == 2
+
+
 def test_a_large_group_of_near_copies_does_not_come_again_in_every_key(spark, monkeypatch):
     """Half-alike texts of one base: the same ids as by brute force, and few rows a text where keys meet its SimHash."""
     rng = np.random.default_rng(12)
