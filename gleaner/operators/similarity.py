@@ -38,15 +38,27 @@ def segment_plan(threshold: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
+WIDE = 1 / 64  # of all pairs that may meet in segments; where more do, comparing blocks takes less
+FEW_MET = 1_000_000  # pairs that meet in segments all the same
+HASH_BLOCK = 8192  # hashes that are compared in one task with as many others
+
+
 def hamming_pairs(df: DataFrame, threshold: int, key: str = "id", hash_col: str = "hash", within: Sequence[str] = ()) -> DataFrame:
     """``a, b, distance`` for every pair of different hashes within ``threshold`` bits (0 to 64), with the smallest key of each hash; with ``within`` only pairs
     that agree in these columns, which then come first.
 
     Equal hashes are one node (see ``copies``), so a group of copies costs one row. Hashes are cut into segments; each segment of one side, as it
-    is and with each of its bits turned, meets the segments of the other as they are. A pair is emitted at the first segment that is near.
+    is and with each of its bits turned, meets the segments of the other as they are. A pair is emitted at the first segment that is near. Segments for many bits are short
+    and show little (for 15 bits a quarter of all pairs meets); more than a few such hashes are written and compared in blocks, all with all.
     """
     nodes = df.where(F.col(hash_col).isNotNull()).groupBy(*within, F.col(hash_col).alias("h")).agg(F.min(key).alias("k"))
     plan = segment_plan(threshold)
+    share = sum((bits + 1) / 2**bits for _, bits in plan)
+    if share > WIDE:
+        nodes = materialise(nodes, "hamming-nodes")
+        sizes = nodes.groupBy(*within).agg(F.count("*").alias("n"))
+        if share * (sizes.agg(F.sum(F.col("n").cast("double") ** 2)).first()[0] or 0) > FEW_MET:
+            return _compared_pairs(nodes, sizes, threshold, within)
     mask = lambda bits: F.lit((1 << bits) - 1 if bits < 64 else -1)
     part = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(mask(bits))
     plain = nodes.select(*within, F.col("h").alias("ha"), F.col("k").alias("ka"), F.posexplode(F.array(*(part(F.col("h"), *p) for p in plan))).alias("no", "key"))
@@ -56,10 +68,41 @@ def hamming_pairs(df: DataFrame, threshold: int, key: str = "id", hash_col: str
     earlier = F.lit(False)
     for no, p in enumerate(plan):
         earlier |= (F.lit(no) < F.col("no")) & (F.bit_count(part(diff, *p)) <= 1)
-    met = plain.join(turned, [*within, "no", "key"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(diff) <= threshold) & ~earlier)
+    met = plain.hint("merge").join(turned.hint("merge"), [*within, "no", "key"])  # Spark sizes them as the nodes, so it would broadcast what they are exploded to
+    met = met.where((F.col("ha") < F.col("hb")) & (F.bit_count(diff) <= threshold) & ~earlier)
     return met.select(*within, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.bit_count(diff).alias("distance"))
 
 
+def _compared_pairs(nodes: DataFrame, sizes: DataFrame, threshold: int, within: Sequence[str]) -> DataFrame:
+    """``*within, a, b, distance`` by comparing the hashes of ``*within, h, k`` (each once) in pairs of blocks; ``sizes``: ``*within, n``."""
+    blocks = sizes.select(*within, F.ceil(F.col("n") / HASH_BLOCK).alias("blocks"))
+    dealt = (nodes.join(blocks, [*within]) if within else nodes.crossJoin(blocks)).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    dealt = dealt.select(*within, "h", "k", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(*within, "h", "k", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    columns = [f"b{i}" for i in range(len(within))]
+    kinds = [dict(nodes.dtypes)[c] for c in within]
+
+    def compare(part: pa.Table) -> pa.Table:
+        h, block, low, high = (part.column(c).to_numpy() for c in ("h", "block", "low", "high"))
+        h, (left, right) = h.view(np.uint64), (np.flatnonzero(block == side[0]) for side in (low, high))
+        found = [(left[:0], left[:0], np.zeros(0, np.uint8))]
+        for at in range(0, len(left), SLICE):
+            rows = left[at : at + SLICE]
+            others = right[at:] if low[0] == high[0] else right  # of one block each pair once
+            apart = np.bitwise_count(h[rows][:, None] ^ h[others])
+            i, j = np.nonzero(apart <= threshold)
+            once = others[j] > rows[i] if low[0] == high[0] else np.ones(len(i), bool)
+            found.append((rows[i[once]], others[j[once]], apart[i[once], j[once]]))
+        one, two, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        same = [part.column(c).take(pa.array(one)) for c in within]
+        return pa.table([*same, part.column("k").take(pa.array(one)), part.column("k").take(pa.array(two)), pa.array(bits.astype(np.int32))], names=[*columns, "x", "y", "distance"])
+
+    of_key = dict(nodes.dtypes)["k"]
+    schema = ", ".join([*(f"{c} {t}" for c, t in zip(columns, kinds, strict=True)), f"x {of_key}", f"y {of_key}", "distance int"])
+    near = dealt.groupBy(*within, "low", "high").applyInArrow(compare, schema)
+    return near.select(*(F.col(c).alias(w) for c, w in zip(columns, within, strict=True)), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
 def copies(df: DataFrame, key: str = "id", hash_col: str = "hash") -> DataFrame:
     """``a, b`` for rows of equal hash: a star around the smallest key, not all pairs. Combined map-side before any key meets its copies."""
     low = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(key).alias("a"))

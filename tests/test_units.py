@@ -136,6 +136,28 @@ def test_hamming_pairs_by_brute_force(spark, threshold):
     assert sorted(map(tuple, similarity.hamming_pairs(df, threshold).collect())) == want
 
 
+def test_hamming_pairs_in_blocks_by_brute_force(spark, monkeypatch):
+    """Many hashes and wide thresholds: pairs are compared in blocks and no rows meet in short segments; within groups of two columns as well."""
+    monkeypatch.setattr(similarity, "HASH_BLOCK", 40)
+    monkeypatch.setattr(similarity, "SLICE", 7)
+    monkeypatch.setattr(similarity, "FEW_MET", 100)
+    rng = random.Random(3)
+    data = [(i, rng.choice([rng.getrandbits(63), -rng.getrandbits(63), 5 << (i % 9)]), rng.choice(["p", "q", None]), i % 2) for i in range(300)] + [(999, None, "p", 0)]
+    df = spark.createDataFrame(data, "id long, hash long, s string, t int")
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    for within in ([], ["s", "t"]):
+        low = {}
+        for i, h, *g in data:
+            if h is not None and (not within or g[0] is not None):
+                low.setdefault((*(g if within else []), h), i)
+        pairs = [(x, y) for x in low for y in low if x[:-1] == y[:-1] and x[-1] < y[-1]]
+        want = sorted((*x[:-1], *sorted((low[x], low[y])), bits(x[-1], y[-1])) for x, y in pairs if bits(x[-1], y[-1]) <= 24)
+        got = similarity.hamming_pairs(df, 24, within=within)
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString() and len(want) > 30
+        assert sorted(map(tuple, got.collect())) == want and got.columns == [*within, "a", "b", "distance"] and dict(got.dtypes)["distance"] == "int"
+    assert similarity.hamming_pairs(df.limit(0), 24).count() == 0
+
+
 def test_hamming_of_texts(spark):
     df = spark.createDataFrame([("00ff", "0f0f"), ("00", "000"), ("zz", "00"), ("", ""), ("F0", "f0")], "a string, b string")
     assert [r[0] for r in df.select(similarity.hamming_text(F.col("a"), F.col("b"))).collect()] == [8, 64, 0, 0, 0]
