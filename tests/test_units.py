@@ -158,6 +158,25 @@ def test_hamming_pairs_in_blocks_by_brute_force(spark, monkeypatch):
     assert similarity.hamming_pairs(df.limit(0), 24).count() == 0
 
 
+def test_hamming_groups_in_blocks(spark, monkeypatch):
+    """Chains of hashes 10 bits apart and copies of them; wide thresholds do not meet in segments."""
+    monkeypatch.setattr(similarity, "HASH_BLOCK", 30)
+    monkeypatch.setattr(similarity, "FEW_MET", 10)
+    used, compared = [], similarity._compared_pairs
+    monkeypatch.setattr(similarity, "_compared_pairs", lambda *a: used.append(1) or compared(*a))
+    rng, data, want = random.Random(6), [], {}
+    for first in range(0, 120, 12):
+        h, low = rng.getrandbits(63), first
+        for i in range(first, first + 12):
+            data.append((i, h))
+            want[i] = low
+            if i % 3:
+                for b in rng.sample(range(63), 10):
+                    h ^= 1 << b
+    df = spark.createDataFrame(data, "id long, hash long")
+    assert dict(map(tuple, similarity.hamming_groups(df, 12).collect())) == want and used
+
+
 def test_hamming_of_texts(spark):
     df = spark.createDataFrame([("00ff", "0f0f"), ("00", "000"), ("zz", "00"), ("", ""), ("F0", "f0")], "a string, b string")
     assert [r[0] for r in df.select(similarity.hamming_text(F.col("a"), F.col("b"))).collect()] == [8, 64, 0, 0, 0]
