@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from gleaner.operators import duplicates, sequences
+from gleaner.operators import duplicates, sequences, similarity
 from gleaner.session import shared_dir
 from gleaner.sources.deltas import KeyedTable
 from gleaner.sources.versions import Conflict
@@ -241,3 +241,17 @@ def test_similar_first_against_the_fold(spark):
         want = slow_first([(t, k, h) for s, k, h, t in data if s == session], 6)
         assert sorted((r["id"], r["grp"], r["place"]) for r in got if r["session"] == session) == want
     assert sequences.similar_first(df.limit(0), "session", "id", "hash", "at").count() == 0
+
+
+def test_similar_first_of_many_bits_compares_sessions_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HASH_BLOCK", 25)
+    monkeypatch.setattr(similarity, "FEW_MET", 10)
+    used, compared = [], similarity._compared_pairs
+    monkeypatch.setattr(similarity, "_compared_pairs", lambda *a: used.append(1) or compared(*a))
+    rng = random.Random(9)
+    data = [(i % 2, i, rng.getrandbits(63) if i % 17 else None, rng.randrange(30)) for i in range(160)]
+    got = sequences.similar_first(spark.createDataFrame(data, "session int, id long, hash long, at int"), "session", "id", "hash", "at", 26).collect()
+    for session in (0, 1):
+        want = slow_first([(t, k, h) for s, k, h, t in data if s == session], 26)
+        assert len({g for _, g, _ in want}) < 70 and sorted((r["id"], r["grp"], r["place"]) for r in got if r["session"] == session) == want
+    assert used
