@@ -61,35 +61,49 @@ def rates(events: DataFrame, ts: str = "ts", span: str = "4 seconds", slide: str
     return counts.select(F.col("w.start").alias("start"), "n", F.when(seconds >= 1, F.col("n") / seconds).otherwise(0.0).alias("per_second"))
 
 
+BUCKETS = 16  # of directories; a state holds those of one bucket and one span
+
+
 class _Waiting(StatefulProcessor):
-    """The removals of one directory and one span: counted, and held (fewer than ``least`` of them) until a timer at the span's end."""
+    """The removals of one bucket of directories and one span: counted by directory, and held (fewer than ``least`` of each) until a timer at the span's end."""
 
     def __init__(self, span_ms: int, least: int):
         self.span_ms, self.least = span_ms, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "n long, paths array<string>, at array<long>")
+        self.held = handle.getValueState("held", "directories array<string>, n array<long>, owners array<int>, paths array<string>, at array<long>")
+
+    def _known(self) -> dict[str | None, tuple[int, dict]]:
+        """Each directory's count and the latest time of each path."""
+        if not self.held.exists():
+            return {}
+        directories, n, owners, paths, at = self.held.get()
+        latest = [{} for _ in directories]
+        for owner, path, ms in zip(owners, paths, at, strict=True):
+            latest[owner][path] = ms
+        return dict(zip(directories, zip(n, latest, strict=True), strict=True))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, paths, at = self.held.get() if self.held.exists() else (0, [], [])
-        latest = dict(zip(paths, at, strict=True))
+        known = self._known()
         for part in rows:
-            n += len(part)
-            if n >= self.least:  # a burst: only its count matters from here on
-                latest = {}
-                continue
-            for path, ms in zip(part["path"].tolist(), part["ms"].tolist(), strict=True):
-                latest[path] = max(ms, latest.get(path, ms))
-        self.held.update((n, list(latest), list(latest.values())))
+            for directory, path, ms in zip(part["directory"].tolist(), part["path"].tolist(), part["ms"].tolist(), strict=True):
+                n, latest = known.get(directory, (0, {}))
+                if n + 1 >= self.least:  # a burst: only its count matters from here on
+                    latest = {}
+                else:
+                    latest[path] = max(ms, latest.get(path, ms))
+                known[directory] = n + 1, latest
+        each = [(i, path, ms) for i, (_, latest) in enumerate(known.values()) for path, ms in latest.items()]
+        self.held.update((list(known), [n for n, _ in known.values()], *([r[j] for r in each] for j in range(3))))
         self.handle.registerTimer((int(key[1]) + 1) * self.span_ms)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, paths, at = self.held.get()
+        lone = [(directory, path, ms) for directory, (_, latest) in self._known().items() for path, ms in latest.items()]
         self.held.clear()
-        if n < self.least:
-            yield pd.DataFrame({"directory": [key[0]] * len(paths), "path": paths, "ms": at})
+        if lone:
+            yield pd.DataFrame(lone, columns=["directory", "path", "ms"])
 
     def close(self) -> None:
         pass
@@ -99,13 +113,15 @@ def removals(events: DataFrame, present: DataFrame | None = None, directory: str
     """``directory, path, ms``: removals to be marked as missing: of paths that are not ``present``, and not part of a burst (``least`` removals or more of one directory within a span).
 
     A removal waits for the end of its span, at which its directory's count is known; a path that is removed again within it leaves once, with its last time. State is
-    one row for each directory and open span, with fewer than ``least`` paths; the watermark's timer ends it. Rows behind the watermark are dropped. Run streams of it under ``keyed_state``.
+    fewer than ``least`` paths for each directory and open span, those of a ``BUCKETS``-th of the directories in one row, as a call for each row costs more than the rows; the watermark's timer ends it.
+    Rows behind the watermark are dropped. Run streams of it under ``keyed_state``.
     Over a finished feed the same spans are counted at once.
     """
     at = F.unix_millis(F.col(ts).cast("timestamp"))
     own = events.select(F.col(directory).cast("string").alias("directory"), F.col(path).cast("string").alias("path"), at.alias("ms"), F.floor(at / span_ms).alias("span"), F.col(ts))
     if events.isStreaming:
-        dealt = own.withWatermark(ts, late).groupBy("directory", "span")
+        bucket = F.pmod(F.xxhash64("directory"), F.lit(BUCKETS))
+        dealt = own.withColumn("bucket", bucket).withWatermark(ts, late).groupBy("bucket", "span")
         lone = dealt.transformWithStateInPandas(_Waiting(span_ms, least), "directory string, path string, ms long", "Append", "EventTime")
     else:
         quiet = own.groupBy("directory", "span").agg(F.count("*").alias("n")).where(F.col("n") < least).select("directory", "span")

@@ -4,6 +4,7 @@ import random
 import statistics
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from gleaner.operators import duplicates, sequences, similarity
@@ -159,6 +160,30 @@ def test_removals_alike_in_batches_and_at_once(spark, stream):
     assert rows(got) == rows(whole) and got.count() > 20
 
 
+def test_directories_of_one_state_are_counted_apart():
+    """A call serves a bucket of directories, in several parts and batches."""
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Handle:
+        held, timers = Held(), []
+        getValueState = lambda self, name, schema: self.held
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    waiting = feeds._Waiting(2000, 3)
+    waiting.init(Handle())
+    frame = lambda *r: pd.DataFrame(r, columns=["directory", "path", "ms"])
+    for parts in ([frame(("d", "x", 5), ("e", "x", 9), ("d", "x", 3)), frame(("f", "y", 1), ("f", "y", 2))], [frame(("f", "z", 1), ("e", "w", 4), (None, "v", 7))]):
+        assert list(waiting.handleInputRows((7, 5), iter(parts), None)) == []
+    (left,) = waiting.handleExpiredTimer((7, 5), None, None)
+    assert sorted(map(tuple, left.values.tolist()), key=str) == sorted([("d", "x", 5), ("e", "x", 9), ("e", "w", 4), (None, "v", 7)], key=str)
+    assert set(Handle.timers) == {12_000} and not Handle.held.exists()
+
+
 def test_marks_suppress_what_is_below_them_for_a_time(spark, stream):
     schema = "root string, path string, ts timestamp, n int"
     events = [[("r", "r/a/x", at(500), 1), ("r", "r/b", at(500), 2), ("s", "r/a/x", at(500), 3)], [("r", "r/a", at(14_000), 4), ("r", "r/a/x", at(17_000), 5), ("r", "r/ab", at(1000), 6), ("r", "r/c/d/e", at(16_000), 7)]]
